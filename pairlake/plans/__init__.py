@@ -1,11 +1,11 @@
 """Named queries over the driver tables; importing this package fills the
 registry."""
 
-from pairlake.plans import q_latents, q_paths  # noqa: F401
+from pairlake.plans import q_eval, q_latents, q_paths  # noqa: F401
 from pairlake.plans.registry import QUERIES, Query, register
 
 __all__ = ["QUERIES", "Query", "register"]
 
 
 def flagship(spark, sf_dir):
-    return q_latents.flagship_normalised(spark, sf_dir)
+    return q_eval.evaluate_frame(spark, sf_dir)
