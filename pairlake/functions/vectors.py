@@ -160,7 +160,7 @@ def to_rgb(x, channels, hw) -> Column:
 
 def pad_truncate(tokens, length: int = 77, pad=0) -> Column:
     """right-pad with ``pad`` and truncate to ``length``."""
-    padded = F.concat(col(tokens).cast("array<long>"), F.array_repeat(F.lit(pad).cast("long"), length))
+    padded = F.concat(col(tokens), F.array_repeat(F.lit(pad), length))
     return F.slice(padded, 1, length)
 
 
