@@ -40,7 +40,7 @@ def parse_metric_log(lines: DataFrame, text: str = "value") -> DataFrame:
     clean = F.regexp_replace(F.col(text), ANSI_RE, "")
     t = lines.select(clean.alias("_l")).filter(F.col("_l").rlike(LOG_LINE_RE))
     t = t.select(F.regexp_extract("_l", LOG_LINE_RE, 1).cast("long").alias("step"),
-                 F.regexp_extract_all("_l", F.lit(LOG_PAIR_RE), 0).alias("_pairs"))
+                 F.regexp_extract_all(F.regexp_extract("_l", LOG_LINE_RE, 2), F.lit(LOG_PAIR_RE), 0).alias("_pairs"))
     e = t.select("step", F.explode("_pairs").alias("_p"))
     return e.select("step", F.regexp_extract("_p", LOG_PAIR_RE, 1).alias("metric"),
                     F.regexp_extract("_p", LOG_PAIR_RE, 2).cast("double").alias("value"))
