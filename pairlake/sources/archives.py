@@ -113,7 +113,7 @@ def _member_layout(path: str, member: str):
                 head = io.BytesIO(m.read(4096))
                 header, data_off = _npy_header(head, 0)
                 data_off = None
-        return key, header, data_off, stored
+        return key, header, data_off, stored, start + info.compress_size
 
 
 class NpzRowsReader(DataSourceReader):
@@ -123,7 +123,7 @@ class NpzRowsReader(DataSourceReader):
         self.member = options.get("member", "arr_0")
         self.rows_per = int(options.get("rowsPerPartition", "65536"))
         self.as_binary = options.get("as", "float") == "binary"
-        self.key, header, self.data_off, self.stored = _member_layout(self.path, self.member)
+        self.key, header, self.data_off, self.stored, self.data_end = _member_layout(self.path, self.member)
         dt = np.dtype(header["descr"])
         if dt.hasobject:
             raise ValueError("object arrays need pickle; refused")
@@ -164,9 +164,12 @@ class NpzRowsReader(DataSourceReader):
         lo, hi = partition.i * per, min(n, (partition.i + 1) * per)
         if lo >= hi:
             return
+        start = self.data_off + lo * row_items * dt.itemsize
+        want = (hi - lo) * row_items * dt.itemsize
+        if start + want > self.data_end:
+            raise ValueError("npz member is truncated")
         with _open(self.path) as fh:
-            fh.seek(self.data_off + lo * row_items * dt.itemsize)
-            want = (hi - lo) * row_items * dt.itemsize
+            fh.seek(start)
             raw = fh.read(want)
         if len(raw) != want:
             raise ValueError("npz member is truncated")
