@@ -54,8 +54,47 @@ def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- A2 moments
 
 
+_PARTIAL = ["block", "part", "n", "dim", "mean", "m2"]
+_PARTIAL_SCHEMA = "block int, part long, n long, dim int, mean array<double>, m2 binary"
+
+
+def _partial_batch(block: int, part: int, n: int, mean: np.ndarray, m2_rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([block], pa.int32()), pa.array([part], pa.int64()), pa.array([n], pa.int64()),
+        pa.array([len(mean)], pa.int32()), pa.array([mean.tolist()], pa.list_(pa.float64())),
+        pa.array([np.ascontiguousarray(m2_rows).tobytes()], pa.binary()),
+    ], names=_PARTIAL)
+
+
+def _merge_block(t: pa.Table, dim_block: int):
+    """Chan et al. merge of partial (n, mean, M2 rows of one block)."""
+    ns = np.asarray(t.column("n").to_pylist(), dtype=np.float64)
+    d = int(t.column("dim")[0].as_py())
+    b = int(t.column("block")[0].as_py())
+    means = to_matrix(t.column("mean"))
+    n = ns.sum()
+    mean = (ns[:, None] * means).sum(axis=0) / n
+    r0, r1 = b * dim_block, min(d, (b + 1) * dim_block)
+    m2 = np.zeros((r1 - r0, d))
+    for k, raw in enumerate(t.column("m2").to_pylist()):
+        delta = means[k] - mean
+        m2 += np.frombuffer(raw, dtype=np.float64).reshape(r1 - r0, d)
+        m2 += ns[k] * np.outer(delta[r0:r1], delta)
+    return b, n, mean, m2, r0, r1
+
+
+def _moment_combine(dim_block: int, fanout: int):
+    def run(t: pa.Table) -> pa.Table:
+        b, n, mean, m2, _, _ = _merge_block(t, dim_block)
+        part = int(t.column("part")[0].as_py()) // fanout
+        return pa.Table.from_batches([_partial_batch(b, part, int(n), mean, m2)])
+    return run
+
+
 def _moment_partials(dim_block: int):
     def run(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
         n, pilot, s1, s2 = 0, None, None, None
         for rb in batches:
             if rb.num_rows == 0:
@@ -75,28 +114,13 @@ def _moment_partials(dim_block: int):
         m2 = s2 - np.outer(s1, s1) / n
         d = len(mean)
         for b0 in range(0, d, dim_block):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([b0 // dim_block], pa.int32()), pa.array([n], pa.int64()), pa.array([d], pa.int32()),
-                pa.array([mean.tolist()], pa.list_(pa.float64())),
-                pa.array([m2[b0:b0 + dim_block].tobytes()], pa.binary()),
-            ], names=["block", "n", "dim", "mean", "m2"])
+            yield _partial_batch(b0 // dim_block, part, n, mean, m2[b0:b0 + dim_block])
     return run
 
 
 def _moment_merge(dim_block: int):
     def run(t: pa.Table) -> pa.Table:
-        ns = np.asarray(t.column("n").to_pylist(), dtype=np.float64)
-        d = int(t.column("dim")[0].as_py())
-        b = int(t.column("block")[0].as_py())
-        means = to_matrix(t.column("mean"))
-        n = ns.sum()
-        mean = (ns[:, None] * means).sum(axis=0) / n
-        r0, r1 = b * dim_block, min(d, (b + 1) * dim_block)
-        m2 = np.zeros((r1 - r0, d))
-        for k, raw in enumerate(t.column("m2").to_pylist()):
-            delta = means[k] - mean
-            m2 += np.frombuffer(raw, dtype=np.float64).reshape(r1 - r0, d)
-            m2 += ns[k] * np.outer(delta[r0:r1], delta)
+        _, n, mean, m2, r0, r1 = _merge_block(t, dim_block)
         cov = m2 / (n - 1) if n > 1 else np.full_like(m2, np.nan)
         return pa.table({
             "i": pa.array(range(r0, r1), pa.int32()),
@@ -107,20 +131,25 @@ def _moment_merge(dim_block: int):
     return run
 
 
-def feature_moments(df: DataFrame, vec: str, dim_block: int = 64, max_partials: int | None = None) -> DataFrame:
+def feature_moments(df: DataFrame, vec: str, dim_block: int = 64, fanout: int = 16,
+                    max_partials: int | None = None) -> DataFrame:
     """A2: mean vector and sample covariance (ddof 1) of a vector column, as D
     rows ``(i, n, mu, cov)`` where ``cov`` is row i of the covariance.
 
-    ``max_partials`` bounds the number of D x D partial scatters shipped to
-    the merge (the scan is coalesced, not shuffled, when it has more
-    partitions)."""
-    spark = df.sparkSession
-    k = max_partials or spark.sparkContext.defaultParallelism
+    One scan: each partition ships its scatter as D/dim_block row blocks.  The
+    blocks are merged in a tree -- groups of ``fanout`` partials per block id
+    per level -- so no merge task ever holds more than fanout x dim_block x D
+    doubles, however many partitions the scan has.  ``max_partials``
+    optionally coalesces the scan (no shuffle) to fewer, larger partials."""
     x = df.select(F.col(vec).cast("array<double>").alias("x")).filter(F.col("x").isNotNull())
-    if x.rdd.getNumPartitions() > k:
-        x = x.coalesce(k)
-    partial_schema = "block int, n long, dim int, mean array<double>, m2 binary"
-    partials = x.mapInArrow(_moment_partials(dim_block), partial_schema)
+    k = x.rdd.getNumPartitions()
+    if max_partials and k > max_partials:
+        x, k = x.coalesce(max_partials), max_partials
+    partials = x.mapInArrow(_moment_partials(dim_block), _PARTIAL_SCHEMA)
+    while k > fanout:
+        partials = (partials.withColumn("part", F.floor(F.col("part") / fanout).cast("long") * fanout)
+                    .groupBy("block", "part").applyInArrow(_moment_combine(dim_block, fanout), _PARTIAL_SCHEMA))
+        k = -(-k // fanout)
     out_schema = "i int, n long, mu double, cov array<double>"
     return partials.groupBy("block").applyInArrow(_moment_merge(dim_block), out_schema)
 

@@ -49,10 +49,12 @@ def test_precision_recall_match_numpy(spark, sets):
 
 def test_moments_match_numpy_cov(spark, sets):
     e, x, _, _ = sets
-    n, mu, sigma = collect_moments(feature_moments(e.repartition(7), "embedding", dim_block=10))
-    assert n == len(x)
-    assert np.allclose(mu, x.mean(0), atol=1e-12)
-    assert np.allclose(sigma, np.cov(x, rowvar=False), atol=1e-12)
+    for parts, fanout in ((7, 16), (9, 2)):  # (9, 2): three merge levels
+        n, mu, sigma = collect_moments(feature_moments(e.repartition(parts), "embedding", dim_block=10,
+                                                       fanout=fanout))
+        assert n == len(x)
+        assert np.allclose(mu, x.mean(0), atol=1e-12)
+        assert np.allclose(sigma, np.cov(x, rowvar=False), atol=1e-12)
 
 
 def test_frechet_matches_eig_form_and_is_zero_on_itself(spark, sets):
