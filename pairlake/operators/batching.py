@@ -92,36 +92,66 @@ def balanced_labels(index, num_classes: int, balanced: bool = True, seed: int =
     return F.floor(hash_uniform(index, seed) * num_classes).cast("long")
 
 
-def drop_tokens(tokens, key, head: int, ratio: float, seed: int = 0) -> Column:
+_POS = 2 ** 31  # positions are < 2^31, so u32 * 2^31 + pos fits a signed long
+
+
+# Per-row array work below follows one rule: arrays are only ever passed as
+# arguments of transform / zip_with / array_sort, never looked up by index
+# from inside a lambda.  Catalyst may inline an upstream array expression
+# into the lambda, which would recompute it for every element (O(T^2)).
+
+
+def draw_keys(n, key, seed: int) -> Column:
+    """Sort keys u32(key, seed, i) * 2^31 + i for positions 0..n-1, where
+    u32 is the (i mod 4)-th 32-bit slice of md5(key|seed|i div 4): one md5
+    feeds four draws, and the position rides in the low bits."""
+    nb = F.greatest(F.floor((n - 1) / 4).cast("int"), F.lit(0))
+    digests = F.transform(F.sequence(F.lit(0), nb), lambda b: F.md5(
+        F.concat_ws("|", col(key).cast("string"), F.lit(str(seed)), b.cast("string"))))
+    per_pos = F.slice(F.flatten(F.transform(digests, lambda d: F.array(d, d, d, d))), 1, n)
+    return F.zip_with(per_pos, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda d, i: (
+        F.conv(F.substring(d, (i % 4) * 8 + 1, 8), 16, 10).cast("long") * F.lit(_POS) + i))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has
+    cores (a single-row-group file), so per-row work runs in parallel; a
+    no-op for inputs that are already split (every large table)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def drop_tokens(df: DataFrame, tokens: str, key: str, head: int, ratio: float, seed: int = 0,
+                kept: str = "kept", ids: str = "ids") -> DataFrame:
     """Keep the first ``head`` tokens; of the other T keep
-    max(1, int(T * (1 - ratio))) in random (shuffled) order.  No drop when
-    ratio <= 0, T <= 1 or everything would be kept.  Returns
-    struct(kept array, ids array<int> (NULL when nothing is dropped))."""
-    t = col(tokens)
-    rest_n = F.size(t) - F.lit(head)
-    keep = F.greatest(F.lit(1), F.floor(rest_n.cast("double") * F.lit(1.0 - ratio)).cast("int"))
-    noop = (F.lit(ratio <= 0.0)) | (rest_n <= 1) | (keep >= rest_n)
-    draws = F.transform(F.sequence(F.lit(0), F.greatest(rest_n - 1, F.lit(0))),
-                        lambda i: F.struct(hash_uniform(key, seed, i).alias("u"), i.alias("i")))
-    ids = F.transform(F.slice(F.array_sort(draws), 1, keep), lambda s: s["i"])
-    kept = F.concat(F.slice(t, 1, head), F.transform(ids, lambda i: F.element_at(t, i + head + 1)))
-    return F.when(noop, F.struct(t.alias("kept"), F.lit(None).cast("array<int>").alias("ids"))).otherwise(
-        F.struct(kept.alias("kept"), ids.alias("ids")))
+    max(1, int(T * (1 - ratio))) in random (shuffled) order.  No drop (``ids``
+    NULL, ``kept`` = tokens) when ratio <= 0, T <= 1 or everything would be
+    kept.  ``ids`` are the kept positions (0-based, after the head)."""
+    t = F.col(tokens)
+    rest = F.size(t) - F.lit(head)
+    keep = F.greatest(F.lit(1), F.floor(rest.cast("double") * F.lit(1.0 - ratio)).cast("int"))
+    noop = (F.lit(ratio <= 0.0)) | (rest <= 1) | (keep >= rest)
+    tagged = F.zip_with(draw_keys(rest, key, seed), F.slice(t, head + 1, F.greatest(rest, F.lit(1))),
+                        lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    chosen = F.slice(F.array_sort(tagged), 1, keep)
+    out = spread(df).withColumn("_c", F.when(~noop, chosen))
+    out = out.withColumn(ids, F.transform("_c", lambda s: (s["k"] % F.lit(_POS)).cast("int")))
+    picked = F.concat(F.slice(t, 1, head), F.transform("_c", lambda s: s["v"]))
+    return out.withColumn(kept, F.when(F.col("_c").isNull(), t).otherwise(picked)).drop("_c")
 
 
 def pad_with_mask(kept, ids, head: int, full, mask) -> Column:
     """Scatter the kept tokens back to their positions (``full`` = number
     of droppable positions, int or Column), ``mask`` elsewhere; the head is
-    unchanged.  NULL ids (no drop) pass through."""
-    # O(T log T): tag kept tokens and masked gaps with their position, sort by
-    # position (a map lookup per position would be O(T^2) for long rows).
+    unchanged.  NULL ids (no drop) pass through.  O(T log T): kept tokens and
+    masked gaps are tagged with their position and sorted."""
     k, i = col(kept), col(ids)
-    body = F.slice(k, head + 1, F.greatest(F.size(k) - F.lit(head), F.lit(0)))
+    body = F.slice(k, head + 1, F.greatest(F.size(k) - F.lit(head), F.lit(1)))
     n = F.lit(full) if isinstance(full, int) else full
-    placed = F.zip_with(i, body, lambda p, t: F.struct(p.cast("int").alias("p"), t.alias("t")))
+    placed = F.zip_with(i, body, lambda p, v: F.struct(p.cast("int").alias("p"), v.alias("v")))
     gaps = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), i.cast("array<int>")),
-                       lambda p: F.struct(p.alias("p"), F.lit(mask).alias("t")))
-    scattered = F.transform(F.array_sort(F.concat(placed, gaps)), lambda s: s["t"])
+                       lambda p: F.struct(p.alias("p"), F.lit(mask).alias("v")))
+    scattered = F.transform(F.array_sort(F.concat(placed, gaps)), lambda s: s["v"])
     return F.when(i.isNull(), k).otherwise(F.concat(F.slice(k, 1, head), scattered))
 
 

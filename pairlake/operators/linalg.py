@@ -187,9 +187,12 @@ def tile_sides(a: DataFrame, b: DataFrame, a_id: str, b_id: str, block_rows: int
 
 
 def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema: str,
-               block_rows: int = 4096) -> DataFrame:
-    """Run ``kernel(a_table, b_table) -> pa.Table`` once per tile."""
-    a_t, b_t, tiles = tile_sides(a, b, a_id, b_id, block_rows)
+               block_rows: int = 4096, rows_a: int | None = None, rows_b: int | None = None) -> DataFrame:
+    """Run ``kernel(a_table, b_table) -> pa.Table`` once per tile.  Row counts
+    already known to the caller can be passed to skip the counting jobs."""
+    na = max(1, math.ceil(rows_a / block_rows)) if rows_a is not None else None
+    nb = max(1, math.ceil(rows_b / block_rows)) if rows_b is not None else None
+    a_t, b_t, tiles = tile_sides(a, b, a_id, b_id, block_rows, na, nb)
     spark = a.sparkSession
     parts = max(1, min(tiles, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     a_t = a_t.repartition(parts, "t")

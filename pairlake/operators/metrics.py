@@ -48,20 +48,24 @@ def _vectors(df: DataFrame, id_col: str, vec: str, *extra) -> DataFrame:
 
 
 def knn_distances(a: DataFrame, b: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096,
-                  b_id: str | None = None) -> DataFrame:
+                  b_id: str | None = None, rows_a: int | None = None, rows_b: int | None = None) -> DataFrame:
     """For each row of ``a``: its k+1 smallest squared distances to ``b``
     (sorted), merged over all tiles.  With a == b the row itself is included
-    (distance 0), as the radius definition requires."""
+    (distance 0), as the radius definition requires.  The per-row merge sees
+    at most (#B blocks) x (k+1) candidates."""
     va, vb = _vectors(a, id_col, vec), _vectors(b, b_id or id_col, vec)
-    per_tile = tile_apply(va, vb, "id", "id", _knn_kernel(k), "id long, d array<double>", block_rows)
+    per_tile = tile_apply(va, vb, "id", "id", _knn_kernel(k), "id long, d array<double>", block_rows,
+                          rows_a, rows_b)
     merged = per_tile.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
     return merged.select("id", F.slice("d", 1, k + 1).alias("d"))
 
 
-def manifold_radii(df: DataFrame, id_col: str, vec: str, k: int = 3, block_rows: int = 4096) -> DataFrame:
+def manifold_radii(df: DataFrame, id_col: str, vec: str, k: int = 3, block_rows: int = 4096,
+                   rows: int | None = None) -> DataFrame:
     """V3: squared distance to the k-th neighbour; index k of the 0-based
     ascending order including the row itself, so duplicates count."""
-    nn = knn_distances(df, df, id_col, vec, k, block_rows)
+    rows = df.count() if rows is None else rows
+    nn = knn_distances(df, df, id_col, vec, k, block_rows, rows_a=rows, rows_b=rows)
     return nn.select(F.col("id").alias(id_col), F.element_at("d", k + 1).alias("radius"))
 
 
@@ -198,11 +202,13 @@ def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec:
     """V6 per row: a reference row is recalled when it lies in some sample
     ball, a sample row is precise when it lies in some reference ball (both
     boundaries inclusive).  One tile pass gives both flags."""
-    r_ref = manifold_radii(ref, id_col, vec, k, block_rows)
-    r_smp = manifold_radii(sample, id_col, vec, k, block_rows)
+    n_ref, n_smp = ref.count(), sample.count()
+    r_ref = manifold_radii(ref, id_col, vec, k, block_rows, rows=n_ref)
+    r_smp = manifold_radii(sample, id_col, vec, k, block_rows, rows=n_smp)
     a = _vectors(ref.join(r_ref, id_col), id_col, vec, F.col("radius").alias("r"))
     b = _vectors(sample.join(r_smp, id_col), id_col, vec, F.col("radius").alias("r"))
-    per_tile = tile_apply(a, b, "id", "id", _pr_kernel(), "side string, id long, inside boolean", block_rows)
+    per_tile = tile_apply(a, b, "id", "id", _pr_kernel(), "side string, id long, inside boolean", block_rows,
+                          n_ref, n_smp)
     return per_tile.groupBy("side", "id").agg(F.bool_or("inside").alias("inside"))
 
 

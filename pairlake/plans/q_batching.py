@@ -148,7 +148,9 @@ k AS (SELECT doc_id, tok, len(tok) - 4 AS rest,
 d AS (SELECT doc_id, tok, rest, keep,
       CASE WHEN rest <= 1 OR keep >= rest THEN NULL ELSE
         list_transform(list_sort(list_transform(range(rest),
-          lambda i: {{'u': {_hu('doc_id', 17, 'i')}, 'i': i}}))[1:keep], lambda s: CAST(s.i AS INTEGER)) END AS ids
+          lambda i: ('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), '17', CAST(i // 4 AS VARCHAR))),
+                                    (i % 4) * 8 + 1, 8))::BIGINT * 2147483648 + i))[1:keep],
+          lambda s: CAST(s % 2147483648 AS INTEGER)) END AS ids
       FROM k),
 kk AS (SELECT doc_id, tok, ids, CASE WHEN ids IS NULL THEN tok
        ELSE list_concat(tok[1:4], list_transform(ids, lambda i: tok[i + 5])) END AS kept FROM d)"""
@@ -166,13 +168,13 @@ FROM kk
 """)
 def q_drop_tokens(spark, sf):
     d = load_table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tok"))
-    dr = d.select("doc_id", "tok", B.drop_tokens("tok", "doc_id", head=4, ratio=0.5, seed=17).alias("dt"))
+    dr = B.drop_tokens(d, "tok", "doc_id", head=4, ratio=0.5, seed=17)
     full = F.size("tok") - 4
     padded = pad_truncate("tok", 77, "<pad>")
-    restored = B.pad_with_mask("dt.kept", "dt.ids", 4, full, "<mask>")
+    restored = B.pad_with_mask("kept", "ids", 4, full, "<mask>")
     return dr.select("doc_id", F.size("tok").alias("n_tokens"), was_truncated("tok", 77).alias("truncated"),
                      F.md5(F.array_join(padded, " ")).alias("padded_md5"),
-                     F.size("dt.kept").alias("n_kept"), F.md5(F.array_join("dt.kept", " ")).alias("kept_md5"),
+                     F.size("kept").alias("n_kept"), F.md5(F.array_join("kept", " ")).alias("kept_md5"),
                      F.md5(F.array_join(restored, " ")).alias("restored_md5"))
 
 
