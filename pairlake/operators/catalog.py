@@ -67,5 +67,5 @@ def parse_eval_reports(lines: DataFrame, text: str = "value", path: str = "path"
     wide = kv.groupBy("path").pivot("k", list(REPORT_LABELS)).agg(F.first("v"))
     for k, c in zip(REPORT_LABELS, ("inception_score", "fid", "sfid", "precision", "recall")):
         wide = wide.withColumnRenamed(k, c)
-    flag = F.regexp_extract(F.col("path"), r"cfg_cond_(true|false)\.txt$", 1)
+    flag = F.regexp_extract(F.col("path"), r"cfg_cond_(true|false)\.txt(/|$)", 1)
     return wide.withColumn("cfg_cond", F.when(flag != "", flag == "true"))

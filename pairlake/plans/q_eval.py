@@ -38,7 +38,7 @@ def _radii_sql(src: str, name: str, k: int = K) -> str:
   FROM {src} a, {src} b) WHERE rn = {k + 1})"""
 
 
-@register("knn_radii", ids=("V3", "V1", "V2"), sql=f"""
+@register("knn_radii", ids=("V3", "V1", "V2", "X5"), sql=f"""
 WITH {_E}, {_radii_sql('e', 'r')} SELECT vec_id, round(radius, 6) AS radius FROM r
 """)
 def q_knn_radii(spark, sf):

@@ -3,41 +3,59 @@
 zip members (S3): partition i of n opens the archive itself, reads the
 central directory and takes its contiguous slice of the name-sorted image
 members, so neither the driver nor one task reads the whole archive; the
-member's position in sorted order is its global index (no W1 needed).
+member's position in sorted order is its index inside the archive.
 
 npz rows (S6): a stored (uncompressed) member is split into row ranges read
 with seeks; a compressed or Fortran-ordered member falls back to one
 partition (it has to be inflated / transposed whole).
+
+Both accept one archive or a folder of archives (e.g. one per partition of
+a writer); the driver only lists file names and reads npy headers.
 """
 
 from __future__ import annotations
 
 import ast
+import io
+import struct
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pairlake.functions.paths import IMAGE_EXTS
+from pairlake.sinks.blobs import fs_and_path
 
 
 def _open(path: str):
-    """Random-access file for a local path or any pyarrow filesystem URI."""
-    if "://" in path and not path.startswith("file://"):
-        from pyarrow import fs
-        f, p = fs.FileSystem.from_uri(path)
-        return f.open_input_file(p)
-    return open(path.replace("file://", ""), "rb")
+    fs, p = fs_and_path(path)
+    return fs.open_input_file(p)
+
+
+def _archives(path: str, ext: str) -> list[str]:
+    """The archive itself, or the sorted ``*.ext`` files of a folder."""
+    from pyarrow import fs as pafs
+    fs, p = fs_and_path(path)
+    info = fs.get_file_info(p)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == pafs.FileType.File:
+        return [path]
+    sel = pafs.FileSelector(p, recursive=False)
+    prefix = path.rstrip("/")
+    return sorted(f"{prefix}/{i.base_name}" for i in fs.get_file_info(sel)
+                  if i.type == pafs.FileType.File and i.base_name.endswith(ext))
 
 
 def _is_image(name: str) -> bool:
     return ("." + name.split(".")[-1].lower()) in IMAGE_EXTS
 
 
-class _Slice(InputPartition):
-    def __init__(self, i: int, n: int):
-        super().__init__(i)
-        self.i, self.n = i, n
+class _Part(InputPartition):
+    def __init__(self, archive: str, i: int, n: int):
+        super().__init__((archive, i, n))
+        self.archive, self.i, self.n = archive, i, n
 
 
 class ZipMembersReader(DataSourceReader):
@@ -47,10 +65,12 @@ class ZipMembersReader(DataSourceReader):
         self.member = options.get("member")
 
     def partitions(self):
-        return [_Slice(i, self.n) for i in range(self.n)]
+        files = _archives(self.path, ".zip")
+        per_file = self.n if len(files) == 1 else 1
+        return [_Part(f, i, per_file) for f in files for i in range(per_file)]
 
     def read(self, partition):
-        with _open(self.path) as fh, zipfile.ZipFile(fh) as z:
+        with _open(partition.archive) as fh, zipfile.ZipFile(fh) as z:
             if self.member is not None:
                 names = [self.member] if self.member in z.namelist() and partition.i == 0 else []
                 base = 0
@@ -60,20 +80,19 @@ class ZipMembersReader(DataSourceReader):
                 base = partition.i * per
                 names = names[base:base + per]
             for k, name in enumerate(names):
-                info = z.getinfo(name)
-                yield (base + k, name, info.file_size, z.read(name))
+                yield (base + k, partition.archive, name, z.getinfo(name).file_size, z.read(name))
 
 
 class ZipMembers(DataSource):
     """``spark.read.format('pairlake_zip').option('path', p).load()`` ->
-    (index, member, size, content)."""
+    (index, archive, member, size, content)."""
 
     @classmethod
     def name(cls):
         return "pairlake_zip"
 
     def schema(self):
-        return "index long, member string, size long, content binary"
+        return "index long, archive string, member string, size long, content binary"
 
     def reader(self, schema):
         return ZipMembersReader(self.options)
@@ -84,16 +103,14 @@ def _npy_header(fh, offset: int):
     magic = fh.read(8)
     if magic[:6] != b"\x93NUMPY":
         raise ValueError("member is not a .npy array")
-    major = magic[6]
-    size_bytes = 2 if major == 1 else 4
+    size_bytes = 2 if magic[6] == 1 else 4
     hlen = int.from_bytes(fh.read(size_bytes), "little")
     header = ast.literal_eval(fh.read(hlen).decode("latin1"))
     return header, offset + 8 + size_bytes + hlen
 
 
 def _member_layout(path: str, member: str):
-    """(header dict, absolute data offset, stored?) of a member of an npz."""
-    import struct
+    """(key, header, data offset, stored?, member end) of an npz member."""
     with _open(path) as fh, zipfile.ZipFile(fh) as z:
         names = z.namelist()
         key = member if member in names else member + ".npy"
@@ -109,77 +126,82 @@ def _member_layout(path: str, member: str):
             header, data_off = _npy_header(fh, start)
         else:
             with z.open(key) as m:
-                import io
-                head = io.BytesIO(m.read(4096))
-                header, data_off = _npy_header(head, 0)
-                data_off = None
+                header, _ = _npy_header(io.BytesIO(m.read(4096)), 0)
+            data_off = None
         return key, header, data_off, stored, start + info.compress_size
 
 
+class _NpzPart(InputPartition):
+    def __init__(self, archive, layout, i, n):
+        super().__init__((archive, i, n))
+        self.archive, self.layout, self.i, self.n = archive, layout, i, n
+
+
 class NpzRowsReader(DataSourceReader):
-    def __init__(self, options, schema):
-        import numpy as np
+    def __init__(self, options):
         self.path = options["path"]
         self.member = options.get("member", "arr_0")
         self.rows_per = int(options.get("rowsPerPartition", "65536"))
         self.as_binary = options.get("as", "float") == "binary"
-        self.key, header, self.data_off, self.stored, self.data_end = _member_layout(self.path, self.member)
-        dt = np.dtype(header["descr"])
-        if dt.hasobject:
-            raise ValueError("object arrays need pickle; refused")
-        self.descr, self.shape, self.fortran = header["descr"], tuple(header["shape"]), header["fortran_order"]
 
     def partitions(self):
-        n = self.shape[0] if self.shape else 1
-        if not self.stored or self.fortran or not self.shape:
-            return [_Slice(0, 1)]
-        k = max(1, -(-n // self.rows_per))
-        return [_Slice(i, k) for i in range(k)]
-
-    def _rows(self, arr, start):
+        import numpy as np
+        parts = []
+        for f in _archives(self.path, ".npz"):
+            key, header, off, stored, end = _member_layout(f, self.member)
+            if np.dtype(header["descr"]).hasobject:
+                raise ValueError("object arrays need pickle; refused")
+            shape = tuple(header["shape"])
+            if not shape:
+                raise ValueError("scalar member has no rows")
+            layout = (key, header["descr"], shape, header["fortran_order"], off, stored, end)
+            k = 1 if (not stored or header["fortran_order"]) else max(1, -(-shape[0] // self.rows_per))
+            parts += [_NpzPart(f, layout, i, k) for i in range(k)]
+        return parts
+
+    def _rows(self, archive, arr, start):
         row_shape = list(arr.shape[1:])
         for r in range(arr.shape[0]):
             v = arr[r]
             data = v.tobytes() if self.as_binary else v.astype("float32").reshape(-1).tolist()
-            yield (start + r, row_shape, data)
+            yield (start + r, archive, row_shape, data)
 
     def read(self, partition):
         import numpy as np
-        dt = np.dtype(self.descr)
-        if not self.shape:
-            raise ValueError("scalar member has no rows")
-        n = self.shape[0]
-        row_items = int(np.prod(self.shape[1:])) if len(self.shape) > 1 else 1
-        if partition.n == 1 and (not self.stored or self.fortran):
-            with _open(self.path) as fh, zipfile.ZipFile(fh) as z, z.open(self.key) as m:
+        key, descr, shape, fortran, data_off, stored, data_end = partition.layout
+        dt = np.dtype(descr)
+        n = shape[0]
+        row_items = int(np.prod(shape[1:])) if len(shape) > 1 else 1
+        if not stored or fortran:
+            with _open(partition.archive) as fh, zipfile.ZipFile(fh) as z, z.open(key) as m:
                 raw = m.read()
-            header, off = _npy_header(__import__("io").BytesIO(raw), 0)
-            arr = np.frombuffer(raw, dtype=dt, offset=off, count=n * row_items)
+            _, off = _npy_header(io.BytesIO(raw), 0)
+            arr = np.frombuffer(raw, dtype=dt, offset=off, count=min(n * row_items, (len(raw) - off) // dt.itemsize))
             if arr.size != n * row_items:
                 raise ValueError("npz member is truncated")
-            arr = arr.reshape(self.shape, order="F" if self.fortran else "C")
-            yield from self._rows(np.ascontiguousarray(arr), 0)
+            arr = arr.reshape(shape, order="F" if fortran else "C")
+            yield from self._rows(partition.archive, np.ascontiguousarray(arr), 0)
             return
         per = -(-n // partition.n)
         lo, hi = partition.i * per, min(n, (partition.i + 1) * per)
         if lo >= hi:
             return
-        start = self.data_off + lo * row_items * dt.itemsize
+        start = data_off + lo * row_items * dt.itemsize
         want = (hi - lo) * row_items * dt.itemsize
-        if start + want > self.data_end:
+        if start + want > data_end:
             raise ValueError("npz member is truncated")
-        with _open(self.path) as fh:
+        with _open(partition.archive) as fh:
             fh.seek(start)
             raw = fh.read(want)
         if len(raw) != want:
             raise ValueError("npz member is truncated")
-        arr = np.frombuffer(raw, dtype=dt).reshape((hi - lo,) + self.shape[1:])
-        yield from self._rows(arr, lo)
+        arr = np.frombuffer(raw, dtype=dt).reshape((hi - lo,) + tuple(shape[1:]))
+        yield from self._rows(partition.archive, arr, lo)
 
 
 class NpzRows(DataSource):
     """``spark.read.format('pairlake_npz').option('path', p).load()`` ->
-    (row_index, shape, data) for axis-0 rows of one npz member."""
+    (row_index, archive, shape, data) for axis-0 rows of one npz member."""
 
     @classmethod
     def name(cls):
@@ -187,10 +209,11 @@ class NpzRows(DataSource):
 
     def schema(self):
         as_binary = self.options.get("as", "float") == "binary"
-        return f"row_index long, shape array<int>, data {'binary' if as_binary else 'array<float>'}"
+        return (f"row_index long, archive string, shape array<int>, "
+                f"data {'binary' if as_binary else 'array<float>'}")
 
     def reader(self, schema):
-        return NpzRowsReader(self.options, schema)
+        return NpzRowsReader(self.options)
 
 
 _REGISTERED: set[int] = set()
@@ -205,28 +228,29 @@ def register_sources(spark: SparkSession) -> None:
 
 
 def read_zip_members(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
-    """S3: image members of a zip in name order with their global index."""
+    """S3: image members of a zip (or a folder of zips) in name order, with
+    their index inside the archive."""
     register_sources(spark)
     return spark.read.format("pairlake_zip").option("path", path).option("numPartitions", partitions).load()
 
 
 def read_zip_manifest(spark: SparkSession, path: str, member: str = "dataset.json") -> DataFrame:
     """S3 labels: the class manifest stored inside the archive (no
-    top-level-folder fallback for zips)."""
+    top-level-folder fallback for zips); later duplicates win."""
+    from pairlake.operators.pairing import latest_wins
     register_sources(spark)
-    raw = spark.read.format("pairlake_zip").option("path", path).option("numPartitions", 1).option(
-        "member", member).load()
-    from pyspark.sql import functions as F
+    raw = (spark.read.format("pairlake_zip").option("path", path).option("numPartitions", 1)
+           .option("member", member).load())
     doc = raw.select(F.from_json(F.col("content").cast("string"), "labels array<array<string>>").alias("d"))
     rows = doc.select(F.posexplode("d.labels").alias("_pos", "p")).select(
         "_pos", F.col("p")[0].alias("fname"), F.col("p")[1].cast("long").alias("label"))
-    from pairlake.operators.pairing import latest_wins
     return latest_wins(rows, "fname", "label", "_pos")
 
 
 def read_npz_rows(spark: SparkSession, path: str, name: str = "arr_0", rows_per_partition: int = 65536,
                   as_binary: bool = False) -> DataFrame:
-    """Axis-0 rows of an npz member, in order, row ranges per partition."""
+    """Axis-0 rows of an npz member (one archive or a folder of them), in
+    order, row ranges per partition."""
     register_sources(spark)
     return (spark.read.format("pairlake_npz").option("path", path).option("member", name)
             .option("rowsPerPartition", rows_per_partition).option("as", "binary" if as_binary else "float").load())

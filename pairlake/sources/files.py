@@ -254,13 +254,12 @@ def read_distribution_stats(spark: SparkSession, path: str, set_id: str, fallbac
     """Stored (i, n, mu, cov) moments of ``set_id`` when present, else
     computed from the activations in ``fallback`` (A2)."""
     from pairlake.operators.linalg import feature_moments
-    if os.path.exists(path) or "://" in path:
-        try:
-            stored = spark.read.parquet(path).filter(F.col("set_id") == set_id).drop("set_id")
-            if stored.limit(1).count():
-                return stored
-        except Exception:  # noqa: BLE001 -- absent table: fall back
-            pass
+    try:
+        stored = spark.read.parquet(path).filter(F.col("set_id") == set_id).drop("set_id")
+        if stored.limit(1).count():
+            return stored
+    except Exception:  # noqa: BLE001 -- absent table: fall back
+        pass
     if fallback is None:
         raise FileNotFoundError(f"no stored statistics for {set_id!r} and no activations given")
     return feature_moments(fallback, vec)
