@@ -249,3 +249,36 @@ def q_stream_cumulative(spark, sf):
     s = s.filter(~((F.col("name") == "purchase") & ((F.col("round") % 4 == 1) | (F.col("rank") == 3))))
     out = R.run_complete_to_parquet(R.stream_cumulative(s), "stream_cumulative")
     return _round_stats(out, "name")
+
+
+@register("stream_keep_previous", ids=("R3", "W4"), sql=f"""
+WITH {_R},
+d AS (SELECT name, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS round_start, sum(CAST(ok AS BIGINT)) AS num,
+      sum(CASE WHEN ok THEN value ELSE 0 END) AS s, sum(CASE WHEN ok THEN value * value ELSE 0 END) AS ss
+      FROM rf GROUP BY ALL),
+dd AS (SELECT * FROM d WHERE num <> 0),
+wm AS (SELECT CAST(floor(epoch(max(ts)))AS BIGINT) - 3600 AS wm FROM events),
+sp AS (SELECT name, unnest(range(f, (SELECT wm FROM wm) - 86400 + 1, 86400)) AS round_start
+       FROM (SELECT name, min(round_start) AS f FROM dd GROUP BY name)),
+j AS (SELECT sp.name, sp.round_start, dd.num, dd.s, dd.ss FROM sp LEFT JOIN dd USING (name, round_start)),
+k AS (SELECT name, round_start, last(num IGNORE NULLS) OVER w AS num, last(s IGNORE NULLS) OVER w AS s,
+      last(ss IGNORE NULLS) OVER w AS ss FROM j
+      WINDOW w AS (PARTITION BY name ORDER BY round_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT name, round_start, {_STATS.replace(', 6)', ', 5)')} FROM k
+""")
+def q_stream_keep_previous(spark, sf):
+    from pairlake.streaming.collector import events_stream
+    from pairlake.streaming.keep_previous import stream_keep_previous
+    s = events_stream(spark, sf)
+    e = F.col("event_id")
+    v = (F.when(e % 101 == 0, F.lit(float("nan"))).when(e % 103 == 0, F.lit(float("inf")))
+         .when(e % 107 == 0, F.lit(1e20)).when(e % 109 == 0, F.lit(float("-inf"))).otherwise(F.col("value")))
+    s = s.select("ts", F.col("event_type").alias("name"), (F.col("user_id") % 4).cast("int").alias("rank"),
+                 F.dayofmonth("ts").cast("int").alias("round"), v.alias("value"))
+    s = s.filter(~((F.col("name") == "purchase") & ((F.col("round") % 4 == 1) | (F.col("rank") == 3))))
+    out = R.run_append_to_parquet(stream_keep_previous(s), "stream_keep_previous")
+    # the state sums partial moments in numpy order, the batch twin in SQL
+    # order: compare at 5 decimals so last-bit differences cannot straddle a
+    # rounding edge
+    st = ST.moments_to_stats(out)
+    return st.select("name", "round_start", "num", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
