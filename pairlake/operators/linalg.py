@@ -54,14 +54,15 @@ def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- A2 moments
 
 
-_PARTIAL = ["block", "part", "n", "dim", "mean", "m2"]
-_PARTIAL_SCHEMA = "block int, part long, n long, dim int, mean array<double>, m2 binary"
+_PARTIAL = ["g", "block", "part", "n", "dim", "mean", "m2"]
+_PARTIAL_SCHEMA = "g string, block int, part long, n long, dim int, mean array<double>, m2 binary"
 
 
-def _partial_batch(block: int, part: int, n: int, mean: np.ndarray, m2_rows: np.ndarray) -> pa.RecordBatch:
+def _partial_batch(g: str, block: int, part: int, n: int, mean: np.ndarray, m2_rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        pa.array([block], pa.int32()), pa.array([part], pa.int64()), pa.array([n], pa.int64()),
-        pa.array([len(mean)], pa.int32()), pa.array([mean.tolist()], pa.list_(pa.float64())),
+        pa.array([g], pa.string()), pa.array([block], pa.int32()), pa.array([part], pa.int64()),
+        pa.array([n], pa.int64()), pa.array([len(mean)], pa.int32()),
+        pa.array([mean.tolist()], pa.list_(pa.float64())),
         pa.array([np.ascontiguousarray(m2_rows).tobytes()], pa.binary()),
     ], names=_PARTIAL)
 
@@ -80,14 +81,14 @@ def _merge_block(t: pa.Table, dim_block: int):
         delta = means[k] - mean
         m2 += np.frombuffer(raw, dtype=np.float64).reshape(r1 - r0, d)
         m2 += ns[k] * np.outer(delta[r0:r1], delta)
-    return b, n, mean, m2, r0, r1
+    return t.column("g")[0].as_py(), b, n, mean, m2, r0, r1
 
 
 def _moment_combine(dim_block: int, fanout: int):
     def run(t: pa.Table) -> pa.Table:
-        b, n, mean, m2, _, _ = _merge_block(t, dim_block)
+        g, b, n, mean, m2, _, _ = _merge_block(t, dim_block)
         part = int(t.column("part")[0].as_py()) // fanout
-        return pa.Table.from_batches([_partial_batch(b, part, int(n), mean, m2)])
+        return pa.Table.from_batches([_partial_batch(g, b, part, int(n), mean, m2)])
     return run
 
 
@@ -95,34 +96,36 @@ def _moment_partials(dim_block: int):
     def run(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        n, pilot, s1, s2 = 0, None, None, None
+        acc = {}  # group -> [n, pilot, s1, s2]
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            x = to_matrix(rb.column(0))
-            if pilot is None:
-                pilot = x.mean(axis=0)
-                s1 = np.zeros_like(pilot)
-                s2 = np.zeros((len(pilot), len(pilot)))
-            xc = x - pilot
-            s1 += xc.sum(axis=0)
-            s2 += xc.T @ xc
-            n += len(x)
-        if n == 0:
-            return
-        mean = pilot + s1 / n
-        m2 = s2 - np.outer(s1, s1) / n
-        d = len(mean)
-        for b0 in range(0, d, dim_block):
-            yield _partial_batch(b0 // dim_block, part, n, mean, m2[b0:b0 + dim_block])
+            x_all = to_matrix(rb.column("x"))
+            groups = np.asarray(rb.column("g").to_pylist(), dtype=object)
+            for g in np.unique(groups):
+                x = x_all[groups == g]
+                a = acc.get(g)
+                if a is None:
+                    pilot = x.mean(axis=0)
+                    a = acc[g] = [0, pilot, np.zeros_like(pilot), np.zeros((len(pilot), len(pilot)))]
+                xc = x - a[1]
+                a[2] += xc.sum(axis=0)
+                a[3] += xc.T @ xc
+                a[0] += len(x)
+        for g, (n, pilot, s1, s2) in acc.items():
+            mean = pilot + s1 / n
+            m2 = s2 - np.outer(s1, s1) / n
+            for b0 in range(0, len(mean), dim_block):
+                yield _partial_batch(g, b0 // dim_block, part, n, mean, m2[b0:b0 + dim_block])
     return run
 
 
 def _moment_merge(dim_block: int):
     def run(t: pa.Table) -> pa.Table:
-        _, n, mean, m2, r0, r1 = _merge_block(t, dim_block)
+        g, _, n, mean, m2, r0, r1 = _merge_block(t, dim_block)
         cov = m2 / (n - 1) if n > 1 else np.full_like(m2, np.nan)
         return pa.table({
+            "g": pa.array([g] * (r1 - r0), pa.string()),
             "i": pa.array(range(r0, r1), pa.int32()),
             "n": pa.array([int(n)] * (r1 - r0), pa.int64()),
             "mu": pa.array(mean[r0:r1], pa.float64()),
@@ -132,26 +135,32 @@ def _moment_merge(dim_block: int):
 
 
 def feature_moments(df: DataFrame, vec: str, dim_block: int = 64, fanout: int = 16,
-                    max_partials: int | None = None) -> DataFrame:
+                    max_partials: int | None = None, by: str | None = None) -> DataFrame:
     """A2: mean vector and sample covariance (ddof 1) of a vector column, as D
-    rows ``(i, n, mu, cov)`` where ``cov`` is row i of the covariance.
+    rows ``(i, n, mu, cov)`` where ``cov`` is row i of the covariance; with
+    ``by``, one such set of rows per group value (column ``by`` added), all
+    from one scan.
 
-    One scan: each partition ships its scatter as D/dim_block row blocks.  The
-    blocks are merged in a tree -- groups of ``fanout`` partials per block id
-    per level -- so no merge task ever holds more than fanout x dim_block x D
+    Each partition ships its scatter as D/dim_block row blocks.  The blocks
+    are merged in a tree -- groups of ``fanout`` partials per block id per
+    level -- so no merge task ever holds more than fanout x dim_block x D
     doubles, however many partitions the scan has.  ``max_partials``
     optionally coalesces the scan (no shuffle) to fewer, larger partials."""
-    x = df.select(F.col(vec).cast("array<double>").alias("x")).filter(F.col("x").isNotNull())
+    g = F.col(by).cast("string") if by else F.lit("")
+    x = df.select(g.alias("g"), F.col(vec).cast("array<double>").alias("x")).filter(
+        F.col("x").isNotNull() & F.col("g").isNotNull())
     k = x.rdd.getNumPartitions()
     if max_partials and k > max_partials:
         x, k = x.coalesce(max_partials), max_partials
     partials = x.mapInArrow(_moment_partials(dim_block), _PARTIAL_SCHEMA)
     while k > fanout:
         partials = (partials.withColumn("part", F.floor(F.col("part") / fanout).cast("long") * fanout)
-                    .groupBy("block", "part").applyInArrow(_moment_combine(dim_block, fanout), _PARTIAL_SCHEMA))
+                    .groupBy("g", "block", "part").applyInArrow(_moment_combine(dim_block, fanout),
+                                                               _PARTIAL_SCHEMA))
         k = -(-k // fanout)
-    out_schema = "i int, n long, mu double, cov array<double>"
-    return partials.groupBy("block").applyInArrow(_moment_merge(dim_block), out_schema)
+    out_schema = "g string, i int, n long, mu double, cov array<double>"
+    out = partials.groupBy("g", "block").applyInArrow(_moment_merge(dim_block), out_schema)
+    return out.withColumnRenamed("g", by) if by else out.drop("g")
 
 
 def collect_moments(moments: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -164,6 +173,18 @@ def collect_moments(moments: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return int(rows[0]["n"]), mu, sigma
 
 
+def collect_grouped_moments(moments: DataFrame, by: str) -> dict:
+    """Driver side: {group: (n, mu, sigma)} (O(#groups x D^2))."""
+    out: dict = {}
+    for r in moments.collect():
+        out.setdefault(r[by], []).append(r)
+    res = {}
+    for g, rows in out.items():
+        rows.sort(key=lambda r: r["i"])
+        res[g] = (int(rows[0]["n"]), np.array([r["mu"] for r in rows]), np.array([r["cov"] for r in rows]))
+    return res
+
+
 # ---------------------------------------------------------------- V2 tiles
 
 

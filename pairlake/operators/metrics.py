@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pairlake.functions.util import as_double_array
 from pairlake.functions.vectors import softmax
 from pairlake.operators.index import global_index
-from pairlake.operators.linalg import collect_moments, feature_moments, sq_dists, tile_apply, to_matrix
+from pairlake.operators.linalg import (collect_grouped_moments, collect_moments, feature_moments, sq_dists,
+                                       tile_apply, to_matrix)
 
 CHUNK = 1024  # rows of A per GEMM inside a tile: bounds the distance block
 
@@ -251,9 +252,14 @@ def frechet_from_stats(mu1, sigma1, mu2, sigma2, eps: float = 1e-6) -> float:
 
 
 def frechet_distance(a: DataFrame, b: DataFrame, vec: str, eps: float = 1e-6) -> float:
-    """V7 between two feature tables; moments on executors (A2)."""
-    _, mu1, s1 = collect_moments(feature_moments(a, vec))
-    _, mu2, s2 = collect_moments(feature_moments(b, vec))
+    """V7 between two feature tables; both sets' moments from one job (A2
+    grouped by set), D x D algebra on the driver."""
+    both = (a.select(F.lit("a").alias("_set"), F.col(vec).alias("_v"))
+            .unionByName(b.select(F.lit("b").alias("_set"), F.col(vec).alias("_v"))))
+    m = collect_grouped_moments(feature_moments(both, "_v", by="_set"), "_set")
+    if "a" not in m or "b" not in m:
+        raise ValueError("both feature sets must be non-empty")
+    (_, mu1, s1), (_, mu2, s2) = m["a"], m["b"]
     return frechet_from_stats(mu1, s1, mu2, s2, eps)
 
 
