@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairlake.functions.rand import hash_uniform
 from pairlake.functions.util import col
 from pairlake.operators.index import global_index
+from pairlake.session import spread
 
 
 def epoch_order(df: DataFrame, key: str, epochs: int = 1, seed: int = 0, shuffle: bool = True,
@@ -113,14 +114,6 @@ def draw_keys(n, key, seed: int) -> Column:
         F.conv(F.substring(d, (i % 4) * 8 + 1, 8), 16, 10).cast("long") * F.lit(_POS) + i))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has
-    cores (a single-row-group file), so per-row work runs in parallel; a
-    no-op for inputs that are already split (every large table)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def drop_tokens(df: DataFrame, tokens: str, key: str, head: int, ratio: float, seed: int = 0,
                 kept: str = "kept", ids: str = "ids") -> DataFrame:
     """Keep the first ``head`` tokens; of the other T keep

@@ -14,7 +14,7 @@ from pairlake.operators import losses as L
 from pairlake.operators.index import global_index
 from pairlake.plans import sqlfrag as S
 from pairlake.plans.registry import register
-from pairlake.session import load_table
+from pairlake.session import load_table, spread
 
 RES = 256
 
@@ -165,7 +165,7 @@ SELECT doc_id,
 FROM rgb
 """)
 def q_pixel_kernels(spark, sf):
-    d = load_table(spark, sf, "documents")
+    d = spread(load_table(spark, sf, "documents"))
     ch = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(3)
     px = d.select("doc_id", ch.alias("ch"), F.transform(F.sequence(F.lit(0), ch * 16 - 1),
                                                      lambda i: ((F.col("doc_id") * 31 + i) % 256).cast("int")).alias("x"))
@@ -202,7 +202,7 @@ SELECT vec_id,
 FROM bad
 """)
 def q_vector_kernels(spark, sf):
-    e = load_table(spark, sf, "embeddings")
+    e = spread(load_table(spark, sf, "embeddings"))
     bad = F.transform(F.col("embedding").cast("array<double>"), lambda v, i: (
         F.when((F.col("vec_id") % 5 == 0) & (i == 0), F.lit(float("nan")))
         .when((F.col("vec_id") % 5 == 0) & (i == 1), F.lit(float("inf")))

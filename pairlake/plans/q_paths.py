@@ -11,7 +11,7 @@ from pairlake.operators.index import global_index
 from pairlake.plans import sqlfrag as S
 from pairlake.plans import standins as T
 from pairlake.plans.registry import register
-from pairlake.session import load_table
+from pairlake.session import load_table, spread
 
 _p = "path"
 
@@ -271,8 +271,7 @@ SELECT o_orderkey, name,
 FROM r
 """)
 def q_parse_run_name(spark, sf):
-    o = load_table(spark, sf, "orders")
-    s = lambda c: F.col(c).cast("string")
+    o = spread(load_table(spark, sf, "orders"))
     name = F.concat(
         F.lit("SiT-XL-2-"), P.zero_pad("o_orderkey", 7), F.lit("-size-256-vae-invae-cfg-"),
         (F.col("o_custkey") % 4).cast("string"), F.lit("."), (F.col("o_orderkey") % 10).cast("string"),
@@ -281,7 +280,6 @@ def q_parse_run_name(spark, sf):
         (F.col("o_custkey") % 9).cast("string"), F.lit("-1.5-pathdrop-"),
         F.when(F.col("o_orderkey") % 4 < 2, "True").otherwise("False"),
         F.when(F.col("o_orderstatus") == "F", "-balanced").otherwise(""))
-    del s
     r = o.select("o_orderkey", name.alias("name"))
     return r.select("o_orderkey", "name", P.parse_run_name("name").alias("p")).select("o_orderkey", "name", "p.*")
 
@@ -326,8 +324,8 @@ SELECT l_orderkey, l_linenumber,
 FROM s
 """)
 def q_format_time(spark, sf):
-    li = load_table(spark, sf, "lineitem")
-    secs = F.col("l_quantity") * 3607 * (1 + F.col("l_discount") * 300)
+    li = spread(load_table(spark, sf, "lineitem"))
+    secs =F.col("l_quantity") * 3607 * (1 + F.col("l_discount") * 300)
     return li.select("l_orderkey", "l_linenumber", format_time(secs).alias("t"), format_time_brief(secs).alias("tb"))
 
 
