@@ -198,8 +198,10 @@ def tile_sides(a: DataFrame, b: DataFrame, a_id: str, b_id: str, block_rows: int
     other side's blocks, giving the tile key ``t`` = (block_a, block_b)."""
     na = na or n_blocks(a, block_rows)
     nb = nb or n_blocks(b, block_rows)
-    ba = F.pmod(F.xxhash64(F.col(a_id)), F.lit(na))
-    bb = F.pmod(F.xxhash64(F.col(b_id)), F.lit(nb))
+    # block = hash of the whole row (id and vector), so repeated ids with
+    # different vectors still spread over blocks
+    ba = F.pmod(F.xxhash64(*[F.col(c) for c in a.columns]), F.lit(na))
+    bb = F.pmod(F.xxhash64(*[F.col(c) for c in b.columns]), F.lit(nb))
     a_t = a.withColumn("_b", ba).select("*", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_o"))
     a_t = a_t.withColumn("t", F.col("_b") * nb + F.col("_o")).drop("_b", "_o")
     b_t = b.withColumn("_b", bb).select("*", F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("_o"))
