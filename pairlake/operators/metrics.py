@@ -67,14 +67,14 @@ def manifold_radii(df: DataFrame, id_col: str, vec: str, k: int = 3, block_rows:
     ascending order including the row itself, so duplicates count."""
     rows = df.count() if rows is None else rows
     nn = knn_distances(df, df, id_col, vec, k, block_rows, rows_a=rows, rows_b=rows)
-    return nn.select(F.col("id").alias(id_col), F.element_at("d", k + 1).alias("radius"))
+    return nn.select(F.col("id").alias(id_col), F.try_element_at("d", F.lit(k + 1)).alias("radius"))
 
 
 def kth_smallest(a: DataFrame, b: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096) -> DataFrame:
     """T4: the k-th smallest (1-based) squared distance from each row of ``a``
     to the rows of ``b``, by per-tile partial selection."""
     nn = knn_distances(a, b, id_col, vec, k - 1, block_rows)
-    return nn.select(F.col("id").alias(id_col), F.element_at("d", k).alias("kth"))
+    return nn.select(F.col("id").alias(id_col), F.try_element_at("d", F.lit(k)).alias("kth"))
 
 
 def kth_smallest_long(df: DataFrame, key: str, dist: str, k: int) -> DataFrame:
