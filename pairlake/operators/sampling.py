@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pairlake.functions.rand import hash_uniform
 
+TOP_N_LOCAL = 1_000_000  # above this, the n-th candidate is found by W1, not a top-n merge
+
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """The ``n`` rows with the smallest ``hash_uniform(key, seed)`` (ties broken
@@ -30,7 +32,14 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     cand = narrow.filter(F.col("_u") < F.lit(frac))
     if frac < 1.0 and cand.count() < n:
         cand = narrow
-    cut = cand.orderBy("_u", "_k").limit(n).agg(F.max(F.struct("_u", "_k")).alias("c")).first()["c"]
+    if n <= TOP_N_LOCAL:
+        # TakeOrdered: at most ~n candidate pairs reach the final merge
+        cut = cand.orderBy("_u", "_k").limit(n).agg(F.max(F.struct("_u", "_k")).alias("c")).first()["c"]
+    else:
+        # a very large sample: rank the candidates with the distributed index
+        from pairlake.operators.index import global_index
+        ranked = global_index(cand, ["_u", "_k"], "_r")
+        cut = ranked.filter(F.col("_r") == n - 1).select(F.struct("_u", "_k").alias("c")).first()["c"]
     cu, ck = cut["_u"], cut["_k"]
     keep = (u < F.lit(cu)) | ((u == F.lit(cu)) & (F.col(key) <= F.lit(ck)))
     return df.filter(keep)
