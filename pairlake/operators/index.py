@@ -57,6 +57,21 @@ def global_index(df: DataFrame, order, name: str = "index", partitions: int | No
     return out.drop("_tb") if tiebreak else out
 
 
+TOP_N_LOCAL = 1_000_000
+
+
+def first_n(df: DataFrame, order, n: int) -> DataFrame:
+    """The first min(count, n) rows in ``order`` (n = 0 gives none).
+    Small n plans a TakeOrdered (each task keeps n rows); a large n ranks
+    with W1 and filters, so no single task merges n x #partitions rows."""
+    if n <= 0:
+        return df.limit(0)
+    cols = _order_cols(order)
+    if n <= TOP_N_LOCAL:
+        return df.orderBy(*cols).limit(n)
+    return global_index(df, cols, "_first_n").filter(F.col("_first_n") < n).drop("_first_n")
+
+
 def zip_with_index(df: DataFrame, name: str = "index") -> DataFrame:
     """Fallback for an input that already has its final order and layout:
     ``RDD.zipWithIndex`` (one extra job to count partitions)."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairlake.functions import paths as P
 from pairlake.functions.timefmt import format_time, format_time_brief
 from pairlake.operators import pairing as J
-from pairlake.operators.index import global_index
+from pairlake.operators.index import first_n, global_index
 from pairlake.plans import sqlfrag as S
 from pairlake.plans import standins as T
 from pairlake.plans.registry import register
@@ -79,7 +79,7 @@ def q_sorted_index(spark, sf):
 WITH f AS ({T.image_files_sql()}) SELECT path FROM f ORDER BY path LIMIT 37
 """)
 def q_limit_images(spark, sf):
-    return T.image_files(spark, sf).select("path").orderBy("path").limit(37)
+    return first_n(T.image_files(spark, sf).select("path"), "path", 37)
 
 
 @register("attach_class_labels", ids=("J1", "S7"), sql=f"""
