@@ -17,9 +17,10 @@ def epoch_order(df: DataFrame, key: str, epochs: int = 1, seed: int = 0, shuffle
                 name: str = "position") -> DataFrame:
     """B2: each epoch is an independent full permutation of the rows (sort key
     B1(key, seed, epoch), ties by key); ``shuffle=False`` keeps key order.
-    Rows are replicated per epoch with ``explode`` and indexed with W1 on
-    (epoch, draw, key), so one global position = epoch * N + position."""
-    e = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    Keys are replicated per epoch with ``explode`` and indexed with W1 on
+    (epoch, draw, key), so one global position = epoch * N + position.  Only
+    the key travels through the index (join payload columns back by key)."""
+    e = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     u = hash_uniform(key, seed, F.col("epoch")) if shuffle else F.lit(0.0)
     e = e.withColumn("_u", u)
     idx = global_index(e, ["epoch", "_u", key], "_g")
