@@ -158,9 +158,9 @@ kk AS (SELECT doc_id, tok, ids, CASE WHEN ids IS NULL THEN tok
 
 @register("drop_tokens", ids=("B9", "B10", "F26"), sql=f"""
 WITH {_TOK_SQL}
-SELECT doc_id, len(tok) AS n_tokens, len(tok) > 77 AS truncated,
+SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_tokens, len(tok) > 77 AS truncated,
   md5(array_to_string(list_concat(tok, list_transform(range(77), lambda i: '<pad>'))[1:77], ' ')) AS padded_md5,
-  len(kept) AS n_kept, md5(array_to_string(kept, ' ')) AS kept_md5,
+  CAST(len(kept) AS INTEGER) AS n_kept, md5(array_to_string(kept, ' ')) AS kept_md5,
   md5(array_to_string(CASE WHEN ids IS NULL THEN kept ELSE list_concat(kept[1:4],
       list_transform(range(len(tok) - 4), lambda p: COALESCE(
         kept[list_position(ids, CAST(p AS INTEGER)) + 4], '<mask>'))) END, ' ')) AS restored_md5

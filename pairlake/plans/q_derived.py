@@ -160,7 +160,7 @@ SELECT doc_id,
     AS INTEGER)) AS back_grid,
   list_transform(x3, lambda v, i: round((v / 255.0 - [{', '.join(map(str, IMAGENET_MEAN))}][(i - 1) // 16 + 1])
     / [{', '.join(map(str, IMAGENET_STD))}][(i - 1) // 16 + 1], 6)) AS imagenet,
-  list_transform(x3, lambda v: round(v * 0.18215 + 0.1, 6)) AS affine,
+  list_transform(x3, lambda v: round(v * 0.18215::DOUBLE + 0.1::DOUBLE, 6)) AS affine,
   ch <> 3 AS shape_violation
 FROM rgb
 """)

@@ -121,7 +121,8 @@ def q_manifest_flag(spark, sf):
 WITH f AS ({T.FEATURE_FILES_SQL}),
 c AS ({T.CAPTIONS_SQL}),
 d AS (SELECT id, max_by(caption, pos) AS caption FROM c GROUP BY id)
-SELECT f.path, {S.extract_id('f.path')} AS id, md5(d.caption) AS caption_md5, length(d.caption) AS caption_len
+SELECT f.path, {S.extract_id('f.path')} AS id, md5(d.caption) AS caption_md5,
+  CAST(length(d.caption) AS INTEGER) AS caption_len
 FROM f LEFT JOIN d ON {S.extract_id('f.path')} = d.id
 """)
 def q_attach_captions(spark, sf):

@@ -37,7 +37,7 @@ rf AS (SELECT *, (NOT isnan(value) AND abs(value) < 1.8446742974197924e19) AS ok
 
 
 def _mom(keys: str, src: str = "rf") -> str:
-    return f"""SELECT {keys}, sum(CAST(ok AS BIGINT)) AS num, sum(CASE WHEN ok THEN value ELSE 0 END) AS s,
+    return f"""SELECT {keys}, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS num, sum(CASE WHEN ok THEN value ELSE 0 END) AS s,
   sum(CASE WHEN ok THEN value * value ELSE 0 END) AS ss FROM {src} GROUP BY {keys}"""
 
 
@@ -59,7 +59,7 @@ def q_collect_stats(spark, sf):
 
 @register("merge_moments", ids=("A4",), sql=f"""
 WITH {_R}, m AS ({_mom('name, rank')})
-SELECT name, sum(num) AS num, round(sum(s), 6) AS sum, round(sum(ss), 4) AS sumsq FROM m GROUP BY name
+SELECT name, CAST(sum(num) AS BIGINT) AS num, round(sum(s), 6) AS sum, round(sum(ss), 4) AS sumsq FROM m GROUP BY name
 """)
 def q_merge_moments(spark, sf):
     per_rank = ST.moments(reports(spark, sf), ["name", "rank"], "value")
@@ -76,7 +76,7 @@ def q_stat_deltas(spark, sf):
 
 @register("cumulative_stats", ids=("W5",), sql=f"""
 WITH {_R}, d AS ({_mom('name, round')}),
-c AS (SELECT name, round, sum(num) OVER w AS num, sum(s) OVER w AS s, sum(ss) OVER w AS ss FROM d WHERE num <> 0
+c AS (SELECT name, round, CAST(sum(num) OVER w AS BIGINT) AS num, sum(s) OVER w AS s, sum(ss) OVER w AS ss FROM d WHERE num <> 0
       WINDOW w AS (PARTITION BY name ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT name, round, {_STATS} FROM c
 """)
@@ -204,7 +204,7 @@ def q_common_names(spark, sf):
 # ---------------------------------------------------------------- streaming
 
 _WIN = """w AS (SELECT date_trunc('day', ts) AS ws, name, ok, value FROM rf {where}),
-m AS (SELECT ws, name, sum(CAST(ok AS BIGINT)) AS num, sum(CASE WHEN ok THEN value ELSE 0 END) AS s,
+m AS (SELECT ws, name, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS num, sum(CASE WHEN ok THEN value ELSE 0 END) AS s,
       sum(CASE WHEN ok THEN value * value ELSE 0 END) AS ss FROM w GROUP BY ws, name)"""
 
 
@@ -258,7 +258,7 @@ def q_stream_cumulative(spark, sf):
 
 @register("stream_keep_previous", ids=("R3", "W4"), sql=f"""
 WITH {_R},
-d AS (SELECT name, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS round_start, sum(CAST(ok AS BIGINT)) AS num,
+d AS (SELECT name, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS round_start, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS num,
       sum(CASE WHEN ok THEN value ELSE 0 END) AS s, sum(CASE WHEN ok THEN value * value ELSE 0 END) AS ss
       FROM rf GROUP BY ALL),
 dd AS (SELECT * FROM d WHERE num <> 0),

@@ -6,7 +6,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tools.oracle_check import TABLES, digest
+from tools.oracle_check import TABLES, digest, type_mismatches
 
 import __spark_entry__ as entry
 
@@ -37,6 +37,7 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    assert not type_mismatches(df, con.sql(SQL[name]))
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
 
