@@ -37,7 +37,9 @@ def global_index(df: DataFrame, order, name: str = "index", partitions: int | No
     if tiebreak:
         df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
         cols = cols + ["_tb"]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many range partitions as the input has (at least the shuffle
+    # default), so partition sizes stay what the scan already produced
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     laid_out = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     pinned = pin(laid_out)
     with_pid = pinned.withColumn("_mid", F.monotonically_increasing_id())

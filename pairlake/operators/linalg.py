@@ -217,7 +217,9 @@ def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema:
     nb = max(1, math.ceil(rows_b / block_rows)) if rows_b is not None else None
     a_t, b_t, tiles = tile_sides(a, b, a_id, b_id, block_rows, na, nb)
     spark = a.sparkSession
-    parts = max(1, min(tiles, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # one tile per task where the cluster allows it; never more tasks than tiles
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(1, min(tiles, width))
     a_t = a_t.repartition(parts, "t")
     b_t = b_t.repartition(parts, "t")
     return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)
