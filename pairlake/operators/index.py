@@ -77,6 +77,7 @@ def first_n(df: DataFrame, order, n: int) -> DataFrame:
 def zip_with_index(df: DataFrame, name: str = "index") -> DataFrame:
     """Fallback for an input that already has its final order and layout:
     ``RDD.zipWithIndex`` (one extra job to count partitions)."""
-    schema = df.schema.add(name, "long")
+    from pyspark.sql.types import LongType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(name, LongType(), False)])
     rdd = df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
     return df.sparkSession.createDataFrame(rdd, schema)

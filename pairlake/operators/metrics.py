@@ -302,7 +302,8 @@ def logits_from_features(df: DataFrame, vec: str, weights: np.ndarray, out: str
             z = x @ w if len(x) else np.zeros((0, w.shape[1]))
             arrays = [rb.column(c) for c in cols] + [pa.array(z.tolist(), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=cols + [out])
-    schema = df.schema.add(out, "array<double>")
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(DoubleType()))])
     return df.mapInArrow(run, schema)
 
 

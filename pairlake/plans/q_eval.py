@@ -166,8 +166,9 @@ def q_frechet_distance(spark, sf):
     return spark.createDataFrame([(float(fid), float(sfid))], "fid double, sfid double")
 
 
-_IS_SQL = f"""
-l AS (SELECT vec_id, list_transform(embedding[1:10]::DOUBLE[], lambda v: v * {LOGIT_SCALE}) AS z FROM embeddings),
+_IS_LOGITS = f"""
+l AS (SELECT vec_id, list_transform(embedding[1:10]::DOUBLE[], lambda v: v * {LOGIT_SCALE}) AS z FROM embeddings),"""
+_IS_TAIL = f"""
 ex AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS ez FROM l),
 q AS (SELECT vec_id, list_transform(ez, lambda v: v / list_sum(ez)) AS p FROM ex),
 r AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) // {SPLIT} AS split, vec_id, p FROM q),
@@ -176,6 +177,7 @@ m AS (SELECT split, c, avg(v) AS m FROM u GROUP BY ALL),
 kl AS (SELECT u.split, u.vec_id, sum(CASE WHEN v > 0 THEN v * (ln(v) - ln(m.m)) ELSE 0 END) AS kl
        FROM u JOIN m ON u.split = m.split AND u.c = m.c GROUP BY ALL),
 s AS (SELECT CAST(split AS BIGINT) AS split, count(*) AS n, exp(avg(kl)) AS score FROM kl GROUP BY split)"""
+_IS_SQL = _IS_LOGITS + _IS_TAIL
 
 
 @register("inception_score_splits", ids=("V8", "W7", "F23"), sql=f"""
@@ -207,3 +209,26 @@ def evaluate_frame(spark, sf):
 
 
 register("evaluate", ids=("V9", "V6", "V7", "V8"))(evaluate_frame)
+
+
+def classifier_weights(dim: int = 64, classes: int = 10):
+    """Fixed stand-in classifier head: W[i, j] = ((3 i + 5 j) mod 11 - 5) / 5."""
+    import numpy as np
+    i = np.arange(dim)[:, None]
+    j = np.arange(classes)[None, :]
+    return (((3 * i + 5 * j) % 11) - 5) / 5.0
+
+
+@register("inception_score_weights", ids=("V8", "A14"), sql=f"""
+WITH l AS (SELECT vec_id, list_transform(range(10), lambda j: list_sum(list_transform(range(64),
+    lambda i: embedding[i + 1]::DOUBLE * (((3 * i + 5 * j) % 11) - 5) / 5.0))) AS z
+  FROM embeddings WHERE label >= 5),{_IS_TAIL}
+SELECT round(avg(score), 6) AS inception_score FROM s
+""")
+def q_inception_score_weights(spark, sf):
+    """V8 with the softmax over features x weight matrix (no bias), sample
+    half only."""
+    _, smp, _ = _sets(spark, sf)
+    lg = M.logits_from_features(smp.select("vec_id", "embedding"), "embedding", classifier_weights())
+    return M.inception_score(lg, "vec_id", "logits", SPLIT).select(
+        F.round("inception_score", 6).alias("inception_score"))
