@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from pairlake.functions.util import col
 
 
+def utc_instant(df, column: str) -> Column:
+    """``column`` as an instant (TIMESTAMP), reading a TIMESTAMP_NTZ value as
+    UTC wall-clock time whatever the session time zone is (a plain cast would
+    apply the session zone)."""
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        text = F.concat(F.date_format(F.col(column), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z"))
+        return F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss.SSSSSSX")
+    return F.col(column).cast("timestamp")
+
+
+def epoch_seconds(df, column: str) -> Column:
+    """Whole seconds since 1970-01-01 UTC (NTZ values read as UTC)."""
+    return F.unix_seconds(utc_instant(df, column))
+
+
 def _seconds(x) -> Column:
     return F.rint(col(x).cast("double")).cast("long")
 

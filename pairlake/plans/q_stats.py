@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairlake.functions.timefmt import epoch_seconds
 from pairlake.operators import catalog as C
 from pairlake.operators import stats as ST
 from pairlake.operators.sets import common_names
@@ -124,7 +125,7 @@ def _metric_rows(spark, sf):
     on ...5 at the 7th decimal, where two engines' summation orders round
     the 6-decimal log text differently."""
     ev = load_table(spark, sf, "events")
-    step = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    step = F.floor(epoch_seconds(ev, "ts") / 3600).cast("long")
     return ev.select(step.alias("step"), F.col("event_type").alias("metric"),
                      (F.col("user_id") % 4).cast("int").alias("rank"), F.log1p("value").alias("value"))
 
@@ -211,7 +212,7 @@ m AS (SELECT ws, name, CAST(sum(CAST(ok AS BIGINT)) AS BIGINT) AS num, sum(CASE
 def _stream_sql(where: str = "") -> str:
     return f"""
 WITH {_R}, {_WIN.format(where=where)}
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, name, {_STATS} FROM m
+SELECT CAST(epoch(ws) AS BIGINT) AS window_start, name, {_STATS} FROM m
 WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """
 
@@ -226,7 +227,7 @@ def _stream_result(spark, sf, rank=None):
                  F.dayofmonth("ts").cast("int").alias("round"), v.alias("value"))
     s = s.filter(~((F.col("name") == "purchase") & ((F.col("round") % 4 == 1) | (F.col("rank") == 3))))
     out = R.run_append_to_parquet(R.stream_stats(s, rank="rank" if rank == 0 else None), "stream_stats")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "name", "num",
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "name", "num",
                       F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlake.functions.timefmt import utc_instant
 from pairlake.operators.stats import finite_square, moments_to_stats
 from pairlake.session import checkpoint_dir
 
@@ -31,7 +32,7 @@ def stream_stats(stream: DataFrame, ts: str = "ts", name: str = "name", value: s
     """R1 (+R4 when ``rank`` is given): per name and tumbling window, num /
     mean / std of the finite reports.  Append mode emits a window once the
     watermark passes its end."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    s = stream.withColumn(ts, utc_instant(stream, ts))
     if rank is not None:
         s = s.filter(F.col(rank) == 0)
     agg = (s.withWatermark(ts, watermark)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from pairlake.functions.timefmt import utc_instant
 from pairlake.operators.stats import finite_square
 
 OUT_SCHEMA = "name string, round_start long, num long, sum double, sumsq double"
@@ -63,7 +64,7 @@ def _processor(round_secs: int):
 def stream_keep_previous(stream: DataFrame, ts: str = "ts", name: str = "name", value: str = "value",
                          round_secs: int = 86400, watermark: str = "1 hour") -> DataFrame:
     """Closed rounds per name with kept-previous moments (append mode)."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    s = stream.withColumn(ts, utc_instant(stream, ts)).withWatermark(ts, watermark)
     s = s.select(F.col(name).alias("name"), ts, F.unix_seconds(F.col(ts)).alias("sec"),
                  F.col(value).cast("double").alias("value"), finite_square(value).alias("ok"))
     return s.groupBy("name").applyInPandasWithState(
