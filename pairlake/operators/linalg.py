@@ -147,7 +147,9 @@ def feature_moments(df: DataFrame, vec: str, dim_block: int = 64, fanout: int =
     doubles, however many partitions the scan has.  ``max_partials``
     optionally coalesces the scan (no shuffle) to fewer, larger partials."""
     g = F.col(by).cast("string") if by else F.lit("")
-    x = df.select(g.alias("g"), F.col(vec).cast("array<double>").alias("x")).filter(
+    vt = df.schema[vec].dataType.simpleString()
+    xv = F.col(vec) if vt in ("array<float>", "array<double>") else F.col(vec).cast("array<double>")
+    x = df.select(g.alias("g"), xv.alias("x")).filter(
         F.col("x").isNotNull() & F.col("g").isNotNull())
     k = x.rdd.getNumPartitions()
     if max_partials and k > max_partials:

@@ -45,7 +45,12 @@ def _knn_kernel(k: int):
 
 
 def _vectors(df: DataFrame, id_col: str, vec: str, *extra) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), as_double_array(vec).alias("x"), *extra)
+    """(id, x[, extra]) for the tile operator.  float32 vectors stay float32
+    through the replicated shuffle (half the bytes); the kernels widen to
+    float64 in numpy, which gives the same values as casting first."""
+    t = df.schema[vec].dataType.simpleString() if vec in df.columns else ""
+    x = F.col(vec) if t in ("array<float>", "array<double>") else as_double_array(vec)
+    return df.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), *extra)
 
 
 def knn_distances(a: DataFrame, b: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096,
