@@ -70,14 +70,20 @@ def fnmatch_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-def list_files(spark: SparkSession, root: str, ignore=(), add_base: bool = False) -> DataFrame:
+def list_files(spark: SparkSession, root: str, ignore=(), add_base: bool = False,
+               inventory: DataFrame | None = None) -> DataFrame:
     """Every regular file below ``root`` as (path relative to root with
     '/', length, modificationTime); ``ignore`` patterns drop files whose name
     or any parent folder name matches.  Spark's lister hides names starting
-    with '.' or '_' (a documented divergence)."""
+    with '.' or '_'; pass an ``inventory`` table (absolute ``path``,
+    ``length``, ``modificationTime``, e.g. from a storage inventory report) to
+    keep them."""
     uri = _uri(root).rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
-          .select("path", "length", "modificationTime"))
+    if inventory is not None:
+        df = inventory.select("path", "length", "modificationTime")
+    else:
+        df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
+              .select("path", "length", "modificationTime"))
     prefix_len = len(uri) + 1
     rel = F.expr(f"substring(path, {prefix_len + 1})")
     # the lister reports file:/x for file:///x

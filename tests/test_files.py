@@ -55,6 +55,10 @@ def test_list_files_prunes_ignored_names(spark, tree):
     assert "cats/a.png" in got and "dogs/deep/c.png" in got and "root.png" in got
     assert not any(p.startswith("skipme/") for p in got) and "dogs/notes.txt" not in got
     assert ".hidden.png" not in got  # Spark's lister hides dot files
+    inv = spark.createDataFrame([(f"file://{tree}/.hidden.png", 10, None), (f"file://{tree}/cats/a.png", 10, None)],
+                                "path string, length long, modificationTime timestamp")
+    kept = {r["path"] for r in SRC.list_files(spark, str(tree), inventory=inv).collect()}
+    assert kept == {".hidden.png", "cats/a.png"}
 
 
 def test_read_images_rgb_and_errors(spark, tree, tmp_path):
