@@ -322,9 +322,21 @@ def evaluate(ref: DataFrame, sample: DataFrame, id_col: str, vec: str, logits: s
     ref = ref.persist()
     sample = sample.persist()
     try:
-        out = {"inception_score": inception_score(sample, id_col, logits, split_size).first()[0],
-               "fid": frechet_distance(ref, sample, vec)}
-        out["sfid"] = frechet_distance(ref, sample, spatial) if spatial else None
+        out = {"inception_score": inception_score(sample, id_col, logits, split_size).first()[0]}
+        # all moment sets (pooled and, when given, spatial features of both
+        # sides) from one grouped scan
+        sets = {"ref|v": (ref, vec), "smp|v": (sample, vec)}
+        if spatial:
+            sets.update({"ref|s": (ref, spatial), "smp|s": (sample, spatial)})
+        parts = [d.select(F.lit(g).alias("_set"), F.col(c).cast("array<double>").alias("_v"))
+                 for g, (d, c) in sets.items()]
+        both = parts[0]
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        m = collect_grouped_moments(feature_moments(both, "_v", by="_set"), "_set")
+        out["fid"] = frechet_from_stats(m["ref|v"][1], m["ref|v"][2], m["smp|v"][1], m["smp|v"][2])
+        out["sfid"] = (frechet_from_stats(m["ref|s"][1], m["ref|s"][2], m["smp|s"][1], m["smp|s"][2])
+                       if spatial else None)
         pr = precision_recall(ref, sample, id_col, vec, k, block_rows).first()
         out["precision"], out["recall"] = pr["precision"], pr["recall"]
         return out
