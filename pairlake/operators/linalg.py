@@ -211,6 +211,40 @@ def tile_sides(a: DataFrame, b: DataFrame, a_id: str, b_id: str, block_rows: int
     return a_t, b_t, na * nb
 
 
+def _tile_width(spark, tiles: int) -> int:
+    # one tile per task where the cluster allows it; never more tasks than tiles
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, min(tiles, width))
+
+
+def tile_apply_self_grouped(df: DataFrame, group: str, kernel, schema: str, block_rows: int = 4096,
+                            counts: dict | None = None) -> DataFrame:
+    """Self-join tiles inside each group: rows of group g meet only rows of
+    group g, all groups in one cogroup pass.  Group g gets ceil(n_g /
+    block_rows) blocks; its tile keys are offset so they never clash with
+    another group's.  ``counts`` ({group: rows}, O(#groups)) skips the
+    counting job when known."""
+    if counts is None:
+        counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    nb, off, acc = {}, {}, 0
+    for g in sorted(counts, key=str):
+        nb[g] = max(1, math.ceil(counts[g] / block_rows))
+        off[g] = acc
+        acc += nb[g] * nb[g]
+    as_map = lambda d: F.create_map(*[x for g, v in d.items() for x in (F.lit(g), F.lit(v))])
+    n_g = F.element_at(as_map(nb), F.col(group)).cast("long")
+    o_g = F.element_at(as_map(off), F.col(group)).cast("long")
+    tagged = (df.withColumn("_n", n_g).withColumn("_off", o_g)
+              .withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_n"))))
+    rep = tagged.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o"))
+    a_t = rep.withColumn("t", F.col("_off") + F.col("_b") * F.col("_n") + F.col("_o")).drop("_n", "_off", "_b", "_o")
+    b_t = rep.withColumn("t", F.col("_off") + F.col("_o") * F.col("_n") + F.col("_b")).drop("_n", "_off", "_b", "_o")
+    parts = _tile_width(df.sparkSession, acc)
+    a_t = a_t.repartition(parts, "t")
+    b_t = b_t.repartition(parts, "t")
+    return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)
+
+
 def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema: str,
                block_rows: int = 4096, rows_a: int | None = None, rows_b: int | None = None) -> DataFrame:
     """Run ``kernel(a_table, b_table) -> pa.Table`` once per tile.  Row counts
@@ -218,10 +252,7 @@ def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema:
     na = max(1, math.ceil(rows_a / block_rows)) if rows_a is not None else None
     nb = max(1, math.ceil(rows_b / block_rows)) if rows_b is not None else None
     a_t, b_t, tiles = tile_sides(a, b, a_id, b_id, block_rows, na, nb)
-    spark = a.sparkSession
-    # one tile per task where the cluster allows it; never more tasks than tiles
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    parts = max(1, min(tiles, width))
+    parts = _tile_width(a.sparkSession, tiles)
     a_t = a_t.repartition(parts, "t")
     b_t = b_t.repartition(parts, "t")
     return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)

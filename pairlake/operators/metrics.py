@@ -17,6 +17,7 @@ from pairlake.functions.util import as_double_array
 from pairlake.functions.vectors import softmax
 from pairlake.operators.index import global_index
 from pairlake.operators.linalg import (collect_grouped_moments, collect_moments, feature_moments, sq_dists,
+                                       tile_apply_self_grouped,
                                        tile_apply, to_matrix)
 
 CHUNK = 1024  # rows of A per GEMM inside a tile: bounds the distance block
@@ -75,6 +76,30 @@ def manifold_radii(df: DataFrame, id_col: str, vec: str, k: int = 3, block_rows:
     return nn.select(F.col("id").alias(id_col), F.try_element_at("d", F.lit(k + 1)).alias("radius"))
 
 
+def _knn_kernel_grouped(k: int):
+    base = _knn_kernel(k)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = base(a, b)
+        g = a.column("_g")[0].as_py() if a.num_rows else None
+        return out.append_column("_g", pa.array([g] * out.num_rows, pa.string()))
+    return run
+
+
+def manifold_radii_grouped(df: DataFrame, group: str, id_col: str, vec: str, k: int = 3, block_rows: int = 4096,
+                           counts: dict | None = None) -> DataFrame:
+    """V3 for several feature sets at once: each row's radius among the rows
+    of its own ``group`` (one tile pass for all groups).  Returns (group,
+    id, radius)."""
+    v = _vectors(df, id_col, vec, F.col(group).cast("string").alias("_g"))
+    counts = None if counts is None else {str(g): n for g, n in counts.items()}
+    per_tile = tile_apply_self_grouped(v, "_g", _knn_kernel_grouped(k), "id long, d array<double>, _g string",
+                                       block_rows, counts)
+    merged = per_tile.groupBy("_g", "id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
+    return merged.select(F.col("_g").alias(group), F.col("id").alias(id_col),
+                         F.try_element_at("d", F.lit(k + 1)).alias("radius"))
+
+
 def kth_smallest(a: DataFrame, b: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096) -> DataFrame:
     """T4: the k-th smallest (1-based) squared distance from each row of ``a``
     to the rows of ``b``, by per-tile partial selection."""
@@ -208,9 +233,13 @@ def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec:
     """V6 per row: a reference row is recalled when it lies in some sample
     ball, a sample row is precise when it lies in some reference ball (both
     boundaries inclusive).  One tile pass gives both flags."""
-    n_ref, n_smp = ref.count(), sample.count()
-    r_ref = manifold_radii(ref, id_col, vec, k, block_rows, rows=n_ref)
-    r_smp = manifold_radii(sample, id_col, vec, k, block_rows, rows=n_smp)
+    both = (ref.select(F.lit("ref").alias("_set"), id_col, vec)
+            .unionByName(sample.select(F.lit("smp").alias("_set"), id_col, vec)))
+    counts = {r[0]: r[1] for r in both.groupBy("_set").count().collect()}
+    n_ref, n_smp = counts.get("ref", 0), counts.get("smp", 0)
+    radii = manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts)
+    r_ref = radii.filter(F.col("_set") == "ref").drop("_set")
+    r_smp = radii.filter(F.col("_set") == "smp").drop("_set")
     a = _vectors(ref.join(r_ref, id_col), id_col, vec, F.col("radius").alias("r"))
     b = _vectors(sample.join(r_smp, id_col), id_col, vec, F.col("radius").alias("r"))
     per_tile = tile_apply(a, b, "id", "id", _pr_kernel(), "side string, id long, inside boolean", block_rows,

@@ -34,6 +34,15 @@ def test_radii_match_numpy_with_many_tiles(spark, sets):
     assert np.allclose([got[i] for i in ids], want, rtol=0, atol=1e-10)
 
 
+def test_grouped_radii_match_numpy_per_group(spark, sets):
+    e, x, lab, ids = sets
+    got = {(r["label"], r["vec_id"]): r["radius"]
+           for r in M.manifold_radii_grouped(e, "label", "vec_id", "embedding", 3, block_rows=16).collect()}
+    for g in np.unique(lab):
+        want = _np_radii(x[lab == g], 3)
+        assert np.allclose([got[(str(g), i)] for i in ids[lab == g]], want, atol=1e-10)
+
+
 def test_precision_recall_match_numpy(spark, sets):
     e, x, lab, _ = sets
     ref, smp = x[lab < 5], x[lab >= 5]
