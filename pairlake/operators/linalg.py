@@ -239,12 +239,20 @@ def tile_apply_self_grouped(df: DataFrame, group: str, kernel, schema: str, bloc
     rep = tagged.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o"))
     a_t = rep.withColumn("t", F.col("_off") + F.col("_b") * F.col("_n") + F.col("_o")).drop("_n", "_off", "_b", "_o")
     b_t = rep.withColumn("t", F.col("_off") + F.col("_o") * F.col("_n") + F.col("_b")).drop("_n", "_off", "_b", "_o")
-    parts = _tile_width(df.sparkSession, acc)
-    a_t = a_t.repartition(parts, "t")
-    b_t = b_t.repartition(parts, "t")
+    a_t, b_t = _co_partition(a_t, b_t, _tile_width(df.sparkSession, acc))
     return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)
 
 
+def _co_partition(a_t: DataFrame, b_t: DataFrame, parts: int):
+    """Hash both sides on the tile key into ``parts`` partitions (one shuffle
+    each).  A single tile is left to the cogroup's own exchange: a one-way
+    repartition would plan SinglePartition, which the two-sided cogroup
+    re-shuffles."""
+    if parts <= 1:
+        return a_t, b_t
+    return a_t.repartition(parts, "t"), b_t.repartition(parts, "t")
+
+
 def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema: str,
                block_rows: int = 4096, rows_a: int | None = None, rows_b: int | None = None) -> DataFrame:
     """Run ``kernel(a_table, b_table) -> pa.Table`` once per tile.  Row counts
@@ -252,7 +260,5 @@ def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema:
     na = max(1, math.ceil(rows_a / block_rows)) if rows_a is not None else None
     nb = max(1, math.ceil(rows_b / block_rows)) if rows_b is not None else None
     a_t, b_t, tiles = tile_sides(a, b, a_id, b_id, block_rows, na, nb)
-    parts = _tile_width(a.sparkSession, tiles)
-    a_t = a_t.repartition(parts, "t")
-    b_t = b_t.repartition(parts, "t")
+    a_t, b_t = _co_partition(a_t, b_t, _tile_width(a.sparkSession, tiles))
     return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairlake.functions.util import as_double_array
 from pairlake.functions.vectors import softmax
-from pairlake.operators.index import global_index
+from pairlake.operators.index import global_index, pin
 from pairlake.operators.linalg import (collect_grouped_moments, collect_moments, feature_moments, sq_dists,
                                        tile_apply_self_grouped,
                                        tile_apply, to_matrix)
@@ -237,7 +237,9 @@ def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec:
             .unionByName(sample.select(F.lit("smp").alias("_set"), id_col, vec)))
     counts = {r[0]: r[1] for r in both.groupBy("_set").count().collect()}
     n_ref, n_smp = counts.get("ref", 0), counts.get("smp", 0)
-    radii = manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts)
+    # both sides read the radii: pin them once (N small rows) so the tile
+    # pass that produced them is not planned twice
+    radii = pin(manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts))
     r_ref = radii.filter(F.col("_set") == "ref").drop("_set")
     r_smp = radii.filter(F.col("_set") == "smp").drop("_set")
     a = _vectors(ref.join(r_ref, id_col), id_col, vec, F.col("radius").alias("r"))
