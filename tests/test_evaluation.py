@@ -34,6 +34,18 @@ def test_radii_match_numpy_with_many_tiles(spark, sets):
     assert np.allclose([got[i] for i in ids], want, rtol=0, atol=1e-10)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_results_do_not_depend_on_partitioning(spark, sets, parts):
+    e, x, lab, ids = sets
+    d = e.repartition(parts)
+    radii = {r["vec_id"]: r["radius"] for r in M.manifold_radii(d, "vec_id", "embedding", 3, block_rows=100).collect()}
+    assert np.allclose([radii[i] for i in ids], _np_radii(x, 3), atol=1e-10)
+    pr = M.precision_recall(d.filter("label < 5"), d.filter("label >= 5"), "vec_id", "embedding", 3,
+                            block_rows=100).first()
+    base = M.precision_recall(e.filter("label < 5"), e.filter("label >= 5"), "vec_id", "embedding", 3).first()
+    assert (pr["precision"], pr["recall"]) == (base["precision"], base["recall"])
+
+
 def test_grouped_radii_match_numpy_per_group(spark, sets):
     e, x, lab, ids = sets
     got = {(r["label"], r["vec_id"]): r["radius"]
