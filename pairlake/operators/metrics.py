@@ -313,12 +313,16 @@ def inception_score_splits(df: DataFrame, id_col: str, logits: str, split_size:
     ent = rows.select("split", F.aggregate("p", F.lit(0.0),
                                            lambda s, v: s + F.when(v > 0, v * F.log(v)).otherwise(0.0)).alias("e"),
                       "p")
-    per_row = ent.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("e"))
-    per_class = (ent.select("split", F.posexplode("p").alias("c", "v"))
-                 .groupBy("split", "c").agg(F.avg("v").alias("m"))
-                 .groupBy("split").agg(F.sum(F.when(F.col("m") > 0, F.col("m") * F.log("m")).otherwise(0.0))
-                                       .alias("mlm")))
-    return per_row.join(per_class, "split").select("split", "n", F.exp(F.col("e") - F.col("mlm")).alias("score"))
+    # one aggregation pipeline: per (split, class) the mean probability, and
+    # -- riding along, identical for every class of a split -- the row count
+    # and the mean row entropy
+    per_class = (ent.select("split", "e", F.posexplode("p").alias("c", "v"))
+                 .groupBy("split", "c").agg(F.avg("v").alias("m"), F.avg("e").alias("e"),
+                                            F.count(F.lit(1)).alias("n")))
+    per_split = per_class.groupBy("split").agg(
+        F.max("n").alias("n"), F.avg("e").alias("e"),
+        F.sum(F.when(F.col("m") > 0, F.col("m") * F.log("m")).otherwise(0.0)).alias("mlm"))
+    return per_split.select("split", "n", F.exp(F.col("e") - F.col("mlm")).alias("score"))
 
 
 def inception_score(df: DataFrame, id_col: str, logits: str, split_size: int = 5000) -> DataFrame:
