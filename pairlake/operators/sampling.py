@@ -23,9 +23,9 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """
     if n <= 0:
         return df.limit(0)
-    total = df.count()
-    if total <= n:
+    if df.limit(n + 1).count() <= n:  # stops reading after n + 1 rows
         return df
+    total = df.count()
     u = hash_uniform(key, seed)
     narrow = df.select(F.col(key).alias("_k"), u.alias("_u"))
     frac = min(1.0, (n + 10.0 * math.sqrt(n) + 100.0) / total)
