@@ -137,6 +137,14 @@ def missing_samples(plan: DataFrame, existing: DataFrame, idx: str = "sample_ind
     return plan.join(existing.select(idx), idx, "left_anti")
 
 
+def sample_completion(existing: DataFrame, n: int, idx: str = "sample_index") -> DataFrame:
+    """J7 count rule as one row: how many samples exist and whether sampling
+    may be skipped (the reference skips everything once count >= n, even
+    when some indices are missing -- ``missing_samples`` lists those)."""
+    return existing.agg(F.count(F.col(idx)).alias("n_existing")).withColumn(
+        "is_complete", F.col("n_existing") >= F.lit(n))
+
+
 def null_condition(df: DataFrame, flag, column: str, null_value) -> DataFrame:
     """Replace ``column`` by a constant where ``flag`` holds (dropped class
     label -> the null class id; dropped caption -> the null embedding)."""

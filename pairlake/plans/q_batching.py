@@ -234,6 +234,16 @@ def q_sample_diff(spark, sf):
     return sample_diff(plan.select("sample_index"), _existing(plan))
 
 
+@register("sample_completion", ids=("J7",), sql=f"""
+WITH {_PLAN_SQL}
+SELECT count(sample_index) AS n_existing, count(sample_index) >= {_PLAN_N} AS is_complete FROM ex
+""")
+def q_sample_completion(spark, sf):
+    from pairlake.operators.pairing import sample_completion
+    plan, n = _plan(spark, sf)
+    return sample_completion(_existing(plan), n)
+
+
 @register("pack_samples", ids=("K4",), sql=f"""
 WITH {_PLAN_SQL}
 SELECT sample_index, CAST(sample_index % 80 % 8 AS INTEGER) AS rank FROM p WHERE sample_index < {_PLAN_N}
