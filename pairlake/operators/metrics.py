@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pairlake.functions.util import as_double_array
 from pairlake.functions.vectors import softmax
 from pairlake.operators.index import global_index, pin
-from pairlake.operators.linalg import (collect_grouped_moments, collect_moments, feature_moments, sq_dists,
+from pairlake.operators.linalg import (collect_grouped_moments, feature_moments, sq_dists,
                                        tile_apply_self_grouped,
                                        tile_apply, to_matrix)
 
