@@ -21,6 +21,8 @@ LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # checkpoint files of garbage-collected DataFrames are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
