@@ -237,9 +237,11 @@ def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec:
             .unionByName(sample.select(F.lit("smp").alias("_set"), id_col, vec)))
     counts = {r[0]: r[1] for r in both.groupBy("_set").count().collect()}
     n_ref, n_smp = counts.get("ref", 0), counts.get("smp", 0)
-    # both sides read the radii: pin them once (N small rows) so the tile
-    # pass that produced them is not planned twice
-    radii = pin(manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts))
+    # both sides read the radii: when the tile pass is more than one tile per
+    # set, pin them (N small rows) so it is not planned twice
+    radii = manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts)
+    if max(counts.values(), default=0) > block_rows:
+        radii = pin(radii)
     r_ref = radii.filter(F.col("_set") == "ref").drop("_set")
     r_smp = radii.filter(F.col("_set") == "smp").drop("_set")
     a = _vectors(ref.join(r_ref, id_col), id_col, vec, F.col("radius").alias("r"))
