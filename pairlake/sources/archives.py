@@ -216,15 +216,10 @@ class NpzRows(DataSource):
         return NpzRowsReader(self.options)
 
 
-_REGISTERED: set[int] = set()
-
-
 def register_sources(spark: SparkSession) -> None:
-    key = id(spark)
-    if key not in _REGISTERED:
-        spark.dataSource.register(ZipMembers)
-        spark.dataSource.register(NpzRows)
-        _REGISTERED.add(key)
+    """Register both Python Data Sources with the session (idempotent)."""
+    spark.dataSource.register(ZipMembers)
+    spark.dataSource.register(NpzRows)
 
 
 def read_zip_members(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
