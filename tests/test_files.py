@@ -224,3 +224,35 @@ def test_keep_previous_stream_across_micro_batches(spark, tmp_path):
         assert n == twin[key][0] and abs(s - twin[key][1]) < 1e-6
     closed = max(k[1] for k in got)
     assert {k for k in twin if k[1] <= closed} == set(got)
+
+
+def test_stream_stats_drops_rows_behind_the_watermark(spark, tmp_path):
+    """A report for a window that was already emitted and evicted (its end is
+    behind the watermark) is dropped, the documented late-data rule; reports
+    of windows still open are counted."""
+    import datetime as dt
+    import time as _time
+
+    from pairlake.streaming.collector import stream_stats
+    schema = "ts timestamp_ntz, name string, value double"
+    t0 = dt.datetime(2024, 1, 1, 10, 0, 0)
+    batches = [
+        [(t0 + dt.timedelta(hours=h), "loss", 1.0) for h in range(0, 40, 2)],     # Jan 1 10:00 .. Jan 3 00:00
+        [(dt.datetime(2024, 1, 3, 5, 0, 0), "loss", 3.0)],                         # closes the Jan 1 window
+        [(dt.datetime(2024, 1, 1, 12, 0, 0), "loss", 100.0),                       # late: Jan 1 already emitted
+         (dt.datetime(2024, 1, 3, 6, 0, 0), "loss", 3.0)],
+    ]
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i, rows in enumerate(batches):
+        out_dir = tmp_path / f"b{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(out_dir))
+        (flat / f"part-{i}.parquet").write_bytes(next(out_dir.glob("*.parquet")).read_bytes())
+        _time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+    out = {r["window_start"]: (r["num"], r["mean"]) for r in run_append_to_parquet(stream_stats(stream), "late").collect()}
+    jan1 = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    jan2 = jan1 + 86400
+    starts = {int(k.replace(tzinfo=dt.timezone.utc).timestamp()) if hasattr(k, "year") else k: v for k, v in out.items()}
+    assert starts[jan1] == (7, 1.0)      # the late 100.0 never reached the emitted Jan 1 window
+    assert starts[jan2] == (12, 1.0)
