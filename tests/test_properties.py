@@ -173,3 +173,21 @@ def test_zero_pad_never_truncates(spark):
 
 def test_fixed_environment_is_local():
     assert os.path.isdir(SF_SMALL)
+
+
+@pytest.mark.parametrize("fast", [False, True])
+def test_drop_tokens_keeps_distinct_positions(spark, fast):
+    from pairlake.operators.batching import drop_tokens, pad_with_mask
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", F.split("text", " ").alias("tok"))
+    out = drop_tokens(d, "tok", "doc_id", 4, 0.5, 17, fast=fast)
+    rows = out.select("tok", "ids", "kept", pad_with_mask("kept", "ids", 4, F.size("tok") - 4, "<m>").alias("back")).collect()
+    for r in rows:
+        rest = len(r["tok"]) - 4
+        keep = max(1, int(rest * 0.5))
+        if r["ids"] is None:
+            assert rest <= 1 or keep >= rest
+            continue
+        assert len(set(r["ids"])) == len(r["ids"]) == keep and all(0 <= i < rest for i in r["ids"])
+        assert r["kept"][4:] == [r["tok"][4 + i] for i in r["ids"]]
+        assert [t for t in r["back"][4:] if t != "<m>"] == [r["tok"][4 + i] for i in sorted(r["ids"])
+                                                              if r["tok"][4 + i] != "<m>"]
