@@ -14,14 +14,14 @@ from pairlake.session import spread
 
 
 def epoch_order(df: DataFrame, key: str, epochs: int = 1, seed: int = 0, shuffle: bool = True,
-                name: str = "position") -> DataFrame:
+                name: str = "position", fast: bool = False) -> DataFrame:
     """B2: each epoch is an independent full permutation of the rows (sort key
     B1(key, seed, epoch), ties by key); ``shuffle=False`` keeps key order.
     Keys are replicated per epoch with ``explode`` and indexed with W1 on
     (epoch, draw, key), so one global position = epoch * N + position.  Only
     the key travels through the index (join payload columns back by key)."""
     e = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
-    u = hash_uniform(key, seed, F.col("epoch")) if shuffle else F.lit(0.0)
+    u = hash_uniform(key, seed, F.col("epoch"), fast) if shuffle else F.lit(0.0)
     e = e.withColumn("_u", u)
     idx = global_index(e, ["epoch", "_u", key], "_g")
     n = F.col("_g") - F.col("epoch") * F.lit(df.count())
@@ -66,7 +66,8 @@ def roll(df: DataFrame, batch: str, pos: str, value: str, name: str = "rolled")
     return df.withColumn(name, F.coalesce(F.lag(F.col(value), 1).over(w), last))
 
 
-def label_dropout(label, key, p: float, num_classes: int, seed: int = 0, force=None, train: bool = True) -> Column:
+def label_dropout(label, key, p: float, num_classes: int, seed: int = 0, force=None, train: bool = True,
+                  fast: bool = False) -> Column:
     """With probability p the label becomes the null class ``num_classes``;
     a ``force`` column (1 = drop) overrides the draw; outside training and
     without ``force`` labels pass unchanged."""
@@ -74,17 +75,18 @@ def label_dropout(label, key, p: float, num_classes: int, seed: int = 0, force=N
     if force is not None:
         drop = col(force) == 1
     elif train and p > 0:
-        drop = hash_uniform(key, seed) < F.lit(p)
+        drop = hash_uniform(key, seed, 0, fast) < F.lit(p)
     else:
         return lab
     return F.when(drop, F.lit(num_classes)).otherwise(lab)
 
 
 def caption_dropout(df: DataFrame, key: str, value: str, null_value: Column, p: float = 0.1,
-                    seed: int = 0) -> DataFrame:
+                    seed: int = 0, fast: bool = False) -> DataFrame:
     """With probability p a row's whole caption matrix becomes the shared
     null embedding (J9)."""
-    return df.withColumn(value, F.when(hash_uniform(key, seed) < F.lit(p), null_value).otherwise(F.col(value)))
+    return df.withColumn(value, F.when(hash_uniform(key, seed, 0, fast) < F.lit(p), null_value)
+                         .otherwise(F.col(value)))
 
 
 def balanced_labels(index, num_classes: int, balanced: bool = True, seed: int = 0) -> Column:
@@ -154,14 +156,14 @@ def pad_with_mask(kept, ids, head: int, full, mask) -> Column:
     return F.when(i.isNull(), k).otherwise(F.concat(F.slice(k, 1, head), scattered))
 
 
-def batch_flag(batch, p: float, seed: int = 0) -> Column:
+def batch_flag(batch, p: float, seed: int = 0, fast: bool = False) -> Column:
     """One random decision per batch, shared by every row of it."""
-    return hash_uniform(batch, seed) < F.lit(p)
+    return hash_uniform(batch, seed, 0, fast) < F.lit(p)
 
 
-def flip_flag(key, p: float = 0.5, seed: int = 0) -> Column:
+def flip_flag(key, p: float = 0.5, seed: int = 0, fast: bool = False) -> Column:
     """Random horizontal flip decision per image."""
-    return hash_uniform(key, seed) < F.lit(p)
+    return hash_uniform(key, seed, 0, fast) < F.lit(p)
 
 
 def sample_plan(spark, n: int, per_worker: int, world: int) -> DataFrame:
