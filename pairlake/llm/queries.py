@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlake.llm import bpe, decontam, pii, quality, sharding, simhash, tokenfile
+from pairlake.llm import bpe, decontam, pii, quality, sharding, simhash, substring, tokenfile
 from pairlake.llm.scratch import scratch_path
 from pairlake.session import checkpoint_dir, load_table, ship_package
 
@@ -131,6 +131,25 @@ def op8(spark, sf_dir):
     return sharding.shard(load_table(spark, sf_dir, "documents"), 16, keep=["doc_id"])
 
 
+@query("op9_substring", sql=r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 49], ' ')) AS least
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win WHERE least < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM doc),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.s, '')) AS kept_sha256
+FROM doc d LEFT JOIN kept k USING (doc_id)
+""")
+def op9(spark, sf_dir):
+    done = substring.remove_repeats(load_table(spark, sf_dir, "documents"), length=50)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_pii")
 def op10(spark, sf_dir):
     found = pii.find(load_table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -4,6 +4,7 @@ text column in bounded pieces."""
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -18,7 +19,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
     if n == 0 or column.nbytes <= limit:
         yield column
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     size = 0
     for i, k in enumerate(lengths):
         if i > start and size + k > limit:
@@ -28,19 +29,23 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
     yield column.slice(start, n - start)
 
 
-def arrow_column(make_kernel: Callable[[], Callable[[pa.Array], pa.Array]], return_type: DataType | str):
+def arrow_column(make_kernel: Callable[[], Callable[..., pa.Array]], return_type: DataType | str):
     """A Spark column function from a factory of Arrow kernels.
 
-    ``make_kernel`` runs once per task and returns ``kernel(array) -> array``
-    of the same length, called on pieces of bounded size.  The function is
-    marked non-deterministic so that Catalyst never evaluates it twice to push
-    a filter down.
+    ``make_kernel`` runs once per task and returns ``kernel(*arrays) -> array``
+    of the same length, called on pieces of bounded size (by the first, text
+    column).  The function is marked non-deterministic so that Catalyst never
+    evaluates it twice to push a filter down.
     """
     @F.arrow_udf(return_type)
-    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def column(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         kernel = make_kernel()
         for batch in batches:
-            parts = [kernel(piece) for piece in pieces(batch)]
+            batch = batch if isinstance(batch, tuple) else (batch,)  # one argument comes bare
+            parts, at = [], 0
+            for piece in pieces(batch[0]):
+                parts.append(kernel(piece, *(c.slice(at, len(piece)) for c in batch[1:])))
+                at += len(piece)
             yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     return column.asNondeterministic()
