@@ -6,13 +6,14 @@ stage's documents.  All stages but the last keep the columns of ``documents``.
 
 1. quality          documents that the compression classifier scores below 0.3 go
 2. near_duplicates  of each SimHash component the document of least id stays
-                    (3-word shingles, up to 2 differing bits)
+                    (3-word shingles, up to 2 differing bits); a document
+                    without an id cannot stand for its group and goes
 3. decontamination  documents with a 10-word window of a benchmark item go
 4. pii              personal data becomes its kind in brackets; n_chars follows
 5. encode           doc_id, ids (little-endian unsigned 32-bit integers), n_tokens
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlake.llm import bpe, decontam, pii, quality, simhash
@@ -34,8 +35,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    first = groups.filter("doc_id = component_id").select("doc_id")
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))  # of rows that repeat an id one stays
+    return (docs.join(first, "doc_id", "left_semi").withColumn("_copy", copy).filter("_copy = 1")
+            .select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlake.llm import bpe, decontam, pii, quality, sharding, simhash, substring, tokenfile
+from pairlake.llm import bpe, decontam, knn, langid, pii, quality, sharding, simhash, substring, tokenfile
 from pairlake.llm.scratch import scratch_path
 from pairlake.session import checkpoint_dir, load_table, ship_package
 
@@ -44,11 +44,36 @@ def op1(spark, sf_dir):
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    return langid.identify(load_table(spark, sf_dir, "pages"), load_table(spark, sf_dir, "documents"))
+
+
 @query("op3_simhash")
 def op3(spark, sf_dir):
     return simhash.near_duplicates(load_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+@query("op4_kd_tree", sql="""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+best AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM pair)
+SELECT query_id, rank, vec_id, score FROM best WHERE rank <= 5
+""")
+def op4(spark, sf_dir):
+    vectors = load_table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 _WORDS5 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -119,13 +144,21 @@ SELECT doc_id, CAST(max(b) AS INTEGER) AS shard FROM jump GROUP BY doc_id)"""
 
 
 @query("op8_jump_shards", sql=f"""
-WITH bits AS (SELECT n, range AS i FROM (SELECT range AS n FROM range(256)), range(8)),
-placed AS (SELECT d.doc_id, d.text, a.shard, g.shard AS grown_shard
-  FROM documents d JOIN {_jump_sql(16)} a USING (doc_id) JOIN {_jump_sql(17)} g USING (doc_id))
-SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, 'key' AS law, shard,
+WITH crc AS (  -- the byte table of the checksum, from its rule
+  SELECT list(v ORDER BY n) AS t
+  FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                              lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+        FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256)))),
+raw AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                 lambda h: CAST('0x' || h AS BIGINT)) AS x FROM documents),
+placed AS (SELECT d.doc_id, d.text, d.x, a.shard, g.shard AS grown_shard
+  FROM raw d JOIN {_jump_sql(16)} a USING (doc_id) JOIN {_jump_sql(17)} g USING (doc_id))
+SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295, x), lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])), 4294967295)
+       AS BIGINT) AS text_crc32, 'key' AS law, shard,
   CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS BIGINT)
     AS slot, grown_shard
-FROM placed
+FROM placed, crc
 """)
 def op8(spark, sf_dir):
     return sharding.shard(load_table(spark, sf_dir, "documents"), 16, keep=["doc_id"])
@@ -133,11 +166,13 @@ def op8(spark, sf_dir):
 
 @query("op9_substring", sql=r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p, len(w) AS n FROM doc),
 win AS (
-  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 49], ' ')) AS least
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)),
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least
+  FROM (SELECT doc_id, p AS i, n, md5(string_agg(x, ' ') OVER (
+          PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS g FROM word)
+  WHERE i <= n - 49),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win WHERE least < doc_id),
-word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM doc),
 kept AS (
   SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s
   FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
