@@ -103,7 +103,7 @@ def parse_resolution(text, strict: bool = True) -> Column:
     )
     if strict:
         return F.when(ok, parsed).otherwise(
-            F.raise_error(F.concat(F.lit("cannot parse tuple "), F.coalesce(t, F.lit("NULL"))))
+            F.raise_error(F.concat(F.lit("not a size of two numbers: "), F.coalesce(t, F.lit("NULL"))))
         )
     return F.when(ok, parsed)
 

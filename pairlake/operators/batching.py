@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pairlake.functions.rand import hash_uniform
 from pairlake.functions.util import col
 from pairlake.operators.index import global_index
-from pairlake.session import spread
 
 
 def epoch_order(df: DataFrame, key: str, epochs: int = 1, seed: int = 0, shuffle: bool = True,
@@ -135,7 +134,7 @@ def drop_tokens(df: DataFrame, tokens: str, key: str, head: int, ratio: float, s
     tagged = F.zip_with(draw_keys(rest, key, seed, fast), F.slice(t, head + 1, F.greatest(rest, F.lit(1))),
                         lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     chosen = F.slice(F.array_sort(tagged), 1, keep)
-    out = spread(df).withColumn("_c", F.when(~noop, chosen))
+    out = df.withColumn("_c", F.when(~noop, chosen))
     out = out.withColumn(ids, F.transform("_c", lambda s: (s["k"] % F.lit(_POS)).cast("int")))
     picked = F.concat(F.slice(t, 1, head), F.transform("_c", lambda s: s["v"]))
     return out.withColumn(kept, F.when(F.col("_c").isNull(), t).otherwise(picked)).drop("_c")

@@ -66,7 +66,7 @@ def crop_plan(w, h, mode: str, width=None, height=None) -> Column:
         rh = F.rint(hh.cast("double") * scale).cast("long")
         return plan(F.lit(True), F.floor((rw - s) / 2).cast("long"), F.floor((rh - s) / 2).cast("long"), s, s,
                     n, rw, rh, s, s, null)
-    raise ValueError(f"Unknown transform type: {mode}")
+    raise ValueError(f"no transform is called {mode!r}")
 
 
 def size_ok(plan) -> Column:
@@ -94,8 +94,8 @@ def validate_uniform(df: DataFrame, w: str = "out_w", h: str = "out_h") -> None:
     """P5: raise unless every image has the same size, square, power of two."""
     r = uniformity(df, w, h).first()
     if r["n_sizes"] > 1:
-        raise ValueError("Image dimensions must be uniform")
+        raise ValueError(f"image sizes are not uniform: {r['n_sizes']} of them")
     if not r["square"]:
-        raise ValueError("Image width/height after scale and crop are required to be square")
+        raise ValueError(f"images are not square: {r['width']} x {r['height']}")
     if not r["pow2"]:
-        raise ValueError("Image width/height after scale and crop are required to be power-of-two")
+        raise ValueError(f"image side {r['width']} is no power-of-two")

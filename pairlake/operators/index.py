@@ -2,15 +2,15 @@
 
 Plan: range-partition on the order key, sort inside partitions, checkpoint to
 the shared folder (the range bounds are sampled, so the layout has to be
-pinned before rows are counted), count rows per partition (O(#partitions)
-values to the driver), turn the counts into prefix offsets and add each row's
-position inside its partition.  ``Window.orderBy`` without ``partitionBy``
+pinned before rows are counted), count rows per partition, turn the counts into
+prefix offsets (a table of one row per partition, which is small enough to
+broadcast) and add each row's position inside its partition.  ``Window.orderBy`` without ``partitionBy``
 would move the whole table into one task; this never does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlake.session import checkpoint_dir
@@ -37,47 +37,26 @@ def global_index(df: DataFrame, order, name: str = "index", partitions: int | No
     if tiebreak:
         df = df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
         cols = cols + ["_tb"]
-    # as many range partitions as the input has (at least the shuffle
-    # default), so partition sizes stay what the scan already produced
-    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    laid_out = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    # the planner chooses the partition count (shuffle setting, coalesced by AQE
+    # to the data); nothing is executed to size the plan
+    parts = [partitions] if partitions else []
+    laid_out = df.repartitionByRange(*parts, *cols).sortWithinPartitions(*cols)
     pinned = pin(laid_out)
     with_pid = pinned.withColumn("_mid", F.monotonically_increasing_id())
-    counts = (with_pid.groupBy(F.shiftright("_mid", _POS_BITS).alias("p"))
-              .agg(F.count(F.lit(1)).alias("c")).collect())
-    by_part = {int(r["p"]): int(r["c"]) for r in counts}
-    offsets, acc = [], 0
-    for p in range(max(by_part, default=-1) + 1):
-        offsets.append(acc)
-        acc += by_part.get(p, 0)
-    if not offsets:
-        offsets = [0]
     pid = F.shiftright("_mid", _POS_BITS)
+    counts = with_pid.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"))
+    # one row per partition: its rows, then the rows of the partitions before it
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     within = F.col("_mid") - F.shiftleft(pid, _POS_BITS)
-    idx = F.element_at(F.lit(offsets).cast("array<long>"), (pid + 1).cast("int")) + within
-    out = with_pid.withColumn(name, idx).drop("_mid")
+    out = (with_pid.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
+           .withColumn(name, F.col("_before") + within).drop("_mid", "_pid", "_before"))
     return out.drop("_tb") if tiebreak else out
 
 
-TOP_N_LOCAL = 1_000_000
-
-
 def first_n(df: DataFrame, order, n: int) -> DataFrame:
-    """The first min(count, n) rows in ``order`` (n = 0 gives none).
-    Small n plans a TakeOrdered (each task keeps n rows); a large n ranks
-    with W1 and filters, so no single task merges n x #partitions rows."""
+    """The first min(count, n) rows in ``order`` (n = 0 gives none), ranked
+    by W1, so no task merges n rows of every partition."""
     if n <= 0:
         return df.limit(0)
-    cols = _order_cols(order)
-    if n <= TOP_N_LOCAL:
-        return df.orderBy(*cols).limit(n)
-    return global_index(df, cols, "_first_n").filter(F.col("_first_n") < n).drop("_first_n")
-
-
-def zip_with_index(df: DataFrame, name: str = "index") -> DataFrame:
-    """Fallback for an input that already has its final order and layout:
-    ``RDD.zipWithIndex`` (one extra job to count partitions)."""
-    from pyspark.sql.types import LongType, StructField, StructType
-    schema = StructType(list(df.schema.fields) + [StructField(name, LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    return global_index(df, _order_cols(order), "_first_n").filter(F.col("_first_n") < n).drop("_first_n")

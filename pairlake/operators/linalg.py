@@ -134,7 +134,7 @@ def _moment_merge(dim_block: int):
     return run
 
 
-def feature_moments(df: DataFrame, vec: str, dim_block: int = 64, fanout: int = 16,
+def feature_moments(df: DataFrame, vec: str, dim_block: int = 64, fanout: int = 64,
                     max_partials: int | None = None, by: str | None = None) -> DataFrame:
     """A2: mean vector and sample covariance (ddof 1) of a vector column, as D
     rows ``(i, n, mu, cov)`` where ``cov`` is row i of the covariance; with
@@ -142,24 +142,21 @@ def feature_moments(df: DataFrame, vec: str, dim_block: int = 64, fanout: int =
     from one scan.
 
     Each partition ships its scatter as D/dim_block row blocks.  The blocks
-    are merged in a tree -- groups of ``fanout`` partials per block id per
-    level -- so no merge task ever holds more than fanout x dim_block x D
-    doubles, however many partitions the scan has.  ``max_partials``
+    are merged in two levels: ``fanout`` partials of a block id a task (fanout x
+    dim_block x D doubles), then what remains of them.  ``max_partials``
     optionally coalesces the scan (no shuffle) to fewer, larger partials."""
     g = F.col(by).cast("string") if by else F.lit("")
     vt = df.schema[vec].dataType.simpleString()
     xv = F.col(vec) if vt in ("array<float>", "array<double>") else F.col(vec).cast("array<double>")
     x = df.select(g.alias("g"), xv.alias("x")).filter(
         F.col("x").isNotNull() & F.col("g").isNotNull())
-    k = x.rdd.getNumPartitions()
-    if max_partials and k > max_partials:
-        x, k = x.coalesce(max_partials), max_partials
+    if max_partials:
+        x = x.coalesce(max_partials)
     partials = x.mapInArrow(_moment_partials(dim_block), _PARTIAL_SCHEMA)
-    while k > fanout:
-        partials = (partials.withColumn("part", F.floor(F.col("part") / fanout).cast("long") * fanout)
-                    .groupBy("g", "block", "part").applyInArrow(_moment_combine(dim_block, fanout),
-                                                               _PARTIAL_SCHEMA))
-        k = -(-k // fanout)
+    # one level of ``fanout`` partials a task; nothing is executed to learn how
+    # many there are
+    partials = (partials.withColumn("part", F.floor(F.col("part") / fanout).cast("long") * fanout)
+                .groupBy("g", "block", "part").applyInArrow(_moment_combine(dim_block, fanout), _PARTIAL_SCHEMA))
     out_schema = "g string, i int, n long, mu double, cov array<double>"
     out = partials.groupBy("g", "block").applyInArrow(_moment_merge(dim_block), out_schema)
     return out.withColumnRenamed("g", by) if by else out.drop("g")

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlake.functions.util import as_double_array
-from pairlake.functions.vectors import softmax
 from pairlake.operators.index import global_index, pin
 from pairlake.operators.linalg import (collect_grouped_moments, feature_moments, sq_dists,
                                        tile_apply_self_grouped,
@@ -149,6 +148,7 @@ def clamp_radii(radii: DataFrame, pct: float | None, value: str = "radius") -> D
     """V4: radii strictly above the percentile become 0 (no-op for None)."""
     if pct is None:
         return radii
+    radii = pin(radii)
     cut = exact_percentile(radii, value, pct)
     return radii.withColumn(value, F.when(F.col(value) > F.lit(cut), F.lit(0.0)).otherwise(F.col(value)))
 
@@ -186,10 +186,10 @@ def manifold_evaluate(ref: DataFrame, radii: DataFrame, evals: DataFrame, id_col
     """V5: per evaluated row -- inside any reference ball (d <= r), realism
     max r/(d + eps), squared distance to and id of the nearest reference
     (first id on ties)."""
-    r = _vectors(ref.join(radii, id_col), id_col, vec, F.col("radius").cast("double").alias("r"))
+    r = _vectors(ref.join(pin(radii), id_col), id_col, vec, F.col("radius").cast("double").alias("r"))
     e = _vectors(evals, id_col, vec)
     schema = "id long, inside boolean, realism double, min_d double, nearest long"
-    per_tile = tile_apply(e, r, "id", "id", _manifold_kernel(eps), schema, block_rows)
+    per_tile = tile_apply(e, r, "id", "id", _manifold_kernel(eps), schema, block_rows, evals.count(), ref.count())
     best = F.min(F.struct("min_d", "nearest"))
     return (per_tile.groupBy("id")
             .agg(F.bool_or("inside").alias("inside"), F.max("realism").alias("realism"), best.alias("_b"))
@@ -237,11 +237,9 @@ def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec:
             .unionByName(sample.select(F.lit("smp").alias("_set"), id_col, vec)))
     counts = {r[0]: r[1] for r in both.groupBy("_set").count().collect()}
     n_ref, n_smp = counts.get("ref", 0), counts.get("smp", 0)
-    # both sides read the radii: when the tile pass is more than one tile per
-    # set, pin them (N small rows) so it is not planned twice
-    radii = manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts)
-    if max(counts.values(), default=0) > block_rows:
-        radii = pin(radii)
+    # both sides read the radii: they are pinned (N small rows) so that the
+    # tile pass runs once
+    radii = pin(manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts))
     r_ref = radii.filter(F.col("_set") == "ref").drop("_set")
     r_smp = radii.filter(F.col("_set") == "smp").drop("_set")
     a = _vectors(ref.join(r_ref, id_col), id_col, vec, F.col("radius").alias("r"))
@@ -262,31 +260,36 @@ def precision_recall(ref: DataFrame, sample: DataFrame, id_col: str, vec: str, k
 # ---------------------------------------------------------------- V7 Frechet
 
 
+def _spectrum(m: np.ndarray, what: str) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of a covariance-like matrix; rounding below zero
+    is cleared, a truly negative direction is an error."""
+    w, v = np.linalg.eigh((m + m.T) / 2)
+    if w.min(initial=0.0) < -1e-3 * max(1.0, float(w.max(initial=0.0))):
+        raise ValueError(f"{what} is not positive semi-definite: least eigenvalue {w.min():.3g}")
+    return w.clip(min=0.0), v
+
+
+def _trace_root(a: np.ndarray, b: np.ndarray) -> float:
+    """tr sqrt(A B) = sum of sqrt(eigenvalues of R B R), R the root of A."""
+    w, v = _spectrum(a, "the first covariance")
+    root = (v * np.sqrt(w)) @ v.T
+    return float(np.sqrt(_spectrum(root @ b @ root, "the product of the covariances")[0]).sum())
+
+
 def frechet_from_stats(mu1, sigma1, mu2, sigma2, eps: float = 1e-6) -> float:
-    """|mu1 - mu2|^2 + tr S1 + tr S2 - 2 tr sqrt(S1 S2), D x D algebra on the
-    driver.  tr sqrt(S1 S2) = sum sqrt(eig(A S2 A)) with A = sqrt(S1) from a
-    symmetric eigendecomposition; a non-finite result retries with eps*I on
-    both diagonals."""
-    mu1, mu2 = np.atleast_1d(mu1), np.atleast_1d(mu2)
-    s1, s2 = np.atleast_2d(sigma1), np.atleast_2d(sigma2)
-    if mu1.shape != mu2.shape:
-        raise ValueError(f"mean vectors have different lengths: {mu1.shape}, {mu2.shape}")
-    if s1.shape != s2.shape:
-        raise ValueError(f"covariances have different dimensions: {s1.shape}, {s2.shape}")
-    diff = mu1 - mu2
-
-    def tr_sqrt(a, b):
-        w, v = np.linalg.eigh((a + a.T) / 2)
-        root = (v * np.sqrt(np.clip(w, 0, None))) @ v.T
-        m = root @ b @ root
-        ev = np.linalg.eigvalsh((m + m.T) / 2)
-        return float(np.sqrt(np.clip(ev, 0, None)).sum())
-
-    tr = tr_sqrt(s1, s2)
-    if not np.isfinite(tr):
-        off = np.eye(s1.shape[0]) * eps
-        tr = tr_sqrt(s1 + off, s2 + off)
-    return float(diff.dot(diff) + np.trace(s1) + np.trace(s2) - 2 * tr)
+    """|mu1 - mu2|^2 + tr(S1 + S2) - 2 tr sqrt(S1 S2), D x D algebra on the
+    driver.  Sets of one row have no covariance (NaN) and are an error, as is a
+    covariance with a negative direction.  ``eps`` is added to both diagonals
+    when the root of nearly singular matrices does not converge."""
+    m = np.stack([np.ravel(mu1), np.ravel(mu2)])
+    s = np.stack([np.atleast_2d(sigma1), np.atleast_2d(sigma2)])
+    if not (np.isfinite(m).all() and np.isfinite(s).all()):
+        raise ValueError("the moments hold values that are not finite (fewer than two rows?)")
+    try:
+        cross = _trace_root(*s)
+    except np.linalg.LinAlgError:
+        cross = _trace_root(*(s + eps * np.eye(s.shape[-1])))
+    return float(np.square(m[0] - m[1]).sum() + np.trace(s.sum(axis=0)) - 2.0 * cross)
 
 
 def frechet_distance(a: DataFrame, b: DataFrame, vec: str, eps: float = 1e-6) -> float:
@@ -304,27 +307,30 @@ def frechet_distance(a: DataFrame, b: DataFrame, vec: str, eps: float = 1e-6) ->
 # ---------------------------------------------------------------- V8 IS
 
 
+def _split_score(t: pa.Table) -> pa.Table:
+    """One split's logits -> its score: p = softmax, then
+    exp(mean_i sum_c p ln p - sum_c m_c ln m_c) with m the mean of p."""
+    z = to_matrix(t.column("z"))
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    m = p.mean(axis=0)
+    entropy = np.where(p > 0, p * np.log(np.where(p > 0, p, 1.0)), 0.0).sum(axis=1).mean()
+    score = np.exp(entropy - np.where(m > 0, m * np.log(np.where(m > 0, m, 1.0)), 0.0).sum())
+    return pa.table({"split": t.column("split").slice(0, 1), "n": pa.array([len(z)], pa.int64()),
+                     "score": pa.array([score], pa.float64())})
+
+
 def inception_score_splits(df: DataFrame, id_col: str, logits: str, split_size: int = 5000) -> DataFrame:
-    """V8 per split: exp(mean_i KL(p_i || mean p)), with the one-pass rewrite
-    mean_i sum_c p ln p - sum_c m_c ln m_c (m = the split's mean p).  Splits
-    are contiguous in ``id_col`` order (W1), the last one may be short.
-    ``p = 0`` contributes 0 (the reference would give NaN)."""
-    p = df.select(F.col(id_col), softmax(logits).alias("p"))
-    idx = global_index(p, id_col, "_pos")
-    rows = idx.select(F.floor(F.col("_pos") / split_size).cast("long").alias("split"), "p")
-    ent = rows.select("split", F.aggregate("p", F.lit(0.0),
-                                           lambda s, v: s + F.when(v > 0, v * F.log(v)).otherwise(0.0)).alias("e"),
-                      "p")
-    # one aggregation pipeline: per (split, class) the mean probability, and
-    # -- riding along, identical for every class of a split -- the row count
-    # and the mean row entropy
-    per_class = (ent.select("split", "e", F.posexplode("p").alias("c", "v"))
-                 .groupBy("split", "c").agg(F.avg("v").alias("m"), F.avg("e").alias("e"),
-                                            F.count(F.lit(1)).alias("n")))
-    per_split = per_class.groupBy("split").agg(
-        F.max("n").alias("n"), F.avg("e").alias("e"),
-        F.sum(F.when(F.col("m") > 0, F.col("m") * F.log("m")).otherwise(0.0)).alias("mlm"))
-    return per_split.select("split", "n", F.exp(F.col("e") - F.col("mlm")).alias("score"))
+    """V8 per split: exp(mean_i KL(p_i || mean p)).  Splits are contiguous in
+    ``id_col`` order, the last one may be short; ids are unique.  ``p = 0``
+    contributes 0 (the reference would give NaN).
+
+    Only the ids are ranked (W1); the logits are shuffled once, to the task of
+    their split, which holds ``split_size`` rows and nothing more."""
+    ranked = global_index(df.select(id_col), id_col, "_pos")
+    split = F.floor(F.col("_pos") / split_size).cast("long").alias("split")
+    rows = df.select(id_col, as_double_array(logits).alias("z")).join(ranked.select(id_col, split), id_col)
+    return rows.select("split", "z").groupBy("split").applyInArrow(_split_score, "split long, n long, score double")
 
 
 def inception_score(df: DataFrame, id_col: str, logits: str, split_size: int = 5000) -> DataFrame:

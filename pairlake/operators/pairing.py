@@ -47,7 +47,7 @@ def attach_captions(features: DataFrame, captions: DataFrame, path: str = "path"
     c = captions.select(F.col(cid).alias("_cid"), F.col(caption).alias(caption))
     out = features.withColumn("_cid", extract_id(path)).join(c, "_cid", "left")
     if strict:
-        msg = F.concat(F.lit("Caption not found for file id: "), F.col("_cid"), F.lit(" (from "),
+        msg = F.concat(F.lit("no caption has id "), F.col("_cid"), F.lit(" (file "),
                        F.col(path), F.lit(")"))
         out = out.withColumn(caption, F.coalesce(F.col(caption), _fail_when(F.col(caption).isNull(), msg)))
     return out.withColumnRenamed("_cid", "id")

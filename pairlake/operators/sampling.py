@@ -2,44 +2,33 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlake.functions.rand import hash_uniform
-
-TOP_N_LOCAL = 1_000_000  # above this, the n-th candidate is found by W1, not a top-n merge
+from pairlake.operators.index import global_index
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """The ``n`` rows with the smallest ``hash_uniform(key, seed)`` (ties broken
-    by key); every row when the table has at most ``n`` rows.
+    """The ``n`` rows with the smallest ``hash_uniform(key, seed)``, ties broken
+    by key and then by a hash of the row; every row when there are at most ``n``.
 
-    The cut-off pair (u, key) of the n-th row is found on a narrow two-column
-    projection, prefiltered by a hash threshold that keeps about n + 10*sqrt(n)
-    candidates, so the top-n step never sees the table.  The result is then a
-    plain filter of the input: no join, no broadcast, partitioning untouched.
-    """
+    A narrow table (draw, key, row hash) is ranked by W1; the rows before the
+    n-th triple are a filter of the input, and of the rows equal to it (copies
+    of one row) as many are added as are missing.  One plan at every size."""
     if n <= 0:
         return df.limit(0)
-    if df.limit(n + 1).count() <= n:  # stops reading after n + 1 rows
-        return df
-    total = df.count()
     u = hash_uniform(key, seed)
-    narrow = df.select(F.col(key).alias("_k"), u.alias("_u"))
-    frac = min(1.0, (n + 10.0 * math.sqrt(n) + 100.0) / total)
-    cand = narrow.filter(F.col("_u") < F.lit(frac))
-    if frac < 1.0 and cand.count() < n:
-        cand = narrow
-    if n <= TOP_N_LOCAL:
-        # TakeOrdered: at most ~n candidate pairs reach the final merge
-        cut = cand.orderBy("_u", "_k").limit(n).agg(F.max(F.struct("_u", "_k")).alias("c")).first()["c"]
-    else:
-        # a very large sample: rank the candidates with the distributed index
-        from pairlake.operators.index import global_index
-        ranked = global_index(cand, ["_u", "_k"], "_r")
-        cut = ranked.filter(F.col("_r") == n - 1).select(F.struct("_u", "_k").alias("c")).first()["c"]
-    cu, ck = cut["_u"], cut["_k"]
-    keep = (u < F.lit(cu)) | ((u == F.lit(cu)) & (F.col(key) <= F.lit(ck)))
-    return df.filter(keep)
+    row = F.xxhash64(*[F.col(c) for c in df.columns])
+    narrow = df.select(u.alias("_u"), F.col(key).alias("_k"), row.alias("_h"))
+    ranked = global_index(narrow, ["_u", "_k", "_h"], "_r")
+    cut = ranked.filter(F.col("_r") == n - 1).first()
+    if cut is None:
+        return df
+    same = (F.col("_u") == cut["_u"]) & F.col("_k").eqNullSafe(F.lit(cut["_k"])) & (F.col("_h") == cut["_h"])
+    first = ranked.filter(same).agg(F.min("_r")).first()[0]
+    full = df.withColumns({"_u": u, "_k": F.col(key), "_h": row})
+    later = F.struct("_u", "_k", "_h") < F.struct(F.lit(cut["_u"]), F.lit(cut["_k"]).cast(df.schema[key].dataType),
+                                                  F.lit(cut["_h"]))
+    before = full.filter(later).drop("_u", "_k", "_h")
+    return before.union(full.filter(same).limit(n - first).drop("_u", "_k", "_h"))

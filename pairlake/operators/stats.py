@@ -93,15 +93,17 @@ def cumulative_stats(deltas: DataFrame, name: str = "name", rnd: str = "round")
 
 def keep_previous(deltas: DataFrame, name: str = "name", rnd: str = "round") -> DataFrame:
     """A round without data keeps the name's previous moments.  The
-    (name, round) spine is each name's rounds from its first report on --
-    an ``explode`` per name, not a cross join -- restricted to rounds that
-    exist; ``last(ignorenulls)`` carries the moments forward."""
-    rounds = deltas.select(rnd).distinct()
-    last_round = deltas.agg(F.max(rnd)).first()[0]
-    first = deltas.groupBy(name).agg(F.min(rnd).alias("_f"))
-    spine = first.select(name, F.explode(F.sequence(F.col("_f"), F.lit(last_round))).alias(rnd))
-    spine = spine.join(rounds, rnd, "left_semi")
-    j = spine.join(deltas, [name, rnd], "left")
+    distinct rounds are numbered; a name gets the numbers from its first round
+    with data on, so the spine has names x existing rounds rows however far
+    apart the rounds lie; ``last(ignorenulls)`` carries the moments forward.
+    A round whose moments count nothing is a round without data."""
+    data = deltas.filter(F.col("num") != 0)
+    # one row per round: a table as long as the history, not as the reports
+    rounds = deltas.select(rnd).distinct().withColumn("_i", F.row_number().over(Window.orderBy(rnd)))
+    first = data.groupBy(name).agg(F.min(rnd).alias(rnd)).join(rounds, rnd).select(name, F.col("_i").alias("_f"))
+    numbers = F.sequence(F.col("_f"), F.lit(rounds.count()))
+    spine = first.select(name, F.explode(numbers).alias("_i")).join(rounds, "_i").drop("_i")
+    j = spine.join(data, [name, rnd], "left")
     w = Window.partitionBy(name).orderBy(rnd).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select(name, rnd, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("num", "sum", "sumsq")])
 
@@ -138,5 +140,5 @@ def name_set_consistency(df: DataFrame, rank: str = "rank", pos: str = "pos", na
     fp = name_set_fingerprints(df, rank, pos, name)
     n = fp.select("n_names", "fingerprint").distinct().count()
     if n > 1:
-        raise ValueError("Training statistics are inconsistent between ranks")
+        raise ValueError("the ranks do not report the same names in the same order")
     return True

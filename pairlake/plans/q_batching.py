@@ -10,6 +10,7 @@ from pairlake.operators import batching as B
 from pairlake.operators.pairing import missing_samples, null_condition
 from pairlake.operators.sampling import sample_exact
 from pairlake.plans import sqlfrag as S
+from pairlake.plans import standins as T
 from pairlake.plans.registry import register
 from pairlake.session import load_table
 
@@ -167,7 +168,7 @@ SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_tokens, len(tok) > 77 AS truncated
 FROM kk
 """)
 def q_drop_tokens(spark, sf):
-    d = load_table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("tok"))
+    d = T.split_single_file(load_table(spark, sf, "documents")).select("doc_id", F.split("text", " ").alias("tok"))
     dr = B.drop_tokens(d, "tok", "doc_id", head=4, ratio=0.5, seed=17)
     full = F.size("tok") - 4
     padded = pad_truncate("tok", 77, "<pad>")
@@ -178,39 +179,37 @@ def q_drop_tokens(spark, sf):
                      F.md5(F.array_join(restored, " ")).alias("restored_md5"))
 
 
-_PLAN_N = "(SELECT count(*) + 3 FROM documents)"
+_PLAN_N = "(SELECT max(o_orderkey) + 3 FROM orders)"
 
 
 def _plan(spark, sf):
-    n = load_table(spark, sf, "documents").count() + 3
+    """A plan for as many samples as the highest order key and three more."""
+    n = load_table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0] + 3
     return B.sample_plan(spark, n, per_worker=10, world=8), n
 
 
-def _existing(plan):
-    """Samples already on disk: every planned index not divisible by 7, plus
-    four stray indices past the plan."""
-    return plan.filter(F.col("sample_index") % 7 != 0).select("sample_index").unionByName(
-        plan.agg((F.max("sample_index") + 1).alias("m")).select(
-            F.explode(F.sequence(F.col("m"), F.col("m") + 3)).alias("sample_index")))
+def _existing(spark, sf):
+    """Samples already on disk: one for each order, its key being the index."""
+    return load_table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_index"))
 
 
 _PLAN_SQL = f"""p AS (SELECT range AS sample_index FROM range(CAST(ceil({_PLAN_N} / 80.0) * 80 AS BIGINT))),
-ex AS (SELECT sample_index FROM p WHERE sample_index % 7 <> 0
-       UNION ALL SELECT (SELECT max(sample_index) + 1 FROM p) + range FROM range(4))"""
+ex AS (SELECT o_orderkey AS sample_index FROM orders)"""
 
 
 @register("sample_plan", ids=("B8", "F28", "B7"), sql=f"""
 WITH {_PLAN_SQL}
 SELECT sample_index, CAST(sample_index // 80 AS BIGINT) AS iteration, CAST(sample_index % 80 % 8 AS INTEGER) AS rank,
        CAST(sample_index % 80 // 8 AS INTEGER) AS slot, CAST(sample_index % 10 AS BIGINT) AS label,
-       CAST({_PLAN_N} + 79 - ({_PLAN_N} + 79) % 80 AS BIGINT) AS total
-FROM p
+       CAST({_PLAN_N} + 79 - ({_PLAN_N} + 79) % 80 AS BIGINT) AS total, ex.sample_index IS NOT NULL AS done
+FROM p LEFT JOIN ex USING (sample_index)
 """)
 def q_sample_plan(spark, sf):
     plan, n = _plan(spark, sf)
-    return plan.select("sample_index", "iteration", "rank", "slot",
-                       B.balanced_labels("sample_index", 10).alias("label"),
-                       B.ceil_multiple(F.lit(n), 80).alias("total"))
+    done = _existing(spark, sf).withColumn("done", F.lit(True))
+    return plan.join(done, "sample_index", "left").select(
+        "sample_index", "iteration", "rank", "slot", B.balanced_labels("sample_index", 10).alias("label"),
+        B.ceil_multiple(F.lit(n), 80).alias("total"), F.coalesce("done", F.lit(False)).alias("done"))
 
 
 @register("missing_samples", ids=("J7",), sql=f"""
@@ -219,19 +218,22 @@ SELECT sample_index FROM p WHERE sample_index < {_PLAN_N} AND sample_index NOT I
 """)
 def q_missing_samples(spark, sf):
     plan, n = _plan(spark, sf)
-    return missing_samples(plan.filter(F.col("sample_index") < n), _existing(plan)).select("sample_index")
+    return missing_samples(plan.filter(F.col("sample_index") < n), _existing(spark, sf)).select("sample_index")
 
 
-@register("sample_diff", ids=("U3",), sql=f"""
-WITH {_PLAN_SQL}
+# line items are samples that one line each was planned for: the second and
+# later lines of an order, and orders beyond the plan, are extra
+@register("sample_diff", ids=("U3",), sql="""
+WITH p AS (SELECT o_orderkey AS sample_index FROM orders),
+ex AS (SELECT l_orderkey AS sample_index FROM lineitem)
 SELECT 'missing' AS kind, sample_index FROM (SELECT sample_index FROM p EXCEPT ALL SELECT sample_index FROM ex)
 UNION ALL
 SELECT 'extra', sample_index FROM (SELECT sample_index FROM ex EXCEPT ALL SELECT sample_index FROM p)
 """)
 def q_sample_diff(spark, sf):
     from pairlake.operators.sets import sample_diff
-    plan, _ = _plan(spark, sf)
-    return sample_diff(plan.select("sample_index"), _existing(plan))
+    lines = load_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample_index"))
+    return sample_diff(_existing(spark, sf), lines)
 
 
 @register("sample_completion", ids=("J7",), sql=f"""
@@ -240,16 +242,19 @@ SELECT count(sample_index) AS n_existing, count(sample_index) >= {_PLAN_N} AS is
 """)
 def q_sample_completion(spark, sf):
     from pairlake.operators.pairing import sample_completion
-    plan, n = _plan(spark, sf)
-    return sample_completion(_existing(plan), n)
+    _, n = _plan(spark, sf)
+    return sample_completion(_existing(spark, sf), n)
 
 
-@register("pack_samples", ids=("K4",), sql=f"""
-WITH {_PLAN_SQL}
-SELECT sample_index, CAST(sample_index % 80 % 8 AS INTEGER) AS rank FROM p WHERE sample_index < {_PLAN_N}
+# the embeddings are the samples: the last three are beyond the pack
+@register("pack_samples", ids=("K4",), sql="""
+SELECT vec_id AS sample_index, list_transform(embedding::DOUBLE[], lambda v: round(v, 6)) AS sample
+FROM embeddings WHERE vec_id < (SELECT count(*) - 3 FROM embeddings)
 """)
 def q_pack_samples(spark, sf):
+    from pairlake.plans.q_derived import round_array
     from pairlake.sinks.files import pack_samples_frame
-    plan, n = _plan(spark, sf)
-    s = plan.select("sample_index", "rank", F.array(F.lit(4), F.lit(4), F.lit(3)).alias("shape"))
-    return pack_samples_frame(s, n).select("sample_index", "rank")
+    e = load_table(spark, sf, "embeddings")
+    s = e.select(F.col("vec_id").alias("sample_index"), F.array(F.size("embedding")).alias("shape"),
+                 round_array(F.col("embedding").cast("array<double>")).alias("sample"))
+    return pack_samples_frame(s, e.count() - 3).select("sample_index", "sample")

@@ -13,8 +13,9 @@ from pairlake.operators import geometry as G
 from pairlake.operators import losses as L
 from pairlake.operators.index import global_index
 from pairlake.plans import sqlfrag as S
+from pairlake.plans import standins as T
 from pairlake.plans.registry import register
-from pairlake.session import load_table, spread
+from pairlake.session import load_table
 
 RES = 256
 
@@ -165,7 +166,7 @@ SELECT doc_id,
 FROM rgb
 """)
 def q_pixel_kernels(spark, sf):
-    d = spread(load_table(spark, sf, "documents"))
+    d = T.split_single_file(load_table(spark, sf, "documents"))
     ch = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(3)
     px = d.select("doc_id", ch.alias("ch"), F.transform(F.sequence(F.lit(0), ch * 16 - 1),
                                                      lambda i: ((F.col("doc_id") * 31 + i) % 256).cast("int")).alias("x"))
@@ -193,21 +194,20 @@ SELECT vec_id,
   list_transform(x, lambda v: round(CASE WHEN isnan(v) THEN 0 WHEN v = 'inf'::DOUBLE THEN 3.4028234663852886e38
     WHEN v = '-inf'::DOUBLE THEN -3.4028234663852886e38 ELSE v END, 6)) AS finite,
   list_transform(e, lambda v: round(least(greatest(v, -0.1), 0.1), 6)) AS clamped,
-  list_transform(e[1:10], lambda v: round(exp(v * 10 - list_max(list_transform(e[1:10], lambda u: u * 10)))
-    / list_sum(list_transform(e[1:10], lambda u: exp(u * 10 - list_max(list_transform(e[1:10], lambda w: w * 10))))), 6))
-    AS softmax,
+  list_transform(e, lambda v: round(exp(v * 10 - list_max(e) * 10)
+    / list_sum(list_transform(e, lambda u: exp(u * 10 - list_max(e) * 10))), 6)) AS softmax,
   list_transform(e, lambda v: round(v / greatest(sqrt(list_sum(list_transform(e, lambda u: u * u))), 1e-12), 6)) AS unit,
   round(list_sum(list_transform(e, lambda v: v * v)), 6) AS sq_norm,
   CAST((label + 1) * 2 * (vec_id % 7 + 1) AS BIGINT) AS prod
 FROM bad
 """)
 def q_vector_kernels(spark, sf):
-    e = spread(load_table(spark, sf, "embeddings"))
+    e = T.split_single_file(load_table(spark, sf, "embeddings"))
     bad = F.transform(F.col("embedding").cast("array<double>"), lambda v, i: (
         F.when((F.col("vec_id") % 5 == 0) & (i == 0), F.lit(float("nan")))
         .when((F.col("vec_id") % 5 == 0) & (i == 1), F.lit(float("inf")))
         .when((F.col("vec_id") % 5 == 0) & (i == 2), F.lit(float("-inf"))).otherwise(v)))
-    logits = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 10), lambda v: v * 10)
+    logits = F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 10)
     shape = F.array((F.col("label") + 1).cast("long"), F.lit(2).cast("long"), (F.col("vec_id") % 7 + 1).cast("long"))
     return e.select("vec_id", round_array(V.nan_to_num(bad)).alias("finite"),
                     round_array(V.clamp_array("embedding", -0.1, 0.1)).alias("clamped"),

@@ -23,7 +23,7 @@ def _sets(spark, sf):
 
 
 def _logits(df):
-    return df.withColumn("logits", F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 10),
+    return df.withColumn("logits", F.transform(F.col("embedding").cast("array<double>"),
                                                lambda v: v * F.lit(LOGIT_SCALE)))
 
 
@@ -167,7 +167,7 @@ def q_frechet_distance(spark, sf):
 
 
 _IS_LOGITS = f"""
-l AS (SELECT vec_id, list_transform(embedding[1:10]::DOUBLE[], lambda v: v * {LOGIT_SCALE}) AS z FROM embeddings),"""
+l AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v * {LOGIT_SCALE}) AS z FROM embeddings),"""
 _IS_TAIL = f"""
 ex AS (SELECT vec_id, list_transform(z, lambda v: exp(v - list_max(z))) AS ez FROM l),
 q AS (SELECT vec_id, list_transform(ez, lambda v: v / list_sum(ez)) AS p FROM ex),

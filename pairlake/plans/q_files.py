@@ -16,7 +16,7 @@ from pairlake.operators.stats import rank_mean
 from pairlake.plans import standins as T
 from pairlake.plans.q_stats import _A7, _metric_rows
 from pairlake.plans.registry import register
-from pairlake.session import checkpoint_dir, load_table, spread
+from pairlake.session import checkpoint_dir, load_table
 from pairlake.sinks.files import write_class_manifest
 from pairlake.sources import files as SRC
 
@@ -69,7 +69,7 @@ def _npy_rows(spark, sf):
     import pandas as pd
 
     from pairlake.sinks.blobs import npy_bytes
-    e = spread(load_table(spark, sf, "embeddings"))
+    e = T.split_single_file(load_table(spark, sf, "embeddings"))
     name = F.concat(F.lit("data_"), F.format_string("%06d", F.floor(F.col("vec_id") / 100).cast("long")),
                     F.lit("/img-latents-"), F.format_string("%08d", "vec_id"), F.lit(".npy"))
 
@@ -103,7 +103,7 @@ def _png_rows(spark, sf):
     import pandas as pd
 
     from pairlake.sinks.blobs import png_bytes
-    d = spread(load_table(spark, sf, "documents"))
+    d = T.split_single_file(load_table(spark, sf, "documents"))
     name = F.concat(F.col("source"), F.lit("/img"), F.format_string("%08d", "doc_id"), F.lit(".png"))
 
     def encode(it):
@@ -162,7 +162,7 @@ def q_npz_shards(spark, sf):
     from pairlake.sinks.blobs import write_archives
     from pairlake.sources.archives import read_npz_rows
     folder = _scratch(spark, "npz")
-    e = spread(load_table(spark, sf, "embeddings"))
+    e = T.split_single_file(load_table(spark, sf, "embeddings"))
     write_archives(e, folder, "npz", "vec_id", matrix="embedding", key="vec_id").write.format("noop").mode(
         "overwrite").save()
     rows = read_npz_rows(spark, folder, rows_per_partition=128)

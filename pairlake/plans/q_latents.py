@@ -24,7 +24,7 @@ FROM x GROUP BY 1
 """)
 def q_channel_stats(spark, sf):
     emb = load_table(spark, sf, "embeddings")
-    return _stats_rounded(channel_stats(emb, "embedding", LATENT_C, key="vec_id", max_n=10000))
+    return _stats_rounded(channel_stats(emb, "embedding", LATENT_C))
 
 
 @register("channel_stats_sampled", ids=("A1", "T3", "B1"), sql="""
@@ -54,14 +54,14 @@ FROM x JOIN s ON x.i // 16 = s.c GROUP BY vec_id
 @register("normalise", ids=("J6",), sql=_NORM_SQL.format(expr="(v - m) / sd"))
 def q_normalise(spark, sf):
     emb = load_table(spark, sf, "embeddings")
-    mean, std = stats_arrays(channel_stats(emb, "embedding", LATENT_C, key="vec_id"))
+    mean, std = stats_arrays(channel_stats(emb, "embedding", LATENT_C))
     return emb.select("vec_id", round_array(normalise("embedding", mean, std)).alias("z"))
 
 
 @register("denormalise", ids=("J6",), sql=_NORM_SQL.format(expr="v * sd + m"))
 def q_denormalise(spark, sf):
     emb = load_table(spark, sf, "embeddings")
-    mean, std = stats_arrays(channel_stats(emb, "embedding", LATENT_C, key="vec_id"))
+    mean, std = stats_arrays(channel_stats(emb, "embedding", LATENT_C))
     return emb.select("vec_id", round_array(denormalise("embedding", mean, std)).alias("z"))
 
 

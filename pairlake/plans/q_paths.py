@@ -11,7 +11,7 @@ from pairlake.operators.index import first_n, global_index
 from pairlake.plans import sqlfrag as S
 from pairlake.plans import standins as T
 from pairlake.plans.registry import register
-from pairlake.session import load_table, spread
+from pairlake.session import load_table
 
 _p = "path"
 
@@ -272,7 +272,7 @@ SELECT o_orderkey, name,
 FROM r
 """)
 def q_parse_run_name(spark, sf):
-    o = spread(load_table(spark, sf, "orders"))
+    o = T.split_single_file(load_table(spark, sf, "orders"))
     name = F.concat(
         F.lit("SiT-XL-2-"), P.zero_pad("o_orderkey", 7), F.lit("-size-256-vae-invae-cfg-"),
         (F.col("o_custkey") % 4).cast("string"), F.lit("."), (F.col("o_orderkey") % 10).cast("string"),
@@ -325,7 +325,7 @@ SELECT l_orderkey, l_linenumber,
 FROM s
 """)
 def q_format_time(spark, sf):
-    li = spread(load_table(spark, sf, "lineitem"))
+    li = T.split_single_file(load_table(spark, sf, "lineitem"))
     secs =F.col("l_quantity") * 3607 * (1 + F.col("l_discount") * 300)
     return li.select("l_orderkey", "l_linenumber", format_time(secs).alias("t"), format_time_brief(secs).alias("tb"))
 

@@ -213,7 +213,6 @@ def _stream_sql(where: str = "") -> str:
     return f"""
 WITH {_R}, {_WIN.format(where=where)}
 SELECT CAST(epoch(ws) AS BIGINT) AS window_start, name, {_STATS} FROM m
-WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """
 
 
@@ -226,7 +225,8 @@ def _stream_result(spark, sf, rank=None):
     s = s.select("ts", F.col("event_type").alias("name"), (F.col("user_id") % 4).cast("int").alias("rank"),
                  F.dayofmonth("ts").cast("int").alias("round"), v.alias("value"))
     s = s.filter(~((F.col("name") == "purchase") & ((F.col("round") % 4 == 1) | (F.col("rank") == 3))))
-    out = R.run_append_to_parquet(R.stream_stats(s, rank="rank" if rank == 0 else None), "stream_stats")
+    out = R.run_update_to_parquet(R.stream_stats(s, rank="rank" if rank == 0 else None), "stream_stats",
+                                  ["window_start", "name"])
     return out.select(F.unix_seconds("window_start").alias("window_start"), "name", "num",
                       F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
@@ -263,9 +263,8 @@ d AS (SELECT name, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS round_start,
       sum(CASE WHEN ok THEN value ELSE 0 END) AS s, sum(CASE WHEN ok THEN value * value ELSE 0 END) AS ss
       FROM rf GROUP BY ALL),
 dd AS (SELECT * FROM d WHERE num <> 0),
-wm AS (SELECT CAST(floor(epoch(max(ts)))AS BIGINT) - 3600 AS wm FROM events),
-sp AS (SELECT name, unnest(range(f, (SELECT wm FROM wm) - 86400 + 1, 86400)) AS round_start
-       FROM (SELECT name, min(round_start) AS f FROM dd GROUP BY name)),
+sp AS (SELECT n.name, r.round_start FROM (SELECT name, min(round_start) AS f FROM dd GROUP BY name) n
+       JOIN (SELECT DISTINCT round_start FROM d) r ON r.round_start >= n.f),
 j AS (SELECT sp.name, sp.round_start, dd.num, dd.s, dd.ss FROM sp LEFT JOIN dd USING (name, round_start)),
 k AS (SELECT name, round_start, last(num IGNORE NULLS) OVER w AS num, last(s IGNORE NULLS) OVER w AS s,
       last(ss IGNORE NULLS) OVER w AS ss FROM j
@@ -274,7 +273,6 @@ SELECT name, round_start, {_STATS.replace('s / num END, 6)', 's / num END, 9)')}
 """)
 def q_stream_keep_previous(spark, sf):
     from pairlake.streaming.collector import events_stream
-    from pairlake.streaming.keep_previous import stream_keep_previous
     s = events_stream(spark, sf)
     e = F.col("event_id")
     v = (F.when(e % 101 == 0, F.lit(float("nan"))).when(e % 103 == 0, F.lit(float("inf")))
@@ -282,7 +280,10 @@ def q_stream_keep_previous(spark, sf):
     s = s.select("ts", F.col("event_type").alias("name"), (F.col("user_id") % 4).cast("int").alias("rank"),
                  F.dayofmonth("ts").cast("int").alias("round"), v.alias("value"))
     s = s.filter(~((F.col("name") == "purchase") & ((F.col("round") % 4 == 1) | (F.col("rank") == 3))))
-    out = R.run_append_to_parquet(stream_keep_previous(s), "stream_keep_previous")
+    # the stream keeps one row of moments per window and name; the rule runs over those rounds
+    rounds = R.run_update_to_parquet(R.stream_moments(s), "stream_keep_previous", ["window_start", "name"])
+    rounds = rounds.withColumn("round", F.unix_seconds("window_start"))
+    out = ST.keep_previous(rounds).withColumnRenamed("round", "round_start").filter("num is not null")
     # values have 2 decimals and many rounds hold 2^k reports, so a mean is
     # often an exact tie at 6 decimals; the state sums in numpy order and the
     # twin in SQL order, so compare means at 9 decimals (no ties there)

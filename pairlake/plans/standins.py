@@ -13,6 +13,14 @@ from pairlake.functions.paths import zero_pad
 from pairlake.session import load_table
 
 
+def split_single_file(df: DataFrame) -> DataFrame:
+    """A table that is one file (one row group, one scan task) is dealt round
+    robin to the cores; a table of many files is left as its scan splits it."""
+    if len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _shard_dir(doc_id) -> F.Column:
     return F.concat(F.lit("data_"), zero_pad(F.floor(F.col(doc_id) / 100), 6))
 

@@ -19,11 +19,10 @@ def write_dataset(df: DataFrame, dest: str, index: str = "index", kind: str = "i
     each file holds a contiguous index range; one folder per shard only on
     request (it makes many small files at scale)."""
     if not dest:
-        raise ValueError("--dest output filename or directory must not be an empty string")
+        raise ValueError("the dataset needs a destination path")
     out = (df.withColumn("shard", F.floor(F.col(index) / SHARD_ROWS).cast("long"))
            .withColumn("member", shard_name(index, kind)))
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = out.repartitionByRange(n, index).sortWithinPartitions(index)
+    out = out.repartitionByRange(index).sortWithinPartitions(index)
     w = out.write.mode("errorifexists")
     if shard_folders:
         w = w.partitionBy("shard")
@@ -65,8 +64,7 @@ def pack_samples_frame(df: DataFrame, n: int, index: str = "sample_index", shape
 def pack_samples(df: DataFrame, n: int, dest: str, index: str = "sample_index") -> None:
     """K4: write exactly samples 0..n-1, range-partitioned by index."""
     kept = pack_samples_frame(df, n, index)
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kept.repartitionByRange(parts, index).sortWithinPartitions(index).write.mode("errorifexists").parquet(dest)
+    kept.repartitionByRange(index).sortWithinPartitions(index).write.mode("errorifexists").parquet(dest)
 
 
 def _with_params(df: DataFrame, run_id: str, params: dict | None) -> DataFrame:

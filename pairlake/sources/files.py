@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,17 +256,26 @@ def read_eval_reports(spark: SparkSession, root: str) -> DataFrame:
     return parse_eval_reports(t)
 
 
+def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, or None where there is no such path; any other error stays one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_distribution_stats(spark: SparkSession, path: str, set_id: str, fallback: DataFrame | None = None,
                             vec: str = "embedding") -> DataFrame:
     """Stored (i, n, mu, cov) moments of ``set_id`` when present, else
     computed from the activations in ``fallback`` (A2)."""
     from pairlake.operators.linalg import feature_moments
-    try:
-        stored = spark.read.parquet(path).filter(F.col("set_id") == set_id).drop("set_id")
-        if stored.limit(1).count():
+    stored = _table_or_none(spark, path)
+    if stored is not None:
+        stored = stored.filter(F.col("set_id") == set_id).drop("set_id")
+        if not stored.isEmpty():
             return stored
-    except Exception:  # noqa: BLE001 -- absent table: fall back
-        pass
     if fallback is None:
         raise FileNotFoundError(f"no stored statistics for {set_id!r} and no activations given")
     return feature_moments(fallback, vec)
@@ -286,12 +296,11 @@ def read_latent_stats(spark: SparkSession, path: str, files: DataFrame, compute)
     never reuses stale statistics."""
     from pairlake.sinks.files import write_latent_stats
     fp = dataset_fingerprint(files)
-    try:
-        hit = spark.read.parquet(path).filter(F.col("fingerprint") == fp)
-        if hit.limit(1).count():
-            return hit.drop("fingerprint")
-    except Exception:  # noqa: BLE001 -- no cache yet
-        pass
+    hit = _table_or_none(spark, path)
+    if hit is not None:
+        hit = hit.filter(F.col("fingerprint") == fp)
+        if not hit.isEmpty():
+            return hit.drop("fingerprint").distinct()  # two misses at once append the same rows twice
     stats = compute()
     write_latent_stats(stats, path, fp)
     return spark.read.parquet(path).filter(F.col("fingerprint") == fp).drop("fingerprint")

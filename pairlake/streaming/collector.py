@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlake.functions.timefmt import utc_instant
 from pairlake.operators.stats import finite_square, moments_to_stats
@@ -27,20 +28,26 @@ def _moment_aggs(value: str):
             F.sum(F.when(ok, v * v).otherwise(F.lit(0.0))).alias("sumsq")]
 
 
-def stream_stats(stream: DataFrame, ts: str = "ts", name: str = "name", value: str = "value",
-                 window: str = "1 day", watermark: str = "1 hour", rank: str | None = None) -> DataFrame:
-    """R1 (+R4 when ``rank`` is given): per name and tumbling window, num /
-    mean / std of the finite reports.  Append mode emits a window once the
-    watermark passes its end."""
+def stream_moments(stream: DataFrame, ts: str = "ts", name: str = "name", value: str = "value",
+                   window: str = "1 day", watermark: str = "1 hour", rank: str | None = None) -> DataFrame:
+    """The moments of the finite reports per tumbling window and name; with
+    ``rank`` only that column's zero (R4)."""
     s = stream.withColumn(ts, utc_instant(stream, ts))
     if rank is not None:
         s = s.filter(F.col(rank) == 0)
     agg = (s.withWatermark(ts, watermark)
            .groupBy(F.window(ts, window).alias("w"), F.col(name))
            .agg(*_moment_aggs(value)))
-    agg = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), name,
-                     "num", "sum", "sumsq")
-    return moments_to_stats(agg)
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), name,
+                      "num", "sum", "sumsq")
+
+
+def stream_stats(stream: DataFrame, ts: str = "ts", name: str = "name", value: str = "value",
+                 window: str = "1 day", watermark: str = "1 hour", rank: str | None = None) -> DataFrame:
+    """R1 (+R4 when ``rank`` is given): per name and tumbling window, num /
+    mean / std of the finite reports.  Append mode emits a window once the
+    watermark passes its end; update mode also gives the open ones."""
+    return moments_to_stats(stream_moments(stream, ts, name, value, window, watermark, rank))
 
 
 def stream_cumulative(stream: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
@@ -88,8 +95,34 @@ def run_complete_to_parquet(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_update_to_parquet(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Update-mode aggregate over all data available now: every micro-batch
+    writes the rows it changed under its own number (a replayed batch writes
+    the same folder again), and the latest row of each key is the result.
+    Windows that are still open when the input ends are therefore in it."""
+    spark = df.sparkSession
+    base = stream_folder(spark, label)
+    out = f"{base}/out"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = (df.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    schema = T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
+    if not q.lastProgress:  # no input, so no batch
+        return spark.createDataFrame([], df.schema)
+    last = F.max_by(F.struct(*[F.col(c) for c in df.columns if c not in keys]), "epoch")
+    return spark.read.schema(schema).parquet(out).groupBy(*keys).agg(last.alias("_r")).select(*keys, "_r.*")
+
+
 def events_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
-    """A file stream over one driver table (schema taken from the batch read)."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """A file stream over one driver table, a file or a folder of part files
+    (schema taken from the batch read)."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a stream wants folders: a pattern that only this name matches stands for either
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
