@@ -157,13 +157,62 @@ def q_frechet_terms(spark, sf):
                  F.round(F.sum("v1"), 9).alias("trace_ref"), F.round(F.sum("v2"), 9).alias("trace_sample"))
 
 
-@register("frechet_distance", ids=("V7", "F27"))
+ROOT_STEPS = 24  # Newton-Schulz steps; each multiplies a small eigenvalue's root by about 1.5
+
+
+def _times(a: str, b_transposed: str) -> str:
+    """Matrix product of nested lists, the right one given by its columns."""
+    return f"list_transform({a}, lambda r: list_transform({b_transposed}, lambda c: list_dot_product(r, c)))"
+
+
+def _columns(m: str) -> str:
+    return f"list_transform(range(1, len({m}) + 1), lambda j: list_transform({m}, lambda r: r[j]))"
+
+
+def _frechet_sql(name: str, keep: str = "true") -> str:
+    """CTEs ending in ``{name} (fid)`` over ``x (set_id, vec_id, i, v)``: moments
+    as nested lists, then the root of S1 S2 by the coupled Newton-Schulz
+    iteration of the product scaled to unit Frobenius norm."""
+    p = name
+    steps = [f"""{p}x AS (SELECT * FROM x WHERE {keep}),
+{p}c AS (SELECT a.set_id, a.i, b.i AS j, covar_samp(a.v, b.v) AS c
+  FROM {p}x a JOIN {p}x b ON a.vec_id = b.vec_id AND a.set_id = b.set_id GROUP BY ALL),
+{p}r AS (SELECT set_id, i, list(c ORDER BY j) AS r FROM {p}c GROUP BY ALL),
+{p}s AS (SELECT set_id, list(r ORDER BY i) AS s, sum(r[k]) AS tr
+  FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY i) AS k FROM {p}r) GROUP BY set_id),
+{p}m AS (SELECT sum((a.mu - b.mu) * (a.mu - b.mu)) AS d
+  FROM (SELECT i, avg(v) AS mu FROM {p}x WHERE set_id = 'ref' GROUP BY i) a
+  JOIN (SELECT i, avg(v) AS mu FROM {p}x WHERE set_id = 'sample' GROUP BY i) b USING (i)),
+{p}a AS MATERIALIZED (SELECT {_times('a.s', 'b.s')} AS a, a.tr + b.tr AS tr  -- the right factor is symmetric
+  FROM {p}s a JOIN {p}s b ON a.set_id = 'ref' AND b.set_id = 'sample'),
+{p}f AS MATERIALIZED (SELECT a, tr, sqrt(list_sum(list_transform(a, lambda r: list_dot_product(r, r)))) AS f FROM {p}a),
+{p}0 AS MATERIALIZED (SELECT list_transform(a, lambda r: list_transform(r, lambda v: v / f)) AS y,
+  list_transform(range(len(a)), lambda i: list_transform(range(len(a)), lambda j: CAST(i = j AS DOUBLE))) AS z
+  FROM {p}f)"""]
+    for k in range(ROOT_STEPS):
+        steps.append(f"""{p}t{k} AS MATERIALIZED (SELECT y, z, list_transform({_times('z', 'yc')}, lambda r, i:
+  list_transform(r, lambda v, j: 1.5 * CAST(i = j AS DOUBLE) - 0.5 * v)) AS t
+  FROM (SELECT y, z, {_columns('y')} AS yc FROM {p}{k})),
+{p}{k + 1} AS MATERIALIZED (SELECT {_times('y', 'tc')} AS y, {_times('t', 'zc')} AS z
+  FROM (SELECT y, z, t, {_columns('t')} AS tc, {_columns('z')} AS zc FROM {p}t{k}))""")
+    steps.append(f"""{name} AS (SELECT m.d + f.tr - 2 * sqrt(f.f) * list_sum(list_transform(l.y, lambda r, i: r[i])) AS fid
+  FROM {p}m m, {p}f f, {p}{ROOT_STEPS} l)""")
+    return ",\n".join(steps)
+
+
+_SPATIAL = f"i % {SPATIAL_C} < 7"
+
+
+@register("frechet_distance", ids=("V7", "F27"), sql=f"""
+WITH {_MOMENT_X}, {_frechet_sql('pooled')}, {_frechet_sql('spatial', _SPATIAL)}
+SELECT round((SELECT fid FROM pooled), 6) AS fid, round((SELECT fid FROM spatial), 6) AS sfid
+""")
 def q_frechet_distance(spark, sf):
     ref, smp, _ = _sets(spark, sf)
     fid = M.frechet_distance(ref, smp, "embedding")
     sp = lambda d: d.withColumn("spatial", slice_channels("embedding", SPATIAL_C, 7))
     sfid = M.frechet_distance(sp(ref), sp(smp), "spatial")
-    return spark.createDataFrame([(float(fid), float(sfid))], "fid double, sfid double")
+    return spark.createDataFrame([(round(float(fid), 6), round(float(sfid), 6))], "fid double, sfid double")
 
 
 _IS_LOGITS = f"""
@@ -205,10 +254,23 @@ def evaluate_frame(spark, sf):
     sp = lambda d: _logits(d).withColumn("spatial", slice_channels("embedding", SPATIAL_C, 7))
     r = M.evaluate(sp(ref), sp(smp), "vec_id", "embedding", "logits", spatial="spatial", k=K, split_size=SPLIT)
     cols = ["inception_score", "fid", "sfid", "precision", "recall"]
-    return spark.createDataFrame([tuple(float(r[c]) for c in cols)], ", ".join(f"{c} double" for c in cols))
+    return spark.createDataFrame([tuple(round(float(r[c]), 6) for c in cols)], ", ".join(f"{c} double" for c in cols))
 
 
-register("evaluate", ids=("V9", "V6", "V7", "V8"))(evaluate_frame)
+# the score of the sample half alone; precision and recall from the radii of either half
+EVALUATE_SQL = f"""
+WITH {_MOMENT_X}, {_frechet_sql('pooled')}, {_frechet_sql('spatial', _SPATIAL)}, {_E},
+{_IS_LOGITS.replace('FROM embeddings)', 'FROM embeddings WHERE label >= 5)')} {_IS_TAIL},
+{_radii_sql('ref', 'rr')}, {_radii_sql('smp', 'sr')},
+pairs AS (SELECT a.vec_id AS rid, b.vec_id AS sid, {_DIST} AS d FROM ref a, smp b),
+pp AS (SELECT sid, bool_or(d <= rr.radius) AS ins FROM pairs JOIN rr ON rid = rr.vec_id GROUP BY sid),
+rc AS (SELECT rid, bool_or(d <= sr.radius) AS ins FROM pairs JOIN sr ON sid = sr.vec_id GROUP BY rid)
+SELECT (SELECT round(avg(score), 6) FROM s) AS inception_score, round((SELECT fid FROM pooled), 6) AS fid,
+  round((SELECT fid FROM spatial), 6) AS sfid,
+  round((SELECT avg(CAST(ins AS DOUBLE)) FROM pp), 6) AS precision,
+  round((SELECT avg(CAST(ins AS DOUBLE)) FROM rc), 6) AS recall"""
+
+register("evaluate", ids=("V9", "V6", "V7", "V8"), sql=EVALUATE_SQL)(evaluate_frame)
 
 
 def classifier_weights(dim: int = 64, classes: int = 10):

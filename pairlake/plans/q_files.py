@@ -14,6 +14,7 @@ from pairlake.operators.encode import encode_features, linear_model_factory
 from pairlake.operators.pairing import infer_labels_from_dirs
 from pairlake.operators.stats import rank_mean
 from pairlake.plans import standins as T
+from pairlake.plans.q_eval import EVALUATE_SQL, evaluate_frame
 from pairlake.plans.q_stats import _A7, _metric_rows
 from pairlake.plans.registry import register
 from pairlake.session import checkpoint_dir, load_table
@@ -241,10 +242,11 @@ def q_concat_batches(spark, sf):
                           e.filter("label >= 5").select("vec_id", "label"), order="vec_id")
 
 
-@register("eval_report", ids=("K5", "S10", "V9"))
+@register("eval_report", ids=("K5", "S10", "V9"), sql=f"""
+SELECT *, true AS cfg_cond, CAST(1 AS INTEGER) AS stored_runs FROM ({EVALUATE_SQL})
+""")
 def q_eval_report(spark, sf):
     from pairlake.operators.catalog import format_eval_report
-    from pairlake.plans.q_eval import evaluate_frame
     from pairlake.sinks.files import append_eval_report
     metrics = evaluate_frame(spark, sf).withColumn("run_id", F.lit("halves"))
     table = _scratch(spark, "reports-table")
