@@ -187,16 +187,24 @@ def collect_grouped_moments(moments: DataFrame, by: str) -> dict:
 # ---------------------------------------------------------------- V2 tiles
 
 
-def n_blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / block_rows))
+MOST_BLOCK_ROWS = 1 << 18  # of a tile's side; the kernels chunk their distance blocks
+
+
+def grid_blocks(spark, n: int, block_rows: int) -> int:
+    """Blocks of one side: enough for four tiles a task slot, no more than
+    ``block_rows`` rows each would give, and no block above
+    ``MOST_BLOCK_ROWS``.  So a row is copied to as many tiles as the cluster
+    is wide, not to N / block_rows of them."""
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(1, min(math.ceil(n / block_rows), max(math.ceil(math.sqrt(4 * width)), math.ceil(n / MOST_BLOCK_ROWS))))
 
 
 def tile_sides(a: DataFrame, b: DataFrame, a_id: str, b_id: str, block_rows: int,
                na: int | None = None, nb: int | None = None):
     """Tag each row with its block on its own side and replicate it over the
     other side's blocks, giving the tile key ``t`` = (block_a, block_b)."""
-    na = na or n_blocks(a, block_rows)
-    nb = nb or n_blocks(b, block_rows)
+    na = na or grid_blocks(a.sparkSession, a.count(), block_rows)
+    nb = nb or grid_blocks(b.sparkSession, b.count(), block_rows)
     # block = hash of the whole row (id and vector), so repeated ids with
     # different vectors still spread over blocks
     ba = F.pmod(F.xxhash64(*[F.col(c) for c in a.columns]), F.lit(na))
@@ -217,15 +225,15 @@ def _tile_width(spark, tiles: int) -> int:
 def tile_apply_self_grouped(df: DataFrame, group: str, kernel, schema: str, block_rows: int = 4096,
                             counts: dict | None = None) -> DataFrame:
     """Self-join tiles inside each group: rows of group g meet only rows of
-    group g, all groups in one cogroup pass.  Group g gets ceil(n_g /
-    block_rows) blocks; its tile keys are offset so they never clash with
+    group g, all groups in one cogroup pass.  Group g gets its own
+    grid of blocks; its tile keys are offset so they never clash with
     another group's.  ``counts`` ({group: rows}, O(#groups)) skips the
     counting job when known."""
     if counts is None:
         counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
     nb, off, acc = {}, {}, 0
     for g in sorted(counts, key=str):
-        nb[g] = max(1, math.ceil(counts[g] / block_rows))
+        nb[g] = grid_blocks(df.sparkSession, counts[g], block_rows)
         off[g] = acc
         acc += nb[g] * nb[g]
     as_map = lambda d: F.create_map(*[x for g, v in d.items() for x in (F.lit(g), F.lit(v))])
@@ -254,8 +262,8 @@ def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema:
                block_rows: int = 4096, rows_a: int | None = None, rows_b: int | None = None) -> DataFrame:
     """Run ``kernel(a_table, b_table) -> pa.Table`` once per tile.  Row counts
     already known to the caller can be passed to skip the counting jobs."""
-    na = max(1, math.ceil(rows_a / block_rows)) if rows_a is not None else None
-    nb = max(1, math.ceil(rows_b / block_rows)) if rows_b is not None else None
+    na = grid_blocks(a.sparkSession, rows_a, block_rows) if rows_a is not None else None
+    nb = grid_blocks(b.sparkSession, rows_b, block_rows) if rows_b is not None else None
     a_t, b_t, tiles = tile_sides(a, b, a_id, b_id, block_rows, na, nb)
     a_t, b_t = _co_partition(a_t, b_t, _tile_width(a.sparkSession, tiles))
     return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)

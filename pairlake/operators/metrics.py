@@ -19,7 +19,9 @@ from pairlake.operators.linalg import (collect_grouped_moments, feature_moments,
                                        tile_apply_self_grouped,
                                        tile_apply, to_matrix)
 
-CHUNK = 1024  # rows of A per GEMM inside a tile: bounds the distance block
+def _chunk(others: int) -> int:
+    """Rows of A per GEMM inside a tile: bounds the distance block to 4M doubles."""
+    return max(1, min(1024, (1 << 22) // max(1, others)))
 
 
 def _ids(t: pa.Table, name: str) -> np.ndarray:
@@ -36,8 +38,9 @@ def _knn_kernel(k: int):
         xa, xb, ids = to_matrix(a.column("x")), to_matrix(b.column("x")), _ids(a, "id")
         m = min(k + 1, len(xb))
         out = []
-        for s in range(0, len(xa), CHUNK):
-            d = sq_dists(xa[s:s + CHUNK], xb)
+        step = _chunk(len(xb))
+        for s in range(0, len(xa), step):
+            d = sq_dists(xa[s:s + step], xb)
             part = np.partition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else d
             out.extend(np.sort(part, axis=1).tolist())
         return pa.table({"id": pa.array(ids, pa.int64()), "d": pa.array(out, pa.list_(pa.float64()))})
@@ -166,8 +169,9 @@ def _manifold_kernel(eps: float):
         rr = r.column("r").to_numpy(zero_copy_only=False).astype(np.float64)
         rid = _ids(r, "id")
         ins, real, mind, near = [], [], [], []
-        for s in range(0, len(xe), CHUNK):
-            d = sq_dists(xe[s:s + CHUNK], xr)
+        step = _chunk(len(xr))
+        for s in range(0, len(xe), step):
+            d = sq_dists(xe[s:s + step], xr)
             ins.append((d <= rr[None, :]).any(axis=1))
             real.append((rr[None, :] / (d + eps)).max(axis=1))
             # nearest: smallest distance, then smallest id on ties
@@ -218,10 +222,11 @@ def _pr_kernel():
         rb = b.column("r").to_numpy(zero_copy_only=False).astype(np.float64)
         a_in = np.zeros(len(xa), bool)
         b_in = np.zeros(len(xb), bool)
-        for s in range(0, len(xa), CHUNK):
-            d = sq_dists(xa[s:s + CHUNK], xb)
-            a_in[s:s + CHUNK] = (d <= rb[None, :]).any(axis=1)
-            b_in |= (d <= ra[s:s + CHUNK, None]).any(axis=0)
+        step = _chunk(len(xb))
+        for s in range(0, len(xa), step):
+            d = sq_dists(xa[s:s + step], xb)
+            a_in[s:s + step] = (d <= rb[None, :]).any(axis=1)
+            b_in |= (d <= ra[s:s + step, None]).any(axis=0)
         return pa.table({"side": pa.array(["ref"] * len(xa) + ["sample"] * len(xb)),
                          "id": pa.array(np.concatenate([_ids(a, "id"), _ids(b, "id")]), pa.int64()),
                          "inside": pa.array(np.concatenate([a_in, b_in]))})
