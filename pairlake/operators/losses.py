@@ -16,28 +16,29 @@ from pairlake.functions.vectors import l2_normalise, row_mean
 from pairlake.operators.batching import roll
 
 
-def sample_time(key, weighting: str = "uniform", path: str = "linear", seed: int = 0) -> Column:
+def sample_time(key, weighting: str = "uniform", path: str = "linear", seed: int = 0, fast: bool = False) -> Column:
     """t per row: uniform B1 draw, or F19 of a normal draw (lognormal sigma)."""
     if weighting == "uniform":
-        return hash_uniform(key, seed, 0)
+        return hash_uniform(key, seed, 0, fast)
     if weighting == "lognormal":
-        return lognormal_time(hash_normal(key, seed, 0), path)
+        return lognormal_time(hash_normal(key, seed, 0, fast), path)
     raise ValueError(f"unknown weighting {weighting!r}")
 
 
-def noise(x, key, seed: int = 1) -> Column:
+def noise(x, key, seed: int = 1, fast: bool = False) -> Column:
     """Element-wise standard normal draws keyed by (row key, position)."""
-    return F.transform(as_double_array(x), lambda v, i: hash_normal(key, seed, i))
+    return F.transform(as_double_array(x), lambda v, i: hash_normal(key, seed, i, fast))
 
 
 def noised_pairs(df: DataFrame, x: str, key: str, weighting: str = "uniform", path: str = "linear",
-                 shift: bool = False, shift_base: int = 4096, seed: int = 0) -> DataFrame:
+                 shift: bool = False, shift_base: int = 4096, seed: int = 0, fast: bool = False) -> DataFrame:
     """L1: t (optionally time-shifted with dim = tensor size), noise eps,
-    x_t = alpha x + sigma eps and the velocity target d_alpha x + d_sigma eps."""
-    t = sample_time(key, weighting, path, seed)
+    x_t = alpha x + sigma eps and the velocity target d_alpha x + d_sigma eps.
+    ``fast`` draws by xxhash64 instead of the portable md5."""
+    t = sample_time(key, weighting, path, seed, fast)
     if shift:
         t = time_shift(t, F.size(x), shift_base)
-    out = df.withColumn("t", t).withColumn("eps", noise(x, key, seed + 1))
+    out = df.withColumn("t", t).withColumn("eps", noise(x, key, seed + 1, fast))
     ip = interpolant("t", path)
     out = out.withColumn("_ip", ip)
     xs = as_double_array(x)
@@ -94,6 +95,23 @@ def total_loss(per_row: DataFrame, batch: str, cfm: DataFrame, proj_coeff: float
                         + F.lit(cfm_coeff) * F.col("cfm_loss"))
 
 
+def batch_losses(df: DataFrame, batch: str, pos: str, pred: str, target: str, dim: int, t: str | None = None,
+                 proj_coeff: float = 0.5, cfm_coeff: float = 0.05) -> DataFrame:
+    """L2-L5 per batch from one roll window and one aggregation, which share
+    the shuffle on ``batch``: mean denoising and projection losses, the
+    contrastive loss (and its ``t``-weighted form if ``t`` is given), total."""
+    e = roll(df, batch, pos, target, "_rolled").select(
+        batch, denoise_loss(pred, target).alias("_d"), projection_loss(pred, target, dim).alias("_p"),
+        F.aggregate(sq_err(pred, "_rolled"), F.lit(0.0), lambda s, v: s + v).alias("_s"), F.size(pred).alias("_n"),
+        (F.col(t) if t else F.lit(None).cast("double")).alias("_t"))
+    out = e.groupBy(batch).agg(F.avg("_d").alias("denoise"), F.avg("_p").alias("proj"),
+                               (-F.sum("_s") / F.sum("_n")).alias("cfm_loss"),
+                               (-F.sum(F.col("_s") * F.col("_t")) / F.sum("_n")).alias("cfm_linear"))
+    out = out if t else out.drop("cfm_linear")
+    return out.withColumn("loss", F.col("denoise") + F.lit(proj_coeff) * F.col("proj")
+                          + F.lit(cfm_coeff) * F.col("cfm_loss"))
+
+
 # ---------------------------------------------------------------- posterior
 
 
@@ -148,8 +166,8 @@ def posterior_mode(post) -> Column:
     return col(post)["mean"]
 
 
-def posterior_sample(post, key, seed: int = 0) -> Column:
+def posterior_sample(post, key, seed: int = 0, fast: bool = False) -> Column:
     """Mean + std * eps with eps keyed by (row key, position)."""
     p = col(post)
     pairs = F.arrays_zip(p["mean"].alias("m"), p["std"].alias("s"))
-    return F.transform(pairs, lambda z, i: z["m"] + z["s"] * hash_normal(key, seed, i))
+    return F.transform(pairs, lambda z, i: z["m"] + z["s"] * hash_normal(key, seed, i, fast))

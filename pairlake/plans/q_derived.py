@@ -294,12 +294,7 @@ SELECT batch, round(denoise, 6) AS denoise, round(proj, 6) AS proj, round(cfm_lo
 """)
 def q_batch_losses(spark, sf):
     p = _pred_table(spark, sf)
-    rows = p.select("batch", L.denoise_loss("pred", "target").alias("denoise"),
-                    L.projection_loss("pred", "target", 8).alias("proj"))
-    cfm = L.contrastive_loss(p, "batch", "pos", "pred", "target")
-    lin = L.contrastive_loss(p, "batch", "pos", "pred", "target", t="t", weighting="linear").withColumnRenamed(
-        "cfm_loss", "cfm_linear")
-    tot = L.total_loss(rows, "batch", cfm).join(lin, "batch")
+    tot = L.batch_losses(p, "batch", "pos", "pred", "target", 8, t="t")
     return tot.select("batch", *[F.round(c, 6).alias(c) for c in ("denoise", "proj", "cfm_loss", "cfm_linear", "loss")])
 
 
