@@ -46,9 +46,9 @@ _EPOCH_SQL = f"""eo AS (
 eg AS (SELECT *, position + epoch * (SELECT count(*) FROM documents) AS global_position FROM eo)"""
 
 
-def _epochs(spark, sf):
+def _epochs(spark, sf, epochs=2):
     d = load_table(spark, sf, "documents").select("doc_id")
-    return B.epoch_order(d, "doc_id", epochs=2, seed=5)
+    return B.epoch_order(d, "doc_id", epochs=epochs, seed=5)
 
 
 @register("epoch_order", ids=("B2", "W1"), sql=f"""
@@ -75,7 +75,7 @@ b AS (SELECT doc_id, position, CAST(position // 64 AS BIGINT) AS batch, CAST(pos
 
 
 def _batches(spark, sf):
-    e = _epochs(spark, sf).filter(F.col("epoch") == 0)
+    e = _epochs(spark, sf, epochs=1)
     n = load_table(spark, sf, "documents").count()
     return B.assign_workers(B.batch_rows(e, "position", 64, drop_last=True, n=n), "position", 8)
 
