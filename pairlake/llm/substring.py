@@ -15,9 +15,10 @@ a reference shard.  Only anchors that two documents share go on:
   in ascending document order; each piece is streamed through the automaton of
   the smaller documents for its matching statistics, and the windows that end
   where the match is ``length`` words or longer are repeats;
-* an anchor of more than ``shard_pieces`` occurrences (a passage that a large
-  part of the corpus quotes) is cut into its single windows, whose pieces have
-  the same words by definition, so the first rule holds for them.
+* for an anchor of more than ``shard_pieces`` occurrences (a passage that a
+  large part of the corpus quotes) the distinct pieces are cut into their single
+  windows, whose least document is a grouped minimum, so that no automaton
+  outgrows a task.
 
 Thus no shard is larger than a task holds, nothing is compared across shards,
 and each automaton goes to the task that streams its shard instead of being
@@ -152,10 +153,11 @@ def _anchor_rows(length: int):
 
 
 def _cut_rows(length: int):
-    """(text, wanted pieces) -> their words; of crowded pieces each window, as a
-    64-bit anchor and another 64-bit hash in place of the words."""
-    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("first", pa.int32()),
-                               ("words", pa.binary())]))
+    """(text, wanted pieces) -> their words; of crowded pieces each window: its
+    place in the piece and two 64-bit hashes of its words."""
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("words", pa.binary()),
+                               ("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+    names = ("anchor", "piece", "words", "place", "h1", "h2")
 
     def kernel():
         import xxhash
@@ -164,17 +166,18 @@ def _cut_rows(length: int):
             rows, text = [], Windows(raw)
             for w in wanted:
                 if not w["crowded"]:
-                    rows.append({"anchor": w["anchor"], "piece": w["piece"], "first": w["first"],
-                                 "words": text.part(w["first"], w["wins"] + length - 1)})
+                    words = text.part(w["first"], w["wins"] + length - 1)
+                    rows.append((w["anchor"], w["piece"], words, None, None, None))
                     continue
-                for i in range(w["first"], w["first"] + w["wins"]):
-                    part = text.part(i, length)
-                    rows.append({"anchor": _signed(xxhash.xxh3_64_intdigest(part)), "first": i, "words": None,
-                                 "piece": _signed(xxhash.xxh64_intdigest(part, seed=7))})
-            return rows
+                for i in range(w["wins"]):
+                    part = text.part(w["first"] + i, length)
+                    rows.append((w["anchor"], w["piece"], None, i, _signed(xxhash.xxh3_64_intdigest(part)),
+                                 _signed(xxhash.xxh64_intdigest(part, seed=7))))
+            return [dict(zip(names, r, strict=True)) for r in rows]
         return lambda texts, wanted: pa.array(map(cut, as_bytes(texts), wanted.to_pylist()), type=kind)
 
-    return arrow_column(kernel, "array<struct<anchor: bigint, piece: bigint, first: int, words: binary>>")
+    return arrow_column(kernel, "array<struct<anchor: bigint, piece: bigint, words: binary, place: int, h1: bigint, "
+                                "h2: bigint>>")
 
 
 def _automata(length: int):
@@ -221,30 +224,27 @@ def repeated_windows(docs: DataFrame, length: int, shard_pieces: int) -> DataFra
     live = written(rows.join(shared, "anchor"), "pieces")
     alike = live.filter("same and _id > least").select("_id", "_t", "first", "wins")
     # the other anchors: distinct pieces, at their first place in their least document
-    mixed = live.filter("not same and not crowded").select("_id", "_t", "anchor", "piece", "first", "wins")
-    firsts = mixed.groupBy("anchor", "piece").agg(F.min(F.struct("_id", "_t", "first", "wins")).alias("at"))
-    wanted = (firsts.select("at._id", "at._t", F.struct("anchor", "piece", "at.first", "at.wins",
-                                                        F.lit(False).alias("crowded")).alias("w"))
-              .union(live.filter("crowded").select("_id", "_t", F.struct("anchor", "piece", "first", "wins",
-                                                                         "crowded").alias("w"))))
+    mixed = live.filter("not same").select("_id", "_t", "anchor", "piece", "first", "wins", "crowded")
+    firsts = mixed.groupBy("anchor", "piece").agg(
+        F.min(F.struct("_id", "_t", "first", "wins", "crowded")).alias("at"))
+    wanted = firsts.select("at._id", "at._t", F.struct("anchor", "piece", "at.first", "at.wins", "at.crowded").alias("w"))
     places = named.join(wanted.groupBy("_id", "_t").agg(F.collect_list("w").alias("w")), ["_id", "_t"])
-    cut = written(places.select("_id", "_t", F.explode(_cut_rows(length)(F.col("_text"), F.col("w"))).alias("c"))
-                  .select("_id", "_t", "c.*"), "cut")
+    cut = written(places.select("_id", F.explode(_cut_rows(length)(F.col("_text"), F.col("w"))).alias("c"))
+                  .select("_id", "c.*"), "cut")
     flagged = (cut.filter("words is not null").select("anchor", "_id", "piece", "words")
                .repartition("anchor").sortWithinPartitions("anchor", "_id")
                .mapInArrow(_automata(length), "anchor long, piece long, repeats array<int>"))
+    single = cut.filter("words is null").select("_id", "anchor", "piece", "place", "h1", "h2")
+    least = single.groupBy("h1", "h2").agg(F.min("_id").alias("least"))
+    flagged = flagged.union(single.join(least, ["h1", "h2"]).filter("_id > least").groupBy("anchor", "piece")
+                            .agg(F.collect_list("place").alias("repeats")))
     known = firsts.select("anchor", "piece", F.col("at._id").alias("least")).join(flagged, ["anchor", "piece"], "left")
     resolved = (mixed.join(known, ["anchor", "piece"]).filter("_id > least or repeats is not null")
                 .select("_id", "_t", F.explode(F.expr(
                     "if(_id > least, array(named_struct('first', first, 'wins', wins)), "
                     "transform(repeats, i -> named_struct('first', first + i, 'wins', 1)))"
                 )).alias("r")).select("_id", "_t", "r.first", "r.wins"))
-    single = cut.filter("words is null").select("_id", "_t", "anchor", "piece", "first")
-    least = single.groupBy("anchor", "piece").agg(F.min("_id").alias("least"))
-    windows = (single.join(least, ["anchor", "piece"]).filter("_id > least")
-               .select("_id", "_t", "first", F.lit(1).alias("wins")))
-    return (alike.union(resolved).union(windows)
-            .groupBy("_id", "_t").agg(F.collect_list(F.struct("first", "wins")).alias("runs")))
+    return alike.union(resolved).groupBy("_id", "_t").agg(F.collect_list(F.struct("first", "wins")).alias("runs"))
 
 
 def _kept(length: int):
