@@ -120,11 +120,19 @@ def is_url(url, allow_file_urls: bool = False) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def cache_name(url, name) -> Column:
+CACHE_NAME_CHARS = 128
+
+
+def cache_name_was_cut(name, chars: int = CACHE_NAME_CHARS) -> Column:
+    """True where ``cache_name`` does not hold the whole name."""
+    return F.length(col(name)) > chars
+
+
+def cache_name(url, name, chars: int = CACHE_NAME_CHARS) -> Column:
     """``md5(url) + '_' + name`` with unsafe characters replaced by '_' and
-    the safe name cut to 128 characters."""
+    the safe name cut to ``chars`` characters (see ``cache_name_was_cut``)."""
     safe = F.regexp_replace(col(name), r"[^0-9a-zA-Z\-._]", "_")
-    return F.concat(F.md5(col(url)), F.lit("_"), F.substring(safe, 1, 128))
+    return F.concat(F.md5(col(url)), F.lit("_"), F.substring(safe, 1, chars))
 
 
 def disposition_name(header, url) -> Column:

@@ -90,6 +90,15 @@ def pair_by_id(images: DataFrame, features: DataFrame, path: str = "path") -> Da
     return j.withColumn("status", status)
 
 
+def repeated_ids(images: DataFrame, features: DataFrame, path: str = "path") -> DataFrame:
+    """Ids that several files of a side share: J4 pairs each of one side with
+    each of the other, so check these before pairing by id."""
+    sides = (images.select(extract_id(path).alias("id"), F.lit(1).alias("i"), F.lit(0).alias("f"))
+             .unionAll(features.select(extract_id(path).alias("id"), F.lit(0).alias("i"), F.lit(1).alias("f"))))
+    return (sides.groupBy("id").agg(F.sum("i").alias("n_images"), F.sum("f").alias("n_features"))
+            .filter("n_images > 1 or n_features > 1"))
+
+
 def pairing_audit(images: DataFrame, features: DataFrame, path: str = "path") -> DataFrame:
     """Images whose positional partner differs from their id partner -- the
     rows a positional pairing would silently mislabel.  Counts may differ

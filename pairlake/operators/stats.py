@@ -116,13 +116,14 @@ def _nan_to_num_scalar(v: Column) -> Column:
 def replica_consistency(df: DataFrame, name: str = "name", replica: str = "replica", value: str = "value",
                         ignore_regex: str | None = None) -> DataFrame:
     """Names whose value differs from replica 0 on some replica, after
-    NaN/inf replacement; names fully matching ``ignore_regex`` are skipped.
-    One aggregation: a name is consistent when all replicas agree."""
+    NaN/inf replacement, and names that replica 0 does not report; names fully
+    matching ``ignore_regex`` are skipped.  One aggregation: a name is
+    consistent when all replicas agree."""
     d = df if ignore_regex is None else df.filter(~F.col(name).rlike(f"^(?:{ignore_regex})$"))
     v = _nan_to_num_scalar(F.col(value).cast("double"))
     per = d.groupBy(name).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"),
                               F.max(F.when(F.col(replica) == 0, v)).alias("_ref"))
-    return per.filter((F.col("_lo") != F.col("_ref")) | (F.col("_hi") != F.col("_ref"))).select(
+    return per.filter(F.col("_ref").isNull() | (F.col("_lo") != F.col("_ref")) | (F.col("_hi") != F.col("_ref"))).select(
         name, F.col("_ref").alias("replica0"), F.col("_lo").alias("min_value"), F.col("_hi").alias("max_value"))
 
 
@@ -137,8 +138,9 @@ def name_set_fingerprints(df: DataFrame, rank: str = "rank", pos: str = "pos", n
 def name_set_consistency(df: DataFrame, rank: str = "rank", pos: str = "pos", name: str = "name") -> bool:
     """A10: True when every rank reported the same names in the same order;
     raises otherwise (as the collector's sync does)."""
-    fp = name_set_fingerprints(df, rank, pos, name)
-    n = fp.select("n_names", "fingerprint").distinct().count()
+    wide = F.bit_xor(F.xxhash64(pos, name)).alias("wide")  # two independent fingerprints: sums of 32 bits can collide
+    fp = name_set_fingerprints(df, rank, pos, name).join(df.groupBy(rank).agg(wide), rank)
+    n = fp.select("n_names", "fingerprint", "wide").distinct().count()
     if n > 1:
         raise ValueError("the ranks do not report the same names in the same order")
     return True

@@ -166,6 +166,7 @@ v AS (SELECT name, replica, CASE WHEN isnan(value) THEN 0.0 ELSE value END AS v
       WHERE NOT regexp_full_match(name, '.*#1\\d*'))
 SELECT name, max(CASE WHEN replica = 0 THEN v END) AS replica0, min(v) AS min_value, max(v) AS max_value
 FROM v GROUP BY name HAVING min(v) <> max(CASE WHEN replica = 0 THEN v END) OR max(v) <> max(CASE WHEN replica = 0 THEN v END)
+  OR max(CASE WHEN replica = 0 THEN v END) IS NULL
 """)
 def q_replica_consistency(spark, sf):
     p = load_table(spark, sf, "part")

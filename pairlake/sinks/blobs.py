@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zipfile
 import zlib
 
@@ -44,6 +45,17 @@ def npy_bytes(arr: np.ndarray) -> bytes:
     return buf.getvalue()
 
 
+def _publish(fs, path: str, data: bytes) -> None:
+    """Write under a temporary name, then move to the final one, so that a lost
+    or repeated task never leaves a torn file."""
+    folder, name = path.rsplit("/", 1)
+    fs.create_dir(folder, recursive=True)
+    hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(hidden) as out:
+        out.write(data)
+    fs.move(hidden, path)
+
+
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
     """One file per row: ``folder/<name>`` gets the row's ``content`` bytes.
     Returns (name, size) rows; the files are written when it is evaluated."""
@@ -53,10 +65,7 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
             names = rb.column(name).to_pylist()
             sizes = []
             for n, data in zip(names, rb.column(content).to_pylist()):
-                path = f"{base.rstrip('/')}/{n}"
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(path) as out:
-                    out.write(data)
+                _publish(fs, f"{base.rstrip('/')}/{n}", data)
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())],
                                              names=["name", "size"])
@@ -90,9 +99,7 @@ def write_archives(df: DataFrame, folder: str, kind: str, name: str, content: st
         else:
             raise ValueError(f"unknown archive kind {kind!r}")
         fname = f"part-{part:05d}.{kind}"
-        fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base.rstrip('/')}/{fname}") as out:
-            out.write(buf.getvalue())
+        _publish(fs, f"{base.rstrip('/')}/{fname}", buf.getvalue())
         yield pa.RecordBatch.from_arrays([pa.array([fname]), pa.array([t.num_rows], pa.int64())],
                                          names=["archive", "rows"])
     cols = list(dict.fromkeys(c for c in (name, content, matrix, key) if c))

@@ -115,13 +115,19 @@ def _bgr_to_rgb(batches):
         yield pa.RecordBatch.from_arrays(cols, names=[n for n in rb.schema.names if n != "data"] + ["data"])
 
 
+def _image_glob() -> str:
+    """Glob of the image extensions in any case, so other files are not read."""
+    either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in IMAGE_EXTS]
+    return "*{" + ",".join(either) + "}"
+
+
 def read_images(spark: SparkSession, root: str, on_error: str = "fail") -> DataFrame:
     """Decoded images (path, height, width, n_channels, mode, data) with
     channels in RGB order (Spark's image source yields BGR).  ``on_error``:
     'fail' raises on an undecodable image file, 'drop' skips it."""
     uri = _uri(root)
     raw = (spark.read.format("image").option("dropInvalid", on_error == "drop")
-           .option("recursiveFileLookup", "true").load(uri))
+           .option("recursiveFileLookup", "true").option("pathGlobFilter", _image_glob()).load(uri))
     img = raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
                      F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"),
                      F.col("image.mode").alias("mode"), F.col("image.data").alias("data"))

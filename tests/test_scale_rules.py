@@ -13,6 +13,8 @@ from pairlake.operators.channels import channel_stats
 from pairlake.operators.index import first_n, global_index
 from pairlake.operators.linalg import feature_moments, grid_blocks
 from pairlake.operators.sampling import sample_exact
+from pairlake.operators import stats as ST
+from pairlake.operators.pairing import repeated_ids
 from pairlake.operators.stats import keep_previous
 from tools.oracle_check import digest
 
@@ -126,3 +128,14 @@ def test_fast_draws_keep_the_distribution(spark):
     df = spark.range(4000).select("id", F.array(F.lit(0.0)).alias("x"))
     eps = np.array([r[0] for r in L.noised_pairs(df, "x", "id", fast=True).select(F.col("eps")[0]).collect()])
     assert abs(eps.mean()) < 0.06 and abs(eps.std() - 1) < 0.05
+
+
+def test_replica_zero_must_report(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0), ("b", 1, 2.0)], "name string, replica int, value double")
+    assert [r["name"] for r in ST.replica_consistency(df).collect()] == ["b"]
+
+
+def test_repeated_ids_are_reported(spark):
+    images = spark.createDataFrame([("x/img1.png",), ("x/img1.jpg",), ("x/img2.png",)], "path string")
+    features = spark.createDataFrame([("x/img-latents-1.npy",), ("x/img-latents-2.npy",)], "path string")
+    assert [tuple(r) for r in repeated_ids(images, features).collect()] == [("x/1", 2, 1)]
