@@ -125,10 +125,10 @@ class ChunkEncoder:
     32-bit integers, called once for all new pre-tokens of a piece.  Two
     generations of remembered chunks bound the memory."""
 
-    def __init__(self, split, encode_words, entries: int = 250_000, max_key: int = 64):
+    def __init__(self, split, encode_words, entries: int = 80_000, max_key: int = 48):
         self._split, self._encode_words, self._entries, self._max_key = split, encode_words, entries, max_key
-        self._known: dict[str, bytes | None] = {}  # ids of a blank and the key; None: no clean cut beside the key
-        self._old: dict[str, bytes | None] = {}
+        self._known: dict[str, bytes] = {}  # ids of a blank and the key; empty: no clean cut beside the key
+        self._old: dict[str, bytes] = {}
         self._marks = dict(zip(MARKS, encode_words(list(MARKS)), strict=True))
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
@@ -145,14 +145,14 @@ class ChunkEncoder:
             elif p.isalpha():
                 words.append(p)
             elif not p or p[0] in BLANKS or p[-1] in BLANKS:
-                known[p] = None
+                known[p] = b""
             elif p[-1] in MARKS and p[:-1].isalpha():
                 marked.append(p)
             else:
                 other.append(p)
         for p in rare:
             if not p or p[0] in BLANKS or p[-1] in BLANKS:
-                known[p] = None
+                known[p] = b""
             else:
                 other.append(p)
         have = set(words)
@@ -164,27 +164,34 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self._known) > self._entries:
-            self._known, self._old = {}, {p: v for p, v in self._known.items() if len(p) <= self._max_key}
-        split = [(t or "").split(" ") for t in texts]
-        common, rare = set(), set()
-        for t, parts in zip(texts, split, strict=True):
-            (rare if t and RARE.search(t) else common).update(parts)
-        self._learn(common.difference(self._known), rare.difference(self._known, common))
-        starts = self._encode([parts[0] for parts in split])
-        out = [self._text(parts, start) for parts, start in zip(split, starts, strict=True)]
+            self._known, self._old = {}, self._known
+        known, rows, common, rare = self._known, [], set(), set()
+        for text in texts:
+            parts = (text or "").split(" ")
+            ids = list(map(known.get, parts))
+            holes = [i for i, x in enumerate(ids) if x is None]
+            if holes:
+                (rare if text and RARE.search(text) else common).update([parts[i] for i in holes])
+            rows.append((parts, ids, holes))
+        self._learn(common, rare.difference(common))
+        for parts, ids, holes in rows:
+            for i in holes:
+                ids[i] = known[parts[i]]
+        starts = self._encode([parts[0] for parts, _, _ in rows])
+        out = [self._text(parts, ids, start) for (parts, ids, _), start in zip(rows, starts, strict=True)]
         for p in [p for p in (*common, *rare) if len(p) > self._max_key]:
-            self._known.pop(p, None)
+            known.pop(p, None)
         return out
 
-    def _text(self, parts: list[str], start: bytes) -> bytes:
-        ids = [start, *map(self._known.__getitem__, parts[1:])]
-        if None not in ids and (len(parts) == 1 or parts[0] and parts[0][-1] not in BLANKS):
+    def _text(self, parts: list[str], ids: list[bytes], start: bytes) -> bytes:
+        ids[0] = start
+        if b"" not in ids[1:] and (len(parts) == 1 or parts[0] and parts[0][-1] not in BLANKS):
             return b"".join(ids)
         out, first = [], 0  # parts that meet at an unclean blank are encoded together
         for i in range(1, len(parts) + 1):
             if i == len(parts) or (parts[i - 1] and parts[i - 1][-1] not in BLANKS
                                    and parts[i] and parts[i][0] not in BLANKS):
-                if i - first == 1 and first and ids[first] is not None:
+                if i - first == 1 and first and ids[first]:
                     out.append(ids[first])
                 else:
                     out += self._encode([(" " if first else "") + " ".join(parts[first:i])])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-PIECE_BYTES = 4 << 20  # text turned into Python objects at a time (one longer text is taken whole)
+PIECE_BYTES = 2 << 20  # text turned into Python objects at a time (one longer text is taken whole)
 
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
