@@ -53,5 +53,8 @@ def test_columns_and_redaction(spark):
 
 def test_very_long_runs_take_linear_time():
     finder = pii.Finder()
-    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "@" * 300_000, "+1" * 150_000, "0" * 9000 + ".1.1.1"):
+    assert finder("1" * 300_000) == finder("a" * 300_000 + "@") == finder("@" * 300_000) == finder("+1" * 150_000) == []
+    assert finder("1." * 120_000) == [("ip", 8 * i, 8 * i + 7) for i in range(30_000)]
+    for text in ("1" * 900, "1." * 900, "a" * 900 + "@", "@" * 900, "+1" * 900, "0" * 900 + ".1.1.1"):
         assert [s for s in finder(text) if s[0] in PLAIN] == plain(text)
+    assert finder("0" * 9000 + ".1.1.1") == [("ip", 0, 9006)]
