@@ -17,6 +17,7 @@ replaced; an empty table gives an empty table.
 import base64
 import re
 import struct
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -121,11 +122,12 @@ class ChunkEncoder:
     pattern (it can only be the optional leading blank of one), so texts are
     cut there; the chunks, and the pre-tokens within them, repeat a lot.
     ``split(chunk)`` gives the pre-tokens of a chunk and
-    ``encode_words(list) -> list of bytes`` their ids as little-endian unsigned
-    32-bit integers, called once for all new pre-tokens of a piece.  Two
+    ``encode_words(list, common) -> list of bytes`` their ids as little-endian
+    unsigned 32-bit integers, called once for all new pre-tokens of a piece
+    (``common``: none holds a rare character).  Two
     generations of remembered chunks bound the memory."""
 
-    def __init__(self, split, encode_words, entries: int = 80_000, max_key: int = 48):
+    def __init__(self, split, encode_words, entries: int = 120_000, max_key: int = 48):
         self._split, self._encode_words, self._entries, self._max_key = split, encode_words, entries, max_key
         self._known: dict[str, bytes] = {}  # ids of a blank and the key; empty: no clean cut beside the key
         self._old: dict[str, bytes] = {}
@@ -157,7 +159,7 @@ class ChunkEncoder:
                 other.append(p)
         have = set(words)
         words += {p[:-1] for p in marked if p[:-1] not in known and p[:-1] not in have}
-        known.update(zip(words, self._encode_words([" " + w for w in words]), strict=True))
+        known.update(zip(words, self._encode_words([" " + w for w in words], True), strict=True))
         for p in marked:
             known[p] = known[p[:-1]] + self._marks[p[-1]]
         known.update(zip(other, self._encode([" " + p for p in other]), strict=True))
@@ -200,7 +202,7 @@ class ChunkEncoder:
 
 
 class BytePairEncoder:
-    """The tokenizer of one rank file; built once per task.
+    """The tokenizer of one rank file.
     ``encode(list of texts) -> list of id bytes``."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -212,7 +214,7 @@ class BytePairEncoder:
         self._chars = byte_characters()
         self.encode = ChunkEncoder(PreTokenizer(pattern).split, self._encode_words)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str], common: bool = False) -> list[bytes]:
         out = [self._ids.get(w.encode()) for w in words]  # a token taken whole
         merged = [i for i, ids in enumerate(out) if ids is None]
         pieces = self._model.encode(["".join(map(self._chars.__getitem__, words[i].encode())) for i in merged],
@@ -222,11 +224,17 @@ class BytePairEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(ranks_path: str, pattern: str) -> BytePairEncoder:
+    """One per Python worker: the tasks that a worker runs share what it knows."""
+    return BytePairEncoder(load_ranks(ranks_path), pattern)
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append ``ids``: binary, the token ids of ``text`` as little-endian
     unsigned 32-bit integers (:func:`id_array` turns them into an array)."""
     def kernel():
-        encoder = BytePairEncoder(load_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
         return lambda texts: pa.array(encoder.encode(texts.to_pylist()), type=pa.binary())
 
     return without(df, [ids], [text]).withColumn(ids, arrow_column(kernel, "binary")(F.col(text)))

@@ -27,6 +27,7 @@ an empty folder with the schema.
 """
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(ids) and ids.max() >= len(_WIDTH):
         bits = np.searchsorted(_LIMITS, grid.ravel(), side="right").astype(np.uint8).reshape(grid.shape)
     else:
-        bits = _WIDTH[grid]
+        bits = _WIDTH[grid.astype(np.uint16)]
     widest = {1: bits}  # over the next n ids; built from shorter stretches
     choice = np.where(bits > 60, ESCAPE, len(SELECTORS) - 1).astype(np.uint8)
     for s in range(len(SELECTORS) - 2, -1, -1):
@@ -112,8 +113,10 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return grid[:, :RUN].ravel()[:n]
 
 
+@lru_cache(maxsize=1)
 def library_encoder(path: str):
-    """``encode(list of texts) -> list of id bytes`` of a byte-level BPE
+    """One per Python worker: the tasks that a worker runs share what it knows.
+    ``encode(list of texts) -> list of id bytes`` of a byte-level BPE
     tokenizer file, by the tokenizers library.  The strings of special tokens
     in a text are ordinary text."""
     import regex
@@ -132,11 +135,11 @@ def library_encoder(path: str):
     def split(chunk):  # characters on which Unicode versions differ are left to the library
         return [chunk] if RARE.search(chunk) else pattern.findall(chunk)
 
-    def encode_words(words):
+    def encode_words(words, common=False):
         mapped = "\0".join(words).encode().decode("latin-1").translate(alphabet).split(alphabet[0])
         if len(mapped) != len(words):  # a word with that control character
             mapped = [w.encode().decode("latin-1").translate(alphabet) for w in words]
-        return [b"".join([packed[t.id] for t in tokenize(m)]) if not RARE.search(w) else
+        return [b"".join([packed[t.id] for t in tokenize(m)]) if common or not RARE.search(w) else
                 b"".join([packed[i] for i in tokenizer.encode(w, add_special_tokens=False).ids])
                 for w, m in zip(words, mapped, strict=True)]
 
