@@ -17,7 +17,6 @@ replaced; an empty table gives an empty table.
 import base64
 import re
 import struct
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -202,7 +201,7 @@ class ChunkEncoder:
 
 
 class BytePairEncoder:
-    """The tokenizer of one rank file.
+    """The tokenizer of one rank file; built once per task.
     ``encode(list of texts) -> list of id bytes``."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -212,7 +211,7 @@ class BytePairEncoder:
         self._of_piece = [b"", *(struct.pack("<I", rank) for rank in sorted(ranks.values()))]
         self._model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self._chars = byte_characters()
-        self.encode = ChunkEncoder(PreTokenizer(pattern).split, self._encode_words)
+        self.encode = ChunkEncoder(PreTokenizer(pattern).split, self._encode_words, entries=60_000)
 
     def _encode_words(self, words: list[str], common: bool = False) -> list[bytes]:
         out = [self._ids.get(w.encode()) for w in words]  # a token taken whole
@@ -224,17 +223,11 @@ class BytePairEncoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder_of(ranks_path: str, pattern: str) -> BytePairEncoder:
-    """One per Python worker: the tasks that a worker runs share what it knows."""
-    return BytePairEncoder(load_ranks(ranks_path), pattern)
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append ``ids``: binary, the token ids of ``text`` as little-endian
     unsigned 32-bit integers (:func:`id_array` turns them into an array)."""
     def kernel():
-        encoder = encoder_of(ranks_path, pattern)
+        encoder = BytePairEncoder(load_ranks(ranks_path), pattern)
         return lambda texts: pa.array(encoder.encode(texts.to_pylist()), type=pa.binary())
 
     return without(df, [ids], [text]).withColumn(ids, arrow_column(kernel, "binary")(F.col(text)))
