@@ -9,8 +9,18 @@ ip       four dotted numbers from the first digit of a run, each at most 255
 card     digits with single blanks or hyphens, 14 to 19 of them, Luhn checksum
 phone    a plus sign, digits and separators, 10 to 15 digits
 url      scheme, host and path (http, https, ftp)
-account  the value after a cue (password, token, account, iban, ssn, ...), or a
-         cloud access key
+account  the value after a cue and its separators (number, no, is, then signs
+         of : = #), or a cloud access key.  Values have 6 characters, one of
+         them a digit, or more, and no upper length:
+         secrets (password, token, secret, api_key, ...) run to the closing
+         quote on their line if they open with a quote, else to the next blank
+         without closing punctuation;
+         numbers (account, ssn, passport, ...) are letters, digits and joints
+         (- _ / and . before a digit), then blank-separated groups of capitals
+         and digits with a digit;
+         an IBAN also stands in printed groups and without a separator, as
+         long as its check digits hold (mod 97), and so does an SSN of nine
+         digits without a separator
 
 The first four kinds equal a leftmost non-overlapping scan per kind: a parser
 starts at or after the end of its kind's previous match, and a match that fails
@@ -43,11 +53,20 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _URL = re.compile(r"[a-z]+://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?", re.I)
-_VALUE = re.compile(r"[ \t]*(?:[:=#]|number|no\.?|is)[ \t]*[\"']?(?=[A-Za-z0-9-]*[0-9])([A-Za-z0-9][A-Za-z0-9-]{5,63})",
-                    re.I)
+_SEPARATORS = re.compile(r"[\"')\]]*[ \t]*(?:(?:(?:number|no\.?|is)(?![A-Za-z_])[ \t]*)+(?:[:=#]+>?[ \t]*)*"
+                         r"|(?:[:=#]+>?[ \t]*)+|number|no\.?|is)", re.I)
+_SECRET = re.compile(r"\S+")
+_CLOSED = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'"}
+_NUMBER = re.compile(r"[A-Za-z0-9][A-Za-z0-9-]*(?:(?:[_/]|\.(?=[0-9]))[A-Za-z0-9-]+)*"
+                     r"(?: (?=[A-Z0-9]*[0-9])[A-Z0-9]{2,}+(?![A-Za-z0-9]))*")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}", re.I | re.A)
+_SSN = re.compile(r"[0-9]{3}([ -]?)[0-9]{2}\1[0-9]{4}(?![A-Za-z0-9])")
+_BLANKS = re.compile(r"[ \t]*[\"']?")
 _ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 SCHEMES = ("http://", "https://", "ftp://")
-CUES = ("password", "passwd", "token", "secret", "api_key", "apikey", "account", "acct", "iban", "ssn", "passport")
+SECRETS = ("password", "passwd", "token", "secret", "api_key", "apikey")
+CUES = (*SECRETS, "account", "acct", "iban", "ssn", "passport")
+LEAST = 6  # characters of an account value
 
 
 def _anchors() -> ahocorasick.Automaton:
@@ -74,6 +93,79 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban_end(text: str, at: int) -> int:
+    """End of the longest IBAN at ``at`` that ends where a group ends; 0 if none."""
+    m = _IBAN.match(text, at)
+    end = m.end() if m else 0
+    while end > at:
+        code = text[at:end].replace(" ", "").replace("-", "").upper()
+        if len(code) < 15:
+            break
+        if not text[end:end + 1].isalnum() and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return end
+        end -= 1
+        while text[end - 1] in " -":
+            end -= 1
+    return 0
+
+
+def _secret_end(text: str, first: int, last: int) -> int:
+    """End of the run of non-blanks without the punctuation that closes it; a
+    bracket that the run itself opens belongs to it."""
+    run = text[first:last]
+    foreign = {c: run.count(c) - run.count(o) for o, c in ("()", "[]", "{}", "<>")}
+    while last > first and (text[last - 1] in ".,;:\"'`" or foreign.get(text[last - 1], 0) > 0):
+        last -= 1
+        if text[last] in foreign:
+            foreign[text[last]] -= 1
+    return last
+
+
+class _Values:
+    """The values after the cues of one text.  What a search without a result
+    has read is not read again, so all searches together are linear."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.open = {"\"": -1, "'": -1}  # no such quote closes on this line before here
+        self.plain = {_SECRET: -1, _NUMBER: -1}  # the run up to here has no digit
+
+    def _fit(self, first: int, last: int) -> tuple[int, int] | None:
+        return (first, last) if last - first >= LEAST and _DIGITS.search(self.text, first, last) else None
+
+    def _quoted(self, at: int) -> tuple[int, int] | None:
+        quote = self.text[at - 1]
+        if quote not in self.open or at < self.open[quote]:
+            return None
+        m = _CLOSED[quote].match(self.text, at)
+        if m:
+            return at, m.end() - 1
+        end = self.text.find("\n", at)
+        self.open[quote] = len(self.text) if end < 0 else end
+        return None
+
+    def _run(self, pattern: re.Pattern, at: int) -> tuple[int, int] | None:
+        m = pattern.match(self.text, at) if at >= self.plain[pattern] else None
+        if m and not _DIGITS.search(self.text, at, m.end()):
+            self.plain[pattern] = m.end()
+            return None
+        return m and self._fit(at, _secret_end(self.text, at, m.end()) if pattern is _SECRET else m.end())
+
+    def after(self, cue: str, at: int) -> tuple[int, int] | None:
+        """(start, end) of the value of a cue that ends at ``at``."""
+        m = _SEPARATORS.match(self.text, at)
+        first = _BLANKS.match(self.text, m.end() if m else at).end()
+        if cue == "iban" and (first > at) and (end := _iban_end(self.text, first)):
+            return first, end
+        if not m:
+            m = _SSN.match(self.text, first) if cue == "ssn" and first > at else None
+            return m and m.span()
+        if cue not in SECRETS:
+            return self._run(_NUMBER, first)
+        closed = self._quoted(first)
+        return (closed and self._fit(*closed)) or self._run(_SECRET, first)
+
+
 class Finder:
     """``finder(text)`` -> spans (kind, start, end); built once per task."""
 
@@ -85,6 +177,7 @@ class Finder:
             return []
         out = []
         email_at = ip_at = card_at = phone_at = url_at = account_at = 0  # where each kind may start next
+        values = _Values(text)
         for last, (kind, width) in self._scan(text):
             at = last - width + 1
             if kind == "digit":
@@ -119,10 +212,13 @@ class Finder:
                     out.append(("url", at, end))
                     url_at = m.end()
             elif at >= account_at and not (at and text[at - 1].isalnum()):
-                m = _VALUE.match(text, last + 1) if kind == "cue" else _ACCESS_KEY.match(text, at)
-                if m:
-                    out.append(("account", *(m.span(1) if kind == "cue" else m.span())))
-                    account_at = m.end()
+                if kind == "cue":
+                    span = values.after(text[at:last + 1].lower(), last + 1)
+                else:
+                    span = (m := _ACCESS_KEY.match(text, at)) and m.span()
+                if span:
+                    out.append(("account", *span))
+                    account_at = span[1]
         out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         return out
 
