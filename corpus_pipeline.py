@@ -5,15 +5,16 @@ writes as Parquet into the session's shared folder and reads again as the next
 stage's documents.  All stages but the last keep the columns of ``documents``.
 
 1. quality          documents that the compression classifier scores below 0.3 go
-2. near_duplicates  of each SimHash component the document of least id stays
-                    (3-word shingles, up to 2 differing bits); a document
-                    without an id cannot stand for its group and goes
+2. near_duplicates  of each SimHash component one document stays (3-word
+                    shingles, up to 2 differing bits): that of least id, those
+                    without an id last; among rows that share it, that of
+                    least row hash
 3. decontamination  documents with a 10-word window of a benchmark item go
 4. pii              personal data becomes its kind in brackets; n_chars follows
 5. encode           doc_id, ids (little-endian unsigned 32-bit integers), n_tokens
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlake.llm import bpe, decontam, pii, quality, simhash
@@ -34,11 +35,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    first = groups.filter("doc_id = component_id").select("doc_id")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))  # of rows that repeat an id one stays
-    return (docs.join(first, "doc_id", "left_semi").withColumn("_copy", copy).filter("_copy = 1")
-            .select(*docs.columns))
+    # a row is known by the hash of all its columns, so neither ids that repeat nor missing ones lose it
+    rest = F.to_json(F.struct(*[F.col(c).cast("string") for c in docs.columns if c != "text"]))
+    row = F.unhex(F.sha2(F.concat(F.coalesce(F.sha2("text", 256), F.lit("")), F.lit(" "), rest), 256))
+    rows = docs.withColumn("_row", row)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    groups = simhash.near_duplicates(rows.select(place.alias("place"), "text"), "place", shingle=3, max_bits=2)
+    first = groups.filter("place = component_id").select("place._row")
+    once = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in docs.columns])  # rows alike in every column are one
+    return once.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,20 @@ def test_stages_on_edges(spark, tmp_dir, edge):
         assert sorted(r["doc_id"] for r in out) == [1, 3, 4]
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a, "en"), (5, a, "en"), (5, b, "en"), (5, b, "de"), (None, c, "en"), (None, c, "en"), (7, "d e f", "en"),
+            (7, "d e f", "en"), (None, "d e f", "en"), (None, "g h", None), (None, "g h", "en"), (None, "i j k", "en"),
+            (None, None, "en"), (9, "", None)]
+    docs = spark.createDataFrame([(d, t, g, None, 1) for d, t, g in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = [stage(spark, docs.repartition(n), SF_SMALL).collect() for n in (1, 5)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    assert sorted([(r["doc_id"], r["text"]) for r in got[0]], key=str) == sorted(
+        [(1, a), (5, b), (None, c), (7, "d e f"), (None, "g h"), (None, "i j k"), (9, "")], key=str)
+
+
 def test_entry_lists_every_query():
     import __spark_entry__ as entry
 
