@@ -16,8 +16,8 @@ are united.
 Defined results: a null text has no words; an item without words has no
 window; an item without id marks words but is not listed; repeated items and
 ids count once; other columns are passed through, one named like an added
-column is replaced; an empty table gives an empty table, and an empty
-benchmark no hits.
+column is replaced by ``contamination`` and kept by ``decontaminate``; an empty
+table gives an empty table, and an empty benchmark no hits.
 """
 
 import re
@@ -33,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pairlake.llm.text import arrow_column, as_bytes, without
 from pairlake.operators.index import pin
 
+ADDED = ("n_words", "n_hit", "items", "hits")
 SET_BYTES = 16 << 20  # benchmark text in one broadcast hash set, at most (one longer item is a set of its own)
 
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -93,6 +94,12 @@ def contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
                   item_text: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:
     """Append ``n_words``, ``n_hit``, ``items`` (ids of the items with a window
     in the text, sorted) and ``hits`` (runs of hit words: first and last)."""
+    return _found(without(df, ADDED, [text]), benchmark, n, text, item_id, item_text, set_bytes, "")
+
+
+def _found(df: DataFrame, benchmark: DataFrame, n: int, text: str, item_id: str = "item_id", item_text: str = "text",
+           set_bytes: int = SET_BYTES, prefix: str = "_decontam_") -> DataFrame:
+    """``df`` with the columns of :func:`contamination`, ``prefix`` before their names."""
     sc = df.sparkSession.sparkContext
     kind = T.StructType([
         T.StructField("n", T.LongType()),
@@ -101,7 +108,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
         T.StructField("items", T.ArrayType(benchmark.schema[item_id].dataType))])
     arrow = to_arrow_type(kind)
     sets = _sets(benchmark, item_id, item_text, set_bytes)
-    out = without(df, ["n_words", "n_hit", "items", "hits"], [text])
+    out = df
     for number, items in enumerate(sets):
         shared = sc.broadcast(items)
 
@@ -113,11 +120,11 @@ def contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
                 return {"n": words, "hits": _spans(mask), "items": sorted(i for i in ids if i is not None)}
             return lambda texts: pa.array([one(t) for t in as_bytes(texts)], type=arrow)
 
-        out = out.withColumn(f"_set{number}", arrow_column(kernel, kind)(F.col(text)))
+        out = out.withColumn(f"_decontam_set{number}", arrow_column(kernel, kind)(F.col(text)))
         if len(sets) > 1:  # one hash set in memory at a time
             out = pin(out)
             shared.destroy()
-    found = [F.col(f"_set{k}") for k in range(len(sets))]
+    found = [F.col(f"_decontam_set{k}") for k in range(len(sets))]
     first = found[0]
     if len(sets) == 1:
         hits, items = first["hits"], first["items"]
@@ -127,8 +134,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
         hits = F.transform(words, lambda w: F.struct(w.alias("first"), w.alias("last")))
         items = F.array_sort(F.array_distinct(F.concat(*[f["items"] for f in found])))
     n_hit = F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + h["last"] - h["first"] + 1)
-    return (out.withColumns({"n_words": first["n"], "n_hit": n_hit, "items": items, "hits": hits})
-            .drop(*[f"_set{k}" for k in range(len(sets))]))
+    added = zip(ADDED, (first["n"], n_hit, items, hits), strict=True)
+    return (out.withColumns({prefix + name: column for name, column in added})
+            .drop(*[f"_decontam_set{k}" for k in range(len(sets))]))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", action: str = "documents",
@@ -136,9 +144,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
     """The input columns without what the benchmark contaminates: the hit
     ``documents``, or the hit ``spans`` (from the first byte of a run of hit
     words to its last)."""
-    found = contamination(df, benchmark, n, text, **names)
+    found = _found(df, benchmark, n, text, **names)  # private names, so every input column keeps its own value
     if action == "documents":
-        return found.filter("n_hit = 0").select(*df.columns)
+        return found.filter("_decontam_n_hit = 0").select(*df.columns)
     if action != "spans":
         raise ValueError(f"no such action: {action}")
 
@@ -147,7 +155,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
         return pd.Series([t if h is None or not len(h) else _without_words(t, h)
                           for t, h in zip(texts, hits, strict=True)], dtype=object)
 
-    return found.withColumn(text, cut(F.col(text), F.col("hits"))).select(*df.columns)
+    return found.withColumn(text, cut(F.col(text), F.col("_decontam_hits"))).select(*df.columns)
 
 
 def _without_words(text: str, hits) -> str:

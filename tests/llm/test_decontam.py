@@ -65,6 +65,19 @@ def test_removal_of_documents_and_spans(spark):
     assert cut == {1: "Keep this. ! and that", 2: "clean text", 3: None}
 
 
+@pytest.mark.parametrize("set_bytes", [decontam.SET_BYTES, 40])
+def test_columns_of_any_name_keep_their_values(spark, set_bytes):
+    columns = ["doc_id", "text", "n_words", "N_HIT", "items", "hits", "_set0"]
+    rows = [(1, "a b c d e", "n", 2.5, "i", True, "s"), (2, "x y", None, 0.0, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string, N_HIT double, items string, hits boolean, "
+                               "_set0 string")
+    bench = spark.createDataFrame([(1, "b c d"), (2, "u v w"), (3, "p q r s t u v w")], "item_id long, text string")
+    kept = decontam.decontaminate(df, bench, 3, set_bytes=set_bytes)
+    assert kept.schema == df.schema and list(map(tuple, kept.collect())) == rows[1:]
+    cut = decontam.decontaminate(df, bench, 3, action="spans", set_bytes=set_bytes)
+    assert cut.columns == columns and {tuple(r)[2:] for r in cut.collect()} == {r[2:] for r in rows}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
