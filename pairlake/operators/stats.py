@@ -91,18 +91,30 @@ def cumulative_stats(deltas: DataFrame, name: str = "name", rnd: str = "round")
     return deltas.select(name, rnd, *[F.sum(c).over(w).alias(c) for c in ("num", "sum", "sumsq")])
 
 
-def keep_previous(deltas: DataFrame, name: str = "name", rnd: str = "round") -> DataFrame:
+def keep_previous(deltas: DataFrame, name: str = "name", rnd: str = "round", step: int | None = None) -> DataFrame:
     """A round without data keeps the name's previous moments.  The
     distinct rounds are numbered; a name gets the numbers from its first round
     with data on, so the spine has names x existing rounds rows however far
     apart the rounds lie; ``last(ignorenulls)`` carries the moments forward.
-    A round whose moments count nothing is a round without data."""
+    A round whose moments count nothing is a round without data.  With ``step``
+    rounds are ``step`` apart, and those in which no name reported count too,
+    up to the last round of ``deltas``."""
     data = deltas.filter(F.col("num") != 0)
+    if step is not None:
+        first = data.groupBy(name).agg(F.min(rnd).alias("_f"))
+        last = deltas.agg(F.max(rnd).alias("_l"))
+        spine = first.crossJoin(F.broadcast(last)).select(name, F.explode(F.sequence("_f", "_l", F.lit(step))).alias(rnd))
+        return _carried(spine, data, name, rnd)
     # one row per round: a table as long as the history, not as the reports
     rounds = deltas.select(rnd).distinct().withColumn("_i", F.row_number().over(Window.orderBy(rnd)))
     first = data.groupBy(name).agg(F.min(rnd).alias(rnd)).join(rounds, rnd).select(name, F.col("_i").alias("_f"))
     numbers = F.sequence(F.col("_f"), F.lit(rounds.count()))
     spine = first.select(name, F.explode(numbers).alias("_i")).join(rounds, "_i").drop("_i")
+    return _carried(spine, data, name, rnd)
+
+
+def _carried(spine: DataFrame, data: DataFrame, name: str, rnd: str) -> DataFrame:
+    """The moments of every (name, round) of ``spine``, or those before."""
     j = spine.join(data, [name, rnd], "left")
     w = Window.partitionBy(name).orderBy(rnd).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select(name, rnd, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("num", "sum", "sumsq")])

@@ -281,10 +281,10 @@ def q_stream_keep_previous(spark, sf):
     s = s.select("ts", F.col("event_type").alias("name"), (F.col("user_id") % 4).cast("int").alias("rank"),
                  F.dayofmonth("ts").cast("int").alias("round"), v.alias("value"))
     s = s.filter(~((F.col("name") == "purchase") & ((F.col("round") % 4 == 1) | (F.col("rank") == 3))))
-    # the stream keeps one row of moments per window and name; the rule runs over those rounds
+    # the stream keeps one row of moments per window and name; the rule runs over every day from a name's first on
     rounds = R.run_update_to_parquet(R.stream_moments(s), "stream_keep_previous", ["window_start", "name"])
     rounds = rounds.withColumn("round", F.unix_seconds("window_start"))
-    out = ST.keep_previous(rounds).withColumnRenamed("round", "round_start").filter("num is not null")
+    out = ST.keep_previous(rounds, step=86400).withColumnRenamed("round", "round_start").filter("num is not null")
     # values have 2 decimals and many rounds hold 2^k reports, so a mean is
     # often an exact tie at 6 decimals; the state sums in numpy order and the
     # twin in SQL order, so compare means at 9 decimals (no ties there)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +117,22 @@ def test_keep_previous_of_far_rounds(spark):
                    ("b", 2 * 10**12, 2, 6.0)]
 
 
+def test_keep_previous_stream_fills_rounds_without_any_report(spark, sf, tmp_dir):
+    events, day = spark.read.parquet(f"{sf}/events.parquet"), F.dayofmonth("ts")
+    events.filter((day < 10) | ((day >= 13) & (day < 16))).write.parquet(f"{tmp_dir}/events.parquet")
+    got = {}
+    for r in plans.QUERIES["stream_keep_previous"].fn(spark, tmp_dir).collect():
+        got.setdefault(r["name"], {})[r["round_start"]] = (r["num"], r["mean"], r["std"])
+    end = max(max(rounds) for rounds in got.values())
+    for rounds in got.values():
+        assert sorted(rounds) == list(range(min(rounds), end + 1, 86400))
+    silent = [d for d in range(min(min(r) for r in got.values()), end, 86400)
+              if datetime.fromtimestamp(d, UTC).day in (10, 11, 12)]
+    assert len(silent) >= 3
+    for rounds in got.values():
+        assert all(rounds[d] == rounds[d - 86400] for d in silent if d - 86400 in rounds)
+
+
 def test_frechet_guards():
     one = np.eye(2)
     with pytest.raises(ValueError, match="not finite"):
