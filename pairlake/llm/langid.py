@@ -172,8 +172,10 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: s
         return lambda texts: pa.array([likelihood(t) for t in texts.to_pylist()], type=pa.list_(pa.float64()))
 
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    declared = F.nullif(F.lower(F.regexp_extract(
-        html, r"(?i)<html\b[^>]{0,1000}?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)), F.lit(""))
+    # whole tags first, so that a page of many unclosed tags is still read once
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<html\b[^>]*+"), F.lit(0))
+    langs = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    declared = F.lower(F.get(F.filter(langs, lambda k: k != ""), 0))
     facts = written(pages.select(
         F.col(page_id).alias("_id"), host.alias("host"), declared.alias("declared"),
         arrow_column(kernel, "array<double>")(F.col(html)).alias("text")), "pages")

@@ -80,6 +80,19 @@ def test_fused_posterior(spark):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-9)
 
 
+def test_language_is_found_behind_long_attributes(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
+    rows = [*pages(), (104, "http://news.fr", f'<html class="{"no-js " * 400}" data-x="{"y" * 50_000}" lang="DE-at"><p>'),
+            (105, "http://news.fr", '<HTML a="1"> <html b lang = fr>'), (106, "http://news.fr", "<html lang><p lang=de>"),
+            (107, "http://news.fr", "<html " * 2_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = langid.identify(df, docs).collect()
+    assert {r["page_id"]: r["declared"] for r in got if r["page_id"] > 103} == {104: "de", 105: "fr", 106: None, 107: None}
+    languages, model = langid.fit(docs)
+    want = plain(rows, languages, model)
+    assert sorted((r["page_id"], r["lang"]) for r in got) == [w[:2] for w in want]
+
+
 def test_text_decides_where_there_is_enough(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     body = {k: f"<html lang=en><body>{' '.join([WORDS[k]] * 5)}" for k in WORDS}
