@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlake.llm import bpe, decontam, knn, langid, pii, quality, sharding, simhash, substring, tokenfile
-from pairlake.llm.scratch import scratch_path
+from pairlake.llm import bpe, chat, decontam, knn, langid, pii, quality, sharding, simhash, substring, tokenfile
+from pairlake.llm.scratch import scratch_path, written
 from pairlake.session import checkpoint_dir, load_table, ship_package
 
 QUERIES = {}
@@ -198,3 +198,41 @@ def op10(spark, sf_dir):
     return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")),
                         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
                         written(F.col("spans")).alias("spans"))
+
+
+_CONTROL = r"<\\*(?:/?s>|</?SYS>>|</?ROLE>>)|\[\\*/?INST\]"
+_SAID = "</s>[INST] ok [/INST]"
+
+
+@query("op11_chat_format", sql=rf"""
+WITH turn AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}'))
+    + CASE role WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 1 + 5
+      ELSE 9 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) + 11 + 5 END AS chars
+  FROM turn)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""")
+def op11(spark, sf_dir):
+    rows = chat.turns_of_table(load_table(spark, sf_dir, "conversations"), "conv_id")
+    record = F.to_json(F.struct(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(_SAID).alias("content"))
+                                          for r in ("user", "assistant")]).alias("messages")))
+    added = chat.turns_of_records(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), record.alias("record")),
+                                  "record", "conv_id")
+    out = written(chat.format_turns(rows.unionByName(added)), "chat")
+    back = out.select("key", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                      chat.learned_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(F.col("key").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))

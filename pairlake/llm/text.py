@@ -65,3 +65,18 @@ def without(df: DataFrame, names: Iterable[str], keep: Iterable[str] = ()) -> Da
     """Drop input columns that clash (in any case) with columns an operator adds."""
     added, kept = {n.lower() for n in names}, {n.lower() for n in keep}
     return df.drop(*[c for c in df.columns if c.lower() in added and c.lower() not in kept])
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the columns named by the values, under the names of the keyword
+    arguments.  A column is found by its place: by its exact name (dots and
+    all) or else, as Spark does, in any case; so no other column can clash."""
+    def place(name: str) -> int:
+        same = [i for i, c in enumerate(df.columns) if c == name] or [
+            i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name} among {df.columns}")
+        return same[0]
+
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.select(*[F.col(f"c{place(name)}").alias(new) for new, name in columns.items()])

@@ -21,7 +21,7 @@ from .test_decontam import brute as brute_hits
 from .test_pii import plain as plain_spans
 from .test_simhash import brute_components, brute_print
 
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -185,5 +185,5 @@ def test_entry_lists_every_query():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")}
     assert "pipeline" in names and set(queries.SQL) <= set(entry.oracle_sql())
