@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlake.llm import bpe, chat, decontam, knn, langid, pii, quality, sharding, simhash, substring, tokenfile
+from pairlake.llm import bpe, chat, decontam, knn, langid, pii, quality, sharding, simhash, substring, tokenfile, trie
 from pairlake.llm.scratch import scratch_path, written
 from pairlake.session import checkpoint_dir, load_table, ship_package
 
@@ -143,12 +143,15 @@ def _jump_sql(shards: int) -> str:
 SELECT doc_id, CAST(max(b) AS INTEGER) AS shard FROM jump GROUP BY doc_id)"""
 
 
-@query("op8_jump_shards", sql=f"""
-WITH crc AS (  -- the byte table of the checksum, from its rule
+_CRC_SQL = """crc AS (  -- the byte table of the checksum, from its rule
   SELECT list(v ORDER BY n) AS t
   FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
                               lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
-        FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256)))),
+        FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))))"""
+
+
+@query("op8_jump_shards", sql=f"""
+WITH {_CRC_SQL},
 raw AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
                                  lambda h: CAST('0x' || h AS BIGINT)) AS x FROM documents),
 placed AS (SELECT d.doc_id, d.text, d.x, a.shard, g.shard AS grown_shard
@@ -236,3 +239,62 @@ def op11(spark, sf_dir):
                        F.length("learned").cast("long").alias("loss_chars"),
                        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op13_prefix_trie", sql=f"""
+WITH {_CRC_SQL},
+turn AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, x),
+    lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id, list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'),
+          lambda d: CAST('0x' || d AS BIGINT)) AS x FROM turn), crc),
+part AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.role, t.text FROM conv c JOIN turn t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, t.role, t.text FROM conv c JOIN turn t USING (conv_id) WHERE t.place > c.h),
+prefix AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+    md5(string_agg(md5(role) || md5(text), '') OVER (w ROWS UNBOUNDED PRECEDING)) AS node
+  FROM part WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+path AS (
+  SELECT conv_id, 0 AS depth, 0 AS bytes, '' AS node, NULL AS parent FROM conv
+  UNION ALL SELECT conv_id, depth, bytes, node, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) FROM prefix),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n, min(parent) AS parent, min(bytes) AS bytes
+  FROM path GROUP BY node, depth),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+total AS (
+  SELECT p.node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((d.n - 1) * d.bytes) AS saved
+  FROM nodes d LEFT JOIN kids k ON k.node = d.node JOIN path p ON p.conv_id = d.conv_id AND p.depth <= d.depth
+  GROUP BY p.node),
+ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS s
+  FROM (SELECT conv_id, max_by(node, depth) AS node FROM path GROUP BY conv_id) GROUP BY node)
+SELECT d.conv_id, CAST(d.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(d.n AS BIGINT) AS n_convs,
+  CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(t.leaves AS BIGINT) AS n_leaves,
+  CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.s, '')) AS ends_sha256
+FROM nodes d JOIN total t ON t.node = d.node LEFT JOIN kids k ON k.node = d.node LEFT JOIN ends e ON e.node = d.node
+  LEFT JOIN nodes u ON u.node = d.parent
+""")
+def op13(spark, sf_dir):
+    return trie.prefix_trie(*rebuilt(load_table(spark, sf_dir, "conversations")))
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and conversations of op13: each conversation c begins with the
+    first crc32(c) % 9 turns of conversation c - c % 5 in place of its own."""
+    turns = written(trie.digest_turns(conversations), "trie-turns")
+    base, h = F.col("conv_id") - F.col("conv_id") % 5, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    convs = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("own")).select("conv_id", "own", base.alias("base"), h.alias("h"))
+    lengths = convs.select(F.col("conv_id").alias("base"), F.col("own").alias("there"))
+    taken = F.least("h", F.coalesce("there", F.lit(0)))
+    convs = written(convs.join(lengths, "base", "left").select(
+        "conv_id", "base", "h", taken.alias("taken"), (taken + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("length")),
+        "trie-conversations")
+    first = turns.filter("place <= 8 and conv_id % 5 = 0").withColumnRenamed("conv_id", "base").join(
+        convs, "base").filter("place <= h").select("conv_id", "place", "a", "b", "size")
+    after = turns.drop("length").join(convs, "conv_id").filter("place > h").select(
+        "conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "a", "b", "size")
+    return first.unionByName(after), convs.select("conv_id", "length")
