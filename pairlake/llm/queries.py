@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlake.llm import bpe, chat, decontam, knn, langid, pii, quality, sharding, simhash, substring, tokenfile, trie
+from pairlake.llm import (
+    bpe, chat, decontam, knn, langid, lexical, pii, quality, sharding, simhash, substring, tokenfile, trie)
 from pairlake.llm.scratch import scratch_path, written
 from pairlake.session import checkpoint_dir, load_table, ship_package
 
@@ -241,6 +242,32 @@ def op11(spark, sf_dir):
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+_TERMS12 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_nra_search", sql=f"""
+WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS12}) AS t FROM benchmark),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS12} AS w FROM documents),
+count AS (SELECT count(*) AS n, sum(len(w)) AS l FROM doc WHERE len(w) > 0),
+held AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM doc)
+  WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT t, CAST(count(*) AS DOUBLE) AS df FROM held GROUP BY t), (SELECT CAST(n AS DOUBLE) AS n FROM count)),
+impact AS (
+  SELECT h.r, h.t, w.w * ((1000000000 * h.tf) // (1000 * h.tf + 20 * (50 + CAST((50 * len(d.w) * c.n) // c.l AS BIGINT)))) AS x
+  FROM held h JOIN weight w USING (t) JOIN doc d USING (r), count c),
+score AS (SELECT item_id, r, CAST(sum(x) AS BIGINT) AS score FROM asked JOIN impact USING (t) GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM score JOIN doc USING (r) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+""")
+def op12(spark, sf_dir):
+    return lexical.search(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"), k=50)
+
+
 @query("op13_prefix_trie", sql=f"""
 WITH {_CRC_SQL},
 turn AS (
