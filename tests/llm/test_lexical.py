@@ -49,7 +49,7 @@ def corpus(seed, n, words_=80, longest=60):
     return [(i, " ".join(rng.choices(ws, weights=[1 / (j + 1) for j in range(words_)], k=rng.randrange(longest)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("k,block,group", [(5, 1 << 21, 1 << 20), (50, 300, 100), (1, 1, 1), (1000, 2000, 1 << 20)])
+@pytest.mark.parametrize("k,block,group", [(5, 1 << 21, 1 << 20), (50, 300, 500), (1, 1, 1 << 20), (1000, 2000, 1 << 20)])
 def test_against_brute_force(spark, k, block, group):
     docs, items = corpus(k, 200), [(i, t) for i, t in corpus(k + 1, 8, longest=25)]
     assert got(spark, docs, items, k, block_postings=block, group_bytes=group) == brute(docs, items, k)
