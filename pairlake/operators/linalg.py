@@ -1,21 +1,14 @@
-"""Dense linear algebra on executors: feature moments (A2) and the tiled
-pairwise-distance operator (V1/V2).
+"""Dense linear algebra on executors: feature moments (A2) and pairwise
+distances (V1).
 
 A2: every partition accumulates (n, sum, centred Gram) around a pilot mean
 with numpy, emits its D x D scatter as row blocks, and the blocks are merged
 per block id on executors (Chan's pairwise update), so the driver receives
 only the final D x D covariance.
-
-V2: both sides are hashed into blocks of at most ``block_rows`` rows; each
-(A-block, B-block) tile meets once in a cogroup and one numpy GEMM computes
-its distances.  Only reduced rows (k smallest, any-within, best ratio) leave
-a tile; the N x M matrix is never materialised as rows.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,13 +33,17 @@ def to_matrix(arr) -> np.ndarray:
 def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """||u||^2 - 2 u.v + ||v||^2 clamped at 0, in float64, after shifting both
     blocks by a common centre (distances are shift invariant; the shift cuts
-    cancellation in the norm expansion)."""
-    c = a.mean(axis=0) if len(a) else 0.0
+    cancellation in the norm expansion).  Only rows with values that are not
+    finite have distances that are not."""
+    c = a.mean(axis=0) if len(a) else np.zeros(b.shape[1:])
+    if not np.isfinite(c).all():
+        c = np.nan_to_num(a[np.isfinite(a).all(axis=1)].sum(axis=0) / len(a))
     a = a - c
     b = b - c
     na = np.einsum("ij,ij->i", a, a)[:, None]
     nb = np.einsum("ij,ij->i", b, b)[None, :]
-    d = na - 2.0 * (a @ b.T) + nb
+    with np.errstate(invalid="ignore"):
+        d = na - 2.0 * (a @ b.T) + nb
     np.maximum(d, 0.0, out=d)
     return d
 
@@ -182,88 +179,3 @@ def collect_grouped_moments(moments: DataFrame, by: str) -> dict:
         rows.sort(key=lambda r: r["i"])
         res[g] = (int(rows[0]["n"]), np.array([r["mu"] for r in rows]), np.array([r["cov"] for r in rows]))
     return res
-
-
-# ---------------------------------------------------------------- V2 tiles
-
-
-MOST_BLOCK_ROWS = 1 << 18  # of a tile's side; the kernels chunk their distance blocks
-
-
-def grid_blocks(spark, n: int, block_rows: int) -> int:
-    """Blocks of one side: enough for four tiles a task slot, no more than
-    ``block_rows`` rows each would give, and no block above
-    ``MOST_BLOCK_ROWS``.  So a row is copied to as many tiles as the cluster
-    is wide, not to N / block_rows of them."""
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(1, min(math.ceil(n / block_rows), max(math.ceil(math.sqrt(4 * width)), math.ceil(n / MOST_BLOCK_ROWS))))
-
-
-def tile_sides(a: DataFrame, b: DataFrame, a_id: str, b_id: str, block_rows: int,
-               na: int | None = None, nb: int | None = None):
-    """Tag each row with its block on its own side and replicate it over the
-    other side's blocks, giving the tile key ``t`` = (block_a, block_b)."""
-    na = na or grid_blocks(a.sparkSession, a.count(), block_rows)
-    nb = nb or grid_blocks(b.sparkSession, b.count(), block_rows)
-    # block = hash of the whole row (id and vector), so repeated ids with
-    # different vectors still spread over blocks
-    ba = F.pmod(F.xxhash64(*[F.col(c) for c in a.columns]), F.lit(na))
-    bb = F.pmod(F.xxhash64(*[F.col(c) for c in b.columns]), F.lit(nb))
-    a_t = a.withColumn("_b", ba).select("*", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("_o"))
-    a_t = a_t.withColumn("t", F.col("_b") * nb + F.col("_o")).drop("_b", "_o")
-    b_t = b.withColumn("_b", bb).select("*", F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("_o"))
-    b_t = b_t.withColumn("t", F.col("_o") * nb + F.col("_b")).drop("_b", "_o")
-    return a_t, b_t, na * nb
-
-
-def _tile_width(spark, tiles: int) -> int:
-    # one tile per task where the cluster allows it; never more tasks than tiles
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(1, min(tiles, width))
-
-
-def tile_apply_self_grouped(df: DataFrame, group: str, kernel, schema: str, block_rows: int = 4096,
-                            counts: dict | None = None) -> DataFrame:
-    """Self-join tiles inside each group: rows of group g meet only rows of
-    group g, all groups in one cogroup pass.  Group g gets its own
-    grid of blocks; its tile keys are offset so they never clash with
-    another group's.  ``counts`` ({group: rows}, O(#groups)) skips the
-    counting job when known."""
-    if counts is None:
-        counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
-    nb, off, acc = {}, {}, 0
-    for g in sorted(counts, key=str):
-        nb[g] = grid_blocks(df.sparkSession, counts[g], block_rows)
-        off[g] = acc
-        acc += nb[g] * nb[g]
-    as_map = lambda d: F.create_map(*[x for g, v in d.items() for x in (F.lit(g), F.lit(v))])
-    n_g = F.element_at(as_map(nb), F.col(group)).cast("long")
-    o_g = F.element_at(as_map(off), F.col(group)).cast("long")
-    tagged = (df.withColumn("_n", n_g).withColumn("_off", o_g)
-              .withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_n"))))
-    rep = tagged.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o"))
-    a_t = rep.withColumn("t", F.col("_off") + F.col("_b") * F.col("_n") + F.col("_o")).drop("_n", "_off", "_b", "_o")
-    b_t = rep.withColumn("t", F.col("_off") + F.col("_o") * F.col("_n") + F.col("_b")).drop("_n", "_off", "_b", "_o")
-    a_t, b_t = _co_partition(a_t, b_t, _tile_width(df.sparkSession, acc))
-    return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)
-
-
-def _co_partition(a_t: DataFrame, b_t: DataFrame, parts: int):
-    """Hash both sides on the tile key into ``parts`` partitions (one shuffle
-    each).  A single tile is left to the cogroup's own exchange: a one-way
-    repartition would plan SinglePartition, which the two-sided cogroup
-    re-shuffles."""
-    if parts <= 1:
-        return a_t, b_t
-    return a_t.repartition(parts, "t"), b_t.repartition(parts, "t")
-
-
-def tile_apply(a: DataFrame, b: DataFrame, a_id: str, b_id: str, kernel, schema: str,
-               block_rows: int = 4096, rows_a: int | None = None, rows_b: int | None = None) -> DataFrame:
-    """Run ``kernel(a_table, b_table) -> pa.Table`` once per tile.  Row counts
-    already known to the caller can be passed to skip the counting jobs."""
-    na = grid_blocks(a.sparkSession, rows_a, block_rows) if rows_a is not None else None
-    nb = grid_blocks(b.sparkSession, rows_b, block_rows) if rows_b is not None else None
-    a_t, b_t, tiles = tile_sides(a, b, a_id, b_id, block_rows, na, nb)
-    a_t, b_t = _co_partition(a_t, b_t, _tile_width(a.sparkSession, tiles))
-    return a_t.groupBy("t").cogroup(b_t.groupBy("t")).applyInArrow(kernel, schema)

@@ -1,9 +1,10 @@
 """Set-level evaluation of two feature tables.
 
-All N x M work goes through the tile operator in ``linalg``; what leaves a
-tile is already reduced per row (k smallest distances, any-within flags,
-best realism ratio, nearest id), and the final per-row merge is an ordinary
-``groupBy`` over at most (#tiles x k) values per row.
+Distance work goes through the cells of ``cells.py``: a row meets its home
+cell, and then only those cells that the triangle inequality leaves open.
+What leaves a tile is already reduced per row (k smallest distances,
+any-within flags, best realism ratio, nearest id), and the final per-row merge
+is an ordinary ``groupBy``.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlake.functions.util import as_double_array
+from pairlake.operators import cells as C
 from pairlake.operators.index import global_index, pin
-from pairlake.operators.linalg import (collect_grouped_moments, feature_moments, sq_dists,
-                                       tile_apply_self_grouped,
-                                       tile_apply, to_matrix)
+from pairlake.operators.linalg import collect_grouped_moments, feature_moments, sq_dists, to_matrix
+
 
 def _chunk(others: int) -> int:
     """Rows of A per GEMM inside a tile: bounds the distance block to 4M doubles."""
@@ -34,7 +35,8 @@ def _ids(t: pa.Table, name: str) -> np.ndarray:
 def _knn_kernel(k: int):
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.float64()))})
+            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.float64())),
+                             "_g": pa.array([], pa.string())})
         xa, xb, ids = to_matrix(a.column("x")), to_matrix(b.column("x")), _ids(a, "id")
         m = min(k + 1, len(xb))
         out = []
@@ -43,7 +45,7 @@ def _knn_kernel(k: int):
             d = sq_dists(xa[s:s + step], xb)
             part = np.partition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else d
             out.extend(np.sort(part, axis=1).tolist())
-        return pa.table({"id": pa.array(ids, pa.int64()), "d": pa.array(out, pa.list_(pa.float64()))})
+        return pa.table({"id": pa.array(ids, pa.int64()), "d": pa.array(out, pa.list_(pa.float64())), "_g": a.column("_g")})
     return run
 
 
@@ -56,50 +58,62 @@ def _vectors(df: DataFrame, id_col: str, vec: str, *extra) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), *extra)
 
 
+def _nearest(cells: C.Cells, visitors: DataFrame, k: int, work: dict | None) -> DataFrame:
+    """(_g, id, d): the k + 1 smallest squared distances of each visitor (id,
+    x, _g, cell) to the rows of set ``_g``, sorted."""
+    kernel, schema = _knn_kernel(k), "id long, d array<double>, _g string"
+    index = cells.rows.select("id", "x", "cell")
+
+    def merge(found: DataFrame) -> DataFrame:
+        best = found.groupBy("_g", "id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
+        return best.select("_g", "id", F.slice("d", 1, k + 1).alias("d"))
+
+    best = merge(C.home(cells, visitors.select("id", "x", "_g", "cell"), index, kernel, schema, work))
+    if not cells.several():
+        return best
+    best = pin(best)
+    enough = cells.count > k
+
+    def need(least, most, state, numbers):
+        # the k-th distance so far, or the farthest that k + 1 rows of one cell can be
+        sure = np.where(enough[numbers], most, np.inf).min(axis=1)
+        return ~(least > np.fmin(state["kth"], sure)[:, None])
+
+    kth = F.coalesce(F.try_element_at("d", F.lit(k + 1)), F.lit(float("inf")))
+    roam = visitors.select("id", "x", "_g", "cell").join(best.select("_g", "id", kth.alias("kth")), ["_g", "id"])
+    more = C.away(cells, roam, "_g", need, ["kth"], index, kernel, schema, work)
+    return best if more is None else merge(best.select("id", "d", "_g").unionByName(more))
+
+
 def knn_distances(a: DataFrame, b: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096,
-                  b_id: str | None = None, rows_a: int | None = None, rows_b: int | None = None) -> DataFrame:
+                  b_id: str | None = None, work: dict | None = None) -> DataFrame:
     """For each row of ``a``: its k+1 smallest squared distances to ``b``
-    (sorted), merged over all tiles.  With a == b the row itself is included
-    (distance 0), as the radius definition requires.  The per-row merge sees
-    at most (#B blocks) x (k+1) candidates."""
-    va, vb = _vectors(a, id_col, vec), _vectors(b, b_id or id_col, vec)
-    per_tile = tile_apply(va, vb, "id", "id", _knn_kernel(k), "id long, d array<double>", block_rows,
-                          rows_a, rows_b)
-    merged = per_tile.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
-    return merged.select("id", F.slice("d", 1, k + 1).alias("d"))
+    (sorted).  With a == b the row itself is included (distance 0), as the
+    radius definition requires.  ``work`` receives the row pairs that met at
+    ``home`` and ``away``."""
+    one = F.lit("").alias("_g")
+    cells = C.build(_vectors(b, b_id or id_col, vec, one), block_rows)
+    visitors = cells.rows if a is b and (b_id or id_col) == id_col else C.assign(_vectors(a, id_col, vec, one), cells, "_g")
+    return _nearest(cells, visitors, k, work).select("id", "d")
 
 
 def manifold_radii(df: DataFrame, id_col: str, vec: str, k: int = 3, block_rows: int = 4096,
-                   rows: int | None = None) -> DataFrame:
+                   work: dict | None = None) -> DataFrame:
     """V3: squared distance to the k-th neighbour; index k of the 0-based
     ascending order including the row itself, so duplicates count."""
-    rows = df.count() if rows is None else rows
-    nn = knn_distances(df, df, id_col, vec, k, block_rows, rows_a=rows, rows_b=rows)
+    nn = knn_distances(df, df, id_col, vec, k, block_rows, work=work)
     return nn.select(F.col("id").alias(id_col), F.try_element_at("d", F.lit(k + 1)).alias("radius"))
 
 
-def _knn_kernel_grouped(k: int):
-    base = _knn_kernel(k)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = base(a, b)
-        g = a.column("_g")[0].as_py() if a.num_rows else None
-        return out.append_column("_g", pa.array([g] * out.num_rows, pa.string()))
-    return run
-
-
 def manifold_radii_grouped(df: DataFrame, group: str, id_col: str, vec: str, k: int = 3, block_rows: int = 4096,
                            counts: dict | None = None) -> DataFrame:
     """V3 for several feature sets at once: each row's radius among the rows
-    of its own ``group`` (one tile pass for all groups).  Returns (group,
-    id, radius)."""
+    of its own ``group`` (all groups share the passes).  Returns (group, id,
+    radius)."""
     v = _vectors(df, id_col, vec, F.col(group).cast("string").alias("_g"))
-    counts = None if counts is None else {str(g): n for g, n in counts.items()}
-    per_tile = tile_apply_self_grouped(v, "_g", _knn_kernel_grouped(k), "id long, d array<double>, _g string",
-                                       block_rows, counts)
-    merged = per_tile.groupBy("_g", "id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
-    return merged.select(F.col("_g").alias(group), F.col("id").alias(id_col),
-                         F.try_element_at("d", F.lit(k + 1)).alias("radius"))
+    cells = C.build(v, block_rows, None if counts is None else {str(g): n for g, n in counts.items()})
+    return _nearest(cells, cells.rows, k, None).select(
+        F.col("_g").alias(group), F.col("id").alias(id_col), F.try_element_at("d", F.lit(k + 1)).alias("radius"))
 
 
 def kth_smallest(a: DataFrame, b: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096) -> DataFrame:
@@ -186,19 +200,39 @@ def _manifold_kernel(eps: float):
 
 
 def manifold_evaluate(ref: DataFrame, radii: DataFrame, evals: DataFrame, id_col: str, vec: str,
-                      eps: float = 1e-5, block_rows: int = 4096) -> DataFrame:
+                      eps: float = 1e-5, block_rows: int = 4096, work: dict | None = None) -> DataFrame:
     """V5: per evaluated row -- inside any reference ball (d <= r), realism
     max r/(d + eps), squared distance to and id of the nearest reference
-    (first id on ties)."""
-    r = _vectors(ref.join(pin(radii), id_col), id_col, vec, F.col("radius").cast("double").alias("r"))
-    e = _vectors(evals, id_col, vec)
-    schema = "id long, inside boolean, realism double, min_d double, nearest long"
-    per_tile = tile_apply(e, r, "id", "id", _manifold_kernel(eps), schema, block_rows, evals.count(), ref.count())
-    best = F.min(F.struct("min_d", "nearest"))
-    return (per_tile.groupBy("id")
-            .agg(F.bool_or("inside").alias("inside"), F.max("realism").alias("realism"), best.alias("_b"))
-            .select(F.col("id").alias(id_col), "inside", "realism", F.col("_b.min_d").alias("min_d"),
-                    F.col("_b.nearest").alias("nearest")))
+    (first id on ties).  A cell is visited only if it can hold a nearer row, a
+    ball around the row or a better ratio than the home cell gave."""
+    one = F.lit("").alias("_g")
+    cells = C.build(_vectors(ref.join(pin(radii), id_col), id_col, vec, F.col("radius").cast("double").alias("r"), one),
+                    block_rows)
+    index = cells.rows.select("id", "x", "r", "cell")
+    visitors = C.assign(_vectors(evals, id_col, vec, one), cells, "_g")
+    kernel, schema = _manifold_kernel(eps), "id long, inside boolean, realism double, min_d double, nearest long"
+
+    def merge(found: DataFrame) -> DataFrame:
+        best = found.groupBy("id").agg(F.bool_or("inside").alias("inside"), F.max("realism").alias("realism"),
+                                       F.min(F.struct("min_d", "nearest")).alias("_b"))
+        return best.select("id", "inside", "realism", "_b.min_d", "_b.nearest")
+
+    best = merge(C.home(cells, visitors.select("id", "x", "cell"), index, kernel, schema, work))
+    if cells.several():
+        best = pin(best)
+        ball = C.largest(cells, cells.rows, "r")
+
+        def need(least, most, state, numbers):
+            r = ball[numbers]
+            nearer = ~(least > state["min_d"][:, None])
+            around = ~(least > r) & ~state["inside"].astype(bool)[:, None]
+            return nearer | around | ~(r / (least + eps) < state["realism"][:, None])
+
+        roam = visitors.select("id", "x", "_g", "cell").join(best.select("id", "inside", "realism", "min_d"), "id", "left")
+        roam = roam.fillna(float("inf"), ["min_d"]).fillna(-1.0, ["realism"]).fillna(False, ["inside"])
+        more = C.away(cells, roam, "_g", need, ["inside", "realism", "min_d"], index, kernel, schema, work)
+        best = best if more is None else merge(best.unionByName(more))
+    return best.withColumnRenamed("id", id_col)
 
 
 def manifold_join(a: DataFrame, b: DataFrame, radii_b: DataFrame, id_col: str, vec: str,
@@ -212,46 +246,49 @@ def manifold_join(a: DataFrame, b: DataFrame, radii_b: DataFrame, id_col: str, v
 # ---------------------------------------------------------------- V6 P / R
 
 
-def _pr_kernel():
+def _inside_kernel():
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({"side": pa.array([], pa.string()), "id": pa.array([], pa.int64()),
-                             "inside": pa.array([], pa.bool_())})
-        xa, xb = to_matrix(a.column("x")), to_matrix(b.column("x"))
-        ra = a.column("r").to_numpy(zero_copy_only=False).astype(np.float64)
-        rb = b.column("r").to_numpy(zero_copy_only=False).astype(np.float64)
-        a_in = np.zeros(len(xa), bool)
-        b_in = np.zeros(len(xb), bool)
-        step = _chunk(len(xb))
-        for s in range(0, len(xa), step):
-            d = sq_dists(xa[s:s + step], xb)
-            a_in[s:s + step] = (d <= rb[None, :]).any(axis=1)
-            b_in |= (d <= ra[s:s + step, None]).any(axis=0)
-        return pa.table({"side": pa.array(["ref"] * len(xa) + ["sample"] * len(xb)),
-                         "id": pa.array(np.concatenate([_ids(a, "id"), _ids(b, "id")]), pa.int64()),
-                         "inside": pa.array(np.concatenate([a_in, b_in]))})
+        inside = np.zeros(a.num_rows, bool)
+        if a.num_rows and b.num_rows:
+            xa, xb = to_matrix(a.column("x")), to_matrix(b.column("x"))
+            rb = b.column("r").to_numpy(zero_copy_only=False).astype(np.float64)
+            step = _chunk(len(xb))
+            for s in range(0, len(xa), step):
+                inside[s:s + step] = (sq_dists(xa[s:s + step], xb) <= rb[None, :]).any(axis=1)
+        names = {"id": a.column("id"), "_g": a.column("_g")} if a.num_rows else {
+            "id": pa.array([], pa.int64()), "_g": pa.array([], pa.string())}
+        return pa.table({**names, "inside": pa.array(inside)})
     return run
 
 
 def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec: str, k: int = 3,
-                           block_rows: int = 4096) -> DataFrame:
+                           block_rows: int = 4096, work: dict | None = None) -> DataFrame:
     """V6 per row: a reference row is recalled when it lies in some sample
     ball, a sample row is precise when it lies in some reference ball (both
-    boundaries inclusive).  One tile pass gives both flags."""
-    both = (ref.select(F.lit("ref").alias("_set"), id_col, vec)
-            .unionByName(sample.select(F.lit("smp").alias("_set"), id_col, vec)))
-    counts = {r[0]: r[1] for r in both.groupBy("_set").count().collect()}
-    n_ref, n_smp = counts.get("ref", 0), counts.get("smp", 0)
-    # both sides read the radii: they are pinned (N small rows) so that the
-    # tile pass runs once
-    radii = pin(manifold_radii_grouped(both, "_set", id_col, vec, k, block_rows, counts))
-    r_ref = radii.filter(F.col("_set") == "ref").drop("_set")
-    r_smp = radii.filter(F.col("_set") == "smp").drop("_set")
-    a = _vectors(ref.join(r_ref, id_col), id_col, vec, F.col("radius").alias("r"))
-    b = _vectors(sample.join(r_smp, id_col), id_col, vec, F.col("radius").alias("r"))
-    per_tile = tile_apply(a, b, "id", "id", _pr_kernel(), "side string, id long, inside boolean", block_rows,
-                          n_ref, n_smp)
-    return per_tile.groupBy("side", "id").agg(F.bool_or("inside").alias("inside"))
+    boundaries inclusive).  Both sets share every pass; a row that lies in a
+    ball of its home cell visits no other, and the rest only cells whose
+    largest ball can reach them."""
+    both = (ref.select(F.lit("ref").alias("_g"), id_col, vec)
+            .unionByName(sample.select(F.lit("sample").alias("_g"), id_col, vec)))
+    cells = C.build(_vectors(both, id_col, vec, "_g"), block_rows)
+    radii = pin(_nearest(cells, cells.rows, k, work).select("_g", "id", F.try_element_at("d", F.lit(k + 1)).alias("r")))
+    index = cells.rows.join(radii, ["_g", "id"]).select("id", "x", "r", "cell")
+    other = F.when(F.col("_g") == "ref", "sample").otherwise("ref")
+    visitors = C.assign(cells.rows.select("id", "x", other.alias("_g")), cells, "_g").select("id", "x", "_g", "cell")
+    schema = "id long, _g string, inside boolean"
+
+    def merge(found: DataFrame) -> DataFrame:
+        return found.groupBy("_g", "id").agg(F.bool_or("inside").alias("inside"))
+
+    flags = merge(C.home(cells, visitors, index, _inside_kernel(), schema, work))
+    if cells.several():
+        flags, index = pin(flags), pin(index)
+        ball = C.largest(cells, index, "r")
+        outside = visitors.join(flags.filter("inside").select("_g", "id"), ["_g", "id"], "left_anti")
+        more = C.away(cells, outside, "_g", lambda least, most, state, numbers: ~(least > ball[numbers]), [], index,
+                      _inside_kernel(), schema, work)
+        flags = flags if more is None else merge(flags.unionByName(more))
+    return flags.select(other.alias("side"), "id", "inside")  # _g is the set that a row was held against
 
 
 def precision_recall(ref: DataFrame, sample: DataFrame, id_col: str, vec: str, k: int = 3,

@@ -72,6 +72,25 @@ def q_manifold_evaluate(spark, sf):
                      "nearest")
 
 
+CELL_ROWS = 64  # small cells, so that the driver tables have many
+
+
+@register("manifold_cells", ids=("V2", "V3", "V5", "X5"), sql=f"""
+WITH {_E}, {_radii_sql('ref', 'rr')},
+pr AS (SELECT a.vec_id, b.vec_id AS rid, {_DIST} AS d FROM smp a, ref b)
+SELECT pr.vec_id, bool_or(d <= rr.radius) AS inside, round(max(rr.radius / (d + 1e-5)), 6) AS realism,
+       round(min(d), 6) AS min_d, first(rid ORDER BY d, rid) AS nearest
+FROM pr JOIN rr ON pr.rid = rr.vec_id GROUP BY pr.vec_id
+""")
+def q_manifold_cells(spark, sf):
+    """V3 and V5 over many cells: home cells, then the cells that bounds leave open."""
+    ref, smp, _ = _sets(spark, sf)
+    radii = M.manifold_radii(ref, "vec_id", "embedding", K, CELL_ROWS)
+    ev = M.manifold_evaluate(ref, radii, smp, "vec_id", "embedding", block_rows=CELL_ROWS)
+    return ev.select("vec_id", "inside", F.round("realism", 6).alias("realism"), F.round("min_d", 6).alias("min_d"),
+                     "nearest")
+
+
 @register("manifold_join", ids=("J8",), sql=f"""
 WITH {_E}, {_radii_sql('ref', 'rr')}
 SELECT a.vec_id, a.label FROM smp a WHERE EXISTS (

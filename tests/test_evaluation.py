@@ -46,6 +46,20 @@ def test_results_do_not_depend_on_partitioning(spark, sets, parts):
     assert (pr["precision"], pr["recall"]) == (base["precision"], base["recall"])
 
 
+def test_manifold_evaluate_matches_numpy_over_many_cells(spark, sets):
+    e, x, lab, ids = sets
+    ref, smp, r = x[lab < 5], x[lab >= 5], _np_radii(x[lab < 5], 3)
+    d = ((smp[:, None, :] - ref[None, :, :]) ** 2).sum(-1)
+    radii = M.manifold_radii(e.filter("label < 5"), "vec_id", "embedding", 3, block_rows=40)
+    got = {g["vec_id"]: g for g in M.manifold_evaluate(e.filter("label < 5"), radii, e.filter("label >= 5"), "vec_id",
+                                                       "embedding", block_rows=40).collect()}
+    got = [got[i] for i in ids[lab >= 5]]
+    assert [g["inside"] for g in got] == (d <= r).any(axis=1).tolist()
+    assert [g["nearest"] for g in got] == ids[lab < 5][d.argmin(axis=1)].tolist()
+    assert np.allclose([g["realism"] for g in got], (r / (d + 1e-5)).max(axis=1))
+    assert np.allclose([g["min_d"] for g in got], d.min(axis=1))
+
+
 def test_grouped_radii_match_numpy_per_group(spark, sets):
     e, x, lab, ids = sets
     got = {(r["label"], r["vec_id"]): r["radius"]

@@ -13,7 +13,8 @@ from pairlake.operators import losses as L
 from pairlake.operators import metrics as M
 from pairlake.operators.channels import channel_stats
 from pairlake.operators.index import first_n, global_index
-from pairlake.operators.linalg import feature_moments, grid_blocks
+from pairlake.operators import cells as C
+from pairlake.operators.linalg import feature_moments
 from pairlake.operators.sampling import sample_exact
 from pairlake.operators import stats as ST
 from pairlake.operators.pairing import repeated_ids
@@ -96,10 +97,55 @@ def test_tile_pass_runs_once_per_query(spark, monkeypatch):
         assert runs.value - before == (2 if name == "pr" else 1), name
 
 
-def test_grid_follows_the_cluster_not_the_table(spark):
-    assert grid_blocks(spark, 10, 4096) == 1
-    assert grid_blocks(spark, 10**6, 4096) == grid_blocks(spark, 10**6 // 2, 4096) <= 8
-    assert grid_blocks(spark, 10**9, 4096) == -(-10**9 // (1 << 18))
+def clustered(spark, n, clusters, spread=0.01, dim=8):
+    """Rows around centres on a wide lattice."""
+    centre = F.pmod(F.xxhash64("id"), F.lit(clusters))
+    x = F.array(*[(F.pmod(F.xxhash64(centre, F.lit(i)), F.lit(1000)) + F.rand(i + 1) * spread).cast("double") for i in range(dim)])
+    return M.pin(spark.range(n).select("id", x.alias("x")))
+
+
+def test_share_of_pairs_falls_as_a_clustered_set_grows(spark):
+    shares = []
+    for n in (800, 8000):
+        df, work = clustered(spark, n, 12), {}
+        got = {r["id"]: r["radius"] for r in M.manifold_radii(df, "id", "x", 3, block_rows=100, work=work).collect()}
+        x = np.array([r["x"] for r in df.orderBy("id").collect()])
+        some = range(0, n, 97)
+        want = [np.sort(((x - x[i]) ** 2).sum(axis=1))[3] for i in some]
+        assert np.allclose([got[i] for i in some], want, rtol=1e-6, atol=1e-9)
+        shares.append((work["home"] + work.get("away", 0)) / n**2)
+    assert shares[1] < shares[0] / 2 and shares[1] < 0.2
+
+
+def test_rows_of_a_crowded_cell_are_split(spark, monkeypatch):
+    monkeypatch.setattr(C, "TILE_BLOCKS", 1)
+    rows = [(i, [0.0, 0.0]) for i in range(400)] + [(400 + i, [float(i), 1.0]) for i in range(200)] + [(600, [1e6, 1e6])]
+    df = M.pin(spark.createDataFrame(rows, "id long, x array<double>").repartition(3))
+    sizes = spark.sparkContext.accumulator(0)
+    base = M._knn_kernel
+
+    def watched(k):
+        kernel = base(k)
+
+        def run(a, b):
+            if max(a.num_rows, b.num_rows) > 200:  # hash parts of 50 rows on average
+                sizes.add(1)
+            return kernel(a, b)
+        return run
+    monkeypatch.setattr(M, "_knn_kernel", watched)
+    got = {r["id"]: r["radius"] for r in M.manifold_radii(df, "id", "x", 3, block_rows=50).collect()}
+    x = np.array([r[1] for r in rows])
+    want = np.sort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, 3]
+    assert np.allclose([got[i] for i in range(601)], want, rtol=1e-6, atol=1e-6) and sizes.value == 0
+
+
+def test_cells_with_values_that_are_not_finite(spark):
+    rows = [(i, [float(i % 7), float(i)]) for i in range(60)] + [(60, [float("nan"), 0.0]), (61, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    got = {r["id"]: r["radius"] for r in M.manifold_radii(df, "id", "x", 2, block_rows=10).collect()}
+    x = np.array([r[1] for r in rows[:60]])
+    want = np.sort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, 2]
+    assert len(got) == 62 and np.allclose([got[i] for i in range(60)], want, atol=1e-9)
 
 
 @pytest.mark.parametrize("name", ["stream_stats", "stream_stats_rank0", "stream_cumulative", "stream_keep_previous"])
