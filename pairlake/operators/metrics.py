@@ -9,6 +9,8 @@ is an ordinary ``groupBy``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -133,24 +135,80 @@ def kth_smallest_long(df: DataFrame, key: str, dist: str, k: int) -> DataFrame:
 # ---------------------------------------------------------------- percentiles
 
 
+SELECT_ROWS = 4096  # values that are sorted on the driver once a rank is known to lie among them
+NARROW = 1.0 / 2000  # share of the rows on either side of a rank that stays in each round
+
+
+def select_ranks(v: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
+    """The values at 0-based ``ranks`` of the ascending order of column ``v``
+    (no nulls and no NaN; ``n`` rows), without sorting it.
+
+    Every rank lies in an open interval, first the whole line.  A round takes
+    two approximate percentiles around it inside the interval and counts, over
+    all rows, how many values lie below and at either, which gives the value or
+    a narrower interval.  Heavily repeated values end a round rather than
+    stall it, as values at the ends are told from those between.  All ranks
+    share the two aggregations of a round, whose partial results are one row a
+    task; once at most ``SELECT_ROWS`` values are left they are sorted."""
+    found: dict[int, float] = {}
+    open_ = {r: (None, None, 0, n) for r in ranks}  # below, above, rows up to below, rows between
+
+    def inside(lo, hi):
+        c = F.lit(True)
+        c = c if lo is None else c & (F.col("v") > lo)
+        return c if hi is None else c & (F.col("v") < hi)
+
+    while open_:
+        for r, (lo, hi, before, between) in list(open_.items()):
+            if between <= SELECT_ROWS:
+                found[r] = sorted(x["v"] for x in v.filter(inside(lo, hi)).collect())[r - before]
+                del open_[r]
+        if not open_:
+            break
+        cuts = []
+        for r, (lo, hi, before, between) in open_.items():
+            at = [min(1.0, max(0.0, (r - before) / between + d)) for d in (-NARROW, NARROW)]
+            cuts.append(F.percentile_approx(F.when(inside(lo, hi), F.col("v")), at, int(4 / NARROW)))
+        cuts = v.agg(*[c.alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+        counts = [F.count(F.when(test, 1)) for a, b in cuts
+                  for test in (F.col("v") < a, F.col("v") <= a, F.col("v") < b, F.col("v") <= b)]
+        counts = v.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
+        for i, (r, (lo, hi, before, between)) in enumerate(list(open_.items())):
+            (a, b), (under_a, to_a, under_b, to_b) = cuts[i], counts[4 * i:4 * i + 4]
+            if r < under_a:
+                open_[r] = (lo, a, before, under_a - before)
+            elif r < to_a:
+                found[r] = a
+            elif r < under_b:
+                open_[r] = (a, b, to_a, under_b - to_a)
+            elif r < to_b:
+                found[r] = b
+            else:
+                open_[r] = (b, hi, to_b, before + between - to_b)
+            if r in found:
+                del open_[r]
+    return found
+
+
 def percentiles_frame(df: DataFrame, value: str, pcts: dict[str, float]) -> DataFrame:
     """Numpy-style linear-interpolated percentiles as one row (one column
-    per name), computed with a distributed rank (W1) and point lookups of the
-    two neighbouring ranks -- no single task ever holds the column."""
-    v = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    ranked = global_index(v, "v", "_r")
-    n = ranked.count()
-    if n == 0:
-        return ranked.agg(*[F.lit(None).cast("double").alias(k) for k in pcts])
-    aggs, needed = [], set()
-    for name, pct in pcts.items():
-        pos = (n - 1) * pct / 100.0
-        lo, hi = int(np.floor(pos)), int(np.ceil(pos))
-        needed |= {lo, hi}
-        vlo = F.max(F.when(F.col("_r") == lo, F.col("v")))
-        vhi = F.max(F.when(F.col("_r") == hi, F.col("v")))
-        aggs.append((vlo + (vhi - vlo) * F.lit(pos - lo)).alias(name))
-    return ranked.filter(F.col("_r").isin(sorted(needed))).agg(*aggs)
+    per name), by distributed selection of the two neighbouring ranks: neither
+    a sort nor an exchange of the values.  Nulls are left out, NaN ranks last."""
+    v = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()).persist()
+    try:
+        n, real = v.agg(F.count(F.lit(1)), F.count(F.when(~F.isnan("v"), 1))).first()
+        at = {name: (n - 1) * pct / 100.0 for name, pct in pcts.items()}
+        ends = {r for p in at.values() for r in (math.floor(p), math.ceil(p))} if n else set()
+        values = select_ranks(v.filter(~F.isnan("v")), sorted(r for r in ends if r < real), real)
+    finally:
+        v.unpersist()
+
+    def column(p: float):
+        if not n:
+            return F.lit(None)
+        lo, hi = (values.get(r, float("nan")) for r in (math.floor(p), math.ceil(p)))
+        return F.lit(lo if lo == hi else lo + (hi - lo) * (p - math.floor(p)))
+    return df.sparkSession.range(1).select(*[column(p).cast("double").alias(name) for name, p in at.items()])
 
 
 def percentile_frame(df: DataFrame, value: str, pct: float, name: str = "percentile") -> DataFrame:
@@ -349,16 +407,37 @@ def frechet_distance(a: DataFrame, b: DataFrame, vec: str, eps: float = 1e-6) ->
 # ---------------------------------------------------------------- V8 IS
 
 
-def _split_score(t: pa.Table) -> pa.Table:
-    """One split's logits -> its score: p = softmax, then
-    exp(mean_i sum_c p ln p - sum_c m_c ln m_c) with m the mean of p."""
-    z = to_matrix(t.column("z"))
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    m = p.mean(axis=0)
-    entropy = np.where(p > 0, p * np.log(np.where(p > 0, p, 1.0)), 0.0).sum(axis=1).mean()
+MOST_SPLITS = 1 << 20  # whose first ids (8 MB of numbers) are sent to the tasks
+
+
+def _split_partials(splits_of):
+    """Rows -> partial sums of their splits: count, sum of p ln p and sum of p
+    (softmax of the logits).  A batch's rows of one split become one row."""
+    def run(batches):
+        for batch in batches:
+            z = to_matrix(batch.column("z"))
+            if not len(z):
+                continue
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            e = np.where(p > 0, p * np.log(np.where(p > 0, p, 1.0)), 0.0).sum(axis=1)
+            split, inverse = np.unique(splits_of(batch), return_inverse=True)
+            sums = np.zeros((len(split), p.shape[1]))
+            np.add.at(sums, inverse, p)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(split.astype(np.int64)), pa.array(np.bincount(inverse).astype(np.int64)),
+                 pa.array(np.bincount(inverse, weights=e)), pa.array(list(sums), pa.list_(pa.float64()))],
+                ["split", "n", "e", "p"])
+    return run
+
+
+def _merge_split(t: pa.Table) -> pa.Table:
+    """Partial sums of one split -> exp(mean_i sum_c p ln p - sum_c m_c ln m_c), m the mean of p."""
+    n = int(np.sum(t.column("n").to_numpy()))
+    m = to_matrix(t.column("p")).sum(axis=0) / n
+    entropy = np.sum(t.column("e").to_numpy()) / n
     score = np.exp(entropy - np.where(m > 0, m * np.log(np.where(m > 0, m, 1.0)), 0.0).sum())
-    return pa.table({"split": t.column("split").slice(0, 1), "n": pa.array([len(z)], pa.int64()),
+    return pa.table({"split": t.column("split").slice(0, 1), "n": pa.array([n], pa.int64()),
                      "score": pa.array([score], pa.float64())})
 
 
@@ -367,12 +446,26 @@ def inception_score_splits(df: DataFrame, id_col: str, logits: str, split_size:
     ``id_col`` order, the last one may be short; ids are unique.  ``p = 0``
     contributes 0 (the reference would give NaN).
 
-    Only the ids are ranked (W1); the logits are shuffled once, to the task of
-    their split, which holds ``split_size`` rows and nothing more."""
+    Only the ids are ranked (W1).  The first id of every split goes to the
+    tasks, which sum C + 2 numbers a split and batch where the logits are; those
+    sums merge in any order, so no logits are shuffled.  Beyond ``MOST_SPLITS``
+    splits the rank is joined to the rows instead of the boundaries sent."""
     ranked = global_index(df.select(id_col), id_col, "_pos")
     split = F.floor(F.col("_pos") / split_size).cast("long").alias("split")
-    rows = df.select(id_col, as_double_array(logits).alias("z")).join(ranked.select(id_col, split), id_col)
-    return rows.select("split", "z").groupBy("split").applyInArrow(_split_score, "split long, n long, score double")
+    rows = df.select(F.col(id_col).alias("id"), as_double_array(logits).alias("z"))
+    starts = [r[0] for r in ranked.filter(F.col("_pos") % split_size == 0).select(id_col).limit(MOST_SPLITS + 1).collect()]
+    if len(starts) <= MOST_SPLITS:
+        shared = df.sparkSession.sparkContext.broadcast(np.array(sorted(starts)))
+
+        def splits_of(batch):
+            return np.searchsorted(shared.value, batch.column("id").to_numpy(zero_copy_only=False), side="right") - 1
+    else:
+        rows = rows.join(ranked.select(F.col(id_col).alias("id"), split), "id")
+
+        def splits_of(batch):
+            return batch.column("split").to_numpy()
+    partial = rows.mapInArrow(_split_partials(splits_of), "split long, n long, e double, p array<double>")
+    return partial.groupBy("split").applyInArrow(_merge_split, "split long, n long, score double")
 
 
 def inception_score(df: DataFrame, id_col: str, logits: str, split_size: int = 5000) -> DataFrame:

@@ -148,3 +148,40 @@ def test_percentile_matches_numpy(spark):
     vals = np.arange(1001, dtype=float)
     for pct in (0, 12.5, 50, 90, 100):
         assert M.exact_percentile(df, "v", pct) == pytest.approx(np.percentile(vals, pct))
+
+
+@pytest.mark.parametrize("small", [1, 7, 4096])
+def test_selection_of_skewed_and_tied_values(spark, monkeypatch, small):
+    monkeypatch.setattr(M, "SELECT_ROWS", small)
+    rng = np.random.default_rng(small)
+    sets = {"ties": np.repeat([1.0, 2.0, 5.0], [300, 400, 301]), "wide": np.exp(rng.normal(size=900) * 50),
+            "one": np.full(50, 3.5), "two": np.array([2.0, 1.0]), "ends": np.r_[-np.inf, np.arange(600.0), np.inf, np.inf]}
+    for name, vals in sets.items():
+        df = spark.createDataFrame([(float(x),) for x in rng.permutation(vals)] + [(None,)], "v double").repartition(3)
+        pcts = {f"p{i}": p for i, p in enumerate((0, 0.1, 33.3, 50, 90, 99.9, 100))}
+        got = M.percentiles_frame(df, "v", pcts).first()
+        with np.errstate(invalid="ignore"):
+            want = [np.percentile(vals, p) for p in pcts.values()]
+        sure = np.isfinite(want) if name == "ends" else np.ones(len(want), bool)  # inf - inf is not compared
+        assert np.allclose(np.array(got)[sure], np.array(want)[sure], rtol=1e-12)
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    got = M.percentiles_frame(nan, "v", {"a": 0.0, "b": 50.0, "c": 100.0}).first()
+    assert got["a"] == 1.0 and got["b"] == 2.0 and np.isnan(got["c"])
+    assert M.percentiles_frame(nan.limit(0), "v", {"a": 50.0}).first()["a"] is None
+
+
+def test_selection_and_split_scores_shuffle_no_rows(spark, sets, monkeypatch):
+    e, x, _, ids = sets
+    logits = e.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda v: v * 10.0).alias("logits"))
+    parts = M.inception_score_splits(logits.repartition(5), "vec_id", "logits", 70)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(split") == 1 and "Join" not in plan
+    near = parts.orderBy("split").collect()
+    monkeypatch.setattr(M, "MOST_SPLITS", 2)
+    joined = M.inception_score_splits(logits, "vec_id", "logits", 70).orderBy("split").collect()
+    assert [r["n"] for r in near] == [r["n"] for r in joined] == [70] * (len(x) // 70) + ([len(x) % 70] if len(x) % 70 else [])
+    assert np.allclose([r["score"] for r in near], [r["score"] for r in joined], rtol=1e-12)
+    names = logits.select(F.format_string("k%06d", "vec_id").alias("vec_id"), "logits")
+    monkeypatch.setattr(M, "MOST_SPLITS", 1000)
+    assert np.allclose([r["score"] for r in M.inception_score_splits(names, "vec_id", "logits", 70).orderBy("split").collect()],
+                       [r["score"] for r in near], rtol=1e-12)
