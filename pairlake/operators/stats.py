@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlake.operators.index import global_index
+
 from pairlake.functions.util import col
 from pairlake.functions.vectors import FLOAT32_MAX
 
@@ -100,17 +102,16 @@ def keep_previous(deltas: DataFrame, name: str = "name", rnd: str = "round", ste
     rounds are ``step`` apart, and those in which no name reported count too,
     up to the last round of ``deltas``."""
     data = deltas.filter(F.col("num") != 0)
+    first = data.groupBy(name).agg(F.min(rnd).alias("_f"))
     if step is not None:
-        first = data.groupBy(name).agg(F.min(rnd).alias("_f"))
-        last = deltas.agg(F.max(rnd).alias("_l"))
-        spine = first.crossJoin(F.broadcast(last)).select(name, F.explode(F.sequence("_f", "_l", F.lit(step))).alias(rnd))
+        last = deltas.agg(F.max(rnd)).scalar()
+        spine = first.select(name, F.explode(F.sequence("_f", last, F.lit(step))).alias(rnd))
         return _carried(spine, data, name, rnd)
     # one row per round: a table as long as the history, not as the reports
-    rounds = deltas.select(rnd).distinct().withColumn("_i", F.row_number().over(Window.orderBy(rnd)))
-    first = data.groupBy(name).agg(F.min(rnd).alias(rnd)).join(rounds, rnd).select(name, F.col("_i").alias("_f"))
-    numbers = F.sequence(F.col("_f"), F.lit(rounds.count()))
-    spine = first.select(name, F.explode(numbers).alias("_i")).join(rounds, "_i").drop("_i")
-    return _carried(spine, data, name, rnd)
+    rounds = global_index(deltas.select(rnd).distinct(), rnd, "_i")
+    numbers = F.sequence(F.col("_i"), rounds.agg(F.max("_i")).scalar())
+    spine = first.withColumnRenamed("_f", rnd).join(rounds, rnd).select(name, F.explode(numbers).alias("_i"))
+    return _carried(spine.join(rounds, "_i").drop("_i"), data, name, rnd)
 
 
 def _carried(spine: DataFrame, data: DataFrame, name: str, rnd: str) -> DataFrame:

@@ -45,7 +45,7 @@ def npy_bytes(arr: np.ndarray) -> bytes:
     return buf.getvalue()
 
 
-def _publish(fs, path: str, data: bytes) -> None:
+def publish(fs, path: str, data: bytes) -> None:
     """Write under a temporary name, then move to the final one, so that a lost
     or repeated task never leaves a torn file."""
     folder, name = path.rsplit("/", 1)
@@ -65,7 +65,7 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
             names = rb.column(name).to_pylist()
             sizes = []
             for n, data in zip(names, rb.column(content).to_pylist()):
-                _publish(fs, f"{base.rstrip('/')}/{n}", data)
+                publish(fs, f"{base.rstrip('/')}/{n}", data)
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())],
                                              names=["name", "size"])
@@ -99,7 +99,7 @@ def write_archives(df: DataFrame, folder: str, kind: str, name: str, content: st
         else:
             raise ValueError(f"unknown archive kind {kind!r}")
         fname = f"part-{part:05d}.{kind}"
-        _publish(fs, f"{base.rstrip('/')}/{fname}", buf.getvalue())
+        publish(fs, f"{base.rstrip('/')}/{fname}", buf.getvalue())
         yield pa.RecordBatch.from_arrays([pa.array([fname]), pa.array([t.num_rows], pa.int64())],
                                          names=["archive", "rows"])
     cols = list(dict.fromkeys(c for c in (name, content, matrix, key) if c))

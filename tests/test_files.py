@@ -198,7 +198,7 @@ def test_keep_previous_stream_across_micro_batches(spark, tmp_path):
     import time as _time
 
     from pairlake.operators import stats as ST
-    from pairlake.streaming.keep_previous import stream_keep_previous
+    from pairlake.streaming.keep_previous import run_keep_previous
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(
         "ts", F.col("event_type").alias("name"), "value")
     cut = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
@@ -213,17 +213,74 @@ def test_keep_previous_stream_across_micro_batches(spark, tmp_path):
         (flat / f"part-{i}.parquet").write_bytes(open(f, "rb").read())
         _time.sleep(1.1)
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(flat)))
-    out = run_append_to_parquet(stream_keep_previous(stream), "kp-test")
+    out = run_keep_previous(stream)
     got = {(r["name"], r["round_start"]): (r["num"], r["sum"]) for r in out.collect()}
     day = F.floor(F.unix_seconds(F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" 00:00:00Z")),
                                                 "yyyy-MM-dd HH:mm:ssX")) / 86400).cast("long") * 86400
     deltas = ST.stat_deltas(ev.withColumn("round", day))
-    twin = {(r["name"], r["round"]): (r["num"], r["sum"]) for r in ST.keep_previous(deltas).collect()}
-    assert got and set(got) <= set(twin)
+    twin = {(r["name"], r["round"]): (r["num"], r["sum"]) for r in ST.keep_previous(deltas, step=86400).collect()}
+    assert got and set(got) == set(twin) and out.count() == len(got)
     for key, (n, s) in got.items():
         assert n == twin[key][0] and abs(s - twin[key][1]) < 1e-6
-    closed = max(k[1] for k in got)
-    assert {k for k in twin if k[1] <= closed} == set(got)
+
+
+def test_keep_previous_stream_late_null_and_silent(spark, tmp_path):
+    """Rounds close as the watermark passes; late reports of closed rounds are
+    dropped, of open ones counted; silent rounds repeat, null names are a name."""
+    import datetime as dt
+    import time as _time
+
+    from pairlake.streaming.keep_previous import run_keep_previous
+    schema, nan = "ts timestamp_ntz, name string, value double", float("nan")
+
+    def at(day, hour):
+        return dt.datetime(2024, 1, day, hour)
+    batches = [
+        [(at(1, 5), "a", 1.0), (at(1, 6), "a", nan), (at(1, 7), "nan", nan), (at(1, 8), None, 5.0), (None, "a", 9.0)],
+        [(at(3, 2), "b", 2.0)],                                    # closes the 1st and the 2nd
+        [(at(1, 9), "a", 100.0), (at(3, 1), "a", 4.0)],            # too late; late, but its round is open
+        [(at(5, 3), "nan", nan)],
+    ]
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        (flat / f"part-{i}.parquet").write_bytes(next((tmp_path / f"b{i}").glob("*.parquet")).read_bytes())
+        _time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+    day1 = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    got = {}
+    for r in run_keep_previous(stream).collect():
+        got.setdefault(r["name"], {})[(r["round_start"] - day1) // 86400 + 1] = (r["num"], r["sum"])
+    assert got == {"a": {1: (1, 1.0), 2: (1, 1.0), 3: (1, 4.0), 4: (1, 4.0), 5: (1, 4.0)},
+                   "b": {3: (1, 2.0), 4: (1, 2.0), 5: (1, 2.0)}, None: {d: (1, 5.0) for d in range(1, 6)}}
+
+
+def test_committed_sink_keeps_one_copy_of_an_epoch(spark, tmp_path):
+    import pyarrow as pa
+
+    from pairlake.sinks.committed import CommittedWriter, read_committed, run_committed
+    schema = spark.createDataFrame([], "step long, metric string").schema
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", None])], ["step", "metric"])
+    w = CommittedWriter(f"file:{tmp_path}/s/out", schema)
+    first = [w.write(iter([batch, batch])), w.write(iter([])), None]
+    lost = w.write(iter([batch]))  # a task whose message never arrives
+    w.commit(first, 0)
+    w.commit([w.write(iter([batch])), w.write(iter([batch]))], 0)  # replayed after a restart
+    w.abort([w.write(iter([batch])), None], 1)
+    w.commit([w.write(iter([batch]))], 1)
+    w.commit([], 2)
+    assert sorted(r["step"] for r in read_committed(spark, f"{tmp_path}/s", schema).collect()) == [1, 1, 1, 2, 2, 2]
+    assert len(list((tmp_path / "s/out/data").iterdir())) == 3 and (tmp_path / "s/out/data" / lost.file).exists()
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run_committed(stream, f"{tmp_path}/t")
+    assert read_committed(spark, f"{tmp_path}/t", stream.schema).count() == 0
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        run_committed(stream, f"{tmp_path}/t")
+    assert sorted(r[0] for r in read_committed(spark, f"{tmp_path}/t", stream.schema).collect()) == list(range(30))
 
 
 def test_stream_stats_drops_rows_behind_the_watermark(spark, tmp_path):
