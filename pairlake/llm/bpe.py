@@ -18,7 +18,9 @@ import base64
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +140,7 @@ class ChunkEncoder:
         ids = dict(zip(words, self._encode_words(words), strict=True))
         return [b"".join(map(ids.__getitem__, found)) for found in tokens]
 
-    def _learn(self, common: set[str], rare: set[str]) -> None:
+    def _learn(self, common: list[str], rare: set[str]) -> None:
         known, words, marked, other = self._known, [], [], []
         for p in common:
             if p in self._old:
@@ -164,30 +166,48 @@ class ChunkEncoder:
         known.update(zip(other, self._encode([" " + p for p in other]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        return self.encode(pa.array(texts, pa.string())).to_pylist()
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Texts -> their ids as bytes.  Arrow cuts, numbers and joins the
+        chunks; only those that are new are looked at one by one."""
         if len(self._known) > self._entries:
             self._known, self._old = {}, self._known
-        known, rows, common, rare = self._known, [], set(), set()
-        for text in texts:
-            parts = (text or "").split(" ")
-            ids = list(map(known.get, parts))
-            holes = [i for i, x in enumerate(ids) if x is None]
-            if holes:
-                (rare if text and RARE.search(text) else common).update([parts[i] for i in holes])
-            rows.append((parts, ids, holes))
-        self._learn(common, rare.difference(common))
-        for parts, ids, holes in rows:
-            for i in holes:
-                ids[i] = known[parts[i]]
-        starts = self._encode([parts[0] for parts, _, _ in rows])
-        out = [self._text(parts, ids, start) for (parts, ids, _), start in zip(rows, starts, strict=True)]
-        for p in [p for p in (*common, *rare) if len(p) > self._max_key]:
-            known.pop(p, None)
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        offsets, numbered = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        base, chunks, number = offsets[0], numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        ids = list(map(self._known.get, chunks))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            missing = [chunks[i] for i in new]
+            rare = {c for c in missing if RARE.search(c)} if RARE.search("".join(missing)) else set()
+            self._learn([c for c in missing if c not in rare] if rare else missing, rare)
+            for i in new:
+                ids[i] = self._known[chunks[i]]
+        first = number[offsets[:-1] - base]
+        starts = self._encode([chunks[i] for i in first.tolist()])
+        # a text is joined from its parts unless one of them has no clean cut beside it
+        unclean = np.fromiter((not x for x in ids), bool, len(ids))
+        opens = np.fromiter((not c or c[-1] in BLANKS for c in map(chunks.__getitem__, first.tolist())), bool, len(first))
+        part = unclean[number]
+        part[offsets[:-1] - base] = opens & (np.diff(offsets) > 1)
+        plain = np.add.reduceat(part, offsets[:-1] - base) == 0
+        picked = number.astype(np.int64)
+        picked[offsets[:-1] - base] = len(ids) + np.arange(len(first))
+        parts = pa.array([*ids, *starts], pa.binary()).take(pa.array(picked))
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - base, pa.int32()), parts), b"")
+        if not plain.all():
+            rows = out.to_pylist()
+            for i in np.flatnonzero(~plain).tolist():
+                mine = number[offsets[i] - base:offsets[i + 1] - base].tolist()
+                rows[i] = self._text([chunks[k] for k in mine], [ids[k] for k in mine], starts[i])
+            out = pa.array(rows, pa.binary())
+        for c in [chunks[i] for i in new if len(chunks[i]) > self._max_key]:
+            self._known.pop(c, None)
         return out
 
     def _text(self, parts: list[str], ids: list[bytes], start: bytes) -> bytes:
         ids[0] = start
-        if b"" not in ids[1:] and (len(parts) == 1 or parts[0] and parts[0][-1] not in BLANKS):
-            return b"".join(ids)
         out, first = [], 0  # parts that meet at an unclean blank are encoded together
         for i in range(1, len(parts) + 1):
             if i == len(parts) or (parts[i - 1] and parts[i - 1][-1] not in BLANKS
@@ -228,7 +248,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     unsigned 32-bit integers (:func:`id_array` turns them into an array)."""
     def kernel():
         encoder = BytePairEncoder(load_ranks(ranks_path), pattern)
-        return lambda texts: pa.array(encoder.encode(texts.to_pylist()), type=pa.binary())
+        return encoder.encode.encode
 
     return without(df, [ids], [text]).withColumn(ids, arrow_column(kernel, "binary")(F.col(text)))
 
@@ -246,8 +266,6 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
 def id_array(df: DataFrame, ids: str = "ids") -> DataFrame:
     """Turn the binary ids into ``array<int>``."""
     def kernel():
-        import numpy as np
-
         return lambda column: pa.array([None if r is None else np.frombuffer(r, "<u4").astype("i4")
                                         for r in column.to_pylist()], type=pa.list_(pa.int32()))
 

@@ -40,6 +40,7 @@ from pairlake.llm.bpe import RARE, ChunkEncoder
 from pairlake.llm.text import pieces
 
 RUN = 4096  # ids coded on their own
+PIECE = 8 << 20  # bytes of text encoded at a time; the more, the fewer parts are looked up twice
 BLOCK_IDS = 65_536  # a block closes at the first document end after so many ids
 #: (ids per word, bits per id) by selector; selector 15 is the escape, 14 is free.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
@@ -116,7 +117,7 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
 @lru_cache(maxsize=1)
 def library_encoder(path: str):
     """One per Python worker: the tasks that a worker runs share what it knows.
-    ``encode(list of texts) -> list of id bytes`` of a byte-level BPE
+    ``encode(array of texts) -> array of id bytes`` of a byte-level BPE
     tokenizer file, by the tokenizers library.  The strings of special tokens
     in a text are ordinary text."""
     import regex
@@ -143,7 +144,7 @@ def library_encoder(path: str):
                 b"".join([packed[i] for i in tokenizer.encode(w, add_special_tokens=False).ids])
                 for w, m in zip(words, mapped, strict=True)]
 
-    return ChunkEncoder(split, encode_words)
+    return ChunkEncoder(split, encode_words).encode
 
 
 def _block_schema(id_type: T.DataType) -> T.StructType:
@@ -158,7 +159,7 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
                  text: str = "text") -> None:
     """Encode every text, append ``end_id`` and write the blocks to ``path`` in
     ascending order of ``doc_id``.  ``make_encoder()`` runs once per task and
-    returns ``encode(list of texts) -> list of little-endian uint32 bytes``.
+    returns ``encode(array of texts) -> array of little-endian uint32 bytes``.
 
     One range shuffle of (id, text); encoding and packing follow it in the same
     task, so nothing is encoded twice and the writer commits whole tasks."""
@@ -180,8 +181,8 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
 
         for batch in batches:
             at, kind = 0, batch.column(0).type
-            for piece in pieces(batch.column(1)):
-                for raw in encode(piece.to_pylist()):
+            for piece in pieces(batch.column(1), PIECE):
+                for raw in encode(piece).to_pylist():
                     ids += [raw, end]
                     docs.append(batch.column(0).slice(at, 1))
                     lengths.append(len(raw) // 4 + 1)
