@@ -141,13 +141,13 @@ class ChunkEncoder:
         return [b"".join(map(ids.__getitem__, found)) for found in tokens]
 
     def _learn(self, common: list[str], rare: set[str]) -> None:
-        known, words, marked, other = self._known, [], [], []
-        for p in common:
-            if p in self._old:
-                known[p] = self._old[p]
-            elif p.isalpha():
-                words.append(p)
-            elif not p or p[0] in BLANKS or p[-1] in BLANKS:
+        known, old, marked, other = self._known, self._old, [], []
+        if old:
+            known.update({p: old[p] for p in common if p in old})
+            common = [p for p in common if p not in old]
+        words = [p for p in common if p.isalpha()]
+        for p in [p for p in common if not p.isalpha()]:
+            if not p or p[0] in BLANKS or p[-1] in BLANKS:
                 known[p] = b""
             elif p[-1] in MARKS and p[:-1].isalpha():
                 marked.append(p)

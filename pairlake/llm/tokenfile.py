@@ -117,7 +117,7 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
 @lru_cache(maxsize=1)
 def library_encoder(path: str):
     """One per Python worker: the tasks that a worker runs share what it knows.
-    ``encode(array of texts) -> array of id bytes`` of a byte-level BPE
+    ``encode(list of texts) -> list of id bytes`` of a byte-level BPE
     tokenizer file, by the tokenizers library.  The strings of special tokens
     in a text are ordinary text."""
     import regex
@@ -140,11 +140,13 @@ def library_encoder(path: str):
         mapped = "\0".join(words).encode().decode("latin-1").translate(alphabet).split(alphabet[0])
         if len(mapped) != len(words):  # a word with that control character
             mapped = [w.encode().decode("latin-1").translate(alphabet) for w in words]
-        return [b"".join([packed[t.id] for t in tokenize(m)]) if common or not RARE.search(w) else
+        if common:
+            return [b"".join([packed[t.id] for t in tokenize(m)]) for m in mapped]
+        return [b"".join([packed[t.id] for t in tokenize(m)]) if not RARE.search(w) else
                 b"".join([packed[i] for i in tokenizer.encode(w, add_special_tokens=False).ids])
                 for w, m in zip(words, mapped, strict=True)]
 
-    return ChunkEncoder(split, encode_words).encode
+    return ChunkEncoder(split, encode_words)
 
 
 def _block_schema(id_type: T.DataType) -> T.StructType:
@@ -159,7 +161,7 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
                  text: str = "text") -> None:
     """Encode every text, append ``end_id`` and write the blocks to ``path`` in
     ascending order of ``doc_id``.  ``make_encoder()`` runs once per task and
-    returns ``encode(array of texts) -> array of little-endian uint32 bytes``.
+    returns ``encode(list of texts) -> list of little-endian uint32 bytes``.
 
     One range shuffle of (id, text); encoding and packing follow it in the same
     task, so nothing is encoded twice and the writer commits whole tasks."""
@@ -182,7 +184,7 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
         for batch in batches:
             at, kind = 0, batch.column(0).type
             for piece in pieces(batch.column(1), PIECE):
-                for raw in encode(piece).to_pylist():
+                for raw in encode(piece.to_pylist()):
                     ids += [raw, end]
                     docs.append(batch.column(0).slice(at, 1))
                     lengths.append(len(raw) // 4 + 1)
