@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlake.llm.text import arrow_column, without
+from pairlake.llm.text import Numbered, arrow_column
 
 # The white space of Unicode (property White_Space).
 BLANKS = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -250,7 +250,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         encoder = BytePairEncoder(load_ranks(ranks_path), pattern)
         return encoder.encode.encode
 
-    return without(df, [ids], [text]).withColumn(ids, arrow_column(kernel, "binary")(F.col(text)))
+    rows = Numbered(df)
+    return rows.named(rows.df.withColumn("ids", arrow_column(kernel, "binary")(F.col(rows(text)))), **{ids: "ids"})
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -260,7 +261,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
         one = lambda raw: b"".join(map(tokens.__getitem__, memoryview(raw or b"").cast("I")))
         return lambda column: pa.array(map(one, column.to_pylist()), type=pa.binary())
 
-    return without(df, [out], [ids]).withColumn(out, arrow_column(kernel, "binary")(F.col(ids)))
+    rows = Numbered(df)
+    return rows.named(rows.df.withColumn("out", arrow_column(kernel, "binary")(F.col(rows(ids)))), **{out: "out"})
 
 
 def id_array(df: DataFrame, ids: str = "ids") -> DataFrame:
@@ -269,4 +271,5 @@ def id_array(df: DataFrame, ids: str = "ids") -> DataFrame:
         return lambda column: pa.array([None if r is None else np.frombuffer(r, "<u4").astype("i4")
                                         for r in column.to_pylist()], type=pa.list_(pa.int32()))
 
-    return df.withColumn(ids, arrow_column(kernel, "array<int>")(F.col(ids)))
+    rows = Numbered(df)
+    return rows.named(rows.df.withColumn(rows(ids), arrow_column(kernel, "array<int>")(F.col(rows(ids)))))

@@ -9,9 +9,10 @@ and so verified word by word.  Hit words, matching items and word spans come
 back, and documents or spans are removed.
 
 The size of the benchmark is measured before anything is broadcast: items are
-dealt to as many sets as keep each below ``SET_BYTES`` of text, every set is
-scanned against all documents, one after the other, and the hits of a document
-are united.
+dealt to as many sets as keep each below ``SET_BYTES`` of text.  The first set
+is scanned where the documents are; every further one reads the documents once
+more and passes on only the texts that it hits, which are joined to the
+documents by the hash of the text, so nothing of the corpus is written.
 
 Defined results: a null text has no words; an item without words has no
 window; an item without id marks words but is not listed; repeated items and
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pairlake.llm.text import arrow_column, as_bytes, without
-from pairlake.operators.index import pin
+from pairlake.llm.text import Numbered, arrow_column, as_bytes, pick
 
 ADDED = ("n_words", "n_hit", "items", "hits")
 SET_BYTES = 16 << 20  # benchmark text in one broadcast hash set, at most (one longer item is a set of its own)
@@ -80,10 +80,10 @@ def _spans(mask: np.ndarray) -> list[dict]:
     return [{"first": int(a), "last": int(b) - 1} for a, b in zip(at[::2], at[1::2], strict=True)]
 
 
-def _sets(benchmark: DataFrame, item_id: str, text: str, set_bytes: int) -> list[list[tuple]]:
-    """The items dealt to sets of bounded size; the number of sets follows from
-    the measured size."""
-    items = benchmark.select(F.col(item_id).alias("i"), F.encode(F.col(text), "utf-8").alias("t"))
+def _sets(asked: DataFrame, set_bytes: int) -> list[list[tuple]]:
+    """The items (i, t) dealt to sets of bounded size; the number of sets
+    follows from the measured size."""
+    items = asked.select("i", F.encode("t", "utf-8").alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     sets = -(-total * 2 // set_bytes) or 1  # half full on average, as dealing is by hash
     dealt = items.distinct().withColumn("s", F.pmod(F.xxhash64("i", "t"), F.lit(sets)))
@@ -94,25 +94,26 @@ def contamination(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
                   item_text: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:
     """Append ``n_words``, ``n_hit``, ``items`` (ids of the items with a window
     in the text, sorted) and ``hits`` (runs of hit words: first and last)."""
-    return _found(without(df, ADDED, [text]), benchmark, n, text, item_id, item_text, set_bytes, "")
+    rows = Numbered(df)
+    return rows.named(_found(rows.df, rows(text), benchmark, n, item_id, item_text, set_bytes), **{c: c for c in ADDED})
 
 
-def _found(df: DataFrame, benchmark: DataFrame, n: int, text: str, item_id: str = "item_id", item_text: str = "text",
-           set_bytes: int = SET_BYTES, prefix: str = "_decontam_") -> DataFrame:
-    """``df`` with the columns of :func:`contamination`, ``prefix`` before their names."""
+def _found(df: DataFrame, text: str, benchmark: DataFrame, n: int, item_id: str = "item_id", item_text: str = "text",
+           set_bytes: int = SET_BYTES) -> DataFrame:
+    """A numbered table with the columns of :func:`contamination`."""
     sc = df.sparkSession.sparkContext
+    asked = pick(benchmark, i=item_id, t=item_text)
     kind = T.StructType([
         T.StructField("n", T.LongType()),
         T.StructField("hits", T.ArrayType(T.StructType([T.StructField("first", T.LongType()),
                                                         T.StructField("last", T.LongType())]))),
-        T.StructField("items", T.ArrayType(benchmark.schema[item_id].dataType))])
+        T.StructField("items", T.ArrayType(asked.schema["i"].dataType))])
     arrow = to_arrow_type(kind)
-    sets = _sets(benchmark, item_id, item_text, set_bytes)
-    out = df
-    for number, items in enumerate(sets):
+
+    def scanned(items):
         shared = sc.broadcast(items)
 
-        def kernel(shared=shared):
+        def kernel():
             grams = NgramSet(shared.value, n)
 
             def one(raw):
@@ -120,23 +121,30 @@ def _found(df: DataFrame, benchmark: DataFrame, n: int, text: str, item_id: str
                 return {"n": words, "hits": _spans(mask), "items": sorted(i for i in ids if i is not None)}
             return lambda texts: pa.array([one(t) for t in as_bytes(texts)], type=arrow)
 
-        out = out.withColumn(f"_decontam_set{number}", arrow_column(kernel, kind)(F.col(text)))
-        if len(sets) > 1:  # one hash set in memory at a time
-            out = pin(out)
-            shared.destroy()
-    found = [F.col(f"_decontam_set{k}") for k in range(len(sets))]
-    first = found[0]
+        return arrow_column(kernel, kind)(F.col(text))
+
+    sets = _sets(asked, set_bytes)
+    found = df.withColumn("found", scanned(sets[0]))
     if len(sets) == 1:
-        hits, items = first["hits"], first["items"]
+        n_words, hits, items = F.col("found.n"), F.col("found.hits"), F.col("found.items")
     else:
-        words = F.array_sort(F.array_distinct(F.flatten(F.transform(
-            F.concat(*[f["hits"] for f in found]), lambda h: F.sequence(h["first"], h["last"])))))
+        # every further set reads the documents once and sends on only the texts with hits, known by their hash
+        key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("key")
+        more = [df.select(key, scanned(items).alias("more")).filter("size(more.hits) > 0 or size(more.items) > 0")
+                .groupBy("key").agg(F.first("more").alias("more")) for items in sets[1:]]
+        every = more[0]
+        for m in more[1:]:
+            every = every.unionByName(m)
+        every = every.groupBy("key").agg(F.flatten(F.collect_list("more.hits")).alias("hits"),
+                                         F.flatten(F.collect_list("more.items")).alias("items"))
+        none = [F.array().cast(kind[c].dataType) for c in ("hits", "items")]
+        found = found.withColumn("key", key).join(every, "key", "left")
+        both = [F.concat(f"found.{c}", F.coalesce(c, e)) for c, e in zip(("hits", "items"), none, strict=True)]
+        words = F.array_sort(F.array_distinct(F.flatten(F.transform(both[0], lambda h: F.sequence(h["first"], h["last"])))))
+        n_words, items = F.col("found.n"), F.array_sort(F.array_distinct(both[1]))
         hits = F.transform(words, lambda w: F.struct(w.alias("first"), w.alias("last")))
-        items = F.array_sort(F.array_distinct(F.concat(*[f["items"] for f in found])))
-    n_hit = F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + h["last"] - h["first"] + 1)
-    added = zip(ADDED, (first["n"], n_hit, items, hits), strict=True)
-    return (out.withColumns({prefix + name: column for name, column in added})
-            .drop(*[f"_decontam_set{k}" for k in range(len(sets))]))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["last"] - h["first"] + 1)
+    return found.select(*df.columns, n_words.alias("n_words"), items.alias("items"), hits.alias("hits")).withColumn("n_hit", n_hit)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", action: str = "documents",
@@ -144,9 +152,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
     """The input columns without what the benchmark contaminates: the hit
     ``documents``, or the hit ``spans`` (from the first byte of a run of hit
     words to its last)."""
-    found = _found(df, benchmark, n, text, **names)  # private names, so every input column keeps its own value
+    rows = Numbered(df)
+    found = _found(rows.df, rows(text), benchmark, n, **names)
     if action == "documents":
-        return found.filter("_decontam_n_hit = 0").select(*df.columns)
+        return rows.named(found.filter("n_hit = 0"))
     if action != "spans":
         raise ValueError(f"no such action: {action}")
 
@@ -155,7 +164,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
         return pd.Series([t if h is None or not len(h) else _without_words(t, h)
                           for t, h in zip(texts, hits, strict=True)], dtype=object)
 
-    return found.withColumn(text, cut(F.col(text), F.col("_decontam_hits"))).select(*df.columns)
+    return rows.named(found.withColumn(rows(text), cut(F.col(rows(text)), F.col("hits"))))
 
 
 def _without_words(text: str, hits) -> str:

@@ -18,8 +18,9 @@ session's shuffle partitions until they would exceed ``MOST_ROWS``.
 
 Defined results: vectors that are null or hold null, NaN or infinite
 components, and rows without an id, take no part; a query's own id is never a
-candidate; of rows that repeat an id the least vector counts; only vectors of
-equal length are compared; scores must fit a long; other columns are not used;
+candidate, nor any other row of that id; rows that repeat an id are candidates
+each, and queries that repeat one are answered together, by the best of all
+their pairs; only vectors of equal length are compared; scores must fit a long; other columns are not used;
 fewer candidates than k give fewer rows; an empty table gives an empty table.
 """
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlake.llm.text import pick
 from pairlake.operators.index import pin
 
 LEAF = 128
@@ -44,7 +46,7 @@ class KDTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.most = float(np.abs(vectors).max(initial=0))
+        self.most, self._as = float(np.abs(vectors).max(initial=0)), {}
         self.low, self.high, self.least, self.children, self.rows = [], [], [], [], []
         if len(ids):
             self._node(np.arange(len(ids)))
@@ -71,7 +73,9 @@ class KDTree:
         """The tree's and the queries' numbers in the fastest exact type."""
         most = self.most * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
         kind = np.float64 if most < EXACT else np.int64
-        return self.vectors.astype(kind), self.low.astype(kind), self.high.astype(kind), queries.astype(kind)
+        if kind not in self._as:  # the tree is converted once, not for every block of queries
+            self._as[kind] = tuple(x.astype(kind) for x in (self.vectors, self.low, self.high))
+        return (*self._as[kind], queries.astype(kind))
 
     def search(self, queries: np.ndarray, own: np.ndarray, bounds: list, k: int):
         """Per query the results that beat its bound (score, id of the k-th so
@@ -101,14 +105,15 @@ class KDTree:
                         heapq.heappush(nodes, (reach[child], self.least[child], child))
                 continue
             rows = self.rows[node]
+            rows = rows[self.ids[rows] != own]
             scores = vectors[rows] @ query
             if kth:
                 near = scores >= -kth[0]
                 rows, scores = rows[near], scores[near]
             if len(rows) > 4 * k:  # rows ascend by id, so a stable sort keeps the smaller id first
-                top = np.argsort(-scores, kind="stable")[:k + 1]
+                top = np.argsort(-scores, kind="stable")[:k]
                 rows, scores = rows[top], scores[top]
-            found = [(-int(s), i) for s, i in zip(scores, self.ids[rows].tolist(), strict=True) if i != own]
+            found = [(-int(s), i) for s, i in zip(scores, self.ids[rows].tolist(), strict=True)]
             best = sorted([*best, *(f for f in found if not kth or f < kth)])[:k]
             if len(best) == k and (not kth or best[-1] < kth):
                 kth = best[-1]
@@ -137,7 +142,7 @@ def _shard_search(k: int):
                     members.append((ids, vectors))
                     continue
                 if tree is None:
-                    tree = KDTree(*_once(members, vectors.shape[1]))
+                    tree = KDTree(*_together(members, vectors.shape[1]))
                 bounds = [None if s is None else (s, i) for s, i in
                           zip(part.column(5).to_pylist(), part.column(6).to_pylist(), strict=True)]
                 for at in range(0, len(ids), 256):
@@ -151,18 +156,11 @@ def _shard_search(k: int):
     return kernel
 
 
-def _once(members: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each id with its least vector."""
+def _together(members: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     if not members:
         return np.zeros(0, np.int64), np.zeros((0, dim), np.int64)
     ids = np.concatenate([m[0] for m in members])
-    vectors = np.concatenate([m[1] for m in members])
-    if len(np.unique(ids)) < len(ids):
-        order = np.lexsort((*vectors.T[::-1], ids))
-        ids, vectors = ids[order], vectors[order]
-        first = np.r_[True, ids[1:] != ids[:-1]]
-        ids, vectors = ids[first], vectors[first]
-    return ids, vectors
+    return ids, np.concatenate([m[1] for m in members])
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
@@ -175,32 +173,34 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id",
     shards = max(1, -(-n // MOST_ROWS), min(-(-n // shard_rows), at_once))
 
     def whole(rows: DataFrame) -> DataFrame:
-        x = F.col(vector)
+        x = F.col("x")
         valid = F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf")))
-        return (rows.filter(F.col(vec_id).isNotNull() & x.isNotNull() & valid)
-                .select(F.col(vec_id).cast("long").alias("id"),
+        return (pick(rows, i=vec_id, x=vector).filter(F.col("i").isNotNull() & x.isNotNull() & valid)
+                .select(F.col("i").cast("long").alias("id"),
                         F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")))
 
     home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     none = F.lit(None).cast("long")
     members = whole(df).select(F.size("v").alias("dim"), home.alias("shard"), F.lit(0).alias("kind"), "id", "v",
                                none.alias("s"), none.alias("i"))
-    asked = whole(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    asked = whole(queries).withColumn("dim", F.size("v"))
     schema = "query_id long, vec_id long, score long"
 
     def search(sent: DataFrame) -> DataFrame:
         rows = members.unionByName(sent.select(members.columns))
-        return (rows.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+        # a shard is a partition: hashed, some partitions would hold several shards and others none
+        return (rows.repartitionById(shards, "shard").sortWithinPartitions("dim", "shard", "kind")
                 .mapInArrow(_shard_search(k), schema))
 
     kind = F.lit(1).alias("kind")
     first = pin(search(asked.select("dim", home.alias("shard"), kind, "id", "v", none.alias("s"), none.alias("i"))))
     last = F.max(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))
-    bound = (first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), last.alias("b"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    bound = (first.withColumn("r", place).filter(F.col("r") <= k)
+             .groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), last.alias("b"))
              .filter(F.col("n") == k).select("id", (-F.col("b.s")).alias("s"), "b.i"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
     rest = search(asked.join(bound, "id", "left").withColumn("shard", F.explode(others))
                   .select("dim", "shard", kind, "id", "v", "s", "i"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (first.union(rest).withColumn("rank", place).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -13,16 +13,17 @@ the language that text, markup and suffix give it, a level's share is
 ``(count + weight * parent share) / (total + weight)``, and a page's own count
 is left out of its own prior.
 
-Bounds of the fit, all parameters: ``per_language`` texts of each language
-(least hashes of their ids) and ``grams`` trigrams of each.  Priors, scoring
-and counts use every page and whole texts.
+Bound of the fit, a parameter: ``per_language`` texts of each language (least
+hashes of their ids), read whole.  Priors, scoring and counts use every page
+and whole texts.
 
 Defined results: a null or empty page, and one without known trigrams, has no
 text evidence; an address without a host has the prior of all pages; a declared
 language that is not modelled, and a suffix that stands for none, are no
 evidence; ties go to the language that sorts first; with no labelled text the
-language is null; rows that repeat are each answered and counted; no pages give
-an empty table; other columns are not used.
+language is null; pages that repeat are each answered and counted, documents
+that repeat an id are told apart by language and text; no pages give an empty
+table; other columns are not used, whatever their names.
 """
 
 import html as entities
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlake.llm.scratch import written
-from pairlake.llm.text import arrow_column, pieces
+from pairlake.llm.text import arrow_column, pick, pieces
 
 #: Country suffixes and the language that prevails there.
 SUFFIX_LANGUAGE = {
@@ -90,18 +91,24 @@ def _count_trigrams(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1000,
-        grams: int = 5000) -> tuple[list[str], dict[str, tuple[float, ...]]]:
-    """(languages, trigram -> log likelihood per language)."""
-    known = docs.select(F.col(doc_id).alias("_id"), F.lower(lang).alias("lang")).filter(
-        "_id is not null and lang is not null")
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.withColumn("r", F.row_number().over(draw)).filter(F.col("r") <= per_language).select("_id", "lang")
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    counts = (sample.select("lang", "_text").mapInArrow(_count_trigrams, "lang string, gram string, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= grams).collect()
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+        per_language: int = 1000) -> tuple[list[str], dict[str, tuple[float, ...]]]:
+    """(languages, trigram -> log likelihood per language).
+
+    A document is known by its id, language and text together, so ids that
+    repeat keep their texts apart; rows alike in all three are one.  The
+    ``per_language`` documents of least hash are read whole, all their trigrams
+    count."""
+    known = pick(docs, id=doc_id, text=text, lang=lang).select(
+        "id", F.lower("lang").alias("lang"), "text", F.xxhash64("text").alias("mark")).filter(
+        "id is not null and lang is not null")
+    draw = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "mark")
+    chosen = known.select("id", "lang", "mark").distinct().withColumn("r", F.row_number().over(draw)).filter(
+        F.col("r") <= per_language).drop("r")
+    sample = known.join(F.broadcast(chosen), ["id", "lang", "mark"]).groupBy("id", "lang", "mark").agg(
+        F.first("text").alias("text"))
+    rows = (sample.select("lang", "text").mapInArrow(_count_trigrams, "lang string, gram string, n long")
+            .groupBy("lang", "gram").agg(F.sum("n").alias("n"))).collect()
     languages = sorted({r["lang"] for r in rows})
     table: dict[str, dict[str, int]] = {}
     for r in rows:
@@ -161,6 +168,8 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: s
     """(page_id, ``lang``, ``confidence``: its posterior, ``text_lang``,
     ``declared``, ``host``, ``suffix``)."""
     languages, model = fit(docs, **fitting)
+    pages = pick(pages, **{page_id: page_id, "url": url, "html": html})
+    url, html = "url", "html"
     if not languages:
         return pages.select(page_id, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"),
                             *[F.lit(None).cast("string").alias(c) for c in ("text_lang", "declared", "host", "suffix")])

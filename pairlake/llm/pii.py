@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlake.llm.text import arrow_column, without
+from pairlake.llm.text import Numbered, arrow_column
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
@@ -233,7 +233,8 @@ def find(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
         return lambda texts: pa.array([[dict(zip(names, s, strict=True)) for s in finder(t)]
                                        for t in texts.to_pylist()], type=kind)
 
-    return without(df, [out], [text]).withColumn(out, arrow_column(kernel, SPANS)(F.col(text)))
+    rows = Numbered(df)
+    return rows.named(rows.df.withColumn("spans", arrow_column(kernel, SPANS)(F.col(rows(text)))), **{out: "spans"})
 
 
 def redact_text(text: str, spans) -> str:
@@ -257,4 +258,5 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             return redact_text(t, spans) if spans else t
         return lambda texts: pa.array(map(one, texts.to_pylist()), type=pa.string())
 
-    return df.withColumn(text, arrow_column(kernel, "string")(F.col(text)))
+    rows = Numbered(df)
+    return rows.named(rows.df.withColumn(rows(text), arrow_column(kernel, "string")(F.col(rows(text)))))

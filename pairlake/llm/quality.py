@@ -9,17 +9,17 @@ that built no dictionary, together with the same difference over the lowest
 quarter of the segments (a text that is bad in part) and the compressed share
 itself (a text that repeats itself looks alike to both dictionaries).
 
-Bounds of the fit, all parameters: ``per_label`` labelled rows of each label
+Bounds of the fit, both parameters: ``per_label`` labelled rows of each label
 (least hashes of their ids), half for the dictionaries and half for the
-calibration; of a dictionary text at most ``segments`` segments, spread over
-all of it; ``dictionary`` bytes.  Scoring reads every byte of every text.
+calibration, each read whole; ``dictionary`` bytes.  Scoring reads every byte
+of every text.
 
 Defined results: a null or empty text is one empty segment and gets a score
 like any other; without labelled rows of both labels every score is the
 smoothed share of label 1; too little text for zstandard's dictionary builder
-gives raw-content dictionaries; labels other than 0 and 1, and null ids, are
-not used; equal texts get equal scores; other columns are passed through, one
-named like an added column is replaced; an empty table gives an empty table.
+gives raw-content dictionaries; labels other than 0 and 1, null ids, and ids
+that are labelled both ways are not used; equal texts get equal scores; other columns are passed through, whatever
+their names, one named like the added column is replaced; an empty table gives an empty table.
 """
 
 from dataclasses import dataclass
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlake.llm.text import arrow_column, as_bytes, without
+from pairlake.llm.text import Numbered, arrow_column, as_bytes, pick
 from pairlake.operators.index import pin
 
 SEGMENT = 512
@@ -100,11 +100,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text",
-        per_label: int = 3000, segments: int = 24, dictionary: int = 110_000) -> Model:
+        per_label: int = 3000, dictionary: int = 110_000) -> Model:
     """Learn from the rows of ``labels`` (already without any that are held
     out)."""
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter(
-        "_id is not null and _y in (0, 1)").distinct()
+    known = pick(labels, _id=doc_id, _y=label).withColumn("_y", F.col("_y").cast("int")).filter(
+        "_id is not null and _y in (0, 1)").groupBy("_id").agg(
+        F.min("_y").alias("_y"), F.max("_y").alias("_z")).filter("_y = _z").drop("_z")
     shares = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     constant = np.log((shares.get(1, 0) + 1) / (shares.get(0, 0) + 1))
     nothing = Model(b"", b"", True, (), (), (float(constant),))
@@ -113,16 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     draw = F.xxhash64("_id")
     chosen = known.filter("_y = 0").orderBy(draw, "_id").limit(per_label).union(
         known.filter("_y = 1").orderBy(draw, "_id").limit(per_label))  # at most 2 * per_label small rows
-    sample = pin(docs.select(F.col(doc_id).alias("_id"), F.encode(F.col(text), "utf-8").alias("_t"))
+    sample = pin(pick(docs, _id=doc_id, _t=text).withColumn("_t", F.encode("_t", "utf-8"))
                  .join(F.broadcast(chosen), "_id").withColumn("_dict", F.pmod(draw, F.lit(2)) == 0))
-    count = F.greatest(F.ceil(F.length("_t") / F.lit(SEGMENT)), F.lit(1))
-    step = F.greatest(F.ceil(count / F.lit(segments)), F.lit(1))  # every step-th segment
-    spread = F.transform(F.sequence(F.lit(0).cast("long"), count - 1, step),
-                         lambda i: F.substring(F.col("_t"), (i * SEGMENT + 1).cast("int"), F.lit(SEGMENT)))
     found: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in (sample.filter("_dict and length(_t) > 0").withColumn("_s", spread).select("_id", "_y", "_s")
-              .orderBy("_id").toLocalIterator()):
-        found[r["_y"]] += [bytes(s) for s in r["_s"]]
+    for r in sample.filter("_dict and length(_t) > 0").select("_id", "_y", "_t").orderBy("_id", "_t").toLocalIterator():
+        found[r["_y"]] += [bytes(r["_t"][i:i + SEGMENT]) for i in range(0, len(r["_t"]), SEGMENT)]
     if not found[0] or not found[1]:
         return nothing
     (bad, good), raw = _build([found[0], found[1]], dictionary)
@@ -147,9 +143,10 @@ def measures(text, model: Model):
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Append ``out``: the probability of label 1, from the text alone."""
-    df = without(df, [out], [text])
+    rows = Numbered(df)
     if len(model.weights) == 1:
-        return df.withColumn(out, F.lit(float(1 / (1 + np.exp(-model.weights[0])))))
+        same = F.lit(float(1 / (1 + np.exp(-model.weights[0]))))
+        return rows.named(rows.df.withColumn("score", same), **{out: "score"})
 
     def kernel():
         measure = Measure(model)
@@ -161,7 +158,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
             return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return score_all
 
-    return df.withColumn(out, arrow_column(kernel, "double")(F.col(text)))
+    return rows.named(rows.df.withColumn("score", arrow_column(kernel, "double")(F.col(rows(text)))), **{out: "score"})
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -155,14 +155,14 @@ _CRC_SQL = """crc AS (  -- the byte table of the checksum, from its rule
 WITH {_CRC_SQL},
 raw AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
                                  lambda h: CAST('0x' || h AS BIGINT)) AS x FROM documents),
-placed AS (SELECT d.doc_id, d.text, d.x, a.shard, g.shard AS grown_shard
-  FROM raw d JOIN {_jump_sql(16)} a USING (doc_id) JOIN {_jump_sql(17)} g USING (doc_id))
-SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
-  CAST(xor(list_reduce(list_prepend(4294967295, x), lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])), 4294967295)
-       AS BIGINT) AS text_crc32, 'key' AS law, shard,
-  CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS BIGINT)
-    AS slot, grown_shard
-FROM placed, crc
+placed AS (SELECT d.doc_id, CAST(coalesce(strlen(d.text), 0) + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295, d.x), lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1])), 4294967295)
+       AS BIGINT) AS text_crc32, a.shard, g.shard AS grown_shard
+  FROM raw d JOIN {_jump_sql(16)} a USING (doc_id) JOIN {_jump_sql(17)} g USING (doc_id), crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(text_crc32 AS VARCHAR)), 1, 3),
+    doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
+FROM placed
 """)
 def op8(spark, sf_dir):
     return sharding.shard(load_table(spark, sf_dir, "documents"), 16, keep=["doc_id"])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlake.llm.components import components
-from pairlake.llm.text import arrow_column, as_bytes, without
+from pairlake.llm.text import Numbered, arrow_column, as_bytes, pick
 from pairlake.operators.index import pin
 
 BLOCK_ROWS = 4096  # fingerprints below a top node that one block holds, about
@@ -61,7 +61,8 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3, out: str =
             return fingerprint_bits((raw or b"").lower().split(), shingle)
         return lambda texts: pa.array(np.array([one(t) for t in as_bytes(texts)], dtype=np.uint64).view(np.int64))
 
-    return without(df, [out], [text]).withColumn(out, arrow_column(kernel, "long")(F.col(text)))
+    rows = Numbered(df)
+    return rows.named(rows.df.withColumn("out", arrow_column(kernel, "long")(F.col(rows(text)))), **{out: "out"})
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -250,7 +251,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id): the smallest id
     that a chain of links from the document's fingerprint reaches."""
-    prints = pin(fingerprints(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", shingle,
+    prints = pin(fingerprints(pick(df, _id=doc_id, _text=text), "_text", shingle,
                               "fp").select("_id", "fp"))
     firsts = prints.groupBy("fp").agg(F.min("_id").alias("first"))
     roots = components(fingerprint_links(firsts.select("fp"), max_bits, block_rows))

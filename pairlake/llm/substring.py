@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlake.llm.scratch import written
-from pairlake.llm.text import arrow_column, as_bytes
+from pairlake.llm.text import arrow_column, as_bytes, pick
 
 GRAM = 8  # words of the grams whose least hash is the anchor
 SHARD_PIECES = 2000
@@ -271,7 +271,7 @@ def remove_repeats(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text
                    shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(doc_id, ``n_words``, ``n_removed``, ``kept``: the words that stay, joined
     by one blank) of every document."""
-    docs = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+    docs = pick(df, _id=doc_id, _text=text).select("_id", F.xxhash64("_text").alias("_t"), "_text")
     runs = repeated_windows(docs, length, shard_pieces)
     done = docs.join(runs, ["_id", "_t"], "left").select("_id", _kept(length)(F.col("_text"), F.col("runs")).alias("k"))
     return done.select(F.col("_id").alias(doc_id), "k.n_words", "k.n_removed", F.col("k.kept").cast("string").alias("kept"))

@@ -55,28 +55,39 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def struct_array(rows: Iterable[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.StructArray.from_arrays(
-        [pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
 def without(df: DataFrame, names: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
     """Drop input columns that clash (in any case) with columns an operator adds."""
     added, kept = {n.lower() for n in names}, {n.lower() for n in keep}
     return df.drop(*[c for c in df.columns if c.lower() in added and c.lower() not in kept])
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the columns named by the values, under the names of the keyword
-    arguments.  A column is found by its place: by its exact name (dots and
-    all) or else, as Spark does, in any case; so no other column can clash."""
-    def place(name: str) -> int:
-        same = [i for i, c in enumerate(df.columns) if c == name] or [
-            i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+class Numbered:
+    """A table whose columns are known by their place, so that no name of an
+    input column, whatever its case and even with dots, meets one that an
+    operator adds.  ``df`` has the columns as c0, c1, ...; a call gives the
+    place of a name: the exact one, or else as Spark finds it, in any case."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def __call__(self, name: str) -> str:
+        same = [i for i, c in enumerate(self.names) if c == name] or [
+            i for i, c in enumerate(self.names) if c.lower() == name.lower()]
         if not same:
-            raise ValueError(f"no column {name} among {df.columns}")
-        return same[0]
+            raise ValueError(f"no column {name} among {self.names}")
+        return f"c{same[0]}"
+
+    def named(self, out: DataFrame, **added: str) -> DataFrame:
+        """``out`` under the input's names, then the ``added`` columns (name =
+        column of ``out``), which replace input columns of their names."""
+        gone = {a.lower() for a in added}
+        kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(self.names) if c.lower() not in gone]
+        return out.select(*kept, *[F.col(c).alias(name) for name, c in added.items()])
+
 
-    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return numbered.select(*[F.col(f"c{place(name)}").alias(new) for new, name in columns.items()])
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the columns named by the values, under the names of the keyword
+    arguments."""
+    rows = Numbered(df)
+    return rows.df.select(*[F.col(rows(name)).alias(new) for new, name in columns.items()])

@@ -32,12 +32,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlake.llm.bpe import RARE, ChunkEncoder
-from pairlake.llm.text import pieces
+from pairlake.llm.text import pick, pieces
 
 RUN = 4096  # ids coded on their own
 PIECE = 8 << 20  # bytes of text encoded at a time; the more, the fewer parts are looked up twice
@@ -165,7 +165,8 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
 
     One range shuffle of (id, text); encoding and packing follow it in the same
     task, so nothing is encoded twice and the writer commits whole tasks."""
-    schema = _block_schema(df.schema[doc_id].dataType)
+    rows = pick(df, id=doc_id, text=text)
+    schema = _block_schema(rows.schema["id"].dataType)
 
     def blocks(batches):
         encode, end = make_encoder(), struct.pack("<I", end_id)
@@ -197,7 +198,7 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
         if docs:
             yield row()
 
-    ordered = df.select(F.col(doc_id), F.col(text)).repartitionByRange(doc_id).sortWithinPartitions(doc_id, text)
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(blocks, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
@@ -208,11 +209,15 @@ def read_tokens(spark: SparkSession, path: str, kernel, fields: T.StructType, do
     table = spark.read.parquet(path)
     id_type = table.schema["doc_ids"].dataType.elementType
     parts = table.groupBy("part").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("_n"))
-    # one row per file part: its ids, then the ids of the parts before it
-    ordered = parts.agg(F.sort_array(F.collect_list(F.struct("part", "_n"))).alias("p"))
-    bases = ordered.select(F.explode(F.expr(
-        "transform(p, (x, i) -> struct(x.part AS part, aggregate(slice(p, 1, i), 0L, (a, y) -> a + y._n) AS _base))"
-    )).alias("b")).select("b.part", "b._base")
+    # a row per file part: its ids, then the ids of the parts before it, summed in groups of parts
+    wide = parts.withColumn("_g", F.floor(F.sqrt("part")))
+    inside = Window.partitionBy("_g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = wide.groupBy("_g").agg(F.sum("_n").alias("_n"))  # as many as the square root of the parts
+    above = groups.select(F.col("_g").alias("_h"), "_n")
+    earlier = groups.select("_g").join(F.broadcast(above), F.col("_h") < F.col("_g"), "left").groupBy("_g").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_far"))
+    bases = wide.withColumn("_near", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(earlier, "_g").select(
+        "part", (F.col("_near") + F.col("_far")).alias("_base"))
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(doc_id, id_type),
                            T.StructField("_at", T.LongType()), T.StructField("n_tokens", T.LongType()), *fields.fields])
 

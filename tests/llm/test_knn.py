@@ -9,18 +9,13 @@ from pairlake.llm import knn
 
 
 def brute(rows, k):
-    vectors = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(256 * x) for x in v]
-        vectors[i] = min(v, vectors.get(i, v))
+    vectors = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+               if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, x in vectors.items():
-        if q % 50 == 0:
-            near = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in vectors.items()
-                          if i != q and len(y) == len(x))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near[:k])]
+    for q in {i for i, _ in vectors if i % 50 == 0}:
+        near = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for p, x in vectors if p == q
+                      for i, y in vectors if i != q and len(y) == len(x))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near[:k])]
     return sorted(out)
 
 
@@ -37,6 +32,20 @@ def test_equals_all_pairs_with_ties_and_copies(spark, n, dim, most, shard_rows):
     assert sorted(tuple(r) for r in got) == brute(rows, 5)
 
 
+def test_repeated_ids_equal_sql(spark):
+    import duckdb
+
+    from pairlake.llm import queries
+    rows = [(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0]), (50, [0.0, 9.0]), (100, [1.0, 1.0]),
+            (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = sorted(con.execute(queries.SQL["op4_kd_tree"]).fetchall())
+    assert sorted(tuple(r) for r in knn.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect()) == want == brute(rows, 5)
+
+
 def test_numbers_beyond_float_precision(spark):
     rows = [(0, [3.0e6, 1.0]), (1, [3.0e6, 1.0]), (2, [3.0e6, 2.0]), (3, [-3.0e6, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

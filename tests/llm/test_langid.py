@@ -93,6 +93,22 @@ def test_language_is_found_behind_long_attributes(spark):
     assert sorted((r["page_id"], r["lang"]) for r in got) == [w[:2] for w in want]
 
 
+def test_fit_counts_each_row_once_for_its_own_language(spark):
+    rows = [(1, "und Und die", "de"), (1, "und the", "EN"), (1, "und the", "en"), (2, "and", "en"), (2, "and", "en"), (3, None, "de"),
+            (None, "xx", "de"), (4, "zz", None), (5, "a1b2 ç", "fr")]
+    languages, model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {}
+    for lang, words in (("de", ["und", "und", "die"]), ("en", ["und", "the", "and"]), ("fr", ["a", "b", "ç"])):
+        for w in words:
+            for i in range(len(w)):
+                counts.setdefault((" " + w + " ")[i:i + 3], Counter())[lang] += 1
+    total = {k: sum(c[k] for c in counts.values()) for k in ("de", "en", "fr")}
+    assert languages == ["de", "en", "fr"] and model.keys() == counts.keys()
+    for gram, c in counts.items():
+        assert model[gram] == pytest.approx([math.log((c[k] + 0.5) / (total[k] + 0.5 * len(counts))) for k in languages])
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=0)[0] == []
+
+
 def test_text_decides_where_there_is_enough(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string")
     body = {k: f"<html lang=en><body>{' '.join([WORDS[k]] * 5)}" for k in WORDS}

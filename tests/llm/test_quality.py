@@ -61,6 +61,36 @@ def test_little_or_one_sided_labels(spark):
     assert quality.score(docs.limit(0), quality.fit(docs, few)).collect() == []
 
 
+def test_contradictory_labels_are_not_used(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t, _ in rows], "doc_id long, text string, `_id` string, `a.b` int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    both = spark.createDataFrame([(i, 1 - y) for i, _, y in rows if i % 3 == 0], "doc_id long, quality int")
+    a, b = quality.fit(docs, labels.filter("doc_id % 3 <> 0")), quality.fit(docs, labels.union(both).union(labels))
+    assert a == b
+    scored = quality.score(docs.withColumn("Score", F.lit("mine")), a, out="q")
+    assert scored.columns == ["doc_id", "text", "_id", "a.b", "Score", "q"] and {r["Score"] for r in scored.collect()} == {"mine"}
+
+
+def test_features_by_hand():
+    """Size differences by zstandard itself, segment by segment."""
+    import zstandard
+    bad, good = b"junk!! " * 200, b"fine words " * 200
+    measure = quality.Measure(quality.Model(bad, good, True, (), (), ()))
+    raw = (b"fine words and junk!! " * 100)[:1300]
+    parts = [raw[:512], raw[512:1024], raw[1024:]]
+
+    def sizes(data):
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return [len(c.compress(p)) for p in parts]
+    b, g = sizes(bad), sizes(good)
+    difference = [(x - y) / len(p) for x, y, p in zip(b, g, parts)]
+    share = [min(x, y) / len(p) for x, y, p in zip(b, g, parts)]
+    want = [(sum(b) - sum(g)) / 1300, min(difference), sum(share) / 3, min(share)]
+    assert all(abs(x - y) < 0.02 for x, y in zip(measure(raw), want))
+
+
 def test_long_text_is_scored_whole():
     model = quality.Model(b"junk!! " * 200, b"fine words " * 200, True, (), (), ())
     measure = quality.Measure(model)

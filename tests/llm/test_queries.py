@@ -181,6 +181,26 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
         [(1, a), (5, b), (None, c), (7, "d e f"), (None, "g h"), (None, "i j k"), (9, "")], key=str)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    extra = ["score", "_quality", "row", "_row", "place", "n", "N_HIT", "items", "hits", "found", "key", "spans", "x.y", "c0", "Text2", "TEXT"]
+    rows = [(i, t, "en", "s", 5, *[f"{c}{i}" for c in extra]) for i, t in ((1, a), (1, a), (2, a), (None, b), (3, b))]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"e{i} string" for i in range(len(extra)))
+    docs = spark.createDataFrame(rows, fields).toDF("doc_id", "text", "lang", "source", "n_chars", *extra)
+    want = {"quality": [0, 1, 2, 3, 4], "near_duplicates": [0, 4], "decontamination": [0, 1, 2, 3, 4], "pii": [0, 1, 2, 3, 4]}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        if name == "near_duplicates":  # one of the rows alike, and one of the near copies
+            assert sorted((r[0], r[5]) for r in got) == [(1, "score1"), (3, "score3")]
+        elif name != "quality":
+            assert sorted(r[5:] for r in got) == sorted(rows[i][5:] for i in want[name])
+        else:
+            assert all(r in rows for r in got)
+    assert [c[0] for c in corpus_pipeline.STAGES[4][1](spark, docs, SF_SMALL).dtypes] == ["doc_id", "ids", "n_tokens"]
+
+
 def test_entry_lists_every_query():
     import __spark_entry__ as entry
 

@@ -2,6 +2,8 @@
 
 import zlib
 
+from pyspark.sql import functions as F
+
 from pairlake.llm import sharding
 
 
@@ -32,6 +34,19 @@ def test_shards_sizes_and_slots(spark):
     assert max(map(len, slots.values())) < 1.5 * len(rows) / 16
 
 
+def test_rows_of_a_hot_key_are_spread(spark):
+    df = spark.createDataFrame([(7 if i % 3 else None, f"t{i}", "x", 1) for i in range(6000)], "doc_id long, text string, `a.b` string, Size int")
+    got = sharding.shard(df, 16)
+    assert got.columns == ["doc_id", "text", "a.b", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    slots = {}
+    for r in got.collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) <= 2
+    mark = F.concat(F.coalesce("doc_id", F.lit(0)).cast("string"), F.lit(":"), F.crc32("text").cast("string"))
+    sizes = df.groupBy(F.substring(F.md5(mark.cast("binary")), 1, sharding.BUCKET_DIGITS)).count().agg(F.max("count")).first()[0]
+    assert sizes < 20
+
+
 def test_a_key_alone_decides(spark):
     df = spark.createDataFrame([(i, "t") for i in range(500)], "doc_id long, text string")
     a = {r["doc_id"]: r["shard"] for r in sharding.shard(df, 5, keep=["doc_id"]).collect()}
