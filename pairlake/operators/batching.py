@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlake.functions.rand import hash_uniform
+from pairlake.functions.rand import hash_uniform, permute
 from pairlake.functions.util import col
 from pairlake.operators.index import global_index
 
@@ -27,6 +27,16 @@ def epoch_order(df: DataFrame, key: str, epochs: int = 1, seed: int = 0, shuffle
     return idx.withColumn(name, n).drop("_u").withColumnRenamed("_g", "global_position")
 
 
+def permuted_epochs(df: DataFrame, index: str, n: int, epochs: int = 1, seed: int = 0, name: str = "position",
+                    fast: bool = False) -> DataFrame:
+    """B2 for rows that are numbered 0..n-1 (W1, once): each epoch's place is
+    a keyed permutation of the row's number, so an epoch costs neither a sort
+    nor an exchange and a rank finds its rows (B3) by a filter where they are."""
+    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    place = permute(index, n, seed, F.col("epoch"), fast)
+    return e.withColumn(name, place).withColumn("global_position", F.col("epoch") * F.lit(n) + F.col(name))
+
+
 def rank_shard(df: DataFrame, global_pos: str, rank: int, world: int, start_idx: int = 0) -> DataFrame:
     """Positions start_idx + rank, + world, ... belong to ``rank``; ``step``
     is the sample's ordinal on that rank."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlake.functions.rand import hash_normal, hash_uniform
+from pairlake.functions.rand import hash_normal, hash_uniform, sql_permute
 from pairlake.functions.vectors import pad_truncate, row_mean, row_sum, was_truncated
 from pairlake.operators import batching as B
+from pairlake.operators.index import global_index
 from pairlake.operators.pairing import missing_samples, null_condition
 from pairlake.operators.sampling import sample_exact
 from pairlake.plans import sqlfrag as S
@@ -68,6 +69,25 @@ def q_rank_shard(spark, sf):
         "doc_id", "epoch", "step")
 
 
+_PERMUTED_SQL = f"""d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+pe AS (SELECT doc_id, epoch, n, {sql_permute('i', 'n', 9, 'epoch')} AS position FROM d, (SELECT unnest([0, 1]) AS epoch))"""
+
+
+def _permuted(spark, sf):
+    d = load_table(spark, sf, "documents").select("doc_id")
+    return B.permuted_epochs(global_index(d, "doc_id", "i"), "i", d.count(), epochs=2, seed=9)
+
+
+@register("epoch_permutation", ids=("B2", "B3"), sql=f"""
+WITH {_PERMUTED_SQL}
+SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, position, CAST((epoch * n + position - 3) // 4 AS BIGINT) AS step
+FROM pe WHERE epoch * n + position >= 3 AND (epoch * n + position - 3) % 4 = 0
+""")
+def q_epoch_permutation(spark, sf):
+    """Rank 3 of 4 over two epochs, whose order needs no sort."""
+    return B.rank_shard(_permuted(spark, sf), "global_position", rank=3, world=4).select("doc_id", "epoch", "position", "step")
+
+
 _BATCH_SQL = f"""{_EPOCH_SQL},
 b AS (SELECT doc_id, position, CAST(position // 64 AS BIGINT) AS batch, CAST(position % 64 AS INTEGER) AS pos_in_batch,
       CAST(position % 8 AS INTEGER) AS worker

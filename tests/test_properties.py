@@ -191,3 +191,27 @@ def test_drop_tokens_keeps_distinct_positions(spark, fast):
         assert r["kept"][4:] == [r["tok"][4 + i] for i in r["ids"]]
         assert [t for t in r["back"][4:] if t != "<m>"] == [r["tok"][4 + i] for i in sorted(r["ids"])
                                                               if r["tok"][4 + i] != "<m>"]
+
+
+@pytest.mark.parametrize("fast", [False, True])
+def test_keyed_permutation_is_one_at_every_size(spark, fast):
+    from pairlake.functions.rand import permute
+    for n in (1, 2, 3, 7, 16, 17, 101, 1000, 4099):
+        df = spark.range(n).select("id", *[permute("id", n, 5, e, fast).alias(f"p{e}") for e in range(2)])
+        rows = df.collect()
+        assert all(sorted(r[k] for r in rows) == list(range(n)) for k in (1, 2))
+        if n > 100:  # epochs and neighbours are unrelated
+            assert sum(r[1] == r[2] for r in rows) < n * 0.02 + 3
+            places = [r[1] for r in sorted(rows, key=lambda r: r["id"])]
+            up = sum(b > a for a, b in zip(places, places[1:]))
+            assert 0.4 < up / (n - 1) < 0.6
+            half = sum(p < n // 2 for p in places[:n // 2])
+            assert abs(half - n / 4) < 4 * (n ** 0.5) / 4 + 1
+
+
+def test_permuted_epochs_exchange_nothing(spark):
+    df = B.permuted_epochs(spark.range(500).withColumnRenamed("id", "i"), "i", 500, epochs=3, seed=2)
+    plan = B.rank_shard(df, "global_position", 1, 4, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    seen = [r["global_position"] for k in range(4) for r in B.rank_shard(df, "global_position", k, 4).collect()]
+    assert sorted(seen) == list(range(1500))
