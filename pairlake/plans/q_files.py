@@ -18,7 +18,7 @@ from pairlake.plans.q_eval import EVALUATE_SQL, evaluate_frame
 from pairlake.plans.q_stats import _A7, _metric_rows
 from pairlake.plans.registry import register
 from pairlake.session import checkpoint_dir, load_table
-from pairlake.sinks.files import write_class_manifest
+from pairlake.sinks.files import write_class_manifest, write_json_document
 from pairlake.sources import files as SRC
 
 
@@ -48,6 +48,36 @@ def q_captions_file(spark, sf):
     return back.select("id", F.md5("caption").alias("caption_md5"))
 
 
+DOCUMENT_PIECE = 1 << 12  # bytes of a range, so that the small documents of the driver tables have many
+
+
+@register("captions_document", ids=("S8", "J2"), sql=f"""
+WITH c AS ({T.CAPTIONS_SQL}) SELECT id, md5(max_by(caption, pos)) AS caption_md5 FROM c GROUP BY id
+""")
+def q_captions_document(spark, sf):
+    """One JSON array, read in byte ranges."""
+    path = f"{_scratch(spark, 'captions')}/captions.json"
+    rows = T.captions(spark, sf).select("pos", F.to_json(F.struct("id", F.col("caption").alias("en"))).alias("record"))
+    write_json_document(rows, path, "record", "pos")
+    back = SRC.read_captions(spark, path, piece=DOCUMENT_PIECE)
+    return back.select("id", F.md5("caption").alias("caption_md5"))
+
+
+@register("manifest_document", ids=("S7",), sql=f"""
+WITH f AS ({T.SOURCE_FILES_SQL}),
+t AS (SELECT path, CASE WHEN instr(path, '/') > 0 THEN split_part(path, '/', 1) ELSE '' END AS top FROM f),
+r AS (SELECT top, CAST(row_number() OVER (ORDER BY top) - 1 AS BIGINT) AS label FROM (SELECT DISTINCT top FROM t))
+SELECT path AS fname, label FROM t JOIN r USING (top)
+""")
+def q_manifest_document(spark, sf):
+    """One JSON object with a label list, read in byte ranges."""
+    path = f"{_scratch(spark, 'manifest')}/dataset.json"
+    labelled = infer_labels_from_dirs(T.source_files(spark, sf))
+    pair = F.to_json(F.array(F.col("path"), F.col("label").cast("string")))
+    write_json_document(labelled.select("path", pair.alias("record")), path, "record", "path", key="labels")
+    return SRC.read_class_manifest(spark, path, piece=DOCUMENT_PIECE).select("fname", "label")
+
+
 @register("manifest_file", ids=("S7", "K2", "A5"), sql=f"""
 WITH f AS ({T.SOURCE_FILES_SQL}),
 t AS (SELECT path, CASE WHEN instr(path, '/') > 0 THEN split_part(path, '/', 1) ELSE '' END AS top FROM f),

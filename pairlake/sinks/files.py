@@ -4,10 +4,15 @@ whole table."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlake.functions.paths import shard_name
+from pairlake.sinks.blobs import fs_and_path
 
 SHARD_ROWS = 1000
 
@@ -89,3 +94,27 @@ def append_metrics(df: DataFrame, path: str, run_id: str, params: dict | None =
 def write_latent_stats(stats: DataFrame, path: str, fingerprint: str) -> None:
     """K3: append a channel statistics table under a dataset fingerprint."""
     stats.select(F.lit(fingerprint).alias("fingerprint"), "channel", "n", "mean", "std").write.mode("append").parquet(path)
+
+
+def write_json_document(df: DataFrame, path: str, record: str, order: str, key: str | None = None) -> int:
+    """One JSON document: a list of the ``record`` texts (JSON values) in
+    ``order``, or an object whose ``key`` holds that list.  One file has one
+    writer, which streams the sorted rows; returns how many there were."""
+    head, tail = (b"[", b"]\n") if key is None else (b"{" + json.dumps(key).encode() + b": [", b"]}\n")
+
+    def run(batches):
+        fs, name = fs_and_path(path)
+        hidden, n = f"{name}.{uuid.uuid4().hex}", 0
+        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(hidden) as out:
+            out.write(head)
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    out.write((b",\n" if n else b"") + text.encode())
+                    n += 1
+            out.write(tail)
+        fs.move(hidden, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    one = df.select(record, order).repartition(1).sortWithinPartitions(order).select(record)
+    return sum(r["n"] for r in one.mapInArrow(run, "n long").collect())

@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pairlake.functions.paths import IMAGE_EXTS, is_image_file
 from pairlake.operators.catalog import parse_eval_reports, parse_metric_log
 from pairlake.operators.pairing import latest_wins
+from pairlake.sinks.blobs import fs_and_path
+from pairlake.sources.json_pieces import PIECE, read_records
 
 
 def _uri(root: str) -> str:
@@ -142,17 +145,19 @@ def read_images(spark: SparkSession, root: str, on_error: str = "fail") -> DataF
 
 def open_dataset(spark: SparkSession, source: str, **kw) -> DataFrame:
     """A folder -> S1 listing of its image files; a path ending in '.zip'
-    (case-sensitive) -> S3 members; anything else is an error."""
-    if os.path.isdir(source):
-        files = list_files(spark, source)
-        return files.filter(is_image_file("path")).select("path", "length")
-    if os.path.isfile(source) and source.endswith(".zip"):
+    (case-sensitive) -> S3 members; anything else is an error.  ``source`` is
+    a plain path or a URI of any file system that pyarrow opens."""
+    fs, name = fs_and_path(source)
+    kind = fs.get_file_info(name.rstrip("/") or "/").type
+    if kind == pafs.FileType.Directory:
+        return list_files(spark, source).filter(is_image_file("path")).select("path", "length")
+    if kind == pafs.FileType.File and source.endswith(".zip"):
         from pairlake.sources.archives import read_zip_members
         m = read_zip_members(spark, source, **kw)
         return m.select(F.col("member").alias("path"), F.col("size").alias("length"))
-    if not os.path.exists(source):
-        raise FileNotFoundError(f"input path {source!r} does not exist")
-    raise ValueError("Missing input file or directory")
+    if kind == pafs.FileType.NotFound:
+        raise FileNotFoundError(f"there is nothing at {source!r}")
+    raise ValueError(f"{source!r} is neither a folder nor a .zip archive")
 
 
 # ---------------------------------------------------------------- S5 .npy
@@ -215,38 +220,35 @@ def _file_order():
                     F.monotonically_increasing_id())
 
 
-def read_class_manifest(spark: SparkSession, path: str, vector_labels: bool = False) -> DataFrame:
+def read_class_manifest(spark: SparkSession, path: str, vector_labels: bool = False, piece: int = PIECE) -> DataFrame:
     """``{"labels": [[fname, label], ...] | null}`` -> (fname, label);
-    later duplicates win; a null list gives no rows.  A JSON document is one
-    task; manifests written by K2 as JSON Lines (``{fname, label}`` rows) are
-    read in parallel instead."""
+    later duplicates win; a null list gives no rows.  A JSON document is read
+    in byte ranges; manifests written by K2 are JSON Lines (``{fname, label}``
+    rows)."""
     if _is_dir(path) or path.endswith(".jsonl"):
         rows = spark.read.schema("fname string, label string").json(path)
         rows = rows.withColumn("_pos", _file_order())
     else:
-        doc = spark.read.schema("labels array<array<string>>").option("multiLine", True).json(_uri(path))
-        rows = doc.select(F.posexplode("labels").alias("_pos", "p")).select(
-            "_pos", F.col("p")[0].alias("fname"), F.col("p")[1].alias("label"))
+        pair = F.from_json("record", "array<string>")
+        rows = read_records(spark, path, "[", key="labels", piece=piece).select(
+            F.col("offset").alias("_pos"), pair[0].alias("fname"), pair[1].alias("label"))
     lab = F.from_json(F.col("label"), "array<float>") if vector_labels else F.col("label").cast("long")
     rows = rows.select("_pos", "fname", lab.alias("label"))
     return latest_wins(rows, "fname", "label", "_pos")
 
 
-def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of ``{"id", "en"}`` (one task per file) or JSON Lines
-    / Parquet rows (parallel) -> (id, caption); later duplicates win; a
-    missing file is an error."""
+def read_captions(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """A JSON array of ``{"id", "en"}`` (read in byte ranges) or JSON Lines
+    / Parquet rows -> (id, caption); later duplicates win; a missing file is an
+    error."""
     if path.endswith(".parquet") or _is_dir(path):
         rows = (spark.read.parquet(path) if path.endswith(".parquet") else
                 spark.read.schema("id string, en string").json(path))
         rows = rows.select(_file_order().alias("_pos"), "id", F.col("en").alias("caption"))
     else:
-        loc = _local(path)
-        if loc is not None and not os.path.exists(loc):
-            raise FileNotFoundError(path)
-        text = spark.read.option("wholetext", True).text(_uri(path))
-        arr = F.from_json(F.col("value"), "array<struct<id:string,en:string>>")
-        rows = text.select(F.posexplode(arr).alias("_pos", "c")).select("_pos", "c.id", F.col("c.en").alias("caption"))
+        c = F.from_json("record", "struct<id: string, en: string>").alias("c")
+        rows = read_records(spark, path, "{", piece=piece).select(F.col("offset").alias("_pos"), c).select(
+            "_pos", "c.id", F.col("c.en").alias("caption"))
     return latest_wins(rows, "id", "caption", "_pos")
 
 
