@@ -186,6 +186,21 @@ def q_zip_shards(spark, sf):
     return m.select("member", be32(17).alias("width"), be32(21).alias("height"))
 
 
+@register("zip_contents", ids=("S3", "X3"), sql="""
+SELECT source || '/' || printf('%06d', doc_id) || '.png' AS member, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size,
+  md5(coalesce(text, '')) AS content_md5 FROM documents
+""")
+def q_zip_contents(spark, sf):
+    """Whole members of several archives, whose bytes are the documents' texts."""
+    from pairlake.sinks.blobs import write_archives
+    from pairlake.sources.archives import read_zip_members
+    folder = _scratch(spark, "zip")
+    name = F.concat(F.col("source"), F.lit("/"), F.format_string("%06d", "doc_id"), F.lit(".png"))
+    rows = load_table(spark, sf, "documents").select(name.alias("name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    write_archives(rows, folder, "zip", "name", "content").write.format("noop").mode("overwrite").save()
+    return read_zip_members(spark, folder).select("member", "size", F.md5("content").alias("content_md5"))
+
+
 @register("npz_shards", ids=("S6", "X3"), sql="""
 SELECT vec_id, list_transform(embedding, lambda v: round(v, 6)) AS data FROM embeddings
 """)

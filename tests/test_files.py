@@ -122,6 +122,57 @@ def test_npz_rows_stored_compressed_and_truncated(spark, tmp_path):
         read_npz_rows(spark, str(trunc)).collect()
 
 
+def test_archives_share_bytes_evenly(spark, tmp_path):
+    """One huge and many small archives, stored and deflated."""
+    rng = np.random.default_rng(3)
+    want = {}
+    for k in range(9):
+        members = {f"m{i:03d}.PNG": rng.integers(0, 50, rng.integers(0, 900 if k else 9000), dtype=np.uint8).tobytes()
+                   for i in range(200 if k == 0 else 6)}
+        _zip(tmp_path / f"a{k}.zip", members | {"skip.txt": b"x"}, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+        want |= {(f"a{k}.zip", i, n): c for i, (n, c) in enumerate(sorted(members.items()))}
+    df = read_zip_members(spark, str(tmp_path), partitions=6)
+    got = {(r["archive"].split("/")[-1], r["index"], r["member"]): bytes(r["content"]) for r in df.collect()}
+    assert got == want
+    sizes = [r[1] for r in df.groupBy(F.spark_partition_id()).agg(F.sum("size")).collect()]
+    assert len(sizes) == 6 and max(sizes) < 1.3 * sum(sizes) / 6
+    assert read_zip_members(spark, str(tmp_path / "a1.zip"), partitions=50).count() == 6
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_npz_rows_in_pieces(spark, tmp_path, monkeypatch, order, packed):
+    from pairlake.sources import archives
+    monkeypatch.setattr(archives, "BATCH_BYTES", 100)
+    arrays = [np.asarray(np.arange(n * 12, dtype=np.float64).reshape(n, 3, 4) + 1000 * n, order=order) for n in (50, 3, 1)]
+    arrays += [np.arange(20, dtype=np.int16), np.zeros((0, 5), np.float32)]
+    for k, a in enumerate(arrays):
+        (np.savez_compressed if packed else np.savez)(tmp_path / f"p{k}.npz", arr_0=a, other=a)
+    rows = read_npz_rows(spark, str(tmp_path), rows_per_partition=7).collect()
+    assert len(rows) == 50 + 3 + 1 + 20
+    for r in rows:
+        a = arrays[int(r["archive"][-5])]
+        assert r["shape"] == list(a.shape[1:]) and r["data"] == a[r["row_index"]].astype(np.float32).ravel().tolist()
+    raw = read_npz_rows(spark, str(tmp_path / "p0.npz"), as_binary=True).filter("row_index = 9").first()["data"]
+    assert bytes(raw) == np.ascontiguousarray(arrays[0][9]).tobytes()
+
+
+def test_npz_header_of_any_length(spark, tmp_path):
+    """Headers longer than 4,096 bytes, stored and compressed."""
+    fields = [(f"a_long_field_name_{i:04d}", "<f4") for i in range(400)]
+    a = np.zeros(6, dtype=fields)
+    np.savez_compressed(tmp_path / "h.npz", arr_0=a)
+    with pytest.raises(Exception, match="structured|descr|field|records"):
+        read_npz_rows(spark, str(tmp_path / "h.npz")).collect()
+    body = np.arange(8, dtype=np.float32).reshape(4, 2)
+    text = repr({"descr": "<f4", "fortran_order": False, "shape": (4, 2)}).ljust(9000).encode() + b"\n"
+    member = b"\x93NUMPY\x02\x00" + len(text).to_bytes(4, "little") + text + body.tobytes()
+    for k, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)):
+        _zip(tmp_path / f"l{k}.npz", {"arr_0.npy": member}, method)
+        rows = sorted(read_npz_rows(spark, str(tmp_path / f"l{k}.npz")).collect(), key=lambda r: r["row_index"])
+        assert [r["data"] for r in rows] == body.tolist()
+
+
 def test_class_manifest_and_captions_documents(spark, tmp_path):
     m = tmp_path / "dataset.json"
     m.write_text(json.dumps({"labels": [["a.png", 1], ["b.png", 2], ["a.png", 3]]}))
