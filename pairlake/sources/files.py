@@ -3,8 +3,7 @@
 reports (S10), stored distribution statistics (S11), cached latent
 statistics (S12).
 
-Listing never reads file content (``binaryFile`` with only path / length /
-modificationTime selected prunes the content column).
+Listing never reads file content.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pairlake.functions.paths import IMAGE_EXTS, is_image_file
 from pairlake.operators.catalog import parse_eval_reports, parse_metric_log
+from pairlake.operators.index import pin
 from pairlake.operators.pairing import latest_wins
 from pairlake.sinks.blobs import fs_and_path
 from pairlake.sources.json_pieces import PIECE, read_records
@@ -74,34 +74,77 @@ def fnmatch_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+LISTING = "path string, folder boolean, length long, modificationTime timestamp"
+
+
+def _list_level(root: str, ignore: tuple[str, ...]):
+    """Folders (paths below ``root``) -> their entries, without those whose
+    name an ``ignore`` pattern matches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql import types as T
+    schema = to_arrow_schema(T.StructType([
+        T.StructField("path", T.StringType()), T.StructField("folder", T.BooleanType()), T.StructField("length", T.LongType()),
+        T.StructField("modificationTime", T.TimestampType())]))
+    drop = [re.compile(fnmatch_regex(p)) for p in ignore]
+
+    def run(batches):
+        fs, base = fs_and_path(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/") or "/", recursive=False))
+                rows = [{"path": f"{folder}/{i.base_name}".lstrip("/"), "folder": i.type == pafs.FileType.Directory,
+                         "length": i.size, "modificationTime": i.mtime}
+                        for i in found if not any(d.match(i.base_name) for d in drop)
+                        and i.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                for s in range(0, len(rows), 1 << 14):
+                    yield pa.RecordBatch.from_pylist(rows[s:s + (1 << 14)], schema=schema)
+    return run
+
+
 def list_files(spark: SparkSession, root: str, ignore=(), add_base: bool = False,
                inventory: DataFrame | None = None) -> DataFrame:
     """Every regular file below ``root`` as (path relative to root with
-    '/', length, modificationTime); ``ignore`` patterns drop files whose name
-    or any parent folder name matches.  Spark's lister hides names starting
-    with '.' or '_'; pass an ``inventory`` table (absolute ``path``,
-    ``length``, ``modificationTime``, e.g. from a storage inventory report) to
-    keep them."""
+    '/', length, modificationTime, uri); ``ignore`` patterns drop files of a
+    matching name and whole folders of a matching name.
+
+    Folders are listed level by level, each level's by many tasks; an ignored
+    folder is dropped before anything below it is listed, and names that begin
+    with '.' or '_' are kept.  ``root`` is a plain path or the URI of any file
+    system that pyarrow opens.  An ``inventory`` table (absolute ``path``,
+    ``length``, ``modificationTime``, e.g. a storage inventory report) takes
+    the place of the listing."""
     uri = _uri(root).rstrip("/")
-    if inventory is not None:
-        df = inventory.select("path", "length", "modificationTime")
+    if inventory is None:
+        out = _walk(spark, uri, tuple(ignore)).select("path", "length", "modificationTime",
+                                                      F.concat(F.lit(uri + "/"), "path").alias("uri"))
     else:
-        df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
-              .select("path", "length", "modificationTime"))
-    prefix_len = len(uri) + 1
-    rel = F.expr(f"substring(path, {prefix_len + 1})")
-    # the lister reports file:/x for file:///x
-    rel = F.when(F.col("path").startswith(uri), rel).otherwise(
-        F.regexp_replace(F.col("path"), "^" + re.escape(uri.replace("file://", "file:")) + "/", ""))
-    out = df.select(rel.alias("path"), "length", "modificationTime", F.col("path").alias("uri"))
-    for pat in ignore:
-        rx = fnmatch_regex(pat)
-        out = out.filter(~F.exists(F.split("path", "/"), lambda part: part.rlike(rx)))
+        rel = F.expr(f"substring(path, {len(uri) + 2})")
+        # an inventory may say file:/x for file:///x
+        rel = F.when(F.col("path").startswith(uri), rel).otherwise(
+            F.regexp_replace(F.col("path"), "^" + re.escape(uri.replace("file://", "file:")) + "/", ""))
+        out = inventory.select(rel.alias("path"), "length", "modificationTime", F.col("path").alias("uri"))
+        for pat in ignore:
+            rx = fnmatch_regex(pat)
+            out = out.filter(~F.exists(F.split("path", "/"), lambda part: part.rlike(rx)))
     if add_base:
         out = out.withColumn("base", F.lit(uri))
     return out
 
 
+def _walk(spark: SparkSession, uri: str, ignore: tuple[str, ...]) -> DataFrame:
+    fs, base = fs_and_path(uri)
+    if fs.get_file_info(base or "/").type != pafs.FileType.Directory:
+        raise FileNotFoundError(f"there is no folder at {uri!r}")
+    files, folders, tasks = None, spark.createDataFrame([("",)], "path string"), 1
+    while tasks:
+        level = pin(folders.repartition(tasks).mapInArrow(_list_level(uri, ignore), LISTING))
+        here = level.filter("not folder").drop("folder")
+        files = here if files is None else files.unionByName(here)
+        folders = level.filter("folder").select("path")
+        tasks = min(folders.count(), 4 * spark.sparkContext.defaultParallelism)
+    return files
+
+
 def _bgr_to_rgb(batches):
     for rb in batches:
         data = rb.column("data").to_pylist()

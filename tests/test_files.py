@@ -54,13 +54,42 @@ def test_list_files_prunes_ignored_names(spark, tree):
     got = {r["path"] for r in SRC.list_files(spark, str(tree), ignore=("skip*", "*.txt")).collect()}
     assert "cats/a.png" in got and "dogs/deep/c.png" in got and "root.png" in got
     assert not any(p.startswith("skipme/") for p in got) and "dogs/notes.txt" not in got
-    assert ".hidden.png" not in got  # Spark's lister hides dot files
+    assert ".hidden.png" in got
     inv = spark.createDataFrame([(f"file://{tree}/.hidden.png", 10, None), (f"file://{tree}/cats/a.png", 10, None)],
                                 "path string, length long, modificationTime timestamp")
     kept = {r["path"] for r in SRC.list_files(spark, str(tree), inventory=inv).collect()}
     assert kept == {".hidden.png", "cats/a.png"}
 
 
+def test_ignored_folders_are_never_listed(spark, tmp_path, monkeypatch):
+    names = ["a/b/c/1.png", "a/b/_meta/2.png", ".git/x/3.png", "keep/skip1/deep/4.png", "keep/5.txt", "_6.png", "keep/skipped.png",
+             "odd [x]/7 %20.png", "keep/é.png"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x" * len(n))
+    (tmp_path / "empty/er").mkdir(parents=True)
+    got = {r["path"]: (r["length"], r["uri"]) for r in SRC.list_files(spark, str(tmp_path)).collect()}
+    assert got == {n: (len(n), f"file://{tmp_path}/{n}") for n in names}
+    listed = spark.sparkContext.accumulator(0)
+    base = SRC._list_level
+
+    def counted(root, ignore):
+        run = base(root, ignore)
+
+        def each(batches):
+            for batch in batches:
+                listed.add(batch.num_rows)
+                yield from run([batch])
+        return each
+    monkeypatch.setattr(SRC, "_list_level", counted)
+    few = SRC.list_files(spark, f"file:{tmp_path}", ignore=("skip*", ".*", "[_]*", "empty"))
+    assert sorted(r["path"] for r in few.collect()) == sorted(["a/b/c/1.png", "keep/5.txt", "odd [x]/7 %20.png", "keep/é.png"])
+    assert listed.value == 6  # the root, a, a/b, a/b/c, keep, odd [x]
+    with pytest.raises(FileNotFoundError):
+        SRC.list_files(spark, str(tmp_path / "none"))
+    assert SRC.list_files(spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_read_images_rgb_and_errors(spark, tree, tmp_path):
     imgs = {os.path.basename(r["path"]): r for r in SRC.read_images(spark, str(tree / "cats")).collect()}
     a = imgs["a.png"]
