@@ -20,7 +20,11 @@ account  the value after a cue and its separators (number, no, is, then signs
          and digits with a digit;
          an IBAN also stands in printed groups and without a separator, as
          long as its check digits hold (mod 97), and so does an SSN of nine
-         digits without a separator
+         digits without a separator;
+         a bearer token stands behind blanks alone and has 16 characters or more;
+         a private key runs from its BEGIN line to its END line.
+         Cues and schemes count in any case, and inside a name where a capital
+         follows a small letter (accessToken)
 
 The first four kinds equal a leftmost non-overlapping scan per kind: a parser
 starts at or after the end of its kind's previous match, and a match that fails
@@ -64,24 +68,28 @@ _SSN = re.compile(r"[0-9]{3}([ -]?)[0-9]{2}\1[0-9]{4}(?![A-Za-z0-9])")
 _BLANKS = re.compile(r"[ \t]*[\"']?")
 _ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 SCHEMES = ("http://", "https://", "ftp://")
-SECRETS = ("password", "passwd", "token", "secret", "api_key", "apikey")
-CUES = (*SECRETS, "account", "acct", "iban", "ssn", "passport")
+SECRETS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key")
+CUES = (*SECRETS, "bearer", "account", "acct", "iban", "ssn", "passport")
 LEAST = 6  # characters of an account value
+LEAST_BEARER = 16  # of one that stands behind its cue without a separator
+_KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+_KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _anchors() -> ahocorasick.Automaton:
+    """Over texts whose A-Z are in lower case."""
     found = ahocorasick.Automaton()
     found.add_word("@", ("email", 1))
     found.add_word("+", ("phone", 1))
     for d in "0123456789":
         found.add_word(d, ("digit", 1))
     for s in SCHEMES:
-        for form in (s, s.upper(), s.capitalize()):
-            found.add_word(form, ("url", len(form)))
+        found.add_word(s, ("url", len(s)))
     for c in CUES:
-        for form in (c, c.upper(), c.capitalize()):
-            found.add_word(form, ("cue", len(form)))
-    found.add_word("AKIA", ("key", 4))
+        found.add_word(c, ("cue", len(c)))
+    found.add_word("akia", ("key", 4))
+    found.add_word("-----begin ", ("pem", 11))
     found.make_automaton()
     return found
 
@@ -157,6 +165,9 @@ class _Values:
         first = _BLANKS.match(self.text, m.end() if m else at).end()
         if cue == "iban" and (first > at) and (end := _iban_end(self.text, first)):
             return first, end
+        if cue == "bearer":
+            span = self._run(_SECRET, first) if first > at else None
+            return span if span and span[1] - span[0] >= LEAST_BEARER else None
         if not m:
             m = _SSN.match(self.text, first) if cue == "ssn" and first > at else None
             return m and m.span()
@@ -177,8 +188,8 @@ class Finder:
             return []
         out = []
         email_at = ip_at = card_at = phone_at = url_at = account_at = 0  # where each kind may start next
-        values = _Values(text)
-        for last, (kind, width) in self._scan(text):
+        values, keys_end = _Values(text), True
+        for last, (kind, width) in self._scan(text.lower() if text.isascii() else text.translate(_LOWER)):
             at = last - width + 1
             if kind == "digit":
                 if at >= card_at:
@@ -211,7 +222,14 @@ class Finder:
                     end = len(m[0].rstrip(".,;:!?)")) + at
                     out.append(("url", at, end))
                     url_at = m.end()
-            elif at >= account_at and not (at and text[at - 1].isalnum()):
+            elif kind == "pem":
+                if at >= account_at and keys_end and (m := _KEY_BEGIN.match(text, at)):
+                    m = _KEY_END.search(text, m.end())
+                    keys_end = m is not None  # none ends from here on
+                    if m:
+                        out.append(("account", at, m.end()))
+                        account_at = m.end()
+            elif at >= account_at and (not (at and text[at - 1].isalnum()) or text[at - 1].islower() and text[at].isupper()):
                 if kind == "cue":
                     span = values.after(text[at:last + 1].lower(), last + 1)
                 else:

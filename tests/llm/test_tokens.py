@@ -99,3 +99,10 @@ def test_file_edges(spark):
                                  "doc_id long, text string")
     got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_rows(spark, rows, encoder)]
     assert sorted(got, key=lambda r: r[1]) == [(None, 0, 2), (4, 2, 100_001), (4, 100_003, 100_001), (5, 200_004, 1)]
+
+
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"..?", r"[A-Z]?[a-z]+| ?[^a-zA-Z]+|[A-Z]", r" ?\p{L}+|\p{N}{1,3}|[^\p{L}\p{N}]+", r"(a)|."])
+def test_patterns_without_clean_cuts_are_refused(pattern):
+    with pytest.raises(ValueError, match="cut at blanks"):
+        bpe.BytePairEncoder({bytes([b]): b for b in range(256)}, pattern)
+    assert bpe.clean_cuts(PATTERN)
