@@ -273,8 +273,11 @@ FROM embeddings WHERE vec_id < (SELECT count(*) - 3 FROM embeddings)
 """)
 def q_pack_samples(spark, sf):
     from pairlake.plans.q_derived import round_array
-    from pairlake.sinks.files import pack_samples_frame
+    from pairlake.plans.q_files import _scratch
+    from pairlake.sinks.files import pack_samples
     e = load_table(spark, sf, "embeddings")
     s = e.select(F.col("vec_id").alias("sample_index"), F.array(F.size("embedding")).alias("shape"),
                  round_array(F.col("embedding").cast("array<double>")).alias("sample"))
-    return pack_samples_frame(s, e.count() - 3).select("sample_index", "sample")
+    path = _scratch(spark, "samples")
+    pack_samples(s, e.count() - 3, path)
+    return spark.read.parquet(path).select("sample_index", "sample")

@@ -298,6 +298,20 @@ def q_batch_losses(spark, sf):
     return tot.select("batch", *[F.round(c, 6).alias(c) for c in ("denoise", "proj", "cfm_loss", "cfm_linear", "loss")])
 
 
+@register("total_loss", ids=("L4", "L5"), sql=f"""
+WITH {_PRED_SQL},
+bl AS (SELECT batch, avg(denoise) AS denoise, avg(proj) AS proj, -sum(cfm_s * t) / sum(cfm_n) AS cfm_loss FROM rl GROUP BY batch)
+SELECT batch, round(cfm_loss, 6) AS cfm_loss, round(denoise + 0.7 * proj + 0.1 * cfm_loss, 6) AS loss FROM bl
+""")
+def q_total_loss(spark, sf):
+    """L4 on its own, weighted by t, and L5 over per-row losses."""
+    p = _pred_table(spark, sf)
+    rows = p.select("batch", L.denoise_loss("pred", "target").alias("denoise"), L.projection_loss("pred", "target", 8).alias("proj"))
+    cfm = L.contrastive_loss(p, "batch", "pos", "pred", "target", t="t", weighting="linear")
+    tot = L.total_loss(rows, "batch", cfm, proj_coeff=0.7, cfm_coeff=0.1)
+    return tot.select("batch", *[F.round(c, 6).alias(c) for c in ("cfm_loss", "loss")])
+
+
 @register("posterior", ids=("L6", "L7"), sql=f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS p FROM embeddings),
 q AS (SELECT vec_id, p[1:32] AS mu, list_transform(p[33:64], lambda v: least(greatest(v, -30.0), 20.0)) AS lv FROM e),

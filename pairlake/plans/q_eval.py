@@ -57,6 +57,17 @@ def q_kth_smallest(spark, sf):
     return M.kth_smallest(smp, ref, "vec_id", "embedding", 5).select("vec_id", F.round("kth", 6).alias("kth"))
 
 
+@register("kth_smallest_long", ids=("T4",), sql="""
+SELECT l_suppkey, round(CAST(l_extendedprice AS DOUBLE), 2) AS kth
+FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS rn FROM lineitem)
+WHERE rn = 7
+""")
+def q_kth_smallest_long(spark, sf):
+    li = load_table(spark, sf, "lineitem")
+    return M.kth_smallest_long(li, "l_suppkey", "l_extendedprice", 7).select(
+        "l_suppkey", F.round(F.col("kth").cast("double"), 2).alias("kth"))
+
+
 @register("manifold_evaluate", ids=("V5", "T5"), sql=f"""
 WITH {_E}, {_radii_sql('ref', 'rr')},
 pr AS (SELECT a.vec_id, b.vec_id AS rid, {_DIST} AS d FROM smp a, ref b)

@@ -57,11 +57,12 @@ def pack_samples_frame(df: DataFrame, n: int, index: str = "sample_index", shape
     """K4 checks: keep indices 0..n-1 (extras discarded); every index present
     exactly once and every shape equal, else an error.  One aggregation."""
     kept = df.filter((F.col(index) >= 0) & (F.col(index) < n))
-    chk = kept.agg(F.count_distinct(index).alias("d"), F.count(F.lit(1)).alias("c"),
-                   F.count_distinct(shape).alias("s")).first()
+    each = kept.groupBy(index).agg(F.count(F.lit(1)).alias("c"), F.min(shape).alias("a"), F.max(shape).alias("b"))
+    chk = each.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.min("a").alias("a"),
+                   F.max("b").alias("b")).first()
     if chk["d"] != n or chk["c"] != n:
         raise ValueError(f"sample pack needs indices 0..{n - 1} exactly once: {chk['d']} distinct of {chk['c']} rows")
-    if n and chk["s"] != 1:
+    if n and chk["a"] != chk["b"]:
         raise ValueError("all samples in a pack must have the same shape")
     return kept
 
