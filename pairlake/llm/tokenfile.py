@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from pairlake.llm.bpe import RARE, ChunkEncoder
 from pairlake.llm.text import pick, pieces
+from pairlake.operators.index import pin
 
 RUN = 4096  # ids coded on their own
 PIECE = 8 << 20  # bytes of text encoded at a time; the more, the fewer parts are looked up twice
@@ -170,6 +171,7 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
 
     def blocks(batches):
         encode, end = make_encoder(), struct.pack("<I", end_id)
+        from_arrow = encode.encode if isinstance(encode, ChunkEncoder) else None
         part, block, first = TaskContext.get().partitionId(), 0, 0
         ids, docs, lengths, n = [], [], [], 0
 
@@ -185,7 +187,7 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
         for batch in batches:
             at, kind = 0, batch.column(0).type
             for piece in pieces(batch.column(1), PIECE):
-                for raw in encode(piece.to_pylist()):
+                for raw in from_arrow(piece).to_pylist() if from_arrow else encode(piece.to_pylist()):
                     ids += [raw, end]
                     docs.append(batch.column(0).slice(at, 1))
                     lengths.append(len(raw) // 4 + 1)
@@ -208,7 +210,7 @@ def read_tokens(spark: SparkSession, path: str, kernel, fields: T.StructType, do
     ``kernel(ids) -> tuple`` computes from its ids (uint32 array)."""
     table = spark.read.parquet(path)
     id_type = table.schema["doc_ids"].dataType.elementType
-    parts = table.groupBy("part").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("_n"))
+    parts = pin(table.groupBy("part").agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("_n")))
     # a row per file part: its ids, then the ids of the parts before it, summed in groups of parts
     wide = parts.withColumn("_g", F.floor(F.sqrt("part")))
     inside = Window.partitionBy("_g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
