@@ -31,17 +31,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlake.llm.bpe import RARE, ChunkEncoder
+from pairlake.llm.bpe import BLANKS, MARKS
 from pairlake.llm.text import pick, pieces
 from pairlake.operators.index import pin
 
 RUN = 4096  # ids coded on their own
-PIECE = 8 << 20  # bytes of text encoded at a time; the more, the fewer parts are looked up twice
+PIECE = 16 << 20  # bytes of text encoded at a time; the more, the fewer chunks are encoded twice
 BLOCK_IDS = 65_536  # a block closes at the first document end after so many ids
 #: (ids per word, bits per id) by selector; selector 15 is the escape, 14 is free.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20),
@@ -115,39 +116,138 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return grid[:, :RUN].ravel()[:n]
 
 
+#: Characters that some version of Unicode or some engine takes for white space; a chunk that begins or ends with one is
+#: encoded together with its neighbours.
+_EDGES = "".join(sorted(BLANKS | set("\x1c\x1d\x1e\x1f\u180e\u200b\u200c\u200d\u2060\ufeff")))
+#: Runs of letters on which all versions agree, and a mark that stands apart from them.
+_WORD = "^[A-Za-zªµºÀ-ÖØ-öø-ɏ]+[.,;:!?]?$"
+_AT_ONCE = 20_000  # distinct chunks in one call of the library
+
+
+class WordEncoder:
+    """Texts -> ids by a byte-level BPE tokenizer of the tokenizers library,
+    each distinct chunk of a piece of texts once.
+
+    A blank between two non-blank characters always starts a new match of the
+    library's pattern, so texts are cut there, and no token but a chunk's first
+    begins with a blank: many chunks go to the library as one text, and the ids
+    of each are told by the blanks that tokens begin with.  Runs of letters, with
+    or without a closing mark, are pre-tokens already and skip the pattern.
+    The strings of special tokens in a text are ordinary text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
+
+        self._library = Tokenizer.from_file(path)
+        self._library.encode_special_tokens = True
+        # the library's byte alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = iter(range(0x100, 0x200))
+        self._alphabet = {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
+        blank = self._alphabet[0x20]
+        self._merges = Tokenizer(self._library.model)  # pre-tokens in the byte alphabet, cut before each blank
+        self._merges.pre_tokenizer = Split(blank, "merged_with_next")
+        vocabulary = self._library.get_vocab()
+        self._opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._opens[[i for token, i in vocabulary.items() if token[:1] == blank]] = True
+        self._marks = self._apart(list(MARKS))
+
+    def _apart(self, texts: list[str]) -> pa.Array:
+        """Ids of each text by itself."""
+        found = self._library.encode_batch_fast(texts, add_special_tokens=False)
+        return pa.array([np.array(x.ids, "<u4").tobytes() for x in found], pa.binary())
+
+    def _chunks(self, chunks: pa.Array, words: bool) -> pa.Array:
+        """Ids of a blank and each chunk; ``words``: they are runs of letters."""
+        found = [pa.array([], pa.binary())]
+        for at in range(0, len(chunks), _AT_ONCE):
+            mine = chunks.slice(at, _AT_ONCE)
+            text = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(mine)], mine), " ")[0].as_py()
+            if words:
+                text, library = text.encode().decode("latin-1").translate(self._alphabet), self._merges
+            else:
+                library = self._library
+            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self._opens[ids])
+            if len(starts) != len(mine):
+                raise ValueError("a chunk is not told by the blank before it under this tokenizer")
+            offsets = np.r_[starts, len(ids)].astype("i4") * np.int32(4)
+            found.append(pa.BinaryArray.from_buffers(pa.binary(), len(mine), [
+                None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
+        return pa.concat_arrays(found)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        return self.encode(pa.array(texts, pa.string())).to_pylist()
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Texts (null: empty) -> their ids as bytes."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
+        offsets, numbered = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        offsets = offsets - offsets[0]
+        chunks, number = numbered.dictionary, numbered.indices.to_numpy()
+        size = pc.binary_length(chunks)
+        first_clean = pc.equal(pc.binary_length(pc.utf8_ltrim(chunks, _EDGES)), size)
+        last_clean = pc.and_(pc.equal(pc.binary_length(pc.utf8_rtrim(chunks, _EDGES)), size), pc.greater(size, 0))
+        clean = np.asarray(pc.and_(first_clean, last_clean))
+        simple = np.asarray(pc.match_substring_regex(chunks, _WORD)) & clean
+        # ids of the distinct chunks: words with and without a mark, then the others, then none for unclean ones
+        marked = chunks.filter(pa.array(simple))
+        bare = pc.utf8_rtrim(marked, MARKS)
+        words = bare.dictionary_encode()
+        word_ids = self._chunks(words.dictionary, True).take(words.indices)
+        mark = pc.utf8_slice_codeunits(marked, -1)
+        mark_ids = self._marks.take(pc.index_in(mark, pa.array(list(MARKS))))
+        simple_ids = pc.binary_join_element_wise(word_ids, pc.fill_null(mark_ids, b""), pa.scalar(b"", pa.binary()))
+        other = clean & ~simple
+        other_ids = self._chunks(chunks.filter(pa.array(other)), False)
+        known = pa.concat_arrays([simple_ids, other_ids, pa.array([b""], pa.binary())])
+        place = np.full(len(chunks), len(known) - 1)
+        place[simple] = np.arange(len(simple_ids))
+        place[other] = len(simple_ids) + np.arange(len(other_ids))
+        # the first chunk of a text has no blank before it
+        opening = number[offsets[:-1]]
+        distinct, which = np.unique(opening, return_inverse=True)
+        starts = self._apart(chunks.take(pa.array(distinct)).to_pylist())
+        picked = place[number]
+        picked[offsets[:-1]] = len(known) + which
+        out = pc.binary_join(pa.ListArray.from_arrays(
+            pa.array(offsets, pa.int32()), pa.concat_arrays([known, starts]).take(pa.array(picked))), b"")
+        # texts with a chunk that has no clean cut beside it: such chunks go with their neighbours
+        unclean = ~clean[number]
+        unclean[offsets[:-1]] = ~np.asarray(last_clean)[opening] & (np.diff(offsets) > 1)
+        rows = np.flatnonzero(np.add.reduceat(unclean, offsets[:-1]))
+        if len(rows):
+            mended = pa.array(self._mended(texts.take(pa.array(rows)).to_pylist()), pa.binary())
+            mask = np.zeros(len(texts), bool)
+            mask[rows] = True
+            out = pc.replace_with_mask(out, pa.array(mask), mended)
+        return out
+
+    def _mended(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, cut only where a blank stands between characters
+        that are surely not white space; each distinct stretch once."""
+        import regex
+
+        edge = regex.escape(_EDGES, special_only=True)
+        cut = regex.compile(f"(?<=[^{edge}]) (?=[^{edge}])")
+        split = [cut.split(t) for t in texts]
+        numbers: dict[str, int] = {}
+        for parts in split:
+            for part in parts[1:]:
+                numbers.setdefault(part, len(numbers))
+        ids = self._apart([" " + part for part in numbers]).to_pylist()
+        return [b"".join([start, *[ids[numbers[p]] for p in parts[1:]]])
+                for start, parts in zip(self._apart([parts[0] for parts in split]).to_pylist(), split, strict=True)]
+
+
 @lru_cache(maxsize=1)
-def library_encoder(path: str):
-    """One per Python worker: the tasks that a worker runs share what it knows.
-    ``encode(list of texts) -> list of id bytes`` of a byte-level BPE
-    tokenizer file, by the tokenizers library.  The strings of special tokens
-    in a text are ordinary text."""
-    import regex
-    from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    tokenize, pattern = tokenizer.model.tokenize, regex.compile(PATTERN)
-    # the library's byte alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = iter(range(0x100, 0x200))
-    alphabet = {b: chr(b) if b in own else chr(next(others)) for b in range(256)}
-    packed = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
-
-    def split(chunk):  # characters on which Unicode versions differ are left to the library
-        return [chunk] if RARE.search(chunk) else pattern.findall(chunk)
-
-    def encode_words(words, common=False):
-        mapped = "\0".join(words).encode().decode("latin-1").translate(alphabet).split(alphabet[0])
-        if len(mapped) != len(words):  # a word with that control character
-            mapped = [w.encode().decode("latin-1").translate(alphabet) for w in words]
-        if common:
-            return [b"".join([packed[t.id] for t in tokenize(m)]) for m in mapped]
-        return [b"".join([packed[t.id] for t in tokenize(m)]) if not RARE.search(w) else
-                b"".join([packed[i] for i in tokenizer.encode(w, add_special_tokens=False).ids])
-                for w, m in zip(words, mapped, strict=True)]
-
-    return ChunkEncoder(split, encode_words)
+def library_encoder(path: str) -> WordEncoder:
+    """One per Python worker."""
+    return WordEncoder(path)
 
 
 def _block_schema(id_type: T.DataType) -> T.StructType:
@@ -171,7 +271,7 @@ def write_tokens(df: DataFrame, path: str, make_encoder, end_id: int, doc_id: st
 
     def blocks(batches):
         encode, end = make_encoder(), struct.pack("<I", end_id)
-        from_arrow = encode.encode if isinstance(encode, ChunkEncoder) else None
+        from_arrow = encode.encode if isinstance(encode, WordEncoder) else None
         part, block, first = TaskContext.get().partitionId(), 0, 0
         ids, docs, lengths, n = [], [], [], 0
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import types as T
@@ -90,6 +91,22 @@ def test_file_round_trip_in_order(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_word_encoder_is_the_library_on_every_kind_of_cut():
+    parts = ["word", "Straße", "end.", "a.b", ".", "don't", "'s", "I'm", "12", "3456", "ab,", "\n", " ", "  ", "", "\x85", "\u180e",
+             "\u200b", "\x1c", "\u3000", "中文", "é", "e\u0301", "²", "🙂", "<|endoftext|>", "\0", "x\ny"]
+    draw = random.Random(3)
+    texts = [draw.choice(["", " "]).join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(4000)]
+    texts += ["word. " * 3000 + " word", None, *(f"{a} {b}" for a in parts for b in parts)]
+    plain = Tokenizer.from_file(VOCABULARY)
+    plain.encode_special_tokens = True
+    encoder = tokenfile.WordEncoder(VOCABULARY)
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert encoder(texts) == want
+    column = pa.array(texts)
+    assert encoder.encode(column.slice(17, 400)).to_pylist() == want[17:417]
+    assert encoder([]) == [] and encoder([None]) == [b""]
+
+
 def test_file_edges(spark):
     def encoder():
         return lambda texts: [struct.pack(f"<{len(t or '')}I", *map(ord, t or "")) for t in texts]
