@@ -15,15 +15,18 @@ a reference shard.  Only anchors that two documents share go on:
   in ascending document order; each piece is streamed through the automaton of
   the smaller documents for its matching statistics, and the windows that end
   where the match is ``length`` words or longer are repeats;
-* for an anchor of more than ``shard_pieces`` occurrences (a passage that a
-  large part of the corpus quotes) the distinct pieces are cut into their single
-  windows, whose least document is a grouped minimum, so that no automaton
-  outgrows a task.
-
-Thus no shard is larger than a task holds, nothing is compared across shards,
-and each automaton goes to the task that streams its shard instead of being
-broadcast to all documents: with the corpus as its own reference, a broadcast
-of every automaton would read the corpus once per shard.
+* a shard of more than ``shard_pieces`` distinct pieces (a phrase that a large
+  part of the corpus quotes in other surroundings) is split: its windows also
+  have the least of their other gram hashes in common if they are equal, so that
+  second anchor deals their runs to smaller shards, then a third, until every
+  shard fits a task.  Windows without a further gram have all their grams in
+  common and stay together.
+
+Thus no shard is larger than a task holds, every shard of different pieces is
+searched by its automaton, nothing is compared across shards, and each
+automaton goes to the task that streams its shard instead of being broadcast to
+all documents: with the corpus as its own reference, a broadcast of every
+automaton would read the corpus once per shard.
 
 Defined results: a null or blank text has no words; rows without an id keep all
 their words and are no reference; rows that repeat an id are one document;
@@ -40,7 +43,8 @@ from pairlake.llm.scratch import written
 from pairlake.llm.text import arrow_column, as_bytes, pick
 
 GRAM = 8  # words of the grams whose least hash is the anchor
-SHARD_PIECES = 2000
+SHARD_PIECES = 2000  # distinct pieces of a shard beyond which it is split by a further anchor
+_NONE = (1 << 64) - 1  # the anchor of windows all of whose grams are anchors already
 
 
 def split_words(raw: bytes | None) -> list[bytes]:
@@ -112,8 +116,9 @@ class Windows:
     def part(self, first: int, count: int) -> bytes:
         return self.joined[self.starts[first]:self.starts[first + count] - 1]
 
-    def runs(self, length: int) -> list[tuple[int, int, int, int]]:
-        """(anchor, first word, windows, hash of the piece's words) per run."""
+    def runs(self, length: int, used=()) -> list[tuple[int, int, int, int]]:
+        """(anchor, first word, windows, hash of the piece's words) per run.
+        Gram hashes among ``used`` are no anchors any more."""
         windows = len(self.words) - length + 1
         if windows <= 0:
             return []
@@ -121,6 +126,8 @@ class Windows:
         joined, h = self.joined, self._hash
         least = np.array([h(joined[a:b]) for a, b in zip(
             self.starts[:-gram].tolist(), (self.starts[gram:] - 1).tolist(), strict=True)], dtype=np.uint64)
+        if len(used):
+            least[np.isin(least, np.array(used, np.int64).view(np.uint64))] = _NONE
         span = length - gram + 1  # grams of a window
         width = 1
         while 2 * width <= span:
@@ -153,45 +160,46 @@ def _anchor_rows(length: int):
 
 
 def _cut_rows(length: int):
-    """(text, wanted pieces) -> their words; of crowded pieces each window: its
-    place in the piece and two 64-bit hashes of its words."""
-    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("words", pa.binary()),
-                               ("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
-    names = ("anchor", "piece", "words", "place", "h1", "h2")
+    """(text, wanted pieces) -> their words."""
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("words", pa.binary())]))
 
     def kernel():
-        import xxhash
-
         def cut(raw, wanted):
-            rows, text = [], Windows(raw)
-            for w in wanted:
-                if not w["crowded"]:
-                    words = text.part(w["first"], w["wins"] + length - 1)
-                    rows.append((w["anchor"], w["piece"], words, None, None, None))
-                    continue
-                for i in range(w["wins"]):
-                    part = text.part(w["first"] + i, length)
-                    rows.append((w["anchor"], w["piece"], None, i, _signed(xxhash.xxh3_64_intdigest(part)),
-                                 _signed(xxhash.xxh64_intdigest(part, seed=7))))
-            return [dict(zip(names, r, strict=True)) for r in rows]
+            text = Windows(raw)
+            return [{"anchor": w["anchor"], "piece": w["piece"], "words": text.part(w["first"], w["wins"] + length - 1)}
+                    for w in wanted]
         return lambda texts, wanted: pa.array(map(cut, as_bytes(texts), wanted.to_pylist()), type=kind)
 
-    return arrow_column(kernel, "array<struct<anchor: bigint, piece: bigint, words: binary, place: int, h1: bigint, "
-                                "h2: bigint>>")
+    return arrow_column(kernel, "array<struct<anchor: bigint, piece: bigint, words: binary>>")
+
+
+def _split_rows(length: int):
+    """(words of a piece, anchors so far) -> its runs under the next anchor."""
+    kind = pa.list_(pa.struct([("next", pa.int64()), ("first", pa.int32()), ("wins", pa.int32()), ("part", pa.int64()),
+                               ("words", pa.binary())]))
+
+    def kernel():
+        def cut(raw, used):
+            text = Windows(raw)
+            return [{"next": a, "first": f, "wins": n, "part": _signed(p), "words": text.part(f, n + length - 1)}
+                    for a, f, n, p in text.runs(length, used)]
+        return lambda words, used: pa.array(map(cut, as_bytes(words), used.to_pylist()), type=kind)
+
+    return arrow_column(kernel, "array<struct<next: bigint, first: int, wins: int, part: bigint, words: binary>>")
 
 
 def _automata(length: int):
-    """Rows (anchor, doc, piece, words) sorted by anchor and document -> for
-    each piece the windows (numbers within the piece) that a smaller document
-    has, if any."""
+    """Rows (key, doc, piece, words) sorted by key, the anchors of a shard, and
+    document -> for each piece the windows (numbers within the piece) that a
+    smaller document has, if any."""
     def kernel(batches):
-        anchor = doc = automaton = None
+        key = doc = automaton = None
         pending: list[list[bytes]] = []  # the pieces of the current document
         for batch in batches:
             found = []
             for a, d, piece, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != anchor:
-                    anchor, doc, automaton, pending = a, d, SuffixAutomaton(), []
+                if a != key:
+                    key, doc, automaton, pending = a, d, SuffixAutomaton(), []
                 elif d != doc:
                     for words in pending:
                         automaton.add(words)
@@ -203,12 +211,40 @@ def _automata(length: int):
                 pending.append(words)
             if found:
                 columns = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int64())),
+                                                  pa.array(columns[1], pa.int64()),
                                                   pa.array(columns[2], pa.list_(pa.int32()))],
-                                                 names=["anchor", "piece", "repeats"])
+                                                 names=["key", "piece", "repeats"])
     return kernel
 
 
+def _search(pieces: DataFrame, length: int, shard_pieces: int) -> DataFrame:
+    """``pieces`` (key: anchors of the shard, piece, _id: its least document,
+    words), distinct by key and piece -> (key, piece, repeats): the windows of a
+    piece that a smaller document has in another piece of the shard."""
+    large = written(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+                    .filter((F.col("n") > shard_pieces) & (F.element_at("key", -1) != -1)).select("key"), "large")
+    fitting = pieces.join(large, "key", "left_anti").select("key", "_id", "piece", "words")
+    found = (fitting.repartition("key").sortWithinPartitions("key", "_id")
+             .mapInArrow(_automata(length), "key array<long>, piece long, repeats array<int>"))
+    if large.isEmpty():
+        return found
+    runs = written(pieces.join(large, "key", "left_semi")
+                   .select("key", "piece", "_id", F.explode(_split_rows(length)(F.col("words"), F.col("key"))).alias("r"))
+                   .select("key", "piece", "_id", F.concat("key", F.array("r.next")).alias("key2"), "r.first", "r.wins",
+                           "r.part", "r.words"), "runs")
+    parts = written(runs.groupBy("key2", "part").agg(F.min("_id").alias("least"), F.first("words").alias("words")), "parts")
+    inside = _search(parts.select(F.col("key2").alias("key"), F.col("part").alias("piece"), F.col("least").alias("_id"),
+                                  "words"), length, shard_pieces)
+    known = parts.select("key2", "part", "least").join(
+        inside.select(F.col("key").alias("key2"), F.col("piece").alias("part"), "repeats"), ["key2", "part"], "left")
+    split = (runs.drop("words").join(known, ["key2", "part"]).filter("_id > least or repeats is not null")
+             .select("key", "piece", F.explode(F.expr(
+                 "if(_id > least, sequence(first, first + wins - 1), transform(repeats, i -> first + i))")).alias("i"))
+             .groupBy("key", "piece").agg(F.collect_list("i").alias("repeats")))
+    return found.union(split)
+
+
 def repeated_windows(docs: DataFrame, length: int, shard_pieces: int) -> DataFrame:
     """``docs`` (_id, _t, _text) -> (_id, _t, runs): the first words and counts
     of the windows that a smaller document also has."""
@@ -216,28 +252,20 @@ def repeated_windows(docs: DataFrame, length: int, shard_pieces: int) -> DataFra
     rows = written(named.select("_id", "_t", F.explode(_anchor_rows(length)(F.col("_text"))).alias("r"))
                    .select("_id", "_t", "r.*"), "anchors")
     shared = (rows.groupBy("anchor").agg(F.min("_id").alias("least"), F.max("_id").alias("most"),
-                                         F.min("piece").alias("p0"), F.max("piece").alias("p1"),
-                                         F.count(F.lit(1)).alias("n"))
-              .filter("least < most")
-              .select("anchor", "least", (F.col("p0") == F.col("p1")).alias("same"),
-                      ((F.col("p0") != F.col("p1")) & (F.col("n") > shard_pieces)).alias("crowded")))
+                                         F.min("piece").alias("p0"), F.max("piece").alias("p1"))
+              .filter("least < most").select("anchor", "least", (F.col("p0") == F.col("p1")).alias("same")))
     live = written(rows.join(shared, "anchor"), "pieces")
     alike = live.filter("same and _id > least").select("_id", "_t", "first", "wins")
     # the other anchors: distinct pieces, at their first place in their least document
-    mixed = live.filter("not same").select("_id", "_t", "anchor", "piece", "first", "wins", "crowded")
-    firsts = mixed.groupBy("anchor", "piece").agg(
-        F.min(F.struct("_id", "_t", "first", "wins", "crowded")).alias("at"))
-    wanted = firsts.select("at._id", "at._t", F.struct("anchor", "piece", "at.first", "at.wins", "at.crowded").alias("w"))
+    mixed = live.filter("not same").select("_id", "_t", "anchor", "piece", "first", "wins")
+    firsts = mixed.groupBy("anchor", "piece").agg(F.min(F.struct("_id", "_t", "first", "wins")).alias("at"))
+    wanted = firsts.select("at._id", "at._t", F.struct("anchor", "piece", "at.first", "at.wins").alias("w"))
     places = named.join(wanted.groupBy("_id", "_t").agg(F.collect_list("w").alias("w")), ["_id", "_t"])
     cut = written(places.select("_id", F.explode(_cut_rows(length)(F.col("_text"), F.col("w"))).alias("c"))
-                  .select("_id", "c.*"), "cut")
-    flagged = (cut.filter("words is not null").select("anchor", "_id", "piece", "words")
-               .repartition("anchor").sortWithinPartitions("anchor", "_id")
-               .mapInArrow(_automata(length), "anchor long, piece long, repeats array<int>"))
-    single = cut.filter("words is null").select("_id", "anchor", "piece", "place", "h1", "h2")
-    least = single.groupBy("h1", "h2").agg(F.min("_id").alias("least"))
-    flagged = flagged.union(single.join(least, ["h1", "h2"]).filter("_id > least").groupBy("anchor", "piece")
-                            .agg(F.collect_list("place").alias("repeats")))
+                  .select(F.array("c.anchor").alias("key"), "c.piece", "_id", "c.words"), "cut")
+    # equal rows of the same id and text give a piece twice; a piece is searched once
+    flagged = _search(cut.dropDuplicates(["key", "piece"]), length, shard_pieces).select(
+        F.element_at("key", 1).alias("anchor"), "piece", "repeats")
     known = firsts.select("anchor", "piece", F.col("at._id").alias("least")).join(flagged, ["anchor", "piece"], "left")
     resolved = (mixed.join(known, ["anchor", "piece"]).filter("_id > least or repeats is not null")
                 .select("_id", "_t", F.explode(F.expr(

@@ -56,6 +56,34 @@ def test_equals_all_windows(spark, seed, length, shard_pieces):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, length)
 
 
+@pytest.mark.parametrize("shard_pieces", [2, 40])
+def test_a_phrase_quoted_everywhere_is_split_by_further_anchors(spark, shard_pieces):
+    draw = random.Random(4)
+    phrase = [f"p{i}" for i in range(9)]
+    rows = []
+    for d in range(150):  # the phrase in surroundings of their own, some of which repeat, and a text of one period
+        around = [f"v{draw.randrange(d // 3 + 1)}x{i}" for i in range(6)]
+        rows.append((d, " ".join(around[:draw.randint(0, 6)] + phrase + around[draw.randint(0, 6):] + ["a", "b", "a"] * (d % 9))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.remove_repeats(df, 12, shard_pieces=shard_pieces).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 12)
+
+
+def test_further_anchors_belong_to_the_windows_words():
+    words = [b"w%d" % (i * i % 37) for i in range(70)]
+    text = substring.Windows(b" ".join(words))
+    used = []
+    for _ in range(7):  # windows of 14 words hold 7 grams
+        anchors = {}
+        for a, first, wins, _ in text.runs(14, used):
+            for i in range(first, first + wins):
+                assert anchors.setdefault(tuple(words[i:i + 14]), a) == a
+        new = set(anchors.values()) - {-1}  # -1: no gram is left
+        assert not new & set(used)
+        used += sorted(new)
+    assert {a for a, *_ in text.runs(14, used)} == {-1}
+
+
 def test_automaton_gives_longest_matches():
     draw = random.Random(2)
     for _ in range(60):
