@@ -234,8 +234,8 @@ def _search(pieces: DataFrame, length: int, shard_pieces: int) -> DataFrame:
                    .select("key", "piece", "_id", F.concat("key", F.array("r.next")).alias("key2"), "r.first", "r.wins",
                            "r.part", "r.words"), "runs")
     parts = written(runs.groupBy("key2", "part").agg(F.min("_id").alias("least"), F.first("words").alias("words")), "parts")
-    inside = _search(parts.select(F.col("key2").alias("key"), F.col("part").alias("piece"), F.col("least").alias("_id"),
-                                  "words"), length, shard_pieces)
+    deeper = parts.select(F.col("key2").alias("key"), F.col("part").alias("piece"), F.col("least").alias("_id"), "words")
+    inside = written(_search(deeper, length, shard_pieces), "inside")  # plans don't grow with the depth
     known = parts.select("key2", "part", "least").join(
         inside.select(F.col("key").alias("key2"), F.col("piece").alias("part"), "repeats"), ["key2", "part"], "left")
     split = (runs.drop("words").join(known, ["key2", "part"]).filter("_id > least or repeats is not null")
