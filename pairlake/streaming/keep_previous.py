@@ -105,7 +105,8 @@ def _sum_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kept: list[pa.Table] = []
     for batch in batches:
-        kept = [summed([*kept, pa.Table.from_batches([batch])])]
+        # by name and without Spark's nullability, which sums do not keep
+        kept = [summed([*kept, pa.Table.from_arrays(batch.columns, names=names)])]
         if len(kept[0]) > MOST_GROUPS:
             yield from kept.pop().combine_chunks().to_batches()
     for t in kept:

@@ -155,6 +155,18 @@ def test_streams_read_a_folder_like_a_file(spark, sf, tmp_dir, name):
     assert digest(folder.columns, folder.collect()) == digest(file.columns, file.collect())
 
 
+def test_keep_previous_stream_of_many_batches_a_task(spark, sf):
+    query, small = plans.QUERIES["stream_keep_previous"].fn, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = query(spark, sf)
+    want, before = digest(whole.columns, whole.collect()), spark.conf.get(small)
+    spark.conf.set(small, "64")
+    try:
+        got = query(spark, sf)
+        assert digest(got.columns, got.collect()) == want
+    finally:
+        spark.conf.set(small, before)
+
+
 def test_keep_previous_of_far_rounds(spark):
     rows = [("a", 0, 1, 2.0, 4.0), ("a", 10**12, 0, 0.0, 0.0), ("b", 10**12, 2, 6.0, 20.0), ("a", 2 * 10**12, 1, 5.0, 25.0)]
     df = spark.createDataFrame(rows, "name string, round long, num long, sum double, sumsq double")
