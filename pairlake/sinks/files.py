@@ -8,10 +8,14 @@ import json
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlake.functions.paths import shard_name
+from pairlake.operators.index import pin
 from pairlake.sinks.blobs import fs_and_path
 
 SHARD_ROWS = 1000
@@ -99,10 +103,63 @@ def write_latent_stats(stats: DataFrame, path: str, fingerprint: str) -> None:
 
 def write_json_document(df: DataFrame, path: str, record: str, order: str, key: str | None = None) -> int:
     """One JSON document: a list of the ``record`` texts (JSON values) in
-    ``order``, or an object whose ``key`` holds that list.  One file has one
-    writer, which streams the sorted rows; returns how many there were."""
+    ``order``, or an object whose ``key`` holds that list; returns how many
+    there were.
+
+    The rows are sorted in ranges, whose lengths tell where in the file each
+    begins (one row a range on the driver); then every range is written at its
+    place by a task of its own, under a temporary name until the last is done.
+    A store that cannot write in the middle of a file gets the sorted rows from
+    one writer."""
     head, tail = (b"[", b"]\n") if key is None else (b"{" + json.dumps(key).encode() + b": [", b"]}\n")
+    fs, name = fs_and_path(path)
+    rows = df.select(record, order)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        return _write_in_one(rows, path, record, order, head, tail)
+    tie = F.xxhash64(record)  # a much repeated place is still split
+    rows = pin(rows.repartitionByRange(order, tie).sortWithinPartitions(order, tie).select(record))
+
+    def measure(batches):
+        n = size = 0
+        for batch in batches:
+            n, size = n + batch.num_rows, size + (pc.sum(pc.binary_length(batch.column(0))).as_py() or 0)
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (TaskContext.get().partitionId(), n, size)],
+                                         ["part", "n", "size"])
+
+    total, at, places = 0, len(head), {}
+    for part, n, size in sorted(rows.mapInArrow(measure, "part long, n long, size long").collect()):
+        if n:
+            places[part] = (at, b",\n" if total else b"")
+            at += size + 2 * (n if total else n - 1)
+            total += n
+    hidden = f"{name}.{uuid.uuid4().hex}"
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with open(hidden, "wb") as out:
+        out.write(head)
+        out.seek(at)
+        out.write(tail)
 
+    def run(batches):
+        n = 0
+        place = places.get(TaskContext.get().partitionId())
+        if place is not None:
+            with open(hidden, "r+b", buffering=1 << 20) as out:
+                out.seek(place[0])
+                before = place[1]
+                for batch in batches:
+                    for text in batch.column(0):
+                        out.write(before + text.as_py().encode())
+                        n, before = n + 1, b",\n"
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    written = sum(r["n"] for r in rows.mapInArrow(run, "n long").collect())
+    if written != total:
+        raise AssertionError(f"{written} of {total} records were written to {path}")
+    fs.move(hidden, name)
+    return total
+
+
+def _write_in_one(rows: DataFrame, path: str, record: str, order: str, head: bytes, tail: bytes) -> int:
     def run(batches):
         fs, name = fs_and_path(path)
         hidden, n = f"{name}.{uuid.uuid4().hex}", 0
@@ -117,5 +174,5 @@ def write_json_document(df: DataFrame, path: str, record: str, order: str, key:
         fs.move(hidden, name)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    one = df.select(record, order).repartition(1).sortWithinPartitions(order).select(record)
+    one = rows.repartition(1).sortWithinPartitions(order).select(record)
     return sum(r["n"] for r in one.mapInArrow(run, "n long").collect())

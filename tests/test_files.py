@@ -216,6 +216,27 @@ def test_class_manifest_and_captions_documents(spark, tmp_path):
         SRC.read_captions(spark, str(tmp_path / "missing.json"))
 
 
+def test_json_documents_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i // 3, json.dumps({"id": f"x/{i}", "en": "é, \n]" * (i % 7)})) for i in range(2000)]
+    df = spark.createDataFrame(rows, "pos long, record string").repartition(5)
+    frame, plain = type(df), type(df).repartition
+
+    def spread(self, n, *cols):
+        assert n != 1, "all rows in one task"
+        return plain(self, n, *cols)
+    monkeypatch.setattr(frame, "repartition", spread)
+    for key in (None, "labels"):
+        path = tmp_path / f"{key}.json"
+        assert K.write_json_document(df, str(path), "record", "pos", key) == 2000
+        back = json.loads(path.read_text())
+        back = back if key is None else back[key]
+        assert [int(r["id"][2:]) // 3 for r in back] == [p for p, _ in rows]
+        assert sorted(json.dumps(r) for r in back) == sorted(r for _, r in rows)
+        assert K.write_json_document(df.limit(0), str(tmp_path / "none.json"), "record", "pos", key) == 0
+        assert json.loads((tmp_path / "none.json").read_text()) == ([] if key is None else {key: []})
+        assert [p.name for p in tmp_path.iterdir() if not p.name.endswith((".json", ".crc"))] == []
+
+
 def test_write_dataset_and_pack(spark, tmp_path):
     df = spark.range(0, 2500).withColumnRenamed("id", "index")
     dest = str(tmp_path / "out")
