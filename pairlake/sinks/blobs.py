@@ -9,11 +9,15 @@ import struct
 import uuid
 import zipfile
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ARCHIVE_BYTES = 64 << 20  # of content in an archive that is written, about
+ARCHIVE_ROWS = 1 << 15  # of rows in it, as a directory entry stays in memory for each
+
 
 def fs_and_path(uri: str):
     """pyarrow filesystem and path for a local path or URI (file:/x too)."""
@@ -45,17 +49,24 @@ def npy_bytes(arr: np.ndarray) -> bytes:
     return buf.getvalue()
 
 
-def publish(fs, path: str, data: bytes) -> None:
-    """Write under a temporary name, then move to the final one, so that a lost
-    or repeated task never leaves a torn file."""
+@contextmanager
+def publishing(fs, path: str):
+    """A stream that writes under a temporary name, which is moved to the final
+    one at the end, so that a lost or repeated task never leaves a torn file."""
     folder, name = path.rsplit("/", 1)
     fs.create_dir(folder, recursive=True)
     hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(hidden) as out:
-        out.write(data)
+    with fs.open_output_stream(hidden, buffer_size=1 << 20) as out:
+        yield out
     fs.move(hidden, path)
 
 
+def publish(fs, path: str, data: bytes) -> None:
+    """Write a whole file under its final name or not at all."""
+    with publishing(fs, path) as out:
+        out.write(data)
+
+
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
     """One file per row: ``folder/<name>`` gets the row's ``content`` bytes.
     Returns (name, size) rows; the files are written when it is evaluated."""
@@ -74,33 +85,58 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
 
 def write_archives(df: DataFrame, folder: str, kind: str, name: str, content: str | None = None,
                    matrix: str | None = None, key: str | None = None) -> DataFrame:
-    """One archive per partition: ``kind='zip'`` stores (name, content) rows
-    as members; ``kind='npz'`` stacks ``matrix`` rows as ``arr_0`` (stored,
+    """The rows of each partition in archives of about ``ARCHIVE_BYTES`` and up
+    to ``ARCHIVE_ROWS`` rows, so that a task holds no more however large its
+    partition is: ``kind='zip'`` stores (name, content) rows as members, passed
+    on as they come; ``kind='npz'`` stacks ``matrix`` rows as ``arr_0`` (stored,
     uncompressed, so it can be read back in row ranges) with ``key`` as
     ``ids``.  Returns (archive, rows)."""
+    if kind not in ("zip", "npz"):
+        raise ValueError(f"unknown archive kind {kind!r}")
+    most_bytes, most_rows = ARCHIVE_BYTES, ARCHIVE_ROWS
+
     def run(batches):
         from pyspark import TaskContext
         fs, base = fs_and_path(folder)
-        part = TaskContext.get().partitionId()
-        tables = [pa.Table.from_batches([rb]) for rb in batches if rb.num_rows]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        buf = io.BytesIO()
-        if kind == "zip":
-            with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_STORED) as z:
-                for n, data in zip(t.column(name).to_pylist(), t.column(content).to_pylist()):
-                    z.writestr(n, data)
-        elif kind == "npz":
-            from pairlake.operators.linalg import to_matrix
-            x = to_matrix(t.column(matrix)).astype(np.float32)
-            ids = np.asarray(t.column(key).to_pylist(), dtype=np.int64)
-            np.savez(buf, arr_0=x, ids=ids)
-        else:
-            raise ValueError(f"unknown archive kind {kind!r}")
-        fname = f"part-{part:05d}.{kind}"
-        publish(fs, f"{base.rstrip('/')}/{fname}", buf.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([fname]), pa.array([t.num_rows], pa.int64())],
-                                         names=["archive", "rows"])
+        part, written = TaskContext.get().partitionId(), 0
+        for write in (zips if kind == "zip" else stacks)(batches):
+            fname = f"part-{part:05d}{f'_{written:05d}' if written else ''}.{kind}"
+            with publishing(fs, f"{base.rstrip('/')}/{fname}") as out:
+                rows = write(out)
+            written += 1
+            yield pa.RecordBatch.from_arrays([pa.array([fname]), pa.array([rows], pa.int64())], names=["archive", "rows"])
+
+    def zips(batches):
+        rows = ((n.as_py(), c.as_py()) for rb in batches for n, c in zip(rb.column(name), rb.column(content), strict=True))
+        ahead = next(rows, None)
+
+        def write(out) -> int:
+            nonlocal ahead
+            n = size = 0
+            with zipfile.ZipFile(out, "w", compression=zipfile.ZIP_STORED) as z:
+                while ahead is not None and n < most_rows and size < most_bytes:
+                    z.writestr(*ahead)
+                    n, size, ahead = n + 1, size + len(ahead[1]), next(rows, None)
+            return n
+        while ahead is not None:
+            yield write
+
+    def stacks(batches):
+        from pairlake.operators.linalg import to_matrix
+        kept: list[pa.Table] = []
+
+        def write(out) -> int:
+            t = pa.concat_tables(kept)
+            kept.clear()
+            np.savez(out, arr_0=to_matrix(t.column(matrix)).astype(np.float32),
+                     ids=np.asarray(t.column(key).to_pylist(), dtype=np.int64))
+            return t.num_rows
+        for rb in batches:
+            for s in range(0, rb.num_rows, most_rows):
+                kept.append(pa.Table.from_batches([rb.slice(s, most_rows)]))
+                if sum(t.nbytes for t in kept) >= most_bytes or sum(t.num_rows for t in kept) >= most_rows:
+                    yield write
+        if kept:
+            yield write
     cols = list(dict.fromkeys(c for c in (name, content, matrix, key) if c))
     return df.select(*cols).mapInArrow(run, "archive string, rows long")

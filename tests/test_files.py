@@ -237,6 +237,26 @@ def test_json_documents_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
         assert [p.name for p in tmp_path.iterdir() if not p.name.endswith((".json", ".crc"))] == []
 
 
+def test_large_partitions_are_written_to_several_archives(spark, tmp_path, monkeypatch):
+    from pairlake.sinks import blobs
+    from pairlake.sources.archives import read_npz_rows, read_zip_members
+    monkeypatch.setattr(blobs, "ARCHIVE_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(blobs, "ARCHIVE_ROWS", 40, raising=False)
+    df = spark.range(0, 100, 1, 1).select("id", F.format_string("m%03d.png", "id").alias("name"),
+                                          F.encode(F.expr("repeat(string(id), 150)"), "utf-8").alias("content"),
+                                          F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("x"))
+    z, n = str(tmp_path / "z"), str(tmp_path / "n")
+    zips = blobs.write_archives(df, z, "zip", "name", "content").collect()
+    assert len(zips) > 2 and sum(r["rows"] for r in zips) == 100 and max(r["rows"] for r in zips) <= 40
+    got = {r["member"]: (r["size"], bytes(r["content"])) for r in read_zip_members(spark, z).collect()}
+    want = [str(i).encode() * 150 for i in range(100)]
+    assert got == {f"m{i:03d}.png": (len(c), c) for i, c in enumerate(want)}
+    npzs = blobs.write_archives(df, n, "npz", "id", matrix="x", key="id").collect()
+    assert [r["rows"] for r in npzs] == [40, 40, 20]
+    assert sorted(list(r["data"]) for r in read_npz_rows(spark, n).collect()) == [[float(i), 0.5] for i in range(100)]
+    assert np.load(f"{n}/{sorted(r['archive'] for r in npzs)[0]}")["ids"].tolist() == list(range(40))
+
+
 def test_write_dataset_and_pack(spark, tmp_path):
     df = spark.range(0, 2500).withColumnRenamed("id", "index")
     dest = str(tmp_path / "out")
