@@ -39,6 +39,7 @@ from pairlake.operators.linalg import sq_dists, to_matrix
 
 PIVOT_BYTES = 8 << 20  # of all pivots of a set, as doubles
 TILE_BLOCKS = 16  # a tile's side holds up to this many times ``block_rows`` rows
+TILE_ROWS = 1 << 14  # rows of several cells that are met together, where cells are small
 SLACK = 1e-6  # of the largest distance: rounding of the norm expansion near zero
 
 
@@ -149,9 +150,48 @@ def home(cells: Cells, visitors: DataFrame, index: DataFrame, kernel, schema: st
 Need = Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray], slice], np.ndarray]
 
 
+def _in_groups(cells: Cells, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each cell, neighbours by number in a set of up to ``most``
+    rows together (a larger cell is one alone), and the groups' rows."""
+    of, rows, ends = np.zeros(len(cells.count), np.int64), [], set(cells.first.values())
+    for c, n in enumerate(cells.count.tolist()):
+        if not rows or c in ends or rows[-1] + n > most:
+            rows.append(0)
+        rows[-1] += n
+        of[c] = len(rows) - 1
+    return of, np.array(rows, np.int64)
+
+
+def _each_cell(kernel, merge):
+    """``kernel`` on each cell of a group and the visitors that want it; what
+    it gives is merged to a row a visitor before it leaves the tile."""
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return kernel(a.slice(0, 0), b.slice(0, 0))
+        b = b.take(pa.array(np.argsort(b.column("_cell").to_numpy(), kind="stable")))
+        numbers, begins = np.unique(b.column("_cell").to_numpy(), return_index=True)
+        lists = a.column("_cells").combine_chunks()
+        wanted = lists.flatten().to_numpy()
+        order = np.argsort(wanted, kind="stable")
+        rows, wanted = np.repeat(np.arange(a.num_rows), lists.value_lengths().to_numpy())[order], wanted[order]
+        lows, highs = np.searchsorted(wanted, numbers), np.searchsorted(wanted, numbers, "right")
+        out, held, a = [], 0, a.drop_columns(["_cells"])
+        for begin, end, low, high in zip(begins, [*begins[1:], b.num_rows], lows, highs, strict=True):
+            if low < high:
+                out.append(kernel(a.take(pa.array(rows[low:high])), b.slice(begin, end - begin)))
+                held += high - low
+            if held > 1 << 18:
+                out = [merge(pa.concat_tables(out))]
+                held = 0
+        return merge(pa.concat_tables(out)) if out else kernel(a.slice(0, 0), b.slice(0, 0))
+    return run
+
+
 def away(cells: Cells, visitors: DataFrame, g: str, need: Need, state: list[str], index: DataFrame, kernel, schema: str,
-         work: dict | None = None) -> DataFrame | None:
-    """``kernel`` on every visitor and each other cell it needs.
+         merge, work: dict | None = None) -> DataFrame | None:
+    """``kernel`` on every visitor and each other cell it needs.  A visitor is
+    sent once to each group of cells that holds some it needs, with their
+    numbers; ``merge`` makes one row a visitor of what the cells of a group gave.
 
     ``need(least, most, state, cells)`` tells, for visitors (rows) and the
     cells of a set (columns, numbered by the slice), which are needed, from
@@ -179,12 +219,24 @@ def away(cells: Cells, visitors: DataFrame, g: str, need: Need, state: list[str]
                 rows, to = np.nonzero(wanted)
                 yield here[rows], (first + to).astype(np.int32)
 
+    group, group_rows = _in_groups(cells, max(cells.tile_rows, TILE_ROWS))
+    rows_of = cells.count
+
+    def calls(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(visitors, their groups, where their cells begin and end, cells)."""
+        for rows, to in pairs(batch):
+            if len(rows):
+                at = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(group[to]) != 0)])
+                yield rows[at], group[to[at]], np.r_[at, len(rows)], to
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(plain.count), np.int64)
+        total, met = np.zeros(len(group_rows), np.int64), np.zeros(len(group_rows))
         for batch in batches:
-            for _, to in pairs(batch):
-                total += np.bincount(to, minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], ["cell", "n"])
+            for _, groups, _, to in calls(batch):
+                total += np.bincount(groups, minlength=len(total))
+                met += np.bincount(group[to], weights=rows_of[to], minlength=len(met))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some]), pa.array(met[some].astype(np.int64))], ["cell", "n", "met"])
 
     keep = visitors.drop("cell")
     names = keep.columns
@@ -192,19 +244,28 @@ def away(cells: Cells, visitors: DataFrame, g: str, need: Need, state: list[str]
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.select(names)
-            for rows, to in pairs(batch):
+            for rows, groups, at, to in calls(batch):
                 for s in range(0, len(rows), 1 << 14):
-                    some = rest.take(pa.array(rows[s:s + (1 << 14)]))
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(to[s:s + (1 << 14)])], [*names, "cell"])
-
-    counted = visitors.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    visits = _per_cell(counted, len(cells.count))
-    if work is not None:
-        work["away"] = work.get("away", 0) + int((visits * cells.count).sum())
+                    e = min(s + (1 << 14), len(rows))
+                    some = rest.take(pa.array(rows[s:e]))
+                    lists = pa.ListArray.from_arrays(pa.array((at[s:e + 1] - at[s]).astype(np.int32)), pa.array(to[at[s]:at[e]]))
+                    yield pa.RecordBatch.from_arrays([*some.columns, lists, pa.array(groups[s:e].astype(np.int32))],
+                                                     [*names, "_cells", "cell"])
+
+    visits = np.zeros(len(group_rows), np.int64)
+    counted = visitors.mapInArrow(count, "cell int, n bigint, met bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+    for r in counted.collect():
+        visits[r["cell"]] = r["n"]
+        if work is not None:
+            work["away"] = work.get("away", 0) + r["met"]
     if not visits.any():
         return None
-    going = visitors.mapInArrow(visit, keep.select("*", F.lit(0).alias("cell")).schema)
-    return _meet(cells, going, visits, index, kernel, schema)
+    going = visitors.mapInArrow(visit, keep.select("*", F.array(F.lit(0)).alias("_cells"), F.lit(0).alias("cell")).schema)
+    numbers = F.broadcast(visitors.sparkSession.createDataFrame(  # a row a cell
+        [(c, int(k)) for c, k in enumerate(group)], "_cell int, _group int"))
+    grouped = index.withColumnRenamed("cell", "_cell").join(numbers, "_cell").withColumnRenamed("_group", "cell")
+    groups = Cells(cells.first, cells.pivots, max(cells.tile_rows, TILE_ROWS), group_rows)
+    return _meet(groups, going, visits, grouped, _each_cell(kernel, merge), schema)
 
 
 def largest(cells: Cells, index: DataFrame, value: str) -> np.ndarray:

@@ -51,6 +51,20 @@ def _knn_kernel(k: int):
     return run
 
 
+def _knn_merge(k: int):
+    def run(t: pa.Table) -> pa.Table:
+        ids, first, row = np.unique(_ids(t, "id"), return_index=True, return_inverse=True)
+        lists = t.column("d").combine_chunks()
+        d, row = lists.flatten().to_numpy(), np.repeat(row, lists.value_lengths().to_numpy())
+        order = np.lexsort((d, row))
+        d, row = d[order], row[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        ends = np.cumsum(np.bincount(row[kept], minlength=len(ids)))
+        return pa.table({"id": pa.array(ids, pa.int64()), "d": pa.ListArray.from_arrays(
+            pa.array(np.r_[0, ends].astype(np.int32)), pa.array(d[kept])), "_g": t.column("_g").take(pa.array(first))})
+    return run
+
+
 def _vectors(df: DataFrame, id_col: str, vec: str, *extra) -> DataFrame:
     """(id, x[, extra]) for the tile operator.  float32 vectors stay float32
     through the replicated shuffle (half the bytes); the kernels widen to
@@ -83,7 +97,7 @@ def _nearest(cells: C.Cells, visitors: DataFrame, k: int, work: dict | None) ->
 
     kth = F.coalesce(F.try_element_at("d", F.lit(k + 1)), F.lit(float("inf")))
     roam = visitors.select("id", "x", "_g", "cell").join(best.select("_g", "id", kth.alias("kth")), ["_g", "id"])
-    more = C.away(cells, roam, "_g", need, ["kth"], index, kernel, schema, work)
+    more = C.away(cells, roam, "_g", need, ["kth"], index, kernel, schema, _knn_merge(k), work)
     return best if more is None else merge(best.select("id", "d", "_g").unionByName(more))
 
 
@@ -257,6 +271,16 @@ def _manifold_kernel(eps: float):
     return run
 
 
+def _manifold_merge(t: pa.Table) -> pa.Table:
+    ids, at = _ids(t, "id"), [t.column(c).to_numpy() for c in ("inside", "realism", "min_d", "nearest")]
+    order = np.lexsort((at[3], at[2], ids))  # the nearest row first, then by id; NaN last
+    inside, realism, min_d, nearest = (v[order] for v in at)
+    ids, first = np.unique(ids[order], return_index=True)
+    return pa.table({"id": pa.array(ids, pa.int64()), "inside": pa.array(np.logical_or.reduceat(inside, first)),
+                     "realism": pa.array(np.maximum.reduceat(realism, first)), "min_d": pa.array(min_d[first]),
+                     "nearest": pa.array(nearest[first], pa.int64())})
+
+
 def manifold_evaluate(ref: DataFrame, radii: DataFrame, evals: DataFrame, id_col: str, vec: str,
                       eps: float = 1e-5, block_rows: int = 4096, work: dict | None = None) -> DataFrame:
     """V5: per evaluated row -- inside any reference ball (d <= r), realism
@@ -288,7 +312,7 @@ def manifold_evaluate(ref: DataFrame, radii: DataFrame, evals: DataFrame, id_col
 
         roam = visitors.select("id", "x", "_g", "cell").join(best.select("id", "inside", "realism", "min_d"), "id", "left")
         roam = roam.fillna(float("inf"), ["min_d"]).fillna(-1.0, ["realism"]).fillna(False, ["inside"])
-        more = C.away(cells, roam, "_g", need, ["inside", "realism", "min_d"], index, kernel, schema, work)
+        more = C.away(cells, roam, "_g", need, ["inside", "realism", "min_d"], index, kernel, schema, _manifold_merge, work)
         best = best if more is None else merge(best.unionByName(more))
     return best.withColumnRenamed("id", id_col)
 
@@ -319,6 +343,12 @@ def _inside_kernel():
     return run
 
 
+def _inside_merge(t: pa.Table) -> pa.Table:
+    ids, first, row = np.unique(_ids(t, "id"), return_index=True, return_inverse=True)
+    hits = np.bincount(row[t.column("inside").to_numpy()], minlength=len(ids))
+    return pa.table({"id": pa.array(ids, pa.int64()), "_g": t.column("_g").take(pa.array(first)), "inside": pa.array(hits > 0)})
+
+
 def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec: str, k: int = 3,
                            block_rows: int = 4096, work: dict | None = None) -> DataFrame:
     """V6 per row: a reference row is recalled when it lies in some sample
@@ -344,7 +374,7 @@ def precision_recall_flags(ref: DataFrame, sample: DataFrame, id_col: str, vec:
         ball = C.largest(cells, index, "r")
         outside = visitors.join(flags.filter("inside").select("_g", "id"), ["_g", "id"], "left_anti")
         more = C.away(cells, outside, "_g", lambda least, most, state, numbers: ~(least > ball[numbers]), [], index,
-                      _inside_kernel(), schema, work)
+                      _inside_kernel(), schema, _inside_merge, work)
         flags = flags if more is None else merge(flags.unionByName(more))
     return flags.select(other.alias("side"), "id", "inside")  # _g is the set that a row was held against
 

@@ -139,6 +139,30 @@ def test_rows_of_a_crowded_cell_are_split(spark, monkeypatch):
     assert np.allclose([got[i] for i in range(601)], want, rtol=1e-6, atol=1e-6) and sizes.value == 0
 
 
+def test_visitors_are_sent_once_to_a_group_of_cells(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(900, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    sent, plain = [], C._meet
+
+    def meet(cells, visitors, visits, *rest):
+        sent.append(int(visits.sum()))
+        return plain(cells, visitors, visits, *rest)
+    monkeypatch.setattr(C, "_meet", meet)
+    work = {}
+    got = {r["id"]: r["radius"] for r in M.manifold_radii(df, "id", "x", 3, block_rows=8, work=work).collect()}
+    d = np.sort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)
+    assert np.allclose([got[i] for i in range(900)], d[:, 3], atol=1e-9)
+    assert work["away"] > 100_000 and sent[0] == 900 and sent[1] <= 900
+    ref, smp, sent[:] = df.filter("id < 500"), df.filter("id >= 500"), []
+    ev = M.manifold_evaluate(ref, M.manifold_radii(ref, "id", "x", 3), smp, "id", "x", block_rows=8).collect()
+    d, r = ((x[500:, None] - x[None, :500]) ** 2).sum(-1), np.sort(((x[:500, None] - x[None, :500]) ** 2).sum(-1), axis=1)[:, 3]
+    for row in ev:
+        mine = d[row["id"] - 500]
+        assert row["inside"] == bool((mine <= r).any()) and row["nearest"] == int(mine.argmin())
+        assert row["realism"] == pytest.approx((r / (mine + 1e-5)).max()) and row["min_d"] == pytest.approx(mine.min())
+    assert len(ev) == 400 and sent[-1] <= 400
+
+
 def test_cells_with_values_that_are_not_finite(spark):
     rows = [(i, [float(i % 7), float(i)]) for i in range(60)] + [(60, [float("nan"), 0.0]), (61, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "id long, x array<double>")
