@@ -162,9 +162,10 @@ def _in_groups(cells: Cells, most: int) -> tuple[np.ndarray, np.ndarray]:
     return of, np.array(rows, np.int64)
 
 
-def _each_cell(kernel, merge):
-    """``kernel`` on each cell of a group and the visitors that want it; what
-    it gives is merged to a row a visitor before it leaves the tile."""
+def _each_cell(kernel, merge, most: int):
+    """``kernel`` on each cell of a group and the visitors that want it, up to
+    ``most`` of either at a time; what it gives is merged to a row a visitor
+    before it leaves the tile."""
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return kernel(a.slice(0, 0), b.slice(0, 0))
@@ -177,12 +178,13 @@ def _each_cell(kernel, merge):
         lows, highs = np.searchsorted(wanted, numbers), np.searchsorted(wanted, numbers, "right")
         out, held, a = [], 0, a.drop_columns(["_cells"])
         for begin, end, low, high in zip(begins, [*begins[1:], b.num_rows], lows, highs, strict=True):
-            if low < high:
-                out.append(kernel(a.take(pa.array(rows[low:high])), b.slice(begin, end - begin)))
-                held += high - low
-            if held > 1 << 18:
-                out = [merge(pa.concat_tables(out))]
-                held = 0
+            for s in range(low, high, most):
+                some = a.take(pa.array(rows[s:min(s + most, high)]))
+                for t in range(begin, end, most):
+                    out.append(kernel(some, b.slice(t, min(most, end - t))))
+                    held += some.num_rows
+                    if held > 1 << 18:
+                        out, held = [merge(pa.concat_tables(out))], 0
         return merge(pa.concat_tables(out)) if out else kernel(a.slice(0, 0), b.slice(0, 0))
     return run
 
@@ -265,7 +267,7 @@ def away(cells: Cells, visitors: DataFrame, g: str, need: Need, state: list[str]
         [(c, int(k)) for c, k in enumerate(group)], "_cell int, _group int"))
     grouped = index.withColumnRenamed("cell", "_cell").join(numbers, "_cell").withColumnRenamed("_group", "cell")
     groups = Cells(cells.first, cells.pivots, max(cells.tile_rows, TILE_ROWS), group_rows)
-    return _meet(groups, going, visits, grouped, _each_cell(kernel, merge), schema)
+    return _meet(groups, going, visits, grouped, _each_cell(kernel, merge, cells.tile_rows), schema)
 
 
 def largest(cells: Cells, index: DataFrame, value: str) -> np.ndarray:
