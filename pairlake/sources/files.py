@@ -79,25 +79,25 @@ LISTING = "path string, folder boolean, length long, modificationTime timestamp"
 
 def _list_level(root: str, ignore: tuple[str, ...]):
     """Folders (paths below ``root``) -> their entries, without those whose
-    name an ``ignore`` pattern matches."""
+    name an ``ignore`` pattern (shell pattern or compiled expression) matches."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql import types as T
     schema = to_arrow_schema(T.StructType([
         T.StructField("path", T.StringType()), T.StructField("folder", T.BooleanType()), T.StructField("length", T.LongType()),
         T.StructField("modificationTime", T.TimestampType())]))
-    drop = [re.compile(fnmatch_regex(p)) for p in ignore]
+    drop = [p if isinstance(p, re.Pattern) else re.compile(fnmatch_regex(p)) for p in ignore]
 
     def run(batches):
         fs, base = fs_and_path(root)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 found = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/") or "/", recursive=False))
-                rows = [{"path": f"{folder}/{i.base_name}".lstrip("/"), "folder": i.type == pafs.FileType.Directory,
-                         "length": i.size, "modificationTime": i.mtime}
-                        for i in found if not any(d.match(i.base_name) for d in drop)
-                        and i.type in (pafs.FileType.File, pafs.FileType.Directory)]
-                for s in range(0, len(rows), 1 << 14):
-                    yield pa.RecordBatch.from_pylist(rows[s:s + (1 << 14)], schema=schema)
+                for s in range(0, len(found), 1 << 14):
+                    rows = [{"path": f"{folder}/{i.base_name}".lstrip("/"), "folder": i.type == pafs.FileType.Directory,
+                             "length": i.size, "modificationTime": i.mtime}
+                            for i in found[s:s + (1 << 14)] if not any(d.match(i.base_name) for d in drop)
+                            and i.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
     return run
 
 
@@ -145,20 +145,35 @@ def _walk(spark: SparkSession, uri: str, ignore: tuple[str, ...]) -> DataFrame:
     return files
 
 
-def _bgr_to_rgb(batches):
-    for rb in batches:
-        data = rb.column("data").to_pylist()
-        chans = rb.column("n_channels").to_pylist()
-        fixed = []
-        for d, c in zip(data, chans):
-            if d is None or c is None or c < 3:
-                fixed.append(d)
-                continue
-            a = np.frombuffer(d, np.uint8).reshape(-1, c).copy()
-            a[:, [0, 2]] = a[:, [2, 0]]
-            fixed.append(a.tobytes())
-        cols = [rb.column(n) for n in rb.schema.names if n != "data"] + [pa.array(fixed, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=[n for n in rb.schema.names if n != "data"] + ["data"])
+IMAGE_SCHEMA = "path string, height int, width int, n_channels int, mode int, data binary"
+IMAGE_FILES, IMAGE_BYTES = 1 << 11, 128 << 20  # of a task that decodes, about
+
+# names that Spark's file sources hide: folders and files, and files alone
+HIDDEN = re.compile(r"(?s)(?!_metadata|_common_metadata)(\.|_[^=]*\Z|.*\._COPYING_\Z)")
+HIDDEN_FILE = r"(?s)\A(.*/)?_[^=/]*\z"
+
+
+def _rgb_images(on_error: str):
+    """Rows of Spark's image source -> ``IMAGE_SCHEMA``, channels swapped."""
+    def run(batches):
+        for rb in batches:
+            out = []
+            for i in rb.column("image").to_pylist():
+                d, c = i["data"], i["nChannels"]
+                if i["height"] < 0:
+                    if on_error == "drop":
+                        continue
+                    raise ValueError(f"cannot decode image {i['origin']}")
+                if c >= 3:
+                    a = np.frombuffer(d, np.uint8).reshape(-1, c).copy()
+                    a[:, [0, 2]] = a[:, [2, 0]]
+                    d = a.tobytes()
+                out.append((i["origin"], i["height"], i["width"], c, i["mode"], d))
+            cols = zip(*out, strict=True) if out else [()] * 6
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                             names=["path", "height", "width", "n_channels", "mode", "data"])
+    return run
 
 
 def _image_glob() -> str:
@@ -167,23 +182,86 @@ def _image_glob() -> str:
     return "*{" + ",".join(either) + "}"
 
 
+def _image_files(spark: SparkSession, root: str) -> DataFrame | None:
+    """(uri, length) of the files that Spark's image source would read in the
+    folder ``root``, listed by tasks; None where ``root`` is no folder (a file, a
+    pattern) or on a file system that pyarrow does not open."""
+    if re.search(r"[{}\[\]*?\\]", root):
+        return None
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    path = hadoop_path(_uri(root))
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    name = store.makeQualified(hadoop_path(path.toUri().getPath())).toUri()
+    uri = f"{name.getScheme()}://{name.getAuthority() or ''}{name.getPath()}"  # as the source names it
+    local = _local(uri)
+    base = uri if local is None else local
+    try:
+        fs, path = fs_and_path(base)
+        if fs.get_file_info(path.rstrip("/") or "/").type != pafs.FileType.Directory:
+            return None
+    except (OSError, ValueError):  # ArrowInvalid is a ValueError
+        return None
+    files = _walk(spark, base, (HIDDEN,)).filter(F.col("length") > 0).filter(~F.col("path").rlike(HIDDEN_FILE))
+    uris = F.concat(F.lit(uri if uri.endswith("/") else uri + "/"), "path")
+    return files.select(uris.alias("uri"), "length").filter(is_image_file("uri"))
+
+
+def _image_column(spark: SparkSession, uri: str):
+    """The struct that Spark's image source makes of the file at column ``uri``.
+
+    The function by which that source reads a file is called on the column's
+    value (no public function does), so tasks read the files of a table;
+    ``spark.read`` keeps all names and a task for every few of them on the driver."""
+    from pyspark.sql.classic.column import Column
+    jvm = spark._jvm
+    sql = jvm.org.apache.spark.sql
+    cls, obj = jvm.java.lang.Class.forName, sql.types.ObjectType
+    objects, literal = sql.catalyst.expressions.objects, sql.catalyst.expressions.Literal
+    seq, none = (lambda *x: jvm.PythonUtils.toSeq(list(x))), jvm.scala.Option.apply(None)
+    schema = jvm.org.apache.spark.ml.image.ImageSchema.imageSchema()
+    read = jvm.org.apache.spark.ml.source.image.ImageFileFormat().buildReader(
+        spark._jsparkSession, schema, sql.types.StructType(), schema, seq(), jvm.PythonUtils.toScalaMap({}),
+        spark._jsparkSession.sessionState().newHadoopConf())
+
+    def call(target, method: str, kind, *args):
+        return objects.Invoke(target, method, kind, seq(*args), seq(), True, True, True)
+
+    def null(name: str):
+        return literal(None, obj(cls(name)))
+
+    def expression(column):
+        return sql.classic.ExpressionUtils.expression(column._jc)
+    text = call(expression(F.col(uri)), "toString", obj(cls("java.lang.String")))
+    path = cls("org.apache.spark.paths.SparkPath")
+    path = objects.StaticInvoke(path, obj(path), "fromPathString", seq(text), seq(), True, True, True, none)
+    zero, file = expression(F.lit(0).cast("long")), cls("org.apache.spark.sql.execution.datasources.PartitionedFile")
+    file = objects.NewInstance(file, seq(
+        null("org.apache.spark.sql.catalyst.InternalRow"), path, zero, zero, null("[Ljava.lang.String;"), zero, zero,
+        null("scala.collection.immutable.Map")), seq(), False, obj(file), none)
+    rows = call(literal(read, obj(cls("scala.Function1"))), "apply", obj(cls("scala.collection.Iterator")), file)
+    return Column(sql.classic.ExpressionUtils.column(call(rows, "next", schema)))["image"]
+
+
 def read_images(spark: SparkSession, root: str, on_error: str = "fail") -> DataFrame:
     """Decoded images (path, height, width, n_channels, mode, data) with
     channels in RGB order (Spark's image source yields BGR).  ``on_error``:
-    'fail' raises on an undecodable image file, 'drop' skips it."""
-    uri = _uri(root)
-    raw = (spark.read.format("image").option("dropInvalid", on_error == "drop")
-           .option("recursiveFileLookup", "true").option("pathGlobFilter", _image_glob()).load(uri))
-    img = raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"),
-                     F.col("image.width").alias("width"), F.col("image.nChannels").alias("n_channels"),
-                     F.col("image.mode").alias("mode"), F.col("image.data").alias("data"))
-    img = img.filter(is_image_file("path"))
-    if on_error == "fail":
-        img = img.withColumn("height", F.when(F.col("height") < 0, F.raise_error(
-            F.concat(F.lit("cannot decode image "), F.col("path")))).otherwise(F.col("height")))
-    elif on_error != "drop":
+    'fail' raises on an undecodable image file, 'drop' skips it.
+
+    Folders are listed by tasks as in S1, without hidden names and empty files,
+    and their files dealt to tasks of about ``IMAGE_FILES``; the driver holds no
+    list of them.  Where ``root`` is no folder, or on a file system that only
+    Spark opens, Spark's image source lists it, on the driver."""
+    if on_error not in ("fail", "drop"):
         raise ValueError("on_error must be 'fail' or 'drop'")
-    return img.mapInArrow(_bgr_to_rgb, img.schema)
+    files = _image_files(spark, root)
+    if files is None:
+        raw = (spark.read.format("image").option("recursiveFileLookup", "true")
+               .option("pathGlobFilter", _image_glob()).load(_uri(root)).filter(is_image_file("image.origin")))
+    else:
+        n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        tasks = max(1, min(n, spark.sparkContext.defaultParallelism), n // IMAGE_FILES, size // IMAGE_BYTES)
+        raw = files.repartition(tasks, "uri").select(_image_column(spark, "uri").alias("image"))
+    return raw.mapInArrow(_rgb_images(on_error), IMAGE_SCHEMA)
 
 
 def open_dataset(spark: SparkSession, source: str, **kw) -> DataFrame:

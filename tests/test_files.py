@@ -104,6 +104,46 @@ def test_read_images_rgb_and_errors(spark, tree, tmp_path):
         SRC.read_images(spark, str(bad), on_error="fail").collect()
 
 
+def test_read_images_keeps_no_file_list_on_the_driver(spark, tmp_path):
+    for i in range(300):
+        f = tmp_path / f"c{i % 3}" / f"{i:03d}.png"
+        f.parent.mkdir(exist_ok=True)
+        f.write_bytes(png_bytes(1, 1, (i % 256, 7, 9)))
+    imgs = SRC.read_images(spark, str(tmp_path))
+    assert imgs.inputFiles() == []  # Spark's image source answers with every file
+    assert imgs.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism  # and has a task for a few files each
+    got = {r["path"].removeprefix(f"file://{tmp_path}/"): bytes(r["data"]) for r in imgs.collect()}
+    assert got == {f"c{i % 3}/{i:03d}.png": bytes([i % 256, 7, 9]) for i in range(300)}
+
+
+def test_read_images_reads_what_the_image_source_reads(spark, tmp_path):
+    bmp = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 62, 0, 0, 54, 40, 2, 1, 1, 24, 0, 8, 0, 0, 0, 0) + bytes(range(1, 9))
+    seen = {"a b/é %20x.png", "x.PNG", "_b=1.png", "_metadata/in.png", "_k=1/_x=2.png", "q?*[x].png", "deep/er/#h.jpeg", "nl\n.png",
+            "dots..png", "two.bmp"}
+    hidden = {"_a.png", ".c.png", "_metadata.png", "_h/in.png", ".h/in.png", "y._COPYING_/in.png", "a.png.bak", "png", "none.png"}
+    for n in seen | hidden:
+        f = tmp_path / "in" / n
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"" if n == "none.png" else bmp if n == "two.bmp" else png_bytes(2, 1, (1, 2, 3)))
+    (tmp_path / "in" / "ln.png").symlink_to(tmp_path / "in" / "x.PNG")
+    (tmp_path / "in" / "gone.png").symlink_to(tmp_path / "gone")
+    (tmp_path / "in" / "empty").mkdir()
+    ext = "*.{png,PNG,jpeg,bmp}"
+    for root in (tmp_path / "in", f"file:{tmp_path}/in/", tmp_path / "in" / "a b", tmp_path / "in" / "_h", tmp_path / "in" / "empty",
+                 tmp_path / "in" / "x.PNG", tmp_path / "in" / "d*"):
+        src = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", ext).load(str(root))
+        want = sorted((r["origin"], r["height"], r["width"], r["nChannels"], r["mode"]) for r in src.select("image.*").collect())
+        rows = SRC.read_images(spark, str(root)).collect()
+        assert sorted((r["path"], r["height"], r["width"], r["n_channels"], r["mode"]) for r in rows) == want, root
+        assert {bytes(r["data"]) for r in rows if "bmp" not in r["path"]} <= {bytes([1, 2, 3] * 2)}
+    rows = {r["path"].rsplit("/", 1)[1]: bytes(r["data"]) for r in SRC.read_images(spark, str(tmp_path / "in")).collect()}
+    assert len(rows) == len(seen) + 1 and rows["two.bmp"] == bytes([3, 2, 1, 6, 5, 4])
+    (tmp_path / "in" / "deep" / "broken.png").write_bytes(b"\x89PNG garbage")
+    assert SRC.read_images(spark, str(tmp_path / "in"), on_error="drop").count() == len(seen) + 1
+    with pytest.raises(Exception, match="cannot decode image .*broken.png"):
+        SRC.read_images(spark, str(tmp_path / "in")).collect()
+
+
 def test_read_npy_c_and_fortran(spark, tree):
     got = {os.path.basename(r["path"]): r for r in SRC.read_npy(spark, str(tree / "dogs")).collect()}
     assert got["t.npy"]["shape"] == [2, 3, 4] and got["t.npy"]["data"] == list(range(24))
