@@ -209,37 +209,55 @@ def _image_files(spark: SparkSession, root: str) -> DataFrame | None:
 def _image_column(spark: SparkSession, uri: str):
     """The struct that Spark's image source makes of the file at column ``uri``.
 
-    The function by which that source reads a file is called on the column's
-    value (no public function does), so tasks read the files of a table;
-    ``spark.read`` keeps all names and a task for every few of them on the driver."""
+    The functions by which Spark's sources read a file and decode an image are
+    called on the column's value (no public function does), so tasks read the
+    files of a table; ``spark.read`` keeps all names and a task for every few of
+    them on the driver, and its image reader compiles an encoder for each file."""
     from pyspark.sql.classic.column import Column
     jvm = spark._jvm
     sql = jvm.org.apache.spark.sql
-    cls, obj = jvm.java.lang.Class.forName, sql.types.ObjectType
-    objects, literal = sql.catalyst.expressions.objects, sql.catalyst.expressions.Literal
+    catalyst, cls, obj = sql.catalyst.expressions, jvm.java.lang.Class.forName, sql.types.ObjectType
     seq, none = (lambda *x: jvm.PythonUtils.toSeq(list(x))), jvm.scala.Option.apply(None)
-    schema = jvm.org.apache.spark.ml.image.ImageSchema.imageSchema()
-    read = jvm.org.apache.spark.ml.source.image.ImageFileFormat().buildReader(
-        spark._jsparkSession, schema, sql.types.StructType(), schema, seq(), jvm.PythonUtils.toScalaMap({}),
-        spark._jsparkSession.sessionState().newHadoopConf())
 
-    def call(target, method: str, kind, *args):
-        return objects.Invoke(target, method, kind, seq(*args), seq(), True, True, True)
+    def call(target, method: str, kind, *args, nulls: bool = False):
+        return catalyst.objects.Invoke(target, method, kind, seq(*args), seq(), not nulls, True, True)
+
+    def static(name: str, method: str, kind: str, *args):
+        return catalyst.objects.StaticInvoke(cls(name), obj(cls(kind)), method, seq(*args), seq(), True, True, True, none)
 
-    def null(name: str):
-        return literal(None, obj(cls(name)))
+    def literal(value, name: str):
+        return catalyst.Literal(value, obj(cls(name)))
 
     def expression(column):
         return sql.classic.ExpressionUtils.expression(column._jc)
-    text = call(expression(F.col(uri)), "toString", obj(cls("java.lang.String")))
-    path = cls("org.apache.spark.paths.SparkPath")
-    path = objects.StaticInvoke(path, obj(path), "fromPathString", seq(text), seq(), True, True, True, none)
-    zero, file = expression(F.lit(0).cast("long")), cls("org.apache.spark.sql.execution.datasources.PartitionedFile")
-    file = objects.NewInstance(file, seq(
-        null("org.apache.spark.sql.catalyst.InternalRow"), path, zero, zero, null("[Ljava.lang.String;"), zero, zero,
-        null("scala.collection.immutable.Map")), seq(), False, obj(file), none)
-    rows = call(literal(read, obj(cls("scala.Function1"))), "apply", obj(cls("scala.collection.Iterator")), file)
-    return Column(sql.classic.ExpressionUtils.column(call(rows, "next", schema)))["image"]
+
+    # the content, as the binary source reads it
+    source = sql.execution.datasources.binaryfile.BinaryFileFormat
+    content = sql.types.StructType().add("content", "binary")
+    read = source().buildReader(
+        spark._jsparkSession, source.schema(), sql.types.StructType(), content, seq(), jvm.PythonUtils.toScalaMap({}),
+        spark._jsparkSession.sessionState().newHadoopConf())
+    name = "org.apache.spark.paths.SparkPath"
+    path = static(name, "fromPathString", name, call(expression(F.col(uri)), "toString", obj(cls("java.lang.String"))))
+    zero, name = expression(F.lit(0).cast("long")), "org.apache.spark.sql.execution.datasources.PartitionedFile"
+    file = catalyst.objects.NewInstance(cls(name), seq(
+        literal(None, "org.apache.spark.sql.catalyst.InternalRow"), path, zero, zero, literal(None, "[Ljava.lang.String;"),
+        zero, zero, literal(None, "scala.collection.immutable.Map")), seq(), False, obj(cls(name)), none)
+    rows = call(literal(read, "scala.Function1"), "apply", obj(cls("scala.collection.Iterator")), file)
+    content = catalyst.GetStructField(call(rows, "next", content), 0, none)
+
+    # the image, as the image source decodes it
+    name, row = "org.apache.spark.ml.image.ImageSchema$", obj(cls("org.apache.spark.sql.Row"))
+    images = call(literal(cls(name), "java.lang.Class"), "getField", obj(cls("java.lang.reflect.Field")),
+                  literal("MODULE$", "java.lang.String"))
+    images = call(images, "get", obj(cls(name)), literal(None, "java.lang.Object"), nulls=True)
+    origin = call(path, "urlEncoded", obj(cls("java.lang.String")))
+    image = catalyst.objects.UnwrapOption(row, call(images, "decode", obj(cls("scala.Option")), origin, content))
+    image = catalyst.Coalesce(seq(image, call(images, "invalidImageRow", row, origin)))
+    image = static("org.apache.spark.sql.catalyst.CatalystTypeConverters", "convertToCatalyst", "java.lang.Object", image)
+    image = static("scala.Option", "apply", "scala.Option", image)  # whose value can be cast
+    image = call(image, "get", jvm.org.apache.spark.ml.image.ImageSchema.imageSchema())
+    return Column(sql.classic.ExpressionUtils.column(image))["image"]
 
 
 def read_images(spark: SparkSession, root: str, on_error: str = "fail") -> DataFrame:
